@@ -39,7 +39,7 @@ def opened(uri: str) -> tuple[pafs.FileSystem, str]:
 def put(folder: str, name: str, data: bytes, attempt: str) -> str:
     """Write under a name of this attempt's own, then rename: a retried task replaces the file whole."""
     fs, base = opened(folder)
-    with fs.open_output_stream(f"{base}/_{name}.{attempt}") as out:
+    with fs.open_output_stream(f"{base}/_{name}.{attempt}", compression=None) as out:
         out.write(data)
     fs.move(f"{base}/_{name}.{attempt}", f"{base}/{name}")
     return f"{folder}/{name}"
@@ -47,7 +47,7 @@ def put(folder: str, name: str, data: bytes, attempt: str) -> str:
 
 def get(uri: str) -> bytes:
     fs, path = opened(uri)
-    with fs.open_input_stream(path) as f:
+    with fs.open_input_stream(path, compression=None) as f:
         return f.read()
 
 
@@ -109,7 +109,7 @@ def write_corpus(
         k, attempt = TaskContext.get().partitionId(), str(TaskContext.get().taskAttemptId())
         to, at = opened(folder)
         index, before, offset = [], 0, 0
-        with to.open_output_stream(f"{at}/_part-{k:05d}.ids.{attempt}") as out:
+        with to.open_output_stream(f"{at}/_part-{k:05d}.ids.{attempt}", compression=None) as out:
             for batch in batches:
                 for doc, text in zip(batch["doc_id"], batch["text"]):
                     ids = ids_of(text) + end
@@ -167,7 +167,7 @@ def read_corpus(spark, folder: str, keep_ids: bool = False) -> DataFrame:
                 held = zstandard.ZstdCompressionDict(shared) if shared else None
                 unpack = zstandard.ZstdDecompressor(dict_data=held).decompress
                 fs, base = opened(folder)
-                with fs.open_input_stream(f"{base}/{name}.ids") as f:
+                with fs.open_input_stream(f"{base}/{name}.ids", compression=None) as f:
                     for lo in range(0, len(index) - 1, 2000):
                         rows = []
                         for i in range(lo, min(lo + 2000, len(index) - 1)):

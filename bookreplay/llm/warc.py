@@ -111,7 +111,7 @@ def write_archives(pages: DataFrame, folder: str, level: int = 2) -> DataFrame:
         out = None
         for b in batches:
             if b.num_rows and out is None:
-                out = to.open_output_stream(f"{at}/_{name}.{attempt}")
+                out = to.open_output_stream(f"{at}/_{name}.{attempt}", compression=None)
             cols = [b.column(c) for c in ("page_id", "url", "html", "digest", "refers_to")]
             for i in range(b.num_rows):
                 page_id, url, html, digest, refers_to = (c[i].as_py() for c in cols)
@@ -156,7 +156,7 @@ def read_records(data: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes,
 
 
 def chunks(fs: pafs.FileSystem, path: str, each: int = 1 << 16) -> Iterator[bytes]:
-    with fs.open_input_stream(path) as f:
+    with fs.open_input_stream(path, compression=None) as f:
         while data := f.read(each):
             yield data
 
@@ -224,7 +224,7 @@ class RunWriter:
         self.range, self.at, self.found = 0, 0, {}
 
     def __enter__(self) -> RunWriter:
-        self.out = self.fs.open_output_stream(f"{self.base}/_{self.name}.{self.attempt}")
+        self.out = self.fs.open_output_stream(f"{self.base}/_{self.name}.{self.attempt}", compression=None)
         return self
 
     def __exit__(self, kind, *_) -> None:
