@@ -59,3 +59,11 @@ def text_bytes(df: DataFrame, column: str) -> int:
 
 def parts_for(total: int, each: int, least: int = 1) -> int:
     return max(least, math.ceil(total / each))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

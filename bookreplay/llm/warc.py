@@ -349,9 +349,15 @@ def _frame(rows: list[dict]) -> pd.DataFrame:
 
 
 def capture_histories(pages: DataFrame, entries_each: int = 20_000, fan_in: int = 64, level: int = 2) -> DataFrame:
-    """Write archives, read them back, and merge their indexes: an entry for every row of ``pages``."""
+    """Write archives, read them back, and merge their indexes: an entry for every row of ``pages``, with
+    its ``position`` (from 0) in the order of URL key, timestamp and the entry's line."""
     folder = fresh_dir(pages.sparkSession, "warc")
     archives = write_archives(pages, folder, level)
     total = int(archives.agg(F.sum("records")).first()[0] or 0)
     bounds = boundaries(pages, max(1, -(-total // entries_each)))
-    return merge_runs(index_archives(archives, folder, bounds), folder, fan_in)
+    merged = cut(merge_runs(index_archives(archives, folder, bounds), folder, fan_in), "histories")
+    # One row per range: thousands of entries each.
+    sizes = merged.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    bases = sizes.select("range", F.coalesce(before, F.lit(0)).alias("base"))
+    return merged.join(bases, "range").withColumn("position", F.col("base") + F.col("nth")).drop("base", "range", "nth")
