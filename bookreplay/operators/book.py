@@ -40,19 +40,20 @@ def dispatched(arrivals: DataFrame) -> DataFrame:
 def segmented(outcomes: DataFrame) -> DataFrame:
     """Applied book inputs (snapshots and deltas) with ``segment``: snapshots of the token so far. A
     payload whose own scope differs from its envelope's (``payload_token_id``, where that column
-    exists) is refused: it stays out of the book and opens no segment."""
+    exists) is refused: it stays out of the book and opens no segment. ``last_segment`` is the token's."""
     own = outcomes.where(F.col("outcome").isin("applied_snapshot", "applied_delta"))
     if "payload_token_id" in own.columns:
         own = own.where(F.col("payload_token_id").isNull() | (F.col("payload_token_id") == F.col("token_id")))
     snapshot = (F.col("outcome") == "applied_snapshot").cast("long")
-    return own.withColumn("segment", F.sum(snapshot).over(Window.partitionBy(*KEY).orderBy("seq")))
+    held = own.withColumn("segment", F.sum(snapshot).over(Window.partitionBy(*KEY).orderBy("seq")))
+    return held.withColumn("last_segment", F.max("segment").over(Window.partitionBy(*KEY)))
 
 
 def level_writes(inputs: DataFrame, level_ops: DataFrame) -> DataFrame:
     """A row per level write of an accepted input, with ``before`` (the level's size so far in the
     segment, null if absent) and ``until`` (seq of the next write, null for the last). A removal has
     size 0. Deltas before any snapshot (segment 0) are not in."""
-    held = level_ops.join(inputs.select(*KEY, "seq", "segment", "outcome", "event_time"), [*KEY, "seq"]).where("segment > 0")
+    held = level_ops.join(inputs.select(*KEY, "seq", "segment", "last_segment", "outcome", "event_time"), [*KEY, "seq"]).where("segment > 0")
     size = F.when(F.col("kind") == "remove", F.lit(0).cast("decimal(28,10)")).otherwise(F.col("size"))
     w = Window.partitionBy(*KEY, "segment", "side", "price").orderBy("seq")
     held = held.withColumn("size", size)
@@ -61,16 +62,14 @@ def level_writes(inputs: DataFrame, level_ops: DataFrame) -> DataFrame:
 
 def final_levels(writes: DataFrame) -> DataFrame:
     """The last book of each token: its levels of the last segment with a size above zero."""
-    last = writes.groupBy(*KEY).agg(F.max("segment").alias("_last"))
-    held = writes.where("until is null and size > 0").join(last, KEY).where("segment = _last")
+    held = writes.where("until is null and size > 0 and segment = last_segment")
     return held.select(*KEY, "side", "price", "size")
 
 
-def levels_as_of(writes: DataFrame, seq: int) -> DataFrame:
+def levels_as_of(inputs: DataFrame, writes: DataFrame, seq: int) -> DataFrame:
     """The books after the arrival ``seq`` of every run."""
-    cut = writes.where(F.col("seq") <= seq)
-    last = cut.groupBy(*KEY).agg(F.max("segment").alias("_last"))
-    top = cut.join(last, KEY).where("segment = _last").groupBy(*KEY, "side", "price").agg(F.max_by("size", "seq").alias("size"))
+    last = inputs.where(F.col("seq") <= seq).groupBy(*KEY).agg(F.max("segment").alias("_last"))
+    top = writes.where(F.col("seq") <= seq).join(last, KEY).where("segment = _last").groupBy(*KEY, "side", "price").agg(F.max_by("size", "seq").alias("size"))
     return top.where("size > 0")
 
 

@@ -91,7 +91,8 @@ def final_levels(spark: SparkSession, d: str) -> DataFrame:
 held AS (SELECT c.run, c.token_id, c.side, c.price, arg_max(c.size, c.seq) AS size FROM cut c JOIN seg USING (run, token_id, segment) GROUP BY ALL)
 SELECT run, token_id, side, round(CAST(price AS DOUBLE), 9) AS price, round(CAST(size AS DOUBLE), 9) AS size FROM held WHERE size > 0""")
 def levels_as_of(spark: SparkSession, d: str) -> DataFrame:
-    return book.levels_as_of(Replay(spark, d).writes, 1500).select("run", "token_id", "side", *dbl("price", "size"))
+    r = Replay(spark, d)
+    return book.levels_as_of(r.inputs, r.writes, 1500).select("run", "token_id", "side", *dbl("price", "size"))
 
 
 @query(with_views("numbered", "arrivals", "dispatched", "level_ops", "segments", "top") + """SELECT run, token_id, seq, bid_levels, ask_levels, round(CAST(best_bid AS DOUBLE), 9) AS best_bid,

@@ -1,7 +1,7 @@
 """Order books under Structured Streaming: a keyed processor whose state is one token's book.
 
 Rows of a key are applied in seq order inside each call. A row at or below the key's last seq came out
-of order: it is reported, not folded in. Applied observation ids are remembered with a time to live.
+of order: it is reported, not folded in. Applied observation ids are remembered, for good or with a time to live.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ INPUT = ["run", "seq", "condition_id", "token_id", "observation_id", "payload_ty
 class BookProcessor(StatefulProcessor):
     """One output row per input row: what became of it, and the top of the book after it."""
 
-    def __init__(self, ttl_ms: int = 86_400_000):
+    def __init__(self, ttl_ms: int | None = None):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -50,7 +50,7 @@ class BookProcessor(StatefulProcessor):
                 elif r.payload_type == "delta" and not seeded:
                     status = "delta_before_snapshot"
                 if seeded and r.payload_type in ("snapshot", "delta"):
-                    self._apply(r.levels, book)
+                    self._apply(() if r.levels is None else r.levels, book)
             out.append((*key, int(r.seq), status, *self._top(book)))
         self.last.update((int(seq), bool(seeded)))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
@@ -85,10 +85,11 @@ def book_inputs(arrivals: DataFrame, level_ops: DataFrame) -> DataFrame:
     return held.select(*[F.col(c).cast("string") if c in ("run", "condition_id", "token_id", "observation_id") else F.col(c) for c in INPUT])
 
 
-def replay_stream(rows: DataFrame, ttl_ms: int = 86_400_000) -> DataFrame:
-    """The streaming form of the fold; needs the RocksDB state store provider (ROCKSDB)."""
+def replay_stream(rows: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """The streaming form of the fold; needs the RocksDB state store provider (ROCKSDB). With a time to
+    live the query runs on processing time and keeps running batches, so it suits open-ended triggers."""
     return rows.groupBy("run", "condition_id", "token_id").transformWithStateInPandas(
-        statefulProcessor=BookProcessor(ttl_ms), outputStructType=OUT, outputMode="append", timeMode="ProcessingTime"
+        statefulProcessor=BookProcessor(ttl_ms), outputStructType=OUT, outputMode="append", timeMode="ProcessingTime" if ttl_ms else "None"
     )
 
 
