@@ -185,10 +185,13 @@ def order_of(line: bytes) -> tuple[bytes, bytes, bytes]:
     return key, at, rest
 
 
-def boundaries(pages: DataFrame, ranges: int, sample: int = 10_000) -> list[tuple[bytes, bytes]]:
-    """Where the key ranges end, from at most ``sample`` rows (those with the smallest hashes of page
-    and url). They only balance the merge: any boundaries give the same order."""
-    few = pages.select("page_id", "url").orderBy(F.xxhash64("page_id", "url"), "page_id", "url").limit(sample).collect()
+def boundaries(pages: DataFrame, ranges: int, total: int, sample: int = 10_000) -> list[tuple[bytes, bytes]]:
+    """Where the key ranges end, from about ``sample`` of the ``total`` rows, however many there are:
+    those whose hash of page and url is low enough. They only balance the merge: any boundaries give
+    the same order."""
+    space = 1 << 30
+    low = F.pmod(F.xxhash64("page_id", "url"), F.lit(space)) < min(space, space * sample // max(1, total))
+    few = pages.select("page_id", "url").where(low).distinct().collect()
     stamp = lambda i: (EPOCH + timedelta(seconds=i or 0) if abs(i or 0) < 1 << 32 else EPOCH).strftime("%Y%m%d%H%M%S")
     keys = sorted({(url_key(r["url"]).encode(), stamp(r["page_id"]).encode()) for r in few})
     return [keys[len(keys) * k // ranges] for k in range(1, ranges)] if len(keys) > ranges else []
@@ -354,7 +357,7 @@ def capture_histories(pages: DataFrame, entries_each: int = 20_000, fan_in: int
     folder = fresh_dir(pages.sparkSession, "warc")
     archives = write_archives(pages, folder, level)
     total = int(archives.agg(F.sum("records")).first()[0] or 0)
-    bounds = boundaries(pages, max(1, -(-total // entries_each)))
+    bounds = boundaries(pages, max(1, -(-total // entries_each)), total)
     merged = cut(merge_runs(index_archives(archives, folder, bounds), folder, fan_in), "histories")
     # One row per range: thousands of entries each.
     sizes = merged.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
