@@ -60,13 +60,15 @@ def widened(raw: bytes, width: int) -> np.ndarray:
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, width: int, sample_docs: int, sample_chars: int, dict_bytes: int) -> bytes:
-    """A dictionary from at most ``sample_docs`` texts of at most ``sample_chars`` characters each,
-    those with the smallest hashes. It only affects how small the files are. Where there is too
-    little to train on, the dictionary is empty."""
+    """A dictionary from about ``sample_docs`` different texts of at most ``sample_chars`` characters
+    each, however many there are: those whose hash is low enough. It only affects how small the files
+    are. Where there is too little to train on, the dictionary is empty."""
     import zstandard
 
     part = docs.select(F.substring(F.col("text").cast("string"), 1, sample_chars).alias("text")).where("text <> ''")
-    picked = part.withColumn("_h", F.xxhash64("text")).orderBy("_h", "text").limit(sample_docs).collect()
+    space, total = 1 << 30, docs.count()
+    low = F.pmod(F.xxhash64("text"), F.lit(space)) < min(space, space * sample_docs // max(1, total))
+    picked = part.where(low).distinct().orderBy(F.xxhash64("text"), "text").collect()
     ids_of = tokens.load(tokenizer).ids
     end = np.asarray([end_id], "<u4").tobytes()
     samples = [serialized(ids_of(r["text"]) + end, width) for r in picked]
@@ -127,7 +129,8 @@ def write_corpus(
         put(folder, f"part-{k:05d}.idx", head + np.asarray([*index, (0, 0, before, 0, offset)], "<i8").tobytes(), attempt)
         yield pd.DataFrame([(k, len(index), before, f"part-{k:05d}")], columns=["part", "documents", "ids", "name"])
 
-    ranged = slim.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    # By id alone: Spark samples what it ranges by, and texts are large.
+    ranged = slim.repartitionByRange(parts, F.col("doc_id").asc_nulls_first())
     ordered = ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     as_text = ordered.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     wrote = as_text.mapInPandas(write, "part int, documents long, ids long, name string")
