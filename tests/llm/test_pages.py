@@ -139,6 +139,22 @@ def test_main_text_rules():
     assert html_extract.parse("a < b <i>c</i>") == [(1, "a < b c")]
 
 
+def test_marks_on_what_holds_the_article_say_nothing():
+    text = lambda p: " ".join(t for k, t in html_extract.parse(p) if k == html_extract.CONTENT)
+    article = "<article><p>the whole story</p></article>"
+    for p in (
+        f"<html><body class='single-post has-sidebar'>{article}</body></html>", f"<html class='no-js ad-free'><body class='search'>{article}", f"<body id=menu>{article}",
+        f"<div id='content' class='search-results'>{article}</div>", f"<div class='widget'><div class='overlay'>{article}</div></div>",
+        "<article class='post share related'><p>the whole story</p></article>", "<main class='search'><p>the whole story</p></main>", "<div class='modal'><main><p>the whole story",
+        "<div class='banner'><div role='main'><p>the whole story</div></div>", "<div class=search itemprop=articleBody>the whole story</div>",
+        "<article><div class='ad-free-zone'>the whole story</div></article>", f"<body class='has-sidebar'><div class='sidebar'><p>links</p></div>{article}<div class='related'><article>teaser</article></div>",
+        "<article><p>the whole story<div class='comments'><article>nice, nice, nice and nice again</article></div></article>", f"<nav><article>a long, long, long menu</article></nav>{article}",
+    ):
+        assert text(p) == "the whole story", p
+    deep = "<div class='widget'><b>" * 20_000
+    assert html_extract.parse(f"{deep}x{article}")[-1] == (html_extract.CONTENT, "the whole story")
+
+
 def test_runs_shared_by_pages_of_a_host_go(spark, none):
     menu, note = "home news sport weather travel money more about us", "all rights reserved by the owners of this very site"
     body = lambda i: " ".join(f"w{i}x{j}" for j in range(12))
