@@ -173,6 +173,19 @@ def test_runs_shared_by_pages_of_a_host_go(spark, none):
     assert html_extract.main_text(df).count() == len(rows) and html_extract.main_text(none).count() == 0
 
 
+def test_whole_copies_stay_and_articles_are_in_the_stream(spark):
+    menu, note = "home news sport weather travel money more about us", "all rights reserved by the owners of this very site"
+    body = lambda i: " ".join(f"w{i}x{j}" for j in range(12))
+    open_page = lambda i: f"<div>{menu}</div><p>{body(i)}</p>"
+    pages = {0: open_page(0), 1: open_page(0), 2: open_page(2), 3: f"<article><p>{body(3)}</p><p>{note}</p></article>", 4: f"<div>{body(4)}</div><p>{note}</p>",
+             5: f"<nav>{menu}</nav><article>{body(5)}</article>", 6: f"<p>{body(5)}</p>", 7: f"<nav>{menu}</nav><p>{body(5)}</p>"}
+    df = spark.createDataFrame([(i, f"http://a.com/{i}", h) for i, h in pages.items()], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.main_text(df).collect()}
+    assert got[0] == got[1] == body(0) and got[2] == body(2)  # two copies and a third page: the menu goes, the copies stay
+    assert got[3] == f"{body(3)} {note}" and got[4] == body(4)  # a run that an article of the host holds too
+    assert got[5] == got[6] == got[7] == body(5)  # a copy with other markup
+
+
 @pytest.fixture(scope="module")
 def vectors(spark):
     rng = np.random.default_rng(2)
