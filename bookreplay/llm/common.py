@@ -61,6 +61,11 @@ def parts_for(total: int, each: int, least: int = 1) -> int:
     return max(least, math.ceil(total / each))
 
 
+def row_key(docs: DataFrame) -> Column:
+    """A hash of doc_id and text, which tells rows apart whose ids are null or repeat."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't have."""
     taken = {c.lower() for c in df.columns}

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bookreplay.llm.common import cut, free_name
+from bookreplay.llm.common import cut, free_name, row_key
 
 #: Dimensions in each band of the grid.
 BANDS = (6, 6, 5, 5, 5, 5)
@@ -134,23 +134,29 @@ def _followed(roots: DataFrame) -> DataFrame:
     return roots.join(up, "root").select("node", F.col("above").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, radius: int = 3) -> DataFrame:
-    """doc_id, fingerprint (long), component_id: the smallest doc_id that links lead to.
+def rooted(docs: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
+    """The documents' doc_id, key (long, see row_key) and fingerprint; and fingerprint, first_id, root:
+    the fingerprints, each once, with the smallest fingerprint of their component.
 
-    Null and empty texts have fingerprint zero and link like any others; rows with a null doc_id are
-    returned and never name a component unless it has no other id. Equal fingerprints become one node
-    before any pair is made, so a large group of copies costs one node. An empty table gives no rows."""
-    marked = cut(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), "fingerprints")
+    Equal fingerprints become one node before any pair is made, so a large group of copies costs one node."""
+    marked = cut(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs).alias("key"), "text")), "fingerprints")
     nodes = cut(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")), "nodes")
     found = cut(links(nodes, radius), "links")
     if found.isEmpty():
-        named = nodes.select("fingerprint", F.col("first_id").alias("component_id"))
-    else:
-        roots = components(found)
-        owned = nodes.join(roots, nodes["fingerprint"] == roots["node"], "left")
-        owned = cut(owned.select("fingerprint", "first_id", F.coalesce("root", "fingerprint").alias("root")), "owned")
-        heads = owned.groupBy("root").agg(F.min("first_id").alias("component_id"))
-        named = owned.join(heads, "root").select("fingerprint", "component_id")
+        return marked, nodes.withColumn("root", F.col("fingerprint"))
+    roots = components(found)
+    owned = nodes.join(roots, nodes["fingerprint"] == roots["node"], "left")
+    return marked, cut(owned.select("fingerprint", "first_id", F.coalesce("root", "fingerprint").alias("root")), "owned")
+
+
+def near_duplicates(docs: DataFrame, radius: int = 3) -> DataFrame:
+    """doc_id, fingerprint (long), component_id: the smallest doc_id that links lead to.
+
+    Null and empty texts have fingerprint zero and link like any others; rows with a null doc_id are
+    returned and never name a component unless it has no other id. An empty table gives no rows."""
+    marked, owned = rooted(docs, radius)
+    heads = owned.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    named = owned.join(heads, "root").select("fingerprint", "component_id")
     # A fingerprint that a third of all documents share has one row on the right; its left rows split.
     return marked.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
@@ -160,10 +166,16 @@ def as_hex(fp: Column) -> Column:
 
 
 def keep_one(docs: DataFrame, radius: int = 3) -> DataFrame:
-    """The documents without near-duplicates: of each component the rows of its smallest doc_id, one
-    of them where that id repeats. Documents with null ids stay only if nothing else is like them."""
-    found = near_duplicates(docs, radius)
-    own = free_name(docs, "_id")
-    heads = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(own)).distinct()
-    kept = docs.join(heads, F.col("doc_id").eqNullSafe(F.col(own)), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """The documents without near-duplicates: of each component one row, that with the smallest doc_id
+    (null last) and, where rows of that id differ in text, the smallest hash of both.
+
+    Ids may be null or repeat: a row is kept or not for what its own text is like."""
+    marked, owned = rooted(docs, radius)
+    # Rows of a fingerprint first, so that a large group of copies is summed up where it stands.
+    least = marked.groupBy("fingerprint").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("head"))
+    heads = least.join(owned, "fingerprint").groupBy("root").agg(F.min("head").alias("head"))
+    own, key, of = (free_name(docs, n) for n in ("_id", "_head_key", "_key"))
+    heads = heads.select(F.col("head.doc_id").alias(own), F.col("head.key").alias(key))
+    keyed = docs.withColumn(of, row_key(docs))
+    kept = keyed.join(heads, (F.col(of) == F.col(key)) & F.col("doc_id").cast("long").eqNullSafe(F.col(own)), "left_semi")
+    return kept.dropDuplicates(["doc_id", of]).drop(of)

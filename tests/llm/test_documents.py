@@ -138,6 +138,23 @@ def test_fingerprints_and_components(spark, docs, none):
     assert kept.columns == docs.columns and len({r.doc_id for r in kept.collect()}) == kept.count()
 
 
+def test_keep_one_keeps_a_row_of_each_component(spark):
+    text = lambda k: " ".join(f"{zlib.crc32(f'{k} {i}'.encode()):x}" for i in range(40))
+    rows = [(None, text(k)) for k in range(6)] + [(None, text(0)), (1, text(10)), (1, text(11)), (1, text(11)), (2, text(11)), (3, text(5)), (4, text(12)), (None, text(12))]
+    df = spark.createDataFrame([(i, t, "clash", "clash") for i, t in rows], "doc_id long, text string, _id string, key string").repartition(3)
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns
+    want = [(None, text(k)) for k in range(5)] + [(3, text(5)), (1, text(10)), (1, text(11)), (4, text(12))]
+    assert collections.Counter((r.doc_id, r.text) for r in kept.collect()) == collections.Counter(want)
+
+
+def test_mixing_places_rows_of_one_id_apart(spark):
+    df = spark.createDataFrame([(None if k % 2 else 7, f"w{k} w w", "one") for k in range(600)], "doc_id long, text string, source string").repartition(3)
+    got = mixing.mix(df, budget=0.5, most=1.0).collect()
+    assert abs(sum(r.taken for r in got) - 900) <= 6 and {r.taken for r in got} == {0, 3}
+    assert mixing.mixed_documents(df, budget=0.5, most=1.0).count() == sum(r.copies for r in got)
+
+
 def test_links_and_components_by_brute_force(spark):
     rng = np.random.default_rng(3)
     seeds = rng.integers(0, 1 << 63, 40, dtype="u8")
