@@ -231,13 +231,13 @@ def slow_base(t):
 
 def test_labels_set_the_quality_threshold(spark):
     rng = np.random.default_rng(7)
-    common, rare = [f"w{i}" for i in range(300)], [f"v{i}" for i in range(300)]
+    common, rare = [f"w{i}" for i in range(20)], [f"v{i}" for i in range(20)]
     text = lambda share: " ".join(str(rng.choice(rare if rng.random() < share else common)) for _ in range(80))
-    rows = [(i, text(0 if i % 4 else 0.08), i % 4) for i in range(800)]
+    rows = [(i, text(0 if i % 4 else 0.05), i % 4) for i in range(800)]
     df = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").repartition(3)
     labels = spark.createDataFrame([(i, int(k > 0), 0) for i, _, k in rows if i < 600], "doc_id long, quality int, toxic int")
     got = {r.doc_id: r for r in quality.judge(df, labels).collect()}
-    assert sum(got[i].score >= quality.THRESHOLD for i, _, k in rows if not k) > 180  # the fixed threshold keeps most of the bad ones
+    assert sum(got[i].score >= quality.THRESHOLD for i, _, k in rows if not k) > 100  # the fixed threshold keeps most of the bad ones
     kept = lambda ids: sum(got[i].kept for i in ids) / len(ids)
     for new in (False, True):  # labelled or not
         assert kept([i for i, _, k in rows if k and (i >= 600) == new]) > 0.9 and kept([i for i, _, k in rows if not k and (i >= 600) == new]) < 0.1
