@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +44,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def slices(batches: Iterator, *names: str, rows: int = 500) -> Iterator[list[list]]:
+    """The named columns of Arrow batches as Python values, ``rows`` rows at a time, so that a worker
+    holds few texts at once beside the batch itself."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            part = b.slice(lo, rows)
+            yield [part.column(n).to_pylist() for n in names]
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, UPPER.lower())
 

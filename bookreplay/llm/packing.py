@@ -12,12 +12,11 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bookreplay.llm import tokens
-from bookreplay.llm.common import cut
+from bookreplay.llm.common import cut, slices
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -28,12 +27,17 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id:
     ``keep_ids`` adds the ids themselves (array of int). Repeated rows give repeated pieces."""
     end = np.asarray([end_id], "<u4").tobytes()
 
-    def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = [c.split()[0] for c in PIECES.split(", ")] + (["ids"] if keep_ids else [])
+
+    def cut_up(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
         ids_of = tokens.load(tokenizer).ids
-        for batch in batches:
+        for doc_id, text in slices(batches, "doc_id", "text"):
             rows: list[tuple] = []
-            for doc, text in zip(batch["doc_id"], batch["text"]):
-                ids = ids_of(text) + end
+            for doc, t in zip(doc_id, text):
+                ids = ids_of(t) + end
                 n = len(ids) // 4
                 at, until = 0, (n - 1) % size + 1
                 piece = 0
@@ -42,13 +46,10 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id:
                     row = (doc, piece, at, until - at, zlib.crc32(part))
                     rows.append((*row, np.frombuffer(part, "<u4").astype("i4")) if keep_ids else row)
                     at, until, piece = until, until + size, piece + 1
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=columns)
 
-    # Nullable ids travel as text so that pandas never turns them into floats.
-    slim = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInPandas(cut_up, PIECES + (", ids array<int>" if keep_ids else ""))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return slim.mapInArrow(cut_up, PIECES + (", ids array<int>" if keep_ids else ""))
 
 
 def plan(counts: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:
@@ -157,7 +158,7 @@ def pack(pieces: DataFrame, size: int = 2048) -> DataFrame:
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     dealt = places(plan(counts, size))
     schema = "length long, _first long, _until long, _sequence long, offset long"
-    where = F.broadcast(spark.createDataFrame(pd.DataFrame(dealt, columns=["length", "_first", "_until", "_sequence", "offset"]), schema))
+    where = F.broadcast(spark.createDataFrame(dealt, schema))
     inside = (F.col("nth") >= F.col("_first")) & (F.col("nth") < F.col("_until"))
     joined = numbered(pieces).join(where, "length").where(inside)
     return joined.withColumn("sequence_id", F.col("_sequence") + F.col("nth") - F.col("_first")).select(*pieces.columns, "sequence_id", "offset")

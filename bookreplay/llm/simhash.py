@@ -16,7 +16,6 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,7 +73,7 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            marks = [signed(fingerprint(t)) for t in b.column("_text").to_pylist()]
+            marks = [signed(fingerprint(text.as_py())) for text in b.column("_text")]
             cols = [b.column(c) for c in names] + [pa.array(marks, pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, names=[*names, "fingerprint"])
 

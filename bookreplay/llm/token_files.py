@@ -21,13 +21,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bookreplay.llm import tokens
-from bookreplay.llm.common import fresh_dir, parts_for, text_bytes
+from bookreplay.llm.common import fresh_dir, parts_for, slices, text_bytes
 
 RECORD = 5
 
@@ -102,7 +101,8 @@ def write_corpus(
     parts = parts_for(text_bytes(slim, "text"), part_bytes)
     end = np.asarray([end_id], "<u4").tobytes()
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator) -> Iterator:
+        import pyarrow as pa
         from pyspark import TaskContext
 
         ids_of = tokens.load(tokenizer).ids
@@ -112,13 +112,12 @@ def write_corpus(
         to, at = opened(folder)
         index, before, offset = [], 0, 0
         with to.open_output_stream(f"{at}/_part-{k:05d}.ids.{attempt}", compression=None) as out:
-            for batch in batches:
-                for doc, text in zip(batch["doc_id"], batch["text"]):
+            for doc_id, texts in slices(batches, "doc_id", "text"):
+                for doc, text in zip(doc_id, texts):
                     ids = ids_of(text) + end
                     frame = squeeze(serialized(ids, width))
                     out.write(frame)
-                    null = doc is None
-                    index.append((0 if null else int(doc), int(null), before, len(ids) // 4, offset))
+                    index.append((doc or 0, int(doc is None), before, len(ids) // 4, offset))
                     before += len(ids) // 4
                     offset += len(frame)
         if not index:
@@ -127,13 +126,12 @@ def write_corpus(
         to.move(f"{at}/_part-{k:05d}.ids.{attempt}", f"{at}/part-{k:05d}.ids")
         head = json.dumps({"dictionary": digest, "width": width, "documents": len(index), "ids": before}).encode() + b"\n"
         put(folder, f"part-{k:05d}.idx", head + np.asarray([*index, (0, 0, before, 0, offset)], "<i8").tobytes(), attempt)
-        yield pd.DataFrame([(k, len(index), before, f"part-{k:05d}")], columns=["part", "documents", "ids", "name"])
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([len(index)]), pa.array([before]), pa.array([f"part-{k:05d}"])], names=["part", "documents", "ids", "name"])
 
     # By id alone: Spark samples what it ranges by, and texts are large.
     ranged = slim.repartitionByRange(parts, F.col("doc_id").asc_nulls_first())
     ordered = ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    as_text = ordered.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    wrote = as_text.mapInPandas(write, "part int, documents long, ids long, name string")
+    wrote = ordered.mapInArrow(write, "part int, documents long, ids long, name string")
     wrote.write.parquet(f"{folder}/_parts")
     done = spark.read.schema(wrote.schema).parquet(f"{folder}/_parts")
     # One row per part: a few MB of text each, so this window is over a small table.
@@ -162,28 +160,31 @@ def read_corpus(spark, folder: str, keep_ids: bool = False) -> DataFrame:
 
     manifest = spark.read.parquet(f"{folder}/manifest")
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for start, name in zip(batch["start"], batch["name"]):
+    columns = ["doc_id", "start", "n_tokens", "ids_crc32"] + (["ids"] if keep_ids else [])
+
+    def read(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        kinds = [*[pa.int64()] * 4, pa.list_(pa.int32())]
+        for starts, names in slices(batches, "start", "name"):
+            for start, name in zip(starts, names):
                 head, index = _index(folder, name)
                 shared = _dictionary(folder, head["dictionary"])
                 held = zstandard.ZstdCompressionDict(shared) if shared else None
                 unpack = zstandard.ZstdDecompressor(dict_data=held).decompress
                 fs, base = opened(folder)
                 with fs.open_input_stream(f"{base}/{name}.ids", compression=None) as f:
-                    for lo in range(0, len(index) - 1, 2000):
+                    for lo in range(0, len(index) - 1, 1000):
                         rows = []
-                        for i in range(lo, min(lo + 2000, len(index) - 1)):
+                        for i in range(lo, min(lo + 1000, len(index) - 1)):
                             doc, null, before, n, at = index[i].tolist()
                             ids = widened(unpack(f.read(int(index[i + 1][4]) - at)), head["width"])
                             row = (None if null else doc, start + before, len(ids), zlib.crc32(ids.tobytes()))
                             rows.append((*row, ids.astype("i4")) if keep_ids else row)
-                        out = pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32", *(["ids"] if keep_ids else [])])
-                        out["doc_id"] = out["doc_id"].astype("Int64")
-                        yield out
+                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=columns)
 
     parts = manifest.select("part", "start", "name").repartition(max(1, manifest.count()), "part").select("start", "name")
-    return parts.mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if keep_ids else ""))
+    return parts.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if keep_ids else ""))
 
 
 def read_document(folder: str, name: str, nth: int) -> np.ndarray:

@@ -2,7 +2,7 @@
 
 Both tokenizer files used here pre-split a text into pieces that never reach across a space, so a
 text's ids are those of its chunks in a row. Natural text repeats its chunks, and each worker keeps
-those it has met. A text whose spaces stand beside other white space goes through the tokenizer as
+those it met lately, in a bounded number of bytes. A text whose spaces stand beside other white space goes through the tokenizer as
 a whole, as does a chunk outside Latin script: the cache never decides a result.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import unicodedata
 from array import array
+from collections.abc import Callable
 
 import numpy as np
 import regex
@@ -22,7 +23,9 @@ SPACED_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s
 DROPPED_SPACE_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 LATIN_END = "ɐ"
-MIXED_SPACE = regex.compile(r"\s (?=\s|\S)| \s").search
+SPACE_FIRST, SPACE_LAST, ENDS_IN_SPACE = (regex.compile(p).search for p in (r"\A\s", r"\s\Z", r"\A\s|\s\Z"))
+#: Bytes of a cache entry besides its characters and ids, about.
+ENTRY = 190
 STOPS = frozenset(".,;:!?")
 
 
@@ -34,34 +37,57 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-class TokenIds(dict):
-    """chunk (behind a space, where that counts) -> its ids as little-endian unsigned 32-bit integers; filled on demand."""
+class Recent(dict):
+    """What ``make`` gave for the keys met lately: two generations of about ``room`` bytes each. When
+    the newer is full it becomes the older one, whose values move up when they are met again."""
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, make: Callable[[str], bytes], room: int):
         super().__init__()
+        self.make, self.room = make, room
+        self.held, self.older = 0, {}
+
+    def __missing__(self, key: str) -> bytes:
+        got = self.older.get(key)
+        if got is None:
+            got = self.make(key)
+        cost = ENTRY + len(key) + len(got)
+        if cost > self.room >> 6:
+            return got
+        if self.held + cost > self.room:
+            self.older = dict(self)
+            self.clear()
+            self.held = 0
+        self[key] = got
+        self.held += cost
+        return got
+
+
+class Mixed(Exception):
+    """A chunk with white space at its end: what is beside its space belongs to a longer piece."""
+
+
+class TokenIds:
+    """Ids of texts as little-endian unsigned 32-bit integers. ``room``: bytes for the chunks of each
+    of their two generations; their pieces have half of it."""
+
+    def __init__(self, path: str, room: int = 24 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.limit = limit
         self.letters = _byte_letters()
-        self.pieces: dict[str, bytes] = {}
         self.spaced = self.tokenizer.normalizer is None
+        self.lead = " " if self.spaced else ""
         self.split = (SPACED_PIECES if self.spaced else DROPPED_SPACE_PIECES).findall
         self.special = regex.compile("|".join(regex.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)")
+        self.chunks, self.pieces = Recent(self._inner, room), Recent(self._piece, room >> 1)
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        got = self.pieces.get(piece)
-        if got is None:
-            spelled = piece.encode().decode("latin-1").translate(self.letters)
-            got = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
-            if len(self.pieces) >= self.limit:
-                self.pieces.clear()
-            self.pieces[piece] = got
-        return got
+        spelled = piece.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
     def _chunk(self, chunk: str, lead: str) -> bytes:
         """Ids of one chunk behind ``lead`` (a space or nothing)."""
@@ -70,28 +96,34 @@ class TokenIds(dict):
         if not self.spaced:
             chunk = unicodedata.normalize("NFC", chunk).lower()
         if chunk.isalpha():
-            return self._piece(lead + chunk)
+            return self.pieces[lead + chunk]
         if chunk[-1:] in STOPS and chunk[:-1].isalpha():
-            return self._piece(lead + chunk[:-1]) + self._piece(chunk[-1])
-        return b"".join(map(self._piece, self.split(lead + chunk)))
+            return self.pieces[lead + chunk[:-1]] + self.pieces[chunk[-1]]
+        return b"".join(map(self.pieces.__getitem__, self.split(lead + chunk)))
 
-    def __missing__(self, chunk: str) -> bytes:
-        got = self._chunk(chunk, " " if self.spaced else "")
-        if len(self) >= self.limit:
-            self.clear()
-        self[chunk] = got
-        return got
+    def _inner(self, chunk: str) -> bytes:
+        """Ids of a chunk between spaces."""
+        if self.spaced and (not chunk or ENDS_IN_SPACE(chunk)):
+            raise Mixed
+        return self._chunk(chunk, self.lead)
 
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
+        first, *rest = text.split(" ")
+        get = self.chunks.__getitem__
         if not self.spaced:
-            return b"".join(map(self.__getitem__, text.split(" ")))
-        # A space beside other white space belongs to a longer piece.
-        if MIXED_SPACE(text) or text[-1] == " ":
+            return get(first) + b"".join(map(get, rest))
+        if not rest:
+            return self._chunk(first, "")
+        # The text's own ends have no space beyond them.
+        last = rest.pop()
+        try:
+            if not last or SPACE_LAST(first) or SPACE_FIRST(last):
+                raise Mixed
+            return self._chunk(first, "") + b"".join(map(get, rest)) + (self._chunk(last, " ") if SPACE_LAST(last) else get(last))
+        except Mixed:
             return self.whole(text)
-        first, *rest = text.split(" ")
-        return self._chunk(first, "") + b"".join(map(self.__getitem__, rest))
 
 
 _LOADED: dict[str, TokenIds] = {}
