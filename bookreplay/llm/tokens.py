@@ -70,7 +70,7 @@ class TokenIds:
     """Ids of texts as little-endian unsigned 32-bit integers. ``room``: bytes for the chunks of each
     of their two generations; their pieces have half of it."""
 
-    def __init__(self, path: str, room: int = 24 << 20):
+    def __init__(self, path: str, room: int = 64 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -79,23 +79,29 @@ class TokenIds:
         self.spaced = self.tokenizer.normalizer is None
         self.lead = " " if self.spaced else ""
         self.split = (SPACED_PIECES if self.spaced else DROPPED_SPACE_PIECES).findall
-        self.special = regex.compile("|".join(regex.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)")
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special, self.worded = regex.compile("|".join(map(regex.escape, special)) or "(?!)"), any(map(str.isalpha, special))
         self.chunks, self.pieces = Recent(self._inner, room), Recent(self._piece, room >> 1)
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        spelled = piece.encode().decode("latin-1").translate(self.letters)
+        if piece.isascii() and piece.lstrip(" ").isalpha():  # these letters stand for themselves
+            spelled = piece.replace(" ", self.letters[32])
+        else:
+            spelled = piece.encode().decode("latin-1").translate(self.letters)
         return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
     def _chunk(self, chunk: str, lead: str) -> bytes:
         """Ids of one chunk behind ``lead`` (a space or nothing)."""
-        if chunk and (max(chunk) >= LATIN_END or self.special.search(chunk)):
+        plain = chunk.isascii()
+        word = chunk.isalpha()
+        if not (plain or not chunk or max(chunk) < LATIN_END) or (not word or self.worded) and self.special.search(chunk):
             return self.whole(lead + chunk)
         if not self.spaced:
-            chunk = unicodedata.normalize("NFC", chunk).lower()
-        if chunk.isalpha():
+            chunk = (chunk if plain else unicodedata.normalize("NFC", chunk)).lower()
+        if word and chunk.isalpha():
             return self.pieces[lead + chunk]
         if chunk[-1:] in STOPS and chunk[:-1].isalpha():
             return self.pieces[lead + chunk[:-1]] + self.pieces[chunk[-1]]
