@@ -1,14 +1,16 @@
-"""Token ids of whole texts by a public tokenizer, with a cache over space-separated chunks.
+"""Token ids of whole texts by a public tokenizer, with a bounded cache of the pieces met lately.
 
-Both tokenizer files used here pre-split a text into pieces that never reach across a space, so a
-text's ids are those of its chunks in a row. Natural text repeats its chunks, and each worker keeps
-those it met lately, in a bounded number of bytes. A text whose spaces stand beside other white space goes through the tokenizer as
-a whole, as does a chunk outside Latin script: the cache never decides a result.
+Both tokenizer files used here pre-split a text by a pattern and spell each piece by itself, so a text's
+ids are those of its pieces in a row. Text in Latin letters is split by that pattern written out for
+them; any other text is cut at its spaces, chunk by chunk, and a chunk outside Latin script goes
+through the tokenizer whole, as does a text whose spaces stand beside other white space or that holds a
+special token. Pieces are spelled by the tokenizer's own model; the cache never decides a result.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 from array import array
 from collections.abc import Callable
@@ -23,10 +25,14 @@ SPACED_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s
 DROPPED_SPACE_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 LATIN_END = "ɐ"
+#: Classes of the characters below LATIN_END and of the common punctuation beyond, which is neither.
+LETTERS, NUMBERS, SPACES = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾", "\\t-\\r \\x85\\xa0"
+NOT_LATIN = re.compile("[^\\0-ɏ‐-‧‰-⁞€™]").search
+SPACED_LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+").findall
+DROPPED_SPACE_LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+").findall
 SPACE_FIRST, SPACE_LAST, ENDS_IN_SPACE = (regex.compile(p).search for p in (r"\A\s", r"\s\Z", r"\A\s|\s\Z"))
 #: Bytes of a cache entry besides its characters and ids, about.
 ENTRY = 190
-STOPS = frozenset(".,;:!?")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -62,15 +68,11 @@ class Recent(dict):
         return got
 
 
-class Mixed(Exception):
-    """A chunk with white space at its end: what is beside its space belongs to a longer piece."""
-
-
 class TokenIds:
-    """Ids of texts as little-endian unsigned 32-bit integers. ``room``: bytes for the chunks of each
-    of their two generations; their pieces have half of it."""
+    """Ids of texts as little-endian unsigned 32-bit integers. ``room``: bytes for the pieces of each of
+    their two generations."""
 
-    def __init__(self, path: str, room: int = 64 << 20):
+    def __init__(self, path: str, room: int = 96 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -78,58 +80,50 @@ class TokenIds:
         self.letters = _byte_letters()
         self.spaced = self.tokenizer.normalizer is None
         self.lead = " " if self.spaced else ""
-        self.split = (SPACED_PIECES if self.spaced else DROPPED_SPACE_PIECES).findall
+        self.split, self.latin = (SPACED_PIECES.findall, SPACED_LATIN) if self.spaced else (DROPPED_SPACE_PIECES.findall, DROPPED_SPACE_LATIN)
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special, self.worded = regex.compile("|".join(map(regex.escape, special)) or "(?!)"), any(map(str.isalpha, special))
-        self.chunks, self.pieces = Recent(self._inner, room), Recent(self._piece, room >> 1)
+        self.special = regex.compile("|".join(map(regex.escape, special)) or "(?!)").search
+        self.pieces = Recent(self._piece, room)
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        if piece.isascii() and piece.lstrip(" ").isalpha():  # these letters stand for themselves
+        if piece.isascii() and piece.isprintable():  # all but the space stand for themselves
             spelled = piece.replace(" ", self.letters[32])
         else:
             spelled = piece.encode().decode("latin-1").translate(self.letters)
         return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
-    def _chunk(self, chunk: str, lead: str) -> bytes:
-        """Ids of one chunk behind ``lead`` (a space or nothing)."""
-        plain = chunk.isascii()
-        word = chunk.isalpha()
-        if not (plain or not chunk or max(chunk) < LATIN_END) or (not word or self.worded) and self.special.search(chunk):
-            return self.whole(lead + chunk)
-        if not self.spaced:
-            chunk = (chunk if plain else unicodedata.normalize("NFC", chunk)).lower()
-        if word and chunk.isalpha():
-            return self.pieces[lead + chunk]
-        if chunk[-1:] in STOPS and chunk[:-1].isalpha():
-            return self.pieces[lead + chunk[:-1]] + self.pieces[chunk[-1]]
-        return b"".join(map(self.pieces.__getitem__, self.split(lead + chunk)))
-
-    def _inner(self, chunk: str) -> bytes:
-        """Ids of a chunk between spaces."""
-        if self.spaced and (not chunk or ENDS_IN_SPACE(chunk)):
-            raise Mixed
-        return self._chunk(chunk, self.lead)
-
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if self.special(text):
+            return self.whole(text)
+        plain = text if self.spaced else text.lower()
+        if NOT_LATIN(plain):
+            return self._by_chunk(text)
+        return b"".join(map(self.pieces.__getitem__, self.latin(plain)))
+
+    def _by_chunk(self, text: str) -> bytes:
         first, *rest = text.split(" ")
-        get = self.chunks.__getitem__
         if not self.spaced:
-            return get(first) + b"".join(map(get, rest))
+            return b"".join(self._chunk(x, "") for x in (first, *rest))
         if not rest:
             return self._chunk(first, "")
         # The text's own ends have no space beyond them.
         last = rest.pop()
-        try:
-            if not last or SPACE_LAST(first) or SPACE_FIRST(last):
-                raise Mixed
-            return self._chunk(first, "") + b"".join(map(get, rest)) + (self._chunk(last, " ") if SPACE_LAST(last) else get(last))
-        except Mixed:
+        if not last or SPACE_LAST(first) or SPACE_FIRST(last) or not all(rest) or any(map(ENDS_IN_SPACE, rest)):
             return self.whole(text)
+        return self._chunk(first, "") + b"".join(self._chunk(x, " ") for x in (*rest, last))
+
+    def _chunk(self, chunk: str, lead: str) -> bytes:
+        """Ids of one chunk behind ``lead`` (a space or nothing)."""
+        if max(chunk, default="") >= LATIN_END:
+            return self.whole(lead + chunk)
+        if not self.spaced:
+            chunk = unicodedata.normalize("NFC", chunk).lower()
+        return b"".join(map(self.pieces.__getitem__, self.split(lead + chunk)))
 
 
 _LOADED: dict[str, TokenIds] = {}
