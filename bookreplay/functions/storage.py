@@ -3,14 +3,34 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a checkpoint in the session's shared folder (one of our own where the
-    session names none, as in tests)."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as spark.checkpoint.dir names it. Where it is unset, a
+    folder of our own on a local master; on a cluster there is no such folder, so that is an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if found.isDefined():
+            root = found.get()
+        elif spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        else:
+            root = "file://" + tempfile.mkdtemp(prefix="spark-")
+            spark.sparkContext.setCheckpointDir(root)
+    return root.rstrip("/")
+
+
+def fresh_dir(spark: SparkSession, name: str) -> str:
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """Written in the shared folder and read again: what follows starts from the files, as do retries
+    after lost executors."""
+    path = fresh_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,13 +7,16 @@ sequential fold becomes windows over levels and a join of intervals with arrival
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bookreplay.functions.columns import digest
 
 KEY = ["run", "condition_id", "token_id"]
 HANDLED = ["snapshot", "delta", "trade"]
+BOOK_OUTCOMES = ["applied_snapshot", "applied_delta"]
+#: Span lengths of top_of_book: up to 8^10 places.
+SPANS = 11
 ANOMALIES = ["delta_before_snapshot", "event_time_regression", "removal_of_absent_level", "scope_mismatch", "snapshot_disagrees"]
 
 
@@ -37,13 +40,21 @@ def dispatched(arrivals: DataFrame) -> DataFrame:
     return held.withColumn("applied", F.col("outcome").startswith("applied"))
 
 
+def off_scope(outcomes: DataFrame) -> Column:
+    """Whether a payload names another token or condition than its envelope; one that names none does not."""
+    off = F.lit(False)
+    for c in ("token_id", "condition_id"):
+        if f"payload_{c}" in outcomes.columns:
+            off = off | F.coalesce(F.col(f"payload_{c}") != F.col(c), F.lit(False))
+    return off
+
+
 def segmented(outcomes: DataFrame) -> DataFrame:
     """Applied book inputs (snapshots and deltas) with ``segment``: snapshots of the token so far. A
-    payload whose own scope differs from its envelope's (``payload_token_id``, where that column
-    exists) is refused: it stays out of the book and opens no segment. ``last_segment`` is the token's."""
-    own = outcomes.where(F.col("outcome").isin("applied_snapshot", "applied_delta"))
-    if "payload_token_id" in own.columns:
-        own = own.where(F.col("payload_token_id").isNull() | (F.col("payload_token_id") == F.col("token_id")))
+    payload whose own scope differs from its envelope's (``payload_token_id`` and
+    ``payload_condition_id``, where those columns exist) is refused: it stays out of the book and opens
+    no segment. ``last_segment`` is the token's."""
+    own = outcomes.where(F.col("outcome").isin(BOOK_OUTCOMES)).where(~off_scope(outcomes))
     snapshot = (F.col("outcome") == "applied_snapshot").cast("long")
     held = own.withColumn("segment", F.sum(snapshot).over(Window.partitionBy(*KEY).orderBy("seq")))
     return held.withColumn("last_segment", F.max("segment").over(Window.partitionBy(*KEY)))
@@ -73,26 +84,44 @@ def levels_as_of(inputs: DataFrame, writes: DataFrame, seq: int) -> DataFrame:
     return top.where("size > 0")
 
 
-def top_of_book(inputs: DataFrame, writes: DataFrame, bucket: int = 512) -> DataFrame:
+def top_of_book(inputs: DataFrame, writes: DataFrame) -> DataFrame:
     """Best prices, their sizes and level counts after every accepted input.
 
-    Equal keys and a range: a level counts where its interval holds the input's seq. Intervals are
-    cut at multiples of ``bucket`` so that a long segment is spread over its buckets."""
-    after = F.coalesce(F.col("until"), F.col("_end") + 1)
-    ends = inputs.groupBy(*KEY, "segment").agg(F.max("seq").alias("_end"))
-    held = writes.where("size > 0").join(ends, [*KEY, "segment"])
-    held = held.select(*KEY, "segment", "side", "price", "size", F.col("seq").alias("_from"), after.alias("_to"))
-    held = held.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("_from") / bucket), F.floor((F.col("_to") - 1) / bucket))))
-    asked = inputs.where("segment > 0").withColumn("_bucket", F.floor(F.col("seq") / bucket))
-    met = asked.join(held, [*KEY, "segment", "_bucket"], "left").where("_from is null or (seq >= _from and seq < _to)")
-    bid, ask = F.col("side") == "bid", F.col("side") == "ask"
-    best = met.groupBy(*KEY, "segment", "seq").agg(
-        F.max(F.when(bid, F.col("price"))).alias("best_bid"), F.min(F.when(ask, F.col("price"))).alias("best_ask"),
-        F.max_by(F.col("size"), F.when(bid, F.col("price"))).alias("bid_size"), F.min_by(F.col("size"), F.when(ask, F.col("price"))).alias("ask_size"),
-        F.count_if(bid).alias("bid_levels"), F.count_if(ask).alias("ask_levels"),
+    Places count from the start of the segment. A level's interval is cut into aligned spans of 1, 8, 64,
+    ... places, at most fourteen of each length; the levels of a span are summed up before any input is met, and an
+    input looks up the spans that hold its place, one of each length. So neither the depth of the book nor
+    the life of a level is multiplied by the inputs, and a long segment is spread over its spans."""
+    unit = [*KEY, "segment"]
+    ends = inputs.where("segment > 0").groupBy(*unit).agg(F.min("seq").alias("_start"), F.max("seq").alias("_end"))
+    held = writes.where("size > 0").join(ends, unit)
+    lo, hi = F.col("seq") - F.col("_start"), F.coalesce(F.col("until"), F.col("_end") + 1) - F.col("_start")
+    held = held.select(*unit, "side", "price", "size", lo.alias("_lo"), hi.alias("_hi")).withColumn("_span", F.explode(spans(F.col("_lo"), F.col("_hi"))))
+    bid, ask, level = F.col("side") == "bid", F.col("side") == "ask", F.struct("price", "size")
+    best = [F.max(F.when(bid, level)).alias("_b"), F.min(F.when(ask, level)).alias("_a"), F.count_if(bid).alias("_nb"), F.count_if(ask).alias("_na")]
+    held = held.groupBy(*unit, "_span").agg(*best)
+    asked = inputs.where("segment > 0").join(ends, unit).select(*unit, "seq", (F.col("seq") - F.col("_start")).alias("_at"), (F.col("_end") - F.col("_start")).alias("_n"))
+    ladder = F.array(*[F.when(F.col("_n") >= (1 << 3 * k) - 1, F.struct(F.lit(k).alias("k"), F.shiftright("_at", 3 * k).alias("place"))) for k in range(SPANS)])
+    asked = asked.select(*unit, "seq", F.explode(F.filter(ladder, lambda x: x.isNotNull())).alias("_span"))
+    met = asked.join(held, [*unit, "_span"], "left").groupBy(*unit, "seq").agg(F.max("_b").alias("_b"), F.min("_a").alias("_a"), F.sum("_nb").alias("_nb"), F.sum("_na").alias("_na"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
+    return met.select(
+        *unit, "seq", F.col("_b.price").alias("best_bid"), F.col("_a.price").alias("best_ask"), F.col("_b.size").alias("bid_size"), F.col("_a.size").alias("ask_size"),
+        zero("_nb").alias("bid_levels"), zero("_na").alias("ask_levels"),
     )
-    # An input whose segment has no level in its bucket still has a (empty) book.
-    return asked.select(*KEY, "segment", "seq").join(best, [*KEY, "segment", "seq"], "left").fillna(0, ["bid_levels", "ask_levels"])
+
+
+def spans(lo: Column, hi: Column) -> Column:
+    """[lo, hi) as aligned spans: (k, place) is [place * 8^k, (place + 1) * 8^k)."""
+    parts = []
+    between = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<bigint>"))
+    for k in range(SPANS):
+        step = F.lit(1 << 3 * k).cast("long")
+        a, b = F.floor((lo + step - 1) / step), F.floor(hi / step)
+        up, down = F.floor((lo + 8 * step - 1) / (8 * step)), F.floor(hi / (8 * step))
+        places = F.when(up < down, F.concat(between(a, up * 8), between(down * 8, b))).otherwise(between(a, b))
+        length = F.lit(k)
+        parts.append(F.transform(places, lambda p: F.struct(length.alias("k"), p.alias("place"))))
+    return F.flatten(F.array(*parts))
 
 
 def with_midpoint(top: DataFrame) -> DataFrame:
@@ -125,7 +154,9 @@ def last_trades(trades: DataFrame) -> DataFrame:
 
 
 def applied_trades(outcomes: DataFrame, trades: DataFrame) -> DataFrame:
-    return trades.join(outcomes.where("outcome = 'applied_auxiliary'").select("run", "seq"), ["run", "seq"])
+    """Trades of applied trade events and those that applied snapshots carry, whether or not the book
+    took the snapshot."""
+    return trades.join(outcomes.where("outcome in ('applied_auxiliary', 'applied_snapshot')").select("run", "seq"), ["run", "seq"])
 
 
 def last_seen(inputs: DataFrame) -> DataFrame:
@@ -164,29 +195,31 @@ def snapshot_divergence(inputs: DataFrame, writes: DataFrame) -> DataFrame:
 
 
 def scope_mismatches(outcomes: DataFrame) -> DataFrame:
-    off = outcomes.where("applied and outcome <> 'applied_auxiliary' and payload_token_id is not null and payload_token_id <> token_id")
+    off = outcomes.where(F.col("outcome").isin(BOOK_OUTCOMES)).where(off_scope(outcomes))
     return off.select(*KEY, "seq", F.lit("scope_mismatch").alias("anomaly"), F.lit(1).cast("long").alias("n"))
 
 
-def anomalies(inputs: DataFrame, writes: DataFrame) -> DataFrame:
-    parts = [delta_before_snapshot(inputs), absent_removals(writes), event_time_regressions(inputs), snapshot_divergence(inputs, writes).drop("levels")]
-    out = parts[0]
-    for p in parts[1:]:
+def anomalies(inputs: DataFrame, writes: DataFrame, outcomes: DataFrame) -> DataFrame:
+    parts = [delta_before_snapshot(inputs), absent_removals(writes), event_time_regressions(inputs), scope_mismatches(outcomes)]
+    out = snapshot_divergence(inputs, writes).drop("levels")
+    for p in parts:
         out = out.unionByName(p)
     return out
 
 
-def anomaly_counts(found: DataFrame, inputs: DataFrame) -> DataFrame:
-    """A row per token and kind, zeros kept. Absent removals count levels, the others inputs."""
+def anomaly_counts(found: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """A row per kind and token with a book input, taken or not, zeros kept. Absent removals count levels, the others inputs."""
     kinds = F.explode(F.array(*[F.lit(k) for k in ANOMALIES])).alias("anomaly")
     n = F.sum(F.when(F.col("anomaly") == "removal_of_absent_level", F.col("n")).otherwise(1)).alias("count")
     counts = found.groupBy(*KEY, "anomaly").agg(n)
-    return inputs.select(*KEY).distinct().select(*KEY, kinds).join(counts, [*KEY, "anomaly"], "left").fillna(0, ["count"])
+    return outcomes.where(F.col("outcome").isin(BOOK_OUTCOMES)).select(*KEY).distinct().select(*KEY, kinds).join(counts, [*KEY, "anomaly"], "left").fillna(0, ["count"])
 
 
-def applied_counts(inputs: DataFrame) -> DataFrame:
-    return inputs.groupBy(*KEY).agg(
-        F.count_if(F.col("outcome") == "applied_snapshot").alias("snapshots"), F.count_if((F.col("outcome") == "applied_delta") & (F.col("segment") > 0)).alias("deltas"),
+def applied_counts(inputs: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Per token: snapshots and deltas that the book took, and inputs it refused."""
+    off = outcomes.where(F.col("outcome").isin(BOOK_OUTCOMES)).where(off_scope(outcomes)).select(*KEY, "outcome", F.lit(0).cast("long").alias("segment"))
+    return inputs.select(*KEY, "outcome", "segment").unionByName(off).groupBy(*KEY).agg(
+        F.count_if((F.col("outcome") == "applied_snapshot") & (F.col("segment") > 0)).alias("snapshots"), F.count_if((F.col("outcome") == "applied_delta") & (F.col("segment") > 0)).alias("deltas"),
         F.count_if(F.col("segment") == 0).alias("refused"),
     )
 
@@ -197,11 +230,16 @@ def book_digests(levels: DataFrame) -> DataFrame:
     return levels.groupBy(*KEY).agg(F.array_join(F.array_sort(F.collect_list(line)), "|").alias("_all")).select(*KEY, digest(F.lit("book.v1"), F.col("_all")).alias("book_digest"))
 
 
-def state_hashes(digests: DataFrame) -> DataFrame:
-    """A hash of all books of a run."""
-    line = F.concat_ws(":", F.col("condition_id").cast("string"), F.col("token_id").cast("string"), "book_digest")
-    held = digests.groupBy("run").agg(F.array_join(F.array_sort(F.collect_list(line)), "|").alias("_all"), F.count(F.lit(1)).alias("books"))
-    return held.select("run", "books", digest(F.lit("state.v1"), F.col("_all")).alias("state_hash"))
+def state_hashes(digests: DataFrame, groups: int = 64) -> DataFrame:
+    """A hash of all books of a run: the books fall into ``groups`` by their condition's and token's hash,
+    each group is hashed by itself, and the run's hash is that of its groups' in order."""
+    name = F.concat_ws(":", F.col("condition_id").cast("string"), F.col("token_id").cast("string"))
+    group = F.conv(F.substring(F.sha2(name, 256), 1, 8), 16, 10).cast("long") % groups
+    held = digests.select("run", group.alias("_g"), F.concat_ws(":", name, "book_digest").alias("_line")).groupBy("run", "_g").agg(
+        F.sha2(F.array_join(F.array_sort(F.collect_list("_line")), "|"), 256).alias("_h"), F.count(F.lit(1)).alias("_n"))
+    line = F.concat_ws(":", F.col("_g").cast("string"), "_h")
+    held = held.groupBy("run").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_g", line.alias("line")))), lambda x: x["line"]), "|").alias("_all"), F.sum("_n").alias("books"))
+    return held.select("run", "books", digest(F.lit("state.v2"), F.col("_all")).alias("state_hash"))
 
 
 def level_differences(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -12,43 +12,43 @@ METHODS = ["midpoint", "last_trade", "displayed_price", "persistence"]
 WIDE_SPREAD = "0.10"
 
 
-def information_changes(outcomes: DataFrame, inputs: DataFrame, writes: DataFrame, divergence: DataFrame) -> DataFrame:
+def information_changes(outcomes: DataFrame, inputs: DataFrame, writes: DataFrame, divergence: DataFrame, trades: DataFrame) -> DataFrame:
     """Applied arrivals of seeded tokens with ``segment`` and ``changed``.
 
     A delta changes the state where a level gets another size than it had (nothing and zero are
-    alike); a snapshot where it is the first or disagrees with the book; a trade always, since its
-    identity is part of the state. The first arrival after seeding counts as a change too."""
+    alike); a snapshot where it is the first or disagrees with the book; whatever carries a trade always,
+    since its identity is part of the state. The first arrival after seeding counts as a change too."""
     moved = writes.where("outcome = 'applied_delta'").where(~F.coalesce("before", F.lit(0)).eqNullSafe(F.col("size")))
     moved = moved.select("run", "seq").distinct().withColumn("_moved", F.lit(True))
     differs = divergence.select("run", "seq").distinct().withColumn("_differs", F.lit(True))
     segments = inputs.select("run", "seq", "segment")
     held = outcomes.where("applied").join(segments, ["run", "seq"], "left")
     seen = F.last("segment", ignorenulls=True).over(Window.partitionBy(*KEY).orderBy("seq"))
-    held = held.withColumn("segment", F.coalesce(seen, F.lit(0))).join(moved, ["run", "seq"], "left").join(differs, ["run", "seq"], "left")
+    sold = trades.select("run", "seq").distinct().withColumn("_sold", F.lit(True))
+    held = held.withColumn("segment", F.coalesce(seen, F.lit(0)))
+    for marks in (moved, differs, sold):
+        held = held.join(marks, ["run", "seq"], "left")
     first = F.row_number().over(Window.partitionBy(*KEY, F.col("segment") > 0).orderBy("seq")) == 1
     changed = (
-        F.when(F.col("segment") == 0, False).when(F.col("outcome") == "applied_auxiliary", True).when(first, True)
+        F.when(F.col("segment") == 0, False).when((F.col("outcome") == "applied_auxiliary") | F.col("_sold"), True).when(first, True)
         .when(F.col("outcome") == "applied_snapshot", F.coalesce("_differs", F.lit(False))).otherwise(F.coalesce("_moved", F.lit(False)))
     )
-    return held.withColumn("changed", changed).drop("_moved", "_differs")
+    return held.withColumn("changed", changed).drop("_moved", "_differs", "_sold")
 
 
 def states(changes: DataFrame, top: DataFrame, trades: DataFrame) -> DataFrame:
-    """The quote after every applied arrival of a seeded token: book columns as of the last book
-    input, the last trade, and the event time of the book beside that of the trigger."""
+    """The quote after every applied arrival of a seeded token: book columns as of the last input that
+    the book took, the last trade (one before the first snapshot counts), and the event time of the book
+    beside that of the trigger."""
     book = ["best_bid", "best_ask", "bid_size", "ask_size", "bid_levels", "ask_levels", "midpoint", "spread"]
-    held = changes.where("segment > 0").join(top.select("run", "seq", *book), ["run", "seq"], "left")
+    held = changes.join(top.select("run", "seq", *book), ["run", "seq"], "left")
     sold = trades.select("run", "seq", F.col("price").alias("_trade"))
     held = held.join(sold, ["run", "seq"], "left")
     w = Window.partitionBy(*KEY).orderBy("seq")
-    is_book = F.col("outcome") != "applied_auxiliary"
-    last = F.last(F.when(is_book, F.struct(*book, F.col("event_time").alias("book_event_time"))), ignorenulls=True).over(w)
-    held = held.withColumn("_book", last).drop(*book)
-    return held.select("*", "_book.*").withColumn("last_trade", F.last("_trade", ignorenulls=True).over(w)).drop("_book", "_trade")
-
-
-def all_trades(changes: DataFrame, trades: DataFrame) -> DataFrame:
-    return trades.join(changes.where("outcome = 'applied_auxiliary'").select("run", "seq"), ["run", "seq"], "left_semi")
+    taken = F.col("bid_levels").isNotNull()
+    last = F.last(F.when(taken, F.struct(*book, F.col("event_time").alias("book_event_time"))), ignorenulls=True).over(w)
+    held = held.withColumn("_book", last).withColumn("last_trade", F.last("_trade", ignorenulls=True).over(w)).drop(*book)
+    return held.where("segment > 0").select("*", "_book.*").drop("_book", "_trade")
 
 
 def emitted(states_: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bookreplay.functions.columns import micros
+from bookreplay.functions.windows import running
 
 OUTCOMES = ["applied_snapshot", "applied_delta", "applied_auxiliary", "skipped_duplicate", "unhandled_payload", "unscoped"]
 
@@ -13,9 +14,9 @@ OUTCOMES = ["applied_snapshot", "applied_delta", "applied_auxiliary", "skipped_d
 def with_lateness(outcomes: DataFrame, allowed_seconds: int = 0) -> DataFrame:
     """Adds ``watermark`` and ``lateness`` (on_time, late, undatable). The watermark is the highest
     event time of the run's earlier applied rows less the allowance; equal to it is on time."""
-    earlier = Window.partitionBy("run").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    high = F.max(F.when(F.col("applied"), F.col("event_time"))).over(earlier)
-    held = outcomes.withColumn("watermark", high - F.make_interval(secs=F.lit(allowed_seconds)) if allowed_seconds else high)
+    held = running(outcomes, {"watermark": ("max", F.when(F.col("applied"), F.col("event_time")))})
+    if allowed_seconds:
+        held = held.withColumn("watermark", F.col("watermark") - F.make_interval(secs=F.lit(allowed_seconds)))
     late = F.coalesce(F.col("event_time") < F.col("watermark"), F.lit(False))
     return held.withColumn("lateness", F.when(F.col("event_time").isNull(), "undatable").when(late, "late").otherwise("on_time"))
 
@@ -28,15 +29,15 @@ def dispatch_counts(marked: DataFrame) -> DataFrame:
 
 
 def sequence_gaps(arrivals: DataFrame) -> DataFrame:
-    gap = F.greatest(F.col("seq") - F.lag("seq").over(Window.partitionBy("run").orderBy("seq")) - 1, F.lit(0))
-    return arrivals.withColumn("_gap", F.coalesce(gap, F.lit(0))).groupBy("run").agg(F.sum("_gap").alias("sequence_gaps"))
+    """Numbers between a run's first and last that no arrival has: the sum of seq - previous - 1."""
+    used = arrivals.select("run", "seq").distinct().groupBy("run").agg(F.min("seq").alias("_lo"), F.max("seq").alias("_hi"), F.count(F.lit(1)).alias("_n"))
+    return used.select("run", (F.col("_hi") - F.col("_lo") + 1 - F.col("_n")).alias("sequence_gaps"))
 
 
 def receive_regressions(arrivals: DataFrame) -> DataFrame:
     """Arrivals, rejected ones included, received before the highest receive time so far."""
-    earlier = Window.partitionBy("run").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    back = F.coalesce(F.col("received_time") < F.max("received_time").over(earlier), F.lit(False))
-    return arrivals.withColumn("_back", back).groupBy("run").agg(F.count_if(F.col("_back")).alias("received_time_regressions"))
+    held = running(arrivals.select("run", "seq", "received_time"), {"_high": ("max", F.col("received_time"))})
+    return held.groupBy("run").agg(F.count_if(F.coalesce(F.col("received_time") < F.col("_high"), F.lit(False))).alias("received_time_regressions"))
 
 
 def run_counts(arrivals: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -65,13 +66,11 @@ def replay_summary(counts: DataFrame, gaps: DataFrame, regressions: DataFrame, d
 def bounded_prefix(frames: DataFrame, max_seconds: int, max_frames: int, max_bytes: int) -> DataFrame:
     """Frames of each run with ``kept`` and ``stop_reason``: the first frame beyond the duration, the
     number of frames or the bytes is the boundary; it and what follows are not kept."""
-    w = Window.partitionBy("run").orderBy("frame_no")
-    start = F.first("received_time").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    seconds = micros(F.col("received_time"), start)
-    n, size = F.row_number().over(w), F.sum("byte_length").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    over = F.when(seconds > max_seconds * 1_000_000, "duration").when(n > max_frames, "frames").when(size > max_bytes, "bytes")
-    held = frames.withColumn("_over", over)
-    first = F.min(F.when(F.col("_over").isNotNull(), F.col("frame_no"))).over(Window.partitionBy("run"))
-    held = held.withColumn("_first", first)
+    held = running(frames, {"_start": ("min", F.struct("frame_no", "received_time")), "_n": ("sum", F.lit(1)), "_size": ("sum", F.col("byte_length"))}, order="frame_no", inclusive=True)
+    seconds = micros(F.col("received_time"), F.col("_start.received_time"))
+    over = F.when(seconds > max_seconds * 1_000_000, "duration").when(F.col("_n") > max_frames, "frames").when(F.col("_size") > max_bytes, "bytes")
+    held = held.withColumn("_over", over).drop("_start", "_n", "_size")
+    stops = held.where("_over is not null").groupBy(F.col("run").alias("_run")).agg(F.min("frame_no").alias("_first"))
+    held = held.join(stops, F.col("run") == F.col("_run"), "left")
     kept = F.col("_first").isNull() | (F.col("frame_no") < F.col("_first"))
-    return held.withColumn("kept", kept).withColumn("stop_reason", F.when(F.col("frame_no") == F.col("_first"), F.col("_over"))).drop("_over", "_first")
+    return held.withColumn("kept", kept).withColumn("stop_reason", F.when(F.col("frame_no") == F.col("_first"), F.col("_over"))).drop("_over", "_first", "_run")

@@ -94,11 +94,14 @@ def duplicate_identities(markets: DataFrame, page: str) -> DataFrame:
 
 def matching_strata(candidates: DataFrame, strata: DataFrame) -> DataFrame:
     """``stratum_id``: the lowest stratum whose category and half-open bands hold the candidate, else
-    null. Strata are a few dozen rows of protocol, joined on the category."""
-    inside = lambda v, lo, hi: (F.col(v) >= F.col(lo)) & (F.col(hi).isNull() | (F.col(v) < F.col(hi)))
-    held = candidates.join(strata.withColumnRenamed("category", "_category"), F.col("category") == F.col("_category"), "left")
-    fits = inside("liquidity", "min_liquidity", "max_liquidity") & inside("spread", "min_spread", "max_spread") & inside("horizon_s", "min_horizon_s", "max_horizon_s")
-    return held.groupBy(*candidates.columns).agg(F.min(F.when(fits, F.col("stratum_id"))).alias("stratum_id"))
+    null. Every row keeps its own: strata are a few dozen rows of protocol, gathered per category into
+    one array that joins on the category."""
+    bands = ["min_liquidity", "max_liquidity", "min_spread", "max_spread", "min_horizon_s", "max_horizon_s"]
+    lists = strata.groupBy(F.col("category").alias("_category")).agg(F.array_sort(F.collect_list(F.struct("stratum_id", *bands))).alias("_strata"))
+    inside = lambda v, x, lo, hi: (F.col(v) >= x[lo]) & (x[hi].isNull() | (F.col(v) < x[hi]))
+    fits = F.filter("_strata", lambda x: inside("liquidity", x, *bands[:2]) & inside("spread", x, *bands[2:4]) & inside("horizon_s", x, *bands[4:]))
+    held = candidates.join(lists, F.col("category") == F.col("_category"), "left")
+    return held.withColumn("stratum_id", F.get(fits, 0)["stratum_id"]).drop("_category", "_strata")
 
 
 def overlapping_strata(strata: DataFrame) -> DataFrame:

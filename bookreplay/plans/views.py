@@ -1,6 +1,8 @@
 """The operators' inputs, derived from the driver's tables, and the same views as SQL.
 
-Disorder, duplicates, gaps and lateness are planted by the arithmetic of event ids.
+Disorder, duplicates, gaps and lateness are planted by the arithmetic of event ids; so are payloads of
+kinds that no handler takes and payloads of another token than their envelope's. Every fourth run is
+clean: nothing is lost or delivered twice.
 """
 
 from __future__ import annotations
@@ -21,7 +23,8 @@ def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     once, again = e.withColumn("copy", F.lit(0)).withColumn("akey", F.col("event_id")), e.where("event_id % 17 = 0").withColumn("copy", F.lit(1)).withColumn("akey", F.col("event_id") + 5)
     run = F.floor(F.col("event_id") / RUN_ROWS)
     seq = F.row_number().over(Window.partitionBy("run").orderBy("akey", "copy", "event_id")).cast("long")
-    return once.unionByName(again).withColumn("run", run).withColumn("seq", seq).where("event_id % 53 <> 0")
+    held = once.unionByName(again).withColumn("run", run).where("run % 4 <> 0 or copy = 0")
+    return held.withColumn("seq", seq).where("event_id % 53 <> 0 or run % 4 = 0")
 
 
 def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +33,8 @@ def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select(
         "run", "seq", F.when(e % 31 == 0, "rejection").otherwise("delivery").alias("kind"), F.sha2(e.cast("string"), 256).alias("observation_id"),
         F.floor(F.col("user_id") / 2).alias("condition_id"), F.when(e % 41 != 0, F.col("user_id")).alias("token_id"),
-        F.when(F.col("event_type") == "signup", "snapshot").when(F.col("event_type") == "purchase", "trade").otherwise("delta").alias("payload_type"),
+        F.when((e % 61 == 0) & (F.col("run") % 4 != 0), "tick_size_change").when(F.col("event_type") == "signup", "snapshot").when(F.col("event_type") == "purchase", "trade").otherwise("delta").alias("payload_type"),
+        F.when(e % 59 == 0, F.col("user_id") + 1).otherwise(F.col("user_id")).alias("payload_token_id"),
         F.when(e % 29 == 0, F.lit(None)).when(e % 13 == 0, F.col("ts") - F.expr("INTERVAL 3 HOURS")).otherwise(F.col("ts")).alias("event_time"),
         (F.col("ts") + F.expr("INTERVAL 1 SECOND") * (60 * F.col("copy"))).alias("received_time"),
         F.when(e % 31 == 0, F.element_at(F.array(F.lit("malformed_payload"), F.lit("unknown_event_type"), F.lit("invalid_timestamp")), (e % 3 + 1).cast("int"))).alias("reason"),
@@ -51,8 +55,10 @@ def level_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = numbered(spark, sf_dir).where("event_type = 'purchase' and event_id % 31 <> 0 and event_id % 41 <> 0")
-    return n.select("run", "seq", F.floor(F.col("user_id") / 2).alias("condition_id"), F.col("user_id").alias("token_id"), (F.col("k") / 100).cast("decimal(12,10)").alias("price"))
+    """Trade events, and the trades that every third snapshot carries."""
+    n = numbered(spark, sf_dir).where("(event_type = 'purchase' or event_type = 'signup' and event_id % 3 = 0) and event_id % 31 <> 0 and event_id % 41 <> 0")
+    price = F.when(F.col("event_type") == "signup", F.col("k") * 7 % 100).otherwise(F.col("k")) / 100
+    return n.select("run", "seq", F.floor(F.col("user_id") / 2).alias("condition_id"), F.col("user_id").alias("token_id"), price.cast("decimal(12,10)").alias("price"))
 
 
 def resolutions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,15 +115,16 @@ def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = {
     "numbered": """src AS (SELECT event_id, ts, user_id, event_type, value, CAST(regexp_extract(props, '(\\d+)', 1) AS BIGINT) AS k FROM events),
 del AS (SELECT *, 0 AS copy, event_id AS akey FROM src UNION ALL SELECT *, 1, event_id + 5 FROM src WHERE event_id % 17 = 0),
-numbered AS (SELECT * FROM (SELECT *, event_id // 2500 AS run, row_number() OVER (PARTITION BY event_id // 2500 ORDER BY akey, copy, event_id) AS seq FROM del) WHERE event_id % 53 <> 0)""",
+numbered AS (SELECT * FROM (SELECT *, event_id // 2500 AS run, row_number() OVER (PARTITION BY event_id // 2500 ORDER BY akey, copy, event_id) AS seq FROM del WHERE (event_id // 2500) % 4 <> 0 OR copy = 0) WHERE event_id % 53 <> 0 OR run % 4 = 0)""",
     "arrivals": """arrivals AS (SELECT run, seq, CASE WHEN event_id % 31 = 0 THEN 'rejection' ELSE 'delivery' END AS kind, sha256(CAST(event_id AS VARCHAR)) AS observation_id,
  user_id // 2 AS condition_id, CASE WHEN event_id % 41 <> 0 THEN user_id END AS token_id,
- CASE event_type WHEN 'signup' THEN 'snapshot' WHEN 'purchase' THEN 'trade' ELSE 'delta' END AS payload_type,
+ CASE WHEN event_id % 61 = 0 AND run % 4 <> 0 THEN 'tick_size_change' WHEN event_type = 'signup' THEN 'snapshot' WHEN event_type = 'purchase' THEN 'trade' ELSE 'delta' END AS payload_type,
+ CASE WHEN event_id % 59 = 0 THEN user_id + 1 ELSE user_id END AS payload_token_id,
  CASE WHEN event_id % 29 = 0 THEN NULL WHEN event_id % 13 = 0 THEN ts - INTERVAL 3 HOUR ELSE ts END AS event_time,
  ts + to_seconds(60 * copy) AS received_time,
  CASE WHEN event_id % 31 = 0 THEN CASE event_id % 3 WHEN 0 THEN 'malformed_payload' WHEN 1 THEN 'unknown_event_type' ELSE 'invalid_timestamp' END END AS reason FROM numbered)""",
-    "dispatched": """able AS (SELECT *, kind = 'delivery' AND token_id IS NOT NULL AS ok FROM arrivals),
-outcomes AS (SELECT *, outcome LIKE 'applied%' AS applied FROM (SELECT *, CASE WHEN kind <> 'delivery' THEN 'rejected' WHEN token_id IS NULL THEN 'unscoped'
+    "dispatched": """able AS (SELECT *, kind = 'delivery' AND token_id IS NOT NULL AND payload_type <> 'tick_size_change' AS ok FROM arrivals),
+outcomes AS (SELECT *, outcome LIKE 'applied%' AS applied FROM (SELECT *, CASE WHEN kind <> 'delivery' THEN 'rejected' WHEN payload_type = 'tick_size_change' THEN 'unhandled_payload' WHEN token_id IS NULL THEN 'unscoped'
  WHEN row_number() OVER (PARTITION BY run, observation_id, ok ORDER BY seq) > 1 THEN 'skipped_duplicate'
  WHEN payload_type = 'snapshot' THEN 'applied_snapshot' WHEN payload_type = 'delta' THEN 'applied_delta' ELSE 'applied_auxiliary' END AS outcome FROM able))""",
     "level_ops": """one AS (SELECT * FROM numbered WHERE event_id % 31 <> 0 AND event_id % 41 <> 0 AND event_type <> 'purchase'),
@@ -128,12 +135,13 @@ level_ops AS (SELECT run, seq, user_id // 2 AS condition_id, user_id AS token_id
   CAST((k % 20) / 100.0 + CASE WHEN event_id % 2 = 0 THEN 0.20 ELSE 0.45 END AS DECIMAL(12,10)), CASE event_type WHEN 'error' THEN 0 ELSE CAST(value AS DECIMAL(28,10)) END
  FROM one WHERE event_type <> 'signup')""",
     "segments": """inputs AS (SELECT *, sum(CASE WHEN outcome = 'applied_snapshot' THEN 1 ELSE 0 END) OVER (PARTITION BY run, token_id ORDER BY seq) AS segment
- FROM outcomes WHERE outcome IN ('applied_snapshot', 'applied_delta')),
+ FROM outcomes WHERE outcome IN ('applied_snapshot', 'applied_delta') AND payload_token_id = token_id),
 writes AS (SELECT l.*, i.segment, i.outcome, lag(l.size) OVER w AS before, lead(l.seq) OVER w AS until FROM level_ops l JOIN inputs i USING (run, token_id, seq) WHERE i.segment > 0
  WINDOW w AS (PARTITION BY l.run, l.token_id, i.segment, l.side, l.price ORDER BY l.seq))""",
     "final": """last_segment AS (SELECT run, token_id, max(segment) AS segment FROM writes GROUP BY ALL),
 final_levels AS (SELECT w.run, w.condition_id, w.token_id, w.side, w.price, w.size FROM writes w JOIN last_segment USING (run, token_id, segment) WHERE w.until IS NULL AND w.size > 0)""",
-    "trades": """trades AS (SELECT t.run, t.seq, t.user_id AS token_id, CAST(t.k / 100.0 AS DECIMAL(12,10)) AS price FROM numbered t JOIN outcomes o USING (run, seq) WHERE o.outcome = 'applied_auxiliary')""",
+    "trades": """trades AS (SELECT t.run, t.seq, t.user_id AS token_id, CAST(CASE WHEN t.event_type = 'signup' THEN t.k * 7 % 100 ELSE t.k END / 100.0 AS DECIMAL(12,10)) AS price FROM numbered t JOIN outcomes o USING (run, seq)
+ WHERE o.outcome = 'applied_auxiliary' OR (o.outcome = 'applied_snapshot' AND t.event_id % 3 = 0))""",
     "late": """marked AS (SELECT *, CASE WHEN event_time IS NULL THEN 'undatable' WHEN event_time < high THEN 'late' ELSE 'on_time' END AS lateness FROM
  (SELECT *, max(CASE WHEN applied THEN event_time END) OVER (PARTITION BY run ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high FROM outcomes))""",
     "top": """spans AS (SELECT w.run, w.token_id, w.segment, w.side, w.price, w.size, w.seq AS lo, coalesce(w.until, 1000000000) AS hi FROM writes w WHERE w.size > 0),

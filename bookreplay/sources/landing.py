@@ -24,7 +24,7 @@ def _measured(df: DataFrame) -> DataFrame:
 
 def bodies(spark: SparkSession, path: str) -> DataFrame:
     """Whole JSON documents, one per file: book polls, market pages, settlement payloads."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     return whole.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("retrieved_at"), F.col("value").alias("raw"))
 
 

@@ -33,7 +33,7 @@ class BookProcessor(StatefulProcessor):
         todo = pd.concat(list(rows)).sort_values("seq")
         seq, seeded = self.last.get() if self.last.exists() else (-1, False)
         book = {k: float(v[0]) for k, v in self.levels.iterator()}
-        out = []
+        out, top = [], self._top(book)
         for r in todo.itertuples(index=False):
             if r.seq <= seq:
                 status = "out_of_order"
@@ -51,7 +51,8 @@ class BookProcessor(StatefulProcessor):
                     status = "delta_before_snapshot"
                 if seeded and r.payload_type in ("snapshot", "delta"):
                     self._apply(() if r.levels is None else r.levels, book)
-            out.append((*key, int(r.seq), status, *self._top(book)))
+                    top = self._top(book)
+            out.append((*key, int(r.seq), status, *top))
         self.last.update((int(seq), bool(seeded)))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
 
@@ -93,16 +94,20 @@ def replay_stream(rows: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     )
 
 
-def merge_levels(known: DataFrame, batch: DataFrame) -> DataFrame:
+def merge_levels(known: DataFrame, batch: DataFrame, resets: DataFrame) -> DataFrame:
     """The same books without Python state: the per-level last-write table after one more batch.
 
     ``known``: run, condition_id, token_id, side, price, size, seq, reset_seq (the token's last snapshot).
-    ``batch`` has the level writes of the batch (op: snapshot, set or remove). The merge is associative:
-    a later snapshot replaces what was before it, anything else overlays it."""
+    A row whose side is null stands for a snapshot alone, so that an empty book is known as one. ``batch``
+    has the level writes of the batch (kind: snapshot, set or remove); ``resets`` its snapshots (run,
+    condition_id, token_id, seq), those without levels too. The merge is associative: a later snapshot
+    replaces what was before it, anything else overlays it."""
     key = ["run", "condition_id", "token_id"]
-    fresh = batch.withColumn("size", F.when(F.col("kind") == "remove", F.lit(0).cast("decimal(28,10)")).otherwise(F.col("size")))
-    fresh = fresh.withColumn("reset_seq", F.when(F.col("kind") == "snapshot", F.col("seq")))
-    both = known.select(*key, "side", "price", "size", "seq", "reset_seq").unionByName(fresh.select(*key, "side", "price", "size", "seq", "reset_seq"))
-    resets = both.groupBy(*key).agg(F.max("reset_seq").alias("reset_seq"))
-    held = both.drop("reset_seq").join(resets, key).where("reset_seq is not null and seq >= reset_seq")
+    columns = [*key, "side", "price", "size", "seq", "reset_seq"]
+    fresh = batch.withColumn("size", F.when(F.col("kind") == "remove", F.lit(0).cast("decimal(28,10)")).otherwise(F.col("size"))).withColumn("reset_seq", F.lit(None).cast("long"))
+    none = lambda kind: F.lit(None).cast(kind)
+    marks = resets.select(*key, none("string").alias("side"), none("decimal(12,10)").alias("price"), none("decimal(28,10)").alias("size"), F.col("seq"), F.col("seq").alias("reset_seq"))
+    both = known.select(*columns).unionByName(fresh.select(*columns)).unionByName(marks)
+    last = both.groupBy(*key).agg(F.max("reset_seq").alias("reset_seq"))
+    held = both.drop("reset_seq").join(last, key).where("reset_seq is not null and seq >= reset_seq")
     return held.groupBy(*key, "side", "price").agg(F.max_by("size", "seq").alias("size"), F.max("seq").alias("seq"), F.max("reset_seq").alias("reset_seq"))

@@ -95,16 +95,23 @@ def test_outcomes_and_lateness(replay):
 
 def test_top_of_book_after_every_input(replay):
     (want, *_), _, _, _, inputs, writes = replay
-    for bucket in (512, 7):
-        got = {r.seq: (r.best_bid, r.best_ask, r.bid_levels, r.ask_levels) for r in book.top_of_book(inputs, writes, bucket).collect()}
-        assert got == {s: w[2] for s, w in want.items() if w[2]}
+    got = {r.seq: (r.best_bid, r.best_ask, r.bid_levels, r.ask_levels) for r in book.top_of_book(inputs, writes).collect()}
+    assert got == {s: w[2] for s, w in want.items() if w[2]}
+
+
+def test_spans_cover_an_interval_once(spark):
+    rng = random.Random(3)
+    pairs = [(a, a + rng.choice([0, 1, 7, 8, 9, 63, 64, 500, 5000])) for a in (0, 1, 5, 8, 64, 100, 511)]
+    for r in spark.createDataFrame(pairs, "lo long, hi long").withColumn("s", book.spans(F.col("lo"), F.col("hi"))).collect():
+        covered = [x for k, p in r.s for x in range(p * 8**k, (p + 1) * 8**k)]
+        assert sorted(covered) == list(range(r.lo, r.hi)) and len(r.s) <= 60
 
 
 def test_final_levels_and_anomalies(replay):
-    (_, books, absent, regress), _, _, _, inputs, writes = replay
+    (_, books, absent, regress), _, _, outcomes, inputs, writes = replay
     got = {(r.token_id, r.side, r.price): r.size for r in book.final_levels(writes).collect()}
     assert got == {(t, *k): v for t, b in books.items() for k, v in b.items()}
-    found = {r.anomaly: r.n for r in book.anomalies(inputs, writes).groupBy("anomaly").agg(F.sum("n").alias("n")).collect()}
+    found = {r.anomaly: r.n for r in book.anomalies(inputs, writes, outcomes).groupBy("anomaly").agg(F.sum("n").alias("n")).collect()}
     assert found.get("removal_of_absent_level", 0) == absent and found.get("event_time_regression", 0) == regress
 
 
@@ -119,8 +126,11 @@ def test_merge_of_last_writes_gives_the_same_books(spark, replay):
     _, _, o, _, inputs, writes = replay
     accepted = o.join(inputs.where("segment > 0").select("run", "seq"), ["run", "seq"], "left_semi")
     known = accepted.limit(0).withColumn("reset_seq", F.lit(None).cast("long"))
+    resets = inputs.where("outcome = 'applied_snapshot'")
     for lo, hi in ((0, 90), (90, 250), (250, 10**6)):
-        known = spark.createDataFrame(book_stream.merge_levels(known, accepted.where(f"seq >= {lo} and seq < {hi}")).collect(), book_stream.merge_levels(known, accepted).schema)
+        part = f"seq >= {lo} and seq < {hi}"
+        known = book_stream.merge_levels(known, accepted.where(part), resets.where(part))
+        known = spark.createDataFrame(known.collect(), known.schema)
     again = known.where("size > 0").select("run", "condition_id", "token_id", "side", "price", "size")
     assert book.level_differences(book.final_levels(writes), again).count() == 0
 
@@ -140,6 +150,50 @@ def test_stream_gives_the_batch_tops(spark, replay, tmp_path):
         assert (got[s].bid_levels, got[s].ask_levels) == (bids, asks) and got[s].best_bid == (float(bid) if bid is not None else None)
 
 
+def test_merge_keeps_an_empty_snapshot(spark):
+    D = Decimal
+    ops = spark.createDataFrame([(1, 1, 0, 1, "snapshot", "bid", D("0.1"), D(1)), (1, 3, 0, 1, "set", "ask", D("0.2"), D(2))], OPS)
+    resets = spark.createDataFrame([(1, 1, 0, 1), (1, 2, 0, 1)], "run long, seq long, condition_id long, token_id long")
+    known = ops.limit(0).withColumn("reset_seq", F.lit(None).cast("long"))
+    for part in ("seq = 1", "seq = 2", "seq = 3"):
+        known = book_stream.merge_levels(known, ops.where(part), resets.where(part))
+        known = spark.createDataFrame(known.collect(), known.schema)
+    assert [(r.side, r.price, r.size) for r in known.where("size > 0").collect()] == [("ask", D("0.2"), D(2))]
+
+
+def test_running_values_by_blocks(spark):
+    from bookreplay.functions.windows import running
+
+    rng = random.Random(8)
+    data = [(r, s, rng.randrange(100) if rng.random() < 0.7 else None) for r in (1, 2) for s in range(1, 60) if rng.random() < 0.8]
+    df = spark.createDataFrame(data, "run long, seq long, x long")
+    for inclusive in (False, True):
+        got = running(df, {"hi": ("max", F.col("x")), "lo": ("min", F.col("x")), "all": ("sum", F.col("x"))}, inclusive=inclusive, block=7).collect()
+        assert len(got) == len(data)
+        for r in got:
+            own = [x for a, s, x in data if a == r.run and (s <= r.seq if inclusive else s < r.seq) and x is not None]
+            assert (r.hi, r.lo, r.all) == ((max(own), min(own), sum(own)) if own else (None, None, None))
+
+
+def test_snapshots_carry_trades_and_refused_ones_leave_the_book(spark):
+    """A snapshot's own trade is a change of state; a payload of another token counts as a mismatch."""
+    D = Decimal
+    rows = [(1, s, "delivery", f"o{s}", 0, 1, kind, T0 + timedelta(seconds=s), T0, None) for s, kind in ((1, "trade"), (2, "snapshot"), (3, "snapshot"), (4, "snapshot"), (5, "delta"))]
+    a = spark.createDataFrame(rows, ARRIVAL).withColumn("payload_token_id", F.when(F.col("seq") == 4, 9).otherwise(1))
+    ops = spark.createDataFrame([(1, s, 0, 1, "snapshot", "bid", D("0.1"), D(1)) for s in (2, 3, 4)] + [(1, 5, 0, 1, "set", "bid", D("0.1"), D(1))], OPS)
+    outcomes = book.dispatched(a)
+    inputs = book.segmented(outcomes)
+    writes = book.level_writes(inputs, ops)
+    trades = book.applied_trades(outcomes, spark.createDataFrame([(1, 1, 0, 1, D("0.3")), (1, 3, 0, 1, D("0.4")), (1, 4, 0, 1, D("0.5"))], "run long, seq long, condition_id long, token_id long, price decimal(12,10)"))
+    changes = forecast.information_changes(outcomes, inputs, writes, book.snapshot_divergence(inputs, writes), trades)
+    assert {r.seq: r.changed for r in changes.collect()} == {1: False, 2: True, 3: True, 4: True, 5: False}
+    states = {r.seq: (r.last_trade, r.bid_levels, r.book_event_time) for r in forecast.states(changes, book.with_midpoint(book.top_of_book(inputs, writes)), trades).collect()}
+    assert states == {s: (D(p), 1, T0 + timedelta(seconds=b)) for s, p, b in ((2, "0.3", 2), (3, "0.4", 3), (4, "0.5", 3), (5, "0.5", 5))}
+    counts = {r.anomaly: r["count"] for r in book.anomaly_counts(book.anomalies(inputs, writes, outcomes), outcomes).collect()}
+    assert counts["scope_mismatch"] == 1 and sum(counts.values()) == 1
+    assert [tuple(r)[3:] for r in book.applied_counts(inputs, outcomes).collect()] == [(2, 1, 1)]
+
+
 def test_scope_mismatch_is_refused(spark):
     a = spark.createDataFrame([(1, 1, "delivery", "a", 0, 1, "snapshot", T0, T0, None), (1, 2, "delivery", "b", 0, 1, "snapshot", T0, T0, None)], ARRIVAL).withColumn("payload_token_id", F.when(F.col("seq") == 2, 9).otherwise(1))
     outcomes = book.dispatched(a)
