@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bookreplay.functions.storage import fresh_dir, stored  # noqa: F401
+
 #: The word of the contracts: a run of anything but space and \t \n \v \f \r.
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -19,29 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if found.isDefined():
-            root = found.get()
-        else:
-            root = "file://" + tempfile.mkdtemp(prefix="spark-")
-            spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write a table in the shared folder and read it again: later stages, and retries after lost
-    executors, start from the files rather than from the lineage."""
-    path = fresh_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Lineage is cut by tables in the folder that driver and executors share.
+cut = stored
 
 
 def slices(batches: Iterator, *names: str, rows: int = 500) -> Iterator[list[list]]:

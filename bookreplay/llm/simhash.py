@@ -168,7 +168,9 @@ def keep_one(docs: DataFrame, radius: int = 3) -> DataFrame:
     """The documents without near-duplicates: of each component one row, that with the smallest doc_id
     (null last) and, where rows of that id differ in text, the smallest hash of both.
 
-    Ids may be null or repeat: a row is kept or not for what its own text is like."""
+    Ids may be null or repeat: a row is kept or not for what its own text is like. Null and empty texts are
+    alike; equal rows of one id and text are one. An empty table stays empty; columns are kept as they are,
+    whatever their names."""
     marked, owned = rooted(docs, radius)
     # Rows of a fingerprint first, so that a large group of copies is summed up where it stands.
     least = marked.groupBy("fingerprint").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("head"))
