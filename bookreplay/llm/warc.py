@@ -185,16 +185,22 @@ def order_of(line: bytes) -> tuple[bytes, bytes, bytes]:
     return key, at, rest
 
 
-def boundaries(pages: DataFrame, ranges: int, total: int, sample: int = 10_000) -> list[tuple[bytes, bytes]]:
-    """Where the key ranges end, from about ``sample`` of the ``total`` rows, however many there are:
-    those whose hash of page and url is low enough. They only balance the merge: any boundaries give
-    the same order."""
+def boundaries(pages: DataFrame, ranges: int, total: int, each: int = 8, least: int = 10_000) -> list[tuple[bytes, bytes]]:
+    """Where the key ranges end, from about ``each`` sampled rows for every range, ``least`` at any rate:
+    those whose hash of page and url is low enough. They only balance the merge: any boundaries give the
+    same order. Where there are no more different keys than ranges, every key ends one. The driver holds
+    ``each`` keys for a range, that is one row in thousands."""
     space = 1 << 30
-    low = F.pmod(F.xxhash64("page_id", "url"), F.lit(space)) < min(space, space * sample // max(1, total))
+    low = F.pmod(F.xxhash64("page_id", "url"), F.lit(space)) < min(space, space * max(each * ranges, least) // max(1, total))
     few = pages.select("page_id", "url").where(low).distinct().collect()
     stamp = lambda i: (EPOCH + timedelta(seconds=i or 0) if abs(i or 0) < 1 << 32 else EPOCH).strftime("%Y%m%d%H%M%S")
     keys = sorted({(url_key(r["url"]).encode(), stamp(r["page_id"]).encode()) for r in few})
-    return [keys[len(keys) * k // ranges] for k in range(1, ranges)] if len(keys) > ranges else []
+    return cut_points(keys, ranges)
+
+
+def cut_points(keys: list, ranges: int) -> list:
+    """Boundaries of ``ranges`` ranges of about as many keys each; all keys if there are fewer."""
+    return [keys[len(keys) * k // ranges] for k in range(1, ranges)] if len(keys) >= ranges else keys
 
 
 def index_archives(archives: DataFrame, folder: str, bounds: list[tuple[bytes, bytes]]) -> DataFrame:
@@ -353,7 +359,12 @@ def _frame(rows: list[dict]) -> pd.DataFrame:
 
 def capture_histories(pages: DataFrame, entries_each: int = 20_000, fan_in: int = 64, level: int = 2) -> DataFrame:
     """Write archives, read them back, and merge their indexes: an entry for every row of ``pages``, with
-    its ``position`` (from 0) in the order of URL key, timestamp and the entry's line."""
+    its ``position`` (from 0) in the order of URL key, timestamp and the entry's line.
+
+    Null urls and ids keep their rows (key ``-``, EPOCH); a null html is an empty payload. Captures with equal
+    key and time fall in the order of their lines, so reruns over the same archives agree. Repeated rows have an
+    entry each. Very long payloads are held one at a time. An empty table gives no rows; other columns
+    are not carried."""
     folder = fresh_dir(pages.sparkSession, "warc")
     archives = write_archives(pages, folder, level)
     total = int(archives.agg(F.sum("records")).first()[0] or 0)
