@@ -76,6 +76,7 @@ class Forest:
         found, scores = np.empty(0, "i8"), np.empty(0)
         left = len(seen) - int(seen.sum())
         reach = np.sqrt((vector**2).sum()) * self.largest
+        slack = 1e-12 * len(vector) * reach  # what another order of summation may change
         trees = len(self.tree)
         # Down to the longest prefix that some tree holds, by halving; then up, a bit at a time.
         short, long = 0, BITS
@@ -96,14 +97,16 @@ class Forest:
                     found, scores = np.concatenate([found, rows]), np.concatenate([scores, self.vectors[rows] @ vector])
                     if len(found) > k:
                         least = np.partition(scores, -k)[-k]
-                        near = scores >= least
+                        near = scores >= least - slack
                         found, scores = found[near], scores[near]
             if not left:
                 break
             if len(found) >= k:
-                same = 1 - np.arccos(np.clip(scores.min() / reach, -1, 1)) / np.pi
+                same = 1 - np.arccos(np.clip(np.partition(scores, -k)[-k] / reach, -1, 1)) / np.pi
                 if (1 - same**depth) ** trees <= miss:
                     break
+        # Batches sum in orders of their own; the finalists are scored again, all in one order.
+        scores = (self.vectors[found] * vector).sum(axis=1)
         first = np.lexsort((self.ids[found], -scores))[:k]
         return self.ids[found[first]], scores[first]
 
@@ -118,15 +121,18 @@ def usable(rows: DataFrame, vec_id: str, embedding: str) -> DataFrame:
 
 
 def nearest(
-    rows: DataFrame, every: int = 20, k: int = 20, trees: int = 48, miss: float = 0.05, shard_rows: int = 16_384, queries_each: int = 4096, seed: int = 7,
+    rows: DataFrame, every: int = 20, k: int = 20, trees: int = 48, miss: float = 0.05, shard_rows: int = 16_384, queries_each: int = 1024, seed: int = 7,
     vec_id: str = "vec_id", embedding: str = "embedding",
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest rows found for each row whose id is divisible by
     ``every``, best first, ties to the smaller id.
 
     Rows with the query's id are its own and not candidates. Repeated ids are one row where their
-    vectors are equal. Vectors meet those of their own length only. Queries are blocks of
-    ``queries_each``, and each block meets each shard once, so a task holds a shard and a block."""
+    vectors are equal; a repeated id with several vectors is a candidate with each, and as a query is
+    ranked over all of its vectors' candidates. Vectors meet those of their own length only. Rows with a
+    null id, and vectors that are null, zero or hold a null or non-finite component, take no part. An empty
+    table gives no rows; other columns are not carried. Queries are blocks of ``queries_each``, and each
+    block meets each shard once, so a task holds a shard and a block: work grows with queries times rows."""
     held = cut(usable(rows, vec_id, embedding).distinct(), "vectors")
     n = held.count()
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-n // (every * queries_each)))
@@ -148,6 +154,7 @@ def nearest(
         return pd.concat(out)[names]
 
     keys = ["dims", "shard", "block"]
-    met = data.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, score double")
+    tasks = shards * blocks
+    met = data.repartition(tasks, *keys).groupBy(*keys).cogroup(asked.repartition(tasks, *keys).groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
