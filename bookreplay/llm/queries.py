@@ -13,13 +13,13 @@ from bookreplay.llm.common import table
 
 #: Fixed rules of the contract: verdict, host/path.
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
-#: Hosts whose pages make up the list of URLs, by the name under the registered domain.
-LISTED_HOSTS = "(^|\\.)(cheap-pills|free-bets|spam-farm|ads-track)\\."
+#: The list of URLs: canonical URLs of the table whose SHA-256 begins with this digit, one in sixteen.
+LISTED = "0"
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    listed = pages.where(url_filter.host_of(F.col("url")).rlike(LISTED_HOSTS)).select(url_filter.canonical(F.col("url")).alias("url"))
+    listed = pages.select(url_filter.canonical(F.col("url")).alias("url")).where(F.sha2("url", 256).startswith(LISTED))
     return url_filter.filter_urls(pages, listed, URL_RULES).drop("maybe")
 
 
@@ -76,7 +76,7 @@ ORACLES = {
     "op1_url_filter": f"""WITH {PARTS},
 kept AS (SELECT *, array_to_string(list_sort(list_filter(string_split(query, '&'), lambda q: q <> '' AND NOT regexp_matches(q, '^(utm_[a-z]*|ref|fbclid|gclid)='))), '&') AS params FROM parts),
 canon AS (SELECT *, regexp_replace(host, '^www\\.', '') || regexp_replace(path, '/+$', '') || CASE WHEN params <> '' THEN '?' || params ELSE '' END AS key FROM kept),
-listed AS (SELECT DISTINCT key FROM canon WHERE regexp_matches(host, '(^|\\.)(cheap-pills|free-bets|spam-farm|ads-track)\\.') AND key <> ''),
+listed AS (SELECT DISTINCT key FROM canon WHERE sha256(key) LIKE '0%' AND key <> ''),
 ruled AS (SELECT *, CASE WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/en/7%' THEN 'example.com/en/7' WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/de/8%' THEN 'example.net/de/8'
  WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/en/%' THEN 'com/en/' WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/de/%' THEN 'net/de/' WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/es/%' THEN 'org/es/' END AS rule,
  key IN (SELECT key FROM listed) AS is_listed FROM canon)

@@ -11,6 +11,8 @@ from bookreplay.llm.common import ascii_lower, cut
 BLOCK_BITS = 512
 #: The filter is broadcast up to this size, else joined by its block numbers.
 BROADCAST_BYTES = 16 << 20
+#: Beyond it, rows of one url are spread over so many places for the exact join.
+SALTS = 32
 
 
 def host_of(url: Column) -> Column:
@@ -35,7 +37,7 @@ def canonical(url: Column) -> Column:
 
 
 def rule_for(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
-    """The longest fitting rule. A rule is ``host/path``: it fits that host and its subdomains where
+    """The longest fitting rule; of equally long ones the last in code point order. A rule is ``host/path``: it fits that host and its subdomains where
     the path starts with its own. Rules are a parameter of a few hundred at most."""
     fits = F.lit(None).cast("string")
     for _, rule in sorted(rules, key=lambda r: (len(r[1]), r[1])):
@@ -78,7 +80,13 @@ def listed_urls(rows: DataFrame, listed: DataFrame, bits_per_key: int = 16) -> D
     probed = probed.drop("block", *[f"w{i}" for i in range(8)])
     # A url that a third of the rows share is one row here.
     verified = probed.where("maybe").select("url").distinct().join(keys, "url", "left_semi").withColumn("is_listed", F.lit(True))
-    hits = probed.where("maybe").join(verified, "url", "left").withColumn("is_listed", F.coalesce("is_listed", F.lit(False)))
+    hits = probed.where("maybe")
+    if small:
+        hits = hits.join(F.broadcast(verified), "url", "left")
+    else:  # and its rows meet it in as many places as there are salts
+        salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+        hits = hits.withColumn("salt", F.floor(F.rand(7) * SALTS).cast("int")).join(verified.select("*", salt), ["url", "salt"], "left").drop("salt")
+    hits = hits.withColumn("is_listed", F.coalesce("is_listed", F.lit(False)))
     return probed.where("not maybe").withColumn("is_listed", F.lit(False)).unionByName(hits)
 
 
@@ -87,7 +95,8 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str]
 
     ``listed`` has a column ``url`` of canonical URLs. The verdict is the rule's where one fits, else
     block for listed URLs and allow for the others. Null urls and urls without ``://`` have empty
-    parts and are allowed. Repeated rows are judged one by one; other columns are not carried."""
+    parts and are allowed. Repeated rows are judged one by one; other columns are not carried. An empty
+    table gives no rows, an empty list lists nothing. Urls of any length are read whole."""
     verdicts = {rule: verdict for verdict, rule in rules}
     u = F.col(url).cast("string")
     rows = pages.select("page_id", host_of(u).alias("host"), path_of(u).alias("path"), canonical(u).alias("url"))
