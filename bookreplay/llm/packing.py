@@ -52,56 +52,85 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id:
     return slim.mapInArrow(cut_up, PIECES + (", ids array<int>" if keep_ids else ""))
 
 
+class Sums:
+    """An index of the sums of one, two and three lengths at hand: ``pairs[s]`` holds the longer members of
+    the pairs with sum s, longest first, ``triples[s]`` the longest members of the triples. Lengths only
+    run out, so a combination that has lost a member is dropped for good when it is met."""
+
+    def __init__(self, left: list[int]):
+        self.left, self.size = left, len(left) - 1
+        have = np.flatnonzero(left)
+        self.pairs = self._longest([(a + have[have <= a], a) for a in have])
+        # A triple is its longest member and a pair whose longer member is no longer than that.
+        reach = np.full(self.size + 1, self.size + 1)
+        for s, longer in enumerate(self.pairs):
+            if longer:
+                reach[s] = longer[-1]  # the least longer member of a pair with this sum
+        two = np.arange(self.size + 1)
+        self.triples = self._longest([(a + two[reach <= a], a) for a in have])
+
+    def _longest(self, found: list[tuple[np.ndarray, int]]) -> list[list[int]]:
+        out: list[list[int]] = [[] for _ in range(self.size + 1)]
+        for sums, a in reversed(found):
+            for s in sums[sums <= self.size].tolist():
+                out[s].append(int(a))
+        return out
+
+    def free(self, v: int, used: dict[int, int]) -> int:
+        return self.left[v] - used.get(v, 0)
+
+    def pair(self, gap: int, used: dict[int, int], most: int) -> tuple[int, ...] | None:
+        """Two lengths with this sum, the longer as long as it can be but at most ``most``."""
+        lost = 0
+        for a in self.pairs[gap]:
+            b = gap - a
+            if not self.left[a] or not self.left[b]:
+                lost += 1
+            elif a <= most and self.free(b, used) > (a == b) and self.free(a, used) > 0:
+                return a, b
+        if lost > 8:
+            self.pairs[gap] = [a for a in self.pairs[gap] if self.left[a] and self.left[gap - a]]
+        return None
+
+    def exact(self, gap: int, used: dict[int, int]) -> tuple[int, ...] | None:
+        """One, else two, else three lengths at hand that fill the gap."""
+        if self.free(gap, used) > 0:
+            return (gap,)
+        if two := self.pair(gap, used, gap):
+            return two
+        lost = 0
+        for a in self.triples[gap]:
+            if not self.left[a]:
+                lost += 1
+            elif self.free(a, used) > 0 and (two := self.pair(gap - a, used | {a: used.get(a, 0) + 1}, a)):
+                return a, *two
+        if lost > 8:
+            self.triples[gap] = [a for a in self.triples[gap] if self.left[a]]
+        return None
+
+
 def plan(counts: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:
     """Patterns (lengths of the pieces in a sequence, longest first) and how many sequences take each.
 
     From the longest length down, the rest of a sequence is closed exactly where lengths at hand do
-    it: by one piece, else two, else three, found by their sums. Each combination is taken as often
+    it: by one piece, else two, else three, looked up by their sums. Each combination is taken as often
     as the counts allow. Where no exact close exists the largest piece that fits is added, and the
     exact close is tried again for what then remains."""
     left = [0] * (size + 1)
     for length, n in counts.items():
         left[length] += n
     have = [v for v in range(1, size + 1) if left[v]]  # ascending, kept exact
-
-    def drop(v: int) -> None:
-        have.pop(bisect_right(have, v) - 1)
-
-    def usable(v: int, used: dict[int, int]) -> bool:
-        return v > 0 and left[v] > used.get(v, 0)
-
-    def pair(gap: int, used: dict[int, int], most: int) -> tuple[int, ...] | None:
-        """Two lengths with this sum, the longer as long as it can be."""
-        k = bisect_right(have, min(gap - 1, most))
-        while k and 2 * (a := have[k - 1]) >= gap:
-            b = gap - a
-            if left[b] > used.get(b, 0) + (a == b) and left[a] > used.get(a, 0):
-                return a, b
-            k -= 1
-        return None
-
-    def exact(gap: int, used: dict[int, int]) -> tuple[int, ...] | None:
-        if usable(gap, used):
-            return (gap,)
-        if two := pair(gap, used, gap):
-            return two
-        k = bisect_right(have, gap - 2)
-        while k and 3 * (a := have[k - 1]) >= gap:
-            if usable(a, used) and (two := pair(gap - a, used | {a: used.get(a, 0) + 1}, a)):
-                return a, *two
-            k -= 1
-        return None
-
+    sums = Sums(left)
     patterns = []
     while have:
         top = have[-1]
         taken, used, gap = [top], {top: 1}, size - top
         while gap:
-            if close := exact(gap, used):
+            if close := sums.exact(gap, used):
                 taken += close
                 break
             k = bisect_right(have, gap)
-            while k and not usable(have[k - 1], used):
+            while k and not sums.free(have[k - 1], used):
                 k -= 1
             if not k:
                 break
@@ -114,7 +143,7 @@ def plan(counts: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]
         for v, n in need.items():
             left[v] -= n * times
             if not left[v]:
-                drop(v)
+                have.pop(bisect_right(have, v) - 1)
         patterns.append((tuple(taken), times))
     return patterns
 
@@ -134,13 +163,13 @@ def places(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int,
     return out
 
 
-def numbered(pieces: DataFrame, rows_each: int = 50_000) -> DataFrame:
+def numbered(pieces: DataFrame, rows_each: int = 10_000) -> DataFrame:
     """Adds ``nth``: 0, 1, ... among the pieces of the same length. Blocks of pieces are numbered
     apart and each block starts where the blocks before it end, so a length that most pieces share
     is spread over as many tasks as there are blocks."""
     n = pieces.count()
     blocks = max(1, -(-n // rows_each))
-    held = pieces.withColumn("_block", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks)).cast("int"))
+    held = pieces.withColumn("_block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(blocks)).cast("int"))
     per = held.groupBy("length", "_block").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("length").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     bases = per.select("length", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
