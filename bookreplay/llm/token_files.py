@@ -128,8 +128,8 @@ def write_corpus(
         put(folder, f"part-{k:05d}.idx", head + np.asarray([*index, (0, 0, before, 0, offset)], "<i8").tobytes(), attempt)
         yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([len(index)]), pa.array([before]), pa.array([f"part-{k:05d}"])], names=["part", "documents", "ids", "name"])
 
-    # By id alone: Spark samples what it ranges by, and texts are large.
-    ranged = slim.repartitionByRange(parts, F.col("doc_id").asc_nulls_first())
+    # Spark samples what it ranges by, and texts are large: rows of one id part by the texts' beginnings.
+    ranged = slim.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.substring("text", 1, 32).asc_nulls_first())
     ordered = ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     wrote = ordered.mapInArrow(write, "part int, documents long, ids long, name string")
     wrote.write.parquet(f"{folder}/_parts")
