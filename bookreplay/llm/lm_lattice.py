@@ -13,7 +13,8 @@ words and its end.
 Work is laid out so that nothing is gathered whole. Documents are read in chunks of a few MB; a chunk
 keeps its documents as word numbers and sends each word once to the word's bucket. A bucket counts
 its words over all chunks, later scores each of them once, and sends every chunk the numbers of its
-words alone. Chunks and buckets grow in number with the corpus, not in size.
+words alone. Chunks and buckets grow in number with the corpus; the words of a bucket stay as many, but a
+bucket with a very common word gets a row from every chunk.
 """
 
 from __future__ import annotations
@@ -22,7 +23,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -113,8 +113,8 @@ def bags(docs: DataFrame, class_column: str | None, chunk_chars: int, buckets: i
             ("sizes", pa.list_(pa.int32())), ("at", pa.list_(pa.int32())), ("n", pa.list_(pa.int32())), ("tokens", pa.int64()), ("ends", pa.list_(pa.int64())),
         ])
         for b in batches:
-            for doc_id, text, kind in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("kind").to_pylist()):
-                chunk.add(doc_id, text, kind)
+            for doc_id, text, kind in zip(b.column("doc_id"), b.column("text"), b.column("kind")):
+                chunk.add(doc_id.as_py(), text.as_py(), kind.as_py())
                 if chunk.size >= chunk_chars:
                     yield from out(chunk)
                     nth += 1
@@ -139,6 +139,7 @@ class Pieces:
         self.ids: dict[str, int] = {t[:k]: -1 for t in texts for k in range(1, len(t))}
         self.ids |= dict(zip(texts, usable))
         self.bytes = {i: m.piece_to_id(f"<0x{i:02X}>") for i in range(256)}
+        self.longest = max(map(len, texts))
 
     def spelled(self, word: str) -> list[int]:
         """A segmentation by single characters, for words that the tokenizer would alter."""
@@ -175,13 +176,18 @@ class Pieces:
         return np.concatenate(keys), np.concatenate(sums)
 
 
-def forward(words: list[str], pieces: Pieces, tables: np.ndarray, cells: int = 300_000) -> np.ndarray:
+def forward(words: list[str], pieces: Pieces, tables: np.ndarray, cells: int = 60_000) -> np.ndarray:
     """Log probability of each word in each class: (words, classes). tables: (classes, rest or not,
-    final or not, pieces) in log. Words go in batches of like lengths, of ``cells`` lattice nodes."""
+    final or not, pieces) in log. Words go in batches of like lengths, of ``cells`` lattice nodes; a word
+    longer than that goes alone, a character at a time."""
     out = np.empty((len(words), tables.shape[0]), "f4")
     order = sorted(range(len(words)), key=lambda i: len(words[i]))
     lo = 0
     while lo < len(order):
+        if len(words[order[lo]]) + 2 > cells:
+            out[order[lo]] = _forward_long(SPACE + words[order[lo]], pieces, tables)
+            lo += 1
+            continue
         hi = lo + 1
         while hi < len(order) and (hi + 1 - lo) * (len(words[order[hi]]) + 2) <= cells:
             hi += 1
@@ -231,6 +237,24 @@ def _forward(words: list[str], pieces: Pieces, tables: np.ndarray) -> np.ndarray
     return alpha[np.arange(len(words)), n]
 
 
+def _forward_long(s: str, pieces: Pieces, tables: np.ndarray) -> np.ndarray:
+    """The same for one word: only the last nodes that a piece can reach back to are held."""
+    get, width = pieces.ids.get, pieces.longest + 1
+    alpha = np.full((width, tables.shape[0]), -np.inf)
+    alpha[0] = 0
+    for j in range(1, len(s) + 1):
+        final, terms = int(j == len(s)), []
+        for i in range(max(0, j - pieces.longest), j):
+            p = get(s[i:j], -1)
+            if p >= 0:
+                terms.append(alpha[i % width] + tables[:, int(i > 0), final, p])
+        if get(s[j - 1], -1) < 0:
+            ids = [pieces.bytes[b] for b in s[j - 1].encode()]
+            terms.append(alpha[(j - 1) % width] + sum(tables[:, int(j > 1 or m > 0), int(final and m == len(ids) - 1), b] for m, b in enumerate(ids)))
+        alpha[j % width] = np.logaddexp.reduce(terms, axis=0) if terms else -np.inf
+    return alpha[len(s) % width]
+
+
 _PIECES: dict[str, Pieces] = {}
 
 
@@ -292,8 +316,8 @@ def counted(bagged: DataFrame, path: str) -> DataFrame:
     return bagged.where("bucket >= 0").select("chunk", "bucket", "words", "word_at", "word_class", "word_n").groupBy("bucket").applyInArrow(count, COUNTED)
 
 
-def score_tables(sums: pd.DataFrame, active: list[int], size: int, alpha: float) -> np.ndarray:
-    """Log scores (active classes, rest or not, final or not, pieces). Each (piece, final) pair of a
+def score_tables(sums, active: list[int], size: int, alpha: float) -> np.ndarray:
+    """Log scores (active classes, rest or not, final or not, pieces) from a pandas table of key and n. Each (piece, final) pair of a
     table has ``alpha`` counts to begin with, so every text has a probability."""
     dense = np.zeros(CLASSES * 4 * size)
     dense[sums["key"].to_numpy("i8")] = sums["n"].to_numpy("f8")
@@ -307,8 +331,9 @@ def lattice_scores(
     """A row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score
     (log10), learned from the documents that are not held out.
 
-    A null or empty text is its end alone. Repeated rows are counted and scored each. Without
-    training documents the scores are those of the uniform tables. An empty table gives no rows.
+    A null or empty text is its end alone; a null id is a training document. Repeated rows are counted and
+    scored each. Words of any length are spelled whole. Without training documents the scores are those of
+    the uniform tables. An empty table gives no rows; other columns are not carried, whatever their names.
     Only table entries reach the driver: four per piece and class, whatever the corpus."""
     spark = docs.sparkSession
     buckets = parts_for(text_bytes(docs, "text"), bucket_bytes)
