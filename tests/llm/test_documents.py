@@ -343,3 +343,89 @@ def test_lattice_model_beats_the_base_on_held_out_texts(spark):
         rows.append((i, " ".join(rng.choice(lex[k], 40)), k, "s", 0, "", "", "", "", 1))
     got = lm_lattice.lattice_scores(spark.createDataFrame(rows, SCHEMA), public_tokenizers.path("piece_bpe_32k.model")).where("held_out").collect()
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_caches_are_bounded_and_decide_nothing(name):
+    path = public_tokenizers.path(name)
+    plain, ours = Tokenizer.from_file(path), tokens.TokenIds(path, room=1 << 14)
+    rng = np.random.default_rng(4)
+    parts = [" ", "  ", "\n", "a", "Ab", "É", "ß", "İ", "日", "½", ".", ",'s", "’", "…", "\x1f", "\x85", "\xa0", "Ɓ", "œ", "<|endoftext|>", "\r\n", "-", "9"]
+    texts = ["".join(rng.choice(parts, rng.integers(1, 14))) for _ in range(3000)] + [" ".join(f"w{k}x{j}" for j in range(50)) for k in range(40)]
+    texts += [f"a {chr(c)} b{chr(c)}" for c in (*range(1, 0x250), *range(0x2000, 0x2100))]
+    for t in texts:
+        assert np.frombuffer(ours.ids(t), "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
+        assert ours.pieces.held <= ours.pieces.room and len(ours.pieces) + len(ours.pieces.older) <= 2 * ours.pieces.room / tokens.ENTRY
+
+
+def test_sums_index_finds_every_exact_complement():
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        left = [0, *rng.choice([0, 0, 1, 2], 24).tolist()]
+        have = [v for v in range(1, 25) if left[v]]
+        sums, fits = packing.Sums(left), lambda x: all(left[v] >= x.count(v) for v in x)
+        for gap in range(1, 25):
+            pairs = [x for x in ((a, gap - a) for a in have if gap - a in have and gap - a <= a) if fits(x)]
+            triples = [x for x in ((a, b, gap - a - b) for a in have for b in have if b <= a and gap - a - b in have and gap - a - b <= b) if fits(x)]
+            got = sums.exact(gap, {})
+            want = [(gap,)] if left[gap] else pairs or triples
+            assert (got in want) if want else got is None, (left, gap, got, want)
+
+
+def test_parts_split_a_repeated_id(spark):
+    rows = [(None if k % 2 else 5, f"text {k % 900:04d} " + "x" * 40) for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    folder = token_files.fresh_dir(spark, "files")
+    assert token_files.write_corpus(df, folder, path, 1, part_bytes=16_000).count() > 4
+    got = [tuple(r) for r in token_files.read_corpus(spark, folder).orderBy("start").collect()]
+    ids_of = token_bytes("word_bpe_49k.json", 1)
+    want, start = [], 0
+    for doc, t in sorted(rows, key=lambda r: (r[0] is not None, r[1])):
+        ids = ids_of(t)
+        want.append((doc, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert got == want
+
+
+def test_long_words_are_spelled_whole():
+    pieces = lm_lattice.pieces_of(public_tokenizers.path("piece_bpe_32k.model"))
+    t = np.random.default_rng(2).random((2, 2, 2, pieces.size))
+    tables = np.log(t / t.sum(axis=(2, 3), keepdims=True))
+    words_ = ["the", "a", "日本x\U0001F600y", "thing" * 9, "naïve###" * 7]
+    assert np.allclose(lm_lattice.forward(words_, pieces, tables), lm_lattice.forward(words_, pieces, tables, cells=1), atol=1e-3)
+    assert np.isfinite(lm_lattice.forward(["ab" * 40_000], pieces, tables)).all()
+
+
+def test_lattice_score_by_brute_force(spark):
+    path, alpha = public_tokenizers.path("piece_bpe_32k.model"), 0.1
+    rng = np.random.default_rng(9)
+    lex = ["sun", "moon", "tide", "été", "run", "runs", "x1", "日本"]
+    rows = [(i, " ".join(rng.choice(lex, rng.integers(0, 9))), ("en", "fr")[i % 2]) for i in range(40)] + [(41, None, None), (44, "unseen words", "de")]
+    got = {r.doc_id: r.score for r in lm_lattice.lattice_scores(spark.createDataFrame(rows, "doc_id long, text string, lang string"), path, alpha=alpha, chunk_chars=40, bucket_bytes=60).collect()}
+    kind = {lang: zlib.crc32((lang or "").encode()) % lm_lattice.CLASSES for _, _, lang in rows}
+    train = [(t or "", kind[lang]) for i, t, lang in rows if not lm_lattice.is_held_out(i)]
+    classes = sorted({k for _, k in train})
+    pieces = lm_lattice.pieces_of(path)
+    counts = {k: collections.Counter(w for t, c in train if c == k for w in t.split()) for k in classes}
+    ends = {k: sum(c == k for _, c in train) for k in classes}
+    tables = {}
+    for k in classes:
+        table = np.full((2, 2, pieces.size), alpha)
+        for w in counts[k]:
+            ids = pieces.segment([w])[0]
+            for n, p in enumerate(ids):
+                table[int(n > 0), int(n == len(ids) - 1), p] += 1
+        tables[k] = np.log(table / table.sum(axis=(1, 2), keepdims=True))
+    total = sum(sum(c.values()) for c in counts.values()) + len(train)
+    stop = (len(train) + 0.5) / (total + 1)
+
+    def word(w, k):
+        seen, kinds = sum(counts[k].values()), len(counts[k])
+        freed = min(lm_lattice.DISCOUNT * kinds, seen)
+        spelled = np.exp(slow_word(w, pieces, tables[k]))
+        return max(counts[k][w] - lm_lattice.DISCOUNT, 0) / max(seen, 1) + (freed / seen if freed else 1.0) * spelled
+
+    for i, t, _ in rows:
+        p = sum((ends[k] + 0.5) / (len(train) + 0.5 * len(classes)) * np.prod([word(w, k) * (1 - stop) for w in (t or "").split()] or [1.0]) * stop for k in classes)
+        assert abs(got[i] - np.log10(p)) < 1e-4, (i, got[i], np.log10(p))

@@ -120,6 +120,12 @@ def test_records_parse_in_any_chunks_and_damage_is_found(spark, pages):
         warc.entry(held[0], held[1][:-1] + b"?", "a", 0, 0)
 
 
+def test_ranges_never_collapse():
+    for keys, ranges in ((30_000, 9_000), (30_000, 10_001), (30_000, 29_999), (500, 500), (500, 501), (500, 9_999), (1, 4), (0, 4)):
+        cuts = warc.cut_points(list(range(keys)), ranges)
+        assert len(cuts) == min(ranges - 1, keys) and cuts == sorted(set(cuts))
+
+
 @pytest.mark.parametrize("k", [0, 1, 2, 3, 5, 8, 13])
 def test_loser_tree_merges(k):
     rng = random.Random(k)
@@ -215,6 +221,35 @@ def test_forest_recall_and_scores(spark, vectors):
     assert hits / (20 * len(got)) >= 0.9
 
 
+def test_forest_recall_on_the_given_vectors(spark):
+    path = "/root/testdata/sf0.01/embeddings.parquet"
+    if not Path(path).exists():
+        pytest.skip("no given tables here")
+    df = spark.read.parquet(path)
+    x = {r.vec_id: np.asarray(r.embedding, "f8") for r in df.collect() if r.embedding is not None and None not in r.embedding}
+    x = {i: v for i, v in x.items() if np.isfinite(v).all() and v.any()}
+    ids, all_ = np.asarray(sorted(x)), np.stack([x[i] for i in sorted(x)])
+    got = collections.defaultdict(set)
+    for r in ann.nearest(df).collect():
+        got[r.query_id].add(r.vec_id)
+        assert r.score == (x[r.query_id] * x[r.vec_id]).sum()
+    hits = 0
+    for q in got:
+        scores = all_ @ x[q]
+        scores[ids == q] = -np.inf
+        hits += len(got[q] & set(ids[np.argsort(-scores)[:20]].tolist()))
+    assert set(got) == {i for i in x if i % 20 == 0} and hits >= 0.9 * 20 * len(got)
+
+
+def test_equal_vectors_rank_by_id(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 33))
+    x[1::2] = x[0]
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(600)], "vec_id long, embedding array<double>").repartition(3)
+    for r in ann.nearest(df, shard_rows=100, queries_each=7).where("query_id = 0").orderBy("rank").collect():
+        assert r.vec_id == 2 * r["rank"] - 1
+
+
 def test_forest_takes_all_candidates_where_there_are_few(spark):
     df = spark.createDataFrame([(i, [1.0 + i, 1.0]) for i in range(5)], "vec_id long, embedding array<float>")
     assert [(r.rank, r.vec_id) for r in ann.nearest(df).orderBy("rank").collect()] == [(1, 4), (2, 3), (3, 2), (4, 1)]
@@ -254,3 +289,24 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(seen[2]) <= set(seen[1]) and set(seen[2].values()) <= {1, 2}
     end = module.run(spark, str(tmp_path)).collect()
     assert collections.Counter(r.doc_id for r in end if r.piece == 0) == seen[2]
+
+
+def test_pipeline_takes_null_and_repeated_ids_and_empty_tables(spark, tmp_path):
+    rng = random.Random(5)
+    text = lambda: " ".join(f"{a}{b}" for a, b in zip(rng.choices("klmrt", k=60), rng.choices(["sen", "dor", "vik", "pal", "nim", "gor", "tus"], k=60)))
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else 100 + i, text(), "en", f"s{i % 2}", 0) for i in range(90)]
+    rows += [rows[0], rows[1], (7, None, None, None, 0), (None, "", "en", "s0", 0)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(i, 1, 0) for i in range(100, 190)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    module = pipeline_module()
+    for name, data in (("odd", rows), ("none", [])):
+        df = spark.createDataFrame(data, schema)
+        for k, (_, stage) in enumerate(module.STAGES):
+            df = stage(spark, df, str(tmp_path))
+            if k < len(module.STAGES) - 1:
+                assert df.columns == schema.replace(" long", "").replace(" string", "").split(", ")
+                kept = df.collect()
+                df = spark.createDataFrame(kept, schema)
+                if k == 1:  # unlike texts all stay, whatever their ids; copies of one row are one
+                    assert collections.Counter((r.doc_id, r.text) for r in kept) == collections.Counter({(i, t): 1 for i, t, *_ in data if t})
+        assert (df.count() > 0) == bool(data)
