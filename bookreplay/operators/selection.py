@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bookreplay.functions.columns import first_reason, micros, reasons, stable_id, without_leading_zeros
+from bookreplay.functions.storage import stored
 
 LABELS = ("No", "Yes")
 
@@ -123,58 +124,86 @@ def with_used(candidates: DataFrame, used: DataFrame, keys: list[str]) -> DataFr
     return held.withColumn("already_used", first_reason(*checks)).drop(*[f"_{k}" for k in keys])
 
 
-def ranked(eligible: DataFrame, group: str) -> DataFrame:
-    """Order of preference: liquidity down, then the numeric market id."""
-    number = F.length("market_key"), F.col("market_key")
-    return eligible.withColumn("preference", F.row_number().over(Window.partitionBy(group).orderBy(F.col("liquidity").desc_nulls_last(), *number)))
+def preference() -> Column:
+    """Ascending in order of preference: liquidity down, nulls last, then the numeric market id."""
+    down = -F.coalesce(F.col("liquidity").cast("decimal(28,10)"), F.lit(0).cast("decimal(28,10)"))
+    return F.struct(F.col("liquidity").isNull().alias("a"), down.alias("b"), F.length("market_key").alias("c"), F.col("market_key").alias("d"))
 
 
-def select_blocks(candidates: DataFrame, group: str, quota: int, identity: list[str], all_or_nothing: bool = True, per_stratum: DataFrame | None = None) -> DataFrame:
+CHOSEN = "_group string, _pref struct<a:boolean,b:decimal(28,10),c:int,d:string>, _ids array<string>, _stratum string, _limit int"
+
+
+def choose(candidates: DataFrame, quota: int, batch: int) -> DataFrame:
+    """The candidates (CHOSEN) that a greedy pass over each group takes: in order of preference, unless
+    one taken before has the same value at the same place of ``_ids`` or the stratum has ``_limit`` already.
+
+    By rounds: a group's next ``batch`` candidates that nothing taken forbids yet go through the pass, which
+    begins with those taken so far. Spark finds them by a partial top-k, so a task sees at most quota and
+    batch rows of a group, however large the group. A round takes one candidate of each open group at least."""
+    taken = candidates.limit(0)
+    rest = candidates
+
+    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, seen, n, of_stratum = None, set(), 0, {}
+        for b in batches:
+            keep = []
+            for g, ids, s, most, old in zip(b["_group"], b["_ids"], b["_stratum"], b["_limit"], b["_old"]):
+                if g != at:
+                    at, seen, n, of_stratum = g, set(), 0, {}
+                own = {(i, x) for i, x in enumerate(ids) if x is not None}
+                full = most == most and most is not None and of_stratum.get(s, 0) >= most
+                good = bool(old) or n < quota and not full and not own & seen
+                if good:
+                    n += 1
+                    seen |= own
+                    of_stratum[s] = of_stratum.get(s, 0) + 1
+                keep.append(good)
+            yield b.loc[keep, [c.split()[0] for c in CHOSEN.split(", ")]]
+
+    names = [c.split()[0] for c in CHOSEN.split(", ")]
+    while True:
+        top = rest.withColumn("_n", F.row_number().over(Window.partitionBy("_group").orderBy("_pref"))).where(F.col("_n") <= batch).drop("_n")
+        both = taken.withColumn("_old", F.lit(True)).unionByName(top.withColumn("_old", F.lit(False)))
+        dealt = both.repartition("_group").sortWithinPartitions("_group", F.col("_old").desc(), "_pref")
+        taken = stored(dealt.mapInPandas(step, CHOSEN).select(*names), "taken")
+        open_ = taken.groupBy("_group").agg(F.count(F.lit(1)).alias("_n"), F.max("_pref").alias("_last")).where(F.col("_n") < quota)
+        full = taken.groupBy("_group", "_stratum").agg(F.count(F.lit(1)).alias("_n"), F.max("_limit").alias("_most")).where("_n >= _most").select(F.col("_group").alias("_fg"), F.col("_stratum").alias("_fs"), F.lit(True).alias("_f"))
+        gone = taken.select("_group", F.posexplode("_ids").alias("_i", "_x")).where("_x is not null").groupBy("_group").agg(F.collect_set(F.struct("_i", "_x")).alias("_gone"))
+        # What is taken is at most the quota of each group.
+        rest = rest.join(open_.select("_group", "_last"), "_group").join(gone, "_group", "left").join(full, (F.col("_group") == F.col("_fg")) & F.col("_stratum").eqNullSafe(F.col("_fs")), "left")
+        own = F.transform("_ids", lambda x, i: F.struct(i.alias("_i"), x.alias("_x")))
+        free = ~F.coalesce(F.arrays_overlap(F.filter(own, lambda x: x["_x"].isNotNull()), F.col("_gone")), F.lit(False))
+        rest = stored(rest.where(F.col("_f").isNull() & (F.col("_pref") > F.col("_last")) & free).select(*names), "rest")
+        if rest.isEmpty():
+            return taken
+
+
+def select_blocks(
+    candidates: DataFrame, group: str, quota: int, identity: list[str], all_or_nothing: bool = True, per_stratum: DataFrame | None = None, batch: int | None = None
+) -> DataFrame:
     """Adds ``decision`` to candidates (columns: group, liquidity, market_key, exclusion, identity keys).
 
     Eligible candidates are taken in order of preference unless one chosen before shares an identity
-    with them, until the quota (and, with ``per_stratum``, the stratum's max_targets) is full. A
-    shortfall empties the group where it is all or nothing. Each choice depends on those before it,
-    so it is a fold: filters, joins and ranks are done by Spark, and the fold streams over a group's
-    eligible rows in order, keeping the chosen identities only (at most the quota)."""
-    limit = F.lit(None).cast("int")
-    held = candidates
+    with them, until the quota (and, with ``per_stratum``, the stratum's max_targets) is full; see
+    ``choose``. A shortfall empties the group where it is all or nothing. Why a candidate isn't taken
+    follows from what was taken before it."""
+    held, limit = candidates, F.lit(None).cast("int")
     if per_stratum is not None:
         held, limit = held.join(per_stratum.select("stratum_id", F.col("max_targets").alias("_most")), "stratum_id", "left"), F.col("_most")
-    held = held.withColumn("_limit", limit).drop("_most")
     stratum = F.col("stratum_id") if "stratum_id" in candidates.columns else F.lit(None).cast("string")
-    eligible = ranked(held.where("exclusion is null"), group)
-    slim = eligible.select(F.col(group).cast("string").alias("_group"), "preference", "market_key", F.array(*[F.col(c).cast("string") for c in identity]).alias("_ids"), stratum.alias("_stratum"), "_limit")
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, chosen, taken, of_stratum = None, set(), 0, {}
-        for b in batches:
-            out = []
-            for g, market, ids, s, most in zip(b["_group"], b["market_key"], b["_ids"], b["_stratum"], b["_limit"]):
-                if g != at:
-                    at, chosen, taken, of_stratum = g, set(), 0, {}
-                own = {(i, v) for i, v in enumerate(ids) if v is not None}
-                if taken >= quota:
-                    why = "quota_full"
-                elif most == most and most is not None and of_stratum.get(s, 0) >= most:
-                    why = "stratum_quota_full"
-                elif own & chosen:
-                    why = "identity_conflict"
-                else:
-                    why, taken = "selected", taken + 1
-                    chosen |= own
-                    of_stratum[s] = of_stratum.get(s, 0) + 1
-                out.append((g, market, why))
-            yield pd.DataFrame(out, columns=["_group", "market_key", "_why"])
-
-    dealt = slim.repartition("_group").sortWithinPartitions("_group", "preference")
-    chosen = dealt.mapInPandas(fold, "_group string, market_key string, _why string")
-    told = held.withColumn("_group", F.col(group).cast("string")).join(chosen, ["_group", "market_key"], "left").drop("_group", "_limit")
-    n = F.count_if(F.col("_why") == "selected").over(Window.partitionBy(group))
-    decision = F.when(F.col("exclusion").isNotNull(), F.col("exclusion")).otherwise(F.col("_why"))
-    if all_or_nothing:
-        decision = F.when((n < quota) & (decision == "selected"), "block_shortfall").otherwise(decision)
-    return told.withColumn("decision", decision).drop("_why")
+    keyed = held.withColumns({"_group": F.col(group).cast("string"), "_pref": preference(), "_ids": F.array(*[F.col(c).cast("string") for c in identity]), "_stratum": stratum, "_limit": limit})
+    slim = stored(keyed.where("exclusion is null").select(*[c.split()[0] for c in CHOSEN.split(", ")]), "eligible")
+    taken = choose(slim, quota, batch or 8 * quota)
+    ends = taken.groupBy(F.col("_group").alias("_g")).agg(F.count(F.lit(1)).alias("_taken"), F.max("_pref").alias("_last"))
+    strata = taken.groupBy(F.col("_group").alias("_sg"), F.col("_stratum").alias("_ss")).agg(F.sort_array(F.collect_list("_pref")).alias("_of"))
+    told = keyed.join(ends, F.col("_group") == F.col("_g"), "left").join(strata, (F.col("_group") == F.col("_sg")) & F.col("_stratum").eqNullSafe(F.col("_ss")), "left")
+    chosen = F.coalesce(F.array_contains("_of", F.col("_pref")), F.lit(False))
+    before = F.size(F.filter("_of", lambda x: x < F.col("_pref")))
+    why = (
+        F.when(chosen, F.when(F.lit(all_or_nothing) & (F.col("_taken") < quota), "block_shortfall").otherwise("selected"))
+        .when((F.col("_taken") >= quota) & (F.col("_pref") > F.col("_last")), "quota_full").when(F.greatest(before, F.lit(0)) >= F.col("_limit"), "stratum_quota_full").otherwise("identity_conflict")
+    )
+    return told.withColumn("decision", F.coalesce("exclusion", why)).select(*candidates.columns, "decision")
 
 
 def selection_differences(stored: DataFrame, again: DataFrame) -> DataFrame:

@@ -47,7 +47,7 @@ def test_block_selection_is_the_greedy_fold(spark):
         return out, n
 
     for quota, whole, limits in ((6, True, None), (8, False, {"s0": 2, "s1": 9, "s2": 9}), (13, True, None)):
-        got = selection.select_blocks(c, "block", quota, ["event_key"], whole, strata if limits else None)
+        got = selection.select_blocks(c, "block", quota, ["event_key"], whole, strata if limits else None, batch=None if whole else 3)
         for g in ("a", "b", "c"):
             want, n = fold(g, quota, limits)
             if whole and n < quota:
