@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bookreplay.functions.columns import PRICE, SIZE, event_time, first_reason, micros, stable_id, wire_decimal
+from bookreplay.functions.windows import BLOCK
 
 # Fixed values of the wire format.
 EVENT_TYPES = ["book", "last_trade_price", "price_change"]
@@ -145,9 +146,15 @@ def trades(pending: DataFrame) -> DataFrame:
 
 
 def with_sequence(produced: DataFrame) -> DataFrame:
-    """seq 1, 2, ... of each run, for produced records only."""
-    order = Window.partitionBy("run").orderBy("frame_no", F.coalesce("event_idx", F.lit(-1)), F.col("token_id").asc_nulls_first())
-    return produced.where("status <> 'not_applicable'").withColumn("seq", F.row_number().over(order))
+    """seq 1, 2, ... of each run, for produced records only: by frame, event and token. Blocks of frames are
+    counted first and numbered apart, so a long run is many tasks."""
+    held = produced.where("status <> 'not_applicable'").withColumn("_block", F.floor(F.col("frame_no") / BLOCK))
+    sums = held.groupBy(F.col("run").alias("_run"), F.col("_block").alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("_run").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select("_run", "_b", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
+    order = Window.partitionBy("run", "_block").orderBy("frame_no", F.coalesce("event_idx", F.lit(-1)), F.col("token_id").asc_nulls_first())
+    held = held.withColumn("_nth", F.row_number().over(order)).join(bases, (F.col("run") == F.col("_run")) & (F.col("_block") == F.col("_b")))
+    return held.withColumn("seq", F.col("_base") + F.col("_nth")).drop("_block", "_run", "_b", "_base", "_nth")
 
 
 def envelopes(accepted: DataFrame) -> DataFrame:
