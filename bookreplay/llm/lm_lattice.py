@@ -36,7 +36,7 @@ BAGS = "chunk string, bucket int, words array<binary>, word_at array<int>, word_
 COUNTED = "bucket int, chunk string, idx array<int>, words array<binary>, by_class array<int>, keys array<long>, key_n array<long>, stats array<long>, distinct_train long"
 #: What a training word's count gives up to the pieces.
 DISCOUNT = 0.75
-RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, lattice_score double"
 
 
 def is_held_out(doc_id: int | None) -> bool:
@@ -317,19 +317,22 @@ def counted(bagged: DataFrame, path: str) -> DataFrame:
 
 
 def score_tables(sums, active: list[int], size: int, alpha: float) -> np.ndarray:
-    """Log scores (active classes, rest or not, final or not, pieces) from a pandas table of key and n. Each (piece, final) pair of a
-    table has ``alpha`` counts to begin with, so every text has a probability."""
+    """Log scores (active classes and, last, all together; rest or not, final or not, pieces) from a pandas
+    table of key and n. Each (piece, final) pair of a table has ``alpha`` counts to begin with, so every
+    text has a probability."""
     dense = np.zeros(CLASSES * 4 * size)
     dense[sums["key"].to_numpy("i8")] = sums["n"].to_numpy("f8")
-    t = dense.reshape(CLASSES, 2, 2, size)[active] + alpha
+    t = dense.reshape(CLASSES, 2, 2, size)[active]
+    t = np.concatenate([t, t.sum(axis=0, keepdims=True)]) + alpha
     return np.log(t / t.sum(axis=(2, 3), keepdims=True))
 
 
 def lattice_scores(
     docs: DataFrame, vocabulary: str, class_column: str | None = "lang", chunk_chars: int = 4 << 20, bucket_bytes: int = 16 << 20, alpha: float = 0.1
 ) -> DataFrame:
-    """A row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score
-    (log10), learned from the documents that are not held out.
+    """A row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and
+    lattice_score (log10), learned from the documents that are not held out. ``lattice_score`` is that of
+    the pieces alone: one set of tables for all classes, no word as an arc of its own.
 
     A null or empty text is its end alone; a null id is a training document. Repeated rows are counted and
     scored each. Words of any length are spelled whole. Without training documents the scores are those of
@@ -359,7 +362,7 @@ def lattice_scores(
     to_pieces = np.log(np.where(freed > 0, freed / seen, 1.0))
     floor = np.log10(tokens + 0.5 * (vocabulary_size + 1))
     end_base, end_known = float(np.log10(ends.sum() + 0.5) - floor), bool(ends.sum())
-    width = len(active)
+    width = len(active) + 1
 
     def score_words(t):
         import pyarrow as pa
@@ -373,7 +376,7 @@ def lattice_scores(
         total = by_class.sum(1, dtype="i8")
         with np.errstate(divide="ignore"):
             whole = np.log(np.maximum(by_class[:, active] - DISCOUNT, 0) / seen)
-        lp = np.logaddexp(whole, lp + to_pieces).astype("f4")
+        lp[:, :-1] = np.logaddexp(whole, lp[:, :-1] + to_pieces)
         idx, lens = lists(rest, "idx")
         idx = idx.to_numpy()
         columns = [rest.column("chunk").combine_chunks(), rest.column("bucket").combine_chunks(), as_lists(total[idx], lens, pa.int64()), as_lists(lp[idx].ravel(), lens * width, pa.float32())]
@@ -395,13 +398,14 @@ def lattice_scores(
         doc = np.repeat(np.arange(len(sizes)), sizes)
         add = lambda x: np.bincount(doc, weights=x, minlength=len(sizes))
         n_words = add(n)
-        by_class = np.stack([add(n * lp[at, k]) for k in range(width)], axis=1) + log_prior
+        by_class = np.stack([add(n * lp[at, k]) for k in range(width)], axis=1)
         by_class += (n_words * np.log1p(-stop) + np.log(stop))[:, None]
+        pieces_alone, by_class = by_class[:, -1] / np.log(10), by_class[:, :-1] + log_prior
         top = by_class.max(1)
         score = (top + np.log(np.exp(by_class - top[:, None]).sum(1))) / np.log(10)
         known = add(n * (total[at] > 0)).astype("i8") + end_known
         columns = [
-            lists(t, "doc_ids")[0], lists(t, "held")[0], n_words.astype("i8") + 1, known, np.full(len(sizes), tokens, "i8"), add(n * base[at]) + end_base, score,
+            lists(t, "doc_ids")[0], lists(t, "held")[0], n_words.astype("i8") + 1, known, np.full(len(sizes), tokens, "i8"), add(n * base[at]) + end_base, score, pieces_alone,
         ]
         return pa.Table.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=[c.split()[0] for c in RESULT.split(", ")])
 

@@ -402,14 +402,14 @@ def test_lattice_score_by_brute_force(spark):
     rng = np.random.default_rng(9)
     lex = ["sun", "moon", "tide", "été", "run", "runs", "x1", "日本"]
     rows = [(i, " ".join(rng.choice(lex, rng.integers(0, 9))), ("en", "fr")[i % 2]) for i in range(40)] + [(41, None, None), (44, "unseen words", "de")]
-    got = {r.doc_id: r.score for r in lm_lattice.lattice_scores(spark.createDataFrame(rows, "doc_id long, text string, lang string"), path, alpha=alpha, chunk_chars=40, bucket_bytes=60).collect()}
+    got = {r.doc_id: (r.score, r.lattice_score) for r in lm_lattice.lattice_scores(spark.createDataFrame(rows, "doc_id long, text string, lang string"), path, alpha=alpha, chunk_chars=40, bucket_bytes=60).collect()}
     kind = {lang: zlib.crc32((lang or "").encode()) % lm_lattice.CLASSES for _, _, lang in rows}
     train = [(t or "", kind[lang]) for i, t, lang in rows if not lm_lattice.is_held_out(i)]
     classes = sorted({k for _, k in train})
     pieces = lm_lattice.pieces_of(path)
     counts = {k: collections.Counter(w for t, c in train if c == k for w in t.split()) for k in classes}
     ends = {k: sum(c == k for _, c in train) for k in classes}
-    tables = {}
+    tables, whole = {}, np.full((2, 2, pieces.size), alpha)
     for k in classes:
         table = np.full((2, 2, pieces.size), alpha)
         for w in counts[k]:
@@ -417,6 +417,8 @@ def test_lattice_score_by_brute_force(spark):
             for n, p in enumerate(ids):
                 table[int(n > 0), int(n == len(ids) - 1), p] += 1
         tables[k] = np.log(table / table.sum(axis=(1, 2), keepdims=True))
+        whole += table - alpha
+    whole = np.log(whole / whole.sum(axis=(1, 2), keepdims=True))
     total = sum(sum(c.values()) for c in counts.values()) + len(train)
     stop = (len(train) + 0.5) / (total + 1)
 
@@ -428,4 +430,5 @@ def test_lattice_score_by_brute_force(spark):
 
     for i, t, _ in rows:
         p = sum((ends[k] + 0.5) / (len(train) + 0.5 * len(classes)) * np.prod([word(w, k) * (1 - stop) for w in (t or "").split()] or [1.0]) * stop for k in classes)
-        assert abs(got[i] - np.log10(p)) < 1e-4, (i, got[i], np.log10(p))
+        alone = sum(slow_word(w, pieces, whole) + np.log(1 - stop) for w in (t or "").split()) + np.log(stop)
+        assert abs(got[i][0] - np.log10(p)) < 1e-4 and abs(got[i][1] - alone / np.log(10)) < 1e-4, (i, got[i])
