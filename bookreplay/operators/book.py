@@ -120,7 +120,8 @@ def spans(lo: Column, hi: Column) -> Column:
         up, down = F.floor((lo + 8 * step - 1) / (8 * step)), F.floor(hi / (8 * step))
         places = F.when(up < down, F.concat(between(a, up * 8), between(down * 8, b))).otherwise(between(a, b))
         length = F.lit(k)
-        parts.append(F.transform(places, lambda p: F.struct(length.alias("k"), p.alias("place"))))
+        marked = F.transform(places, lambda p: F.struct(length.alias("k"), p.alias("place")))
+        parts.append(F.when(hi - lo >= step, marked).otherwise(F.array().cast("array<struct<k:int,place:bigint>>")))
     return F.flatten(F.array(*parts))
 
 
