@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookreplay.llm import ann, html_extract, lm_lattice, mixing, packing, quality, simhash, token_files, url_filter, warc
+from bookreplay.llm import ann, conversation_repair, html_extract, line_dedup, lm_lattice, mixing, packing, prefix_trie, quality, simhash, token_files, url_filter, warc
 from bookreplay.llm.common import table
 
 #: Fixed rules of the contract: verdict, host/path.
@@ -63,6 +63,19 @@ def op10_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversation_repair.audited(rows, conversation_repair.damaged(rows))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(line_dedup.deduplicated(table(spark, sf_dir, "documents")))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
