@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bookreplay.functions.storage import fresh_dir, stored  # noqa: F401
@@ -55,6 +55,24 @@ def row_key(docs: DataFrame) -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
+def whole_row(df: DataFrame) -> Column:
+    """A hash of all columns of a row: rows that agree in it are copies of each other. Maps go as JSON."""
+    return F.xxhash64(*[F.to_json(F.col(f"`{c}`")) if "map<" in t else F.col(f"`{c}`") for c, t in df.dtypes])
+
+
+def numbered(rows: DataFrame, unit: str, nth: str, name: str = "numbered") -> DataFrame:
+    """Adds ``nth``: 1 to n among the n rows of each ``unit``. Rows are numbered inside blocks of the order in
+    which they are stored, at most 4,096 in each, so a unit with most of all rows is many tasks."""
+    pos, block, before = free_name(rows, "_pos"), free_name(rows, "_block"), free_name(rows, "_before")
+    held = cut(rows.withColumn(pos, F.monotonically_increasing_id()), name).withColumn(block, F.shiftright(pos, 12))
+    sums = held.groupBy(unit, block).agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy(unit).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    later = sums.withColumn(before, F.sum("n").over(earlier)).where(F.col(before).isNotNull()).select(unit, block, before)
+    inside = Window.partitionBy(unit, block).orderBy(pos)
+    found = held.join(later, [unit, block], "left").withColumn(nth, F.row_number().over(inside) + F.coalesce(before, F.lit(0)))
+    return found.drop(pos, block, before)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't have."""
     taken = {c.lower() for c in df.columns}

@@ -16,10 +16,10 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bookreplay.llm.common import cut, free_name, row_key
+from bookreplay.llm.common import cut, free_name, row_key, whole_row
 
 #: Dimensions in each band of the grid.
 BANDS = (6, 6, 5, 5, 5, 5)
@@ -166,11 +166,13 @@ def as_hex(fp: Column) -> Column:
 
 def keep_one(docs: DataFrame, radius: int = 3) -> DataFrame:
     """The documents without near-duplicates: of each component one row, that with the smallest doc_id
-    (null last) and, where rows of that id differ in text, the smallest hash of both.
+    (null last); where rows of that id differ in text, the smallest hash of both; and where rows of one id and
+    text differ in other columns, the smallest hash of the whole row. So reruns and other partitionings give
+    the same row.
 
     Ids may be null or repeat: a row is kept or not for what its own text is like. Null and empty texts are
-    alike; equal rows of one id and text are one. An empty table stays empty; columns are kept as they are,
-    whatever their names."""
+    alike; equal rows are one. An empty table stays empty; columns are kept as they are, whatever their
+    names."""
     marked, owned = rooted(docs, radius)
     # Rows of a fingerprint first, so that a large group of copies is summed up where it stands.
     least = marked.groupBy("fingerprint").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("head"))
@@ -179,4 +181,8 @@ def keep_one(docs: DataFrame, radius: int = 3) -> DataFrame:
     heads = heads.select(F.col("head.doc_id").alias(own), F.col("head.key").alias(key))
     keyed = docs.withColumn(of, row_key(docs))
     kept = keyed.join(heads, (F.col(of) == F.col(key)) & F.col("doc_id").cast("long").eqNullSafe(F.col(own)), "left_semi")
-    return kept.dropDuplicates(["doc_id", of]).drop(of)
+    # Copies go first, summed where they stand; what is left of an id and text differs in other columns.
+    row, nth = free_name(kept, "_row"), free_name(kept, "_nth")
+    once = kept.withColumn(row, whole_row(docs)).dropDuplicates(["doc_id", of, row])
+    first = Window.partitionBy("doc_id", of).orderBy(row)
+    return once.withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1).drop(of, row, nth)
