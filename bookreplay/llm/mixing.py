@@ -1,6 +1,7 @@
 """Mixing sources to target weights by hash-threshold histograms (DataFrame functions only).
 
-A document's place is a hash of its id and text. Each source takes its documents below a threshold of that
+A document's place is a hash of its row; rows that are copies of each other are numbered among themselves
+and have a place each. Each source takes its documents below a threshold of that
 hash, so nothing is sorted and a larger budget takes a superset of a smaller one. The threshold is
 found by nested histograms: sizes summed by source and the top 12 bits of the hash name the bucket
 in which the budget runs out; only that bucket's documents are summed again by their next 12 bits,
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bookreplay.llm.common import cut, free_name, row_key
+from bookreplay.llm.common import cut, free_name, numbered, whole_row
 
 BITS, LEVELS = 12, 3
 #: Sources are joined by broadcast up to this many, else by a shuffle.
@@ -24,9 +25,9 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(t, F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")
 
 
-def place(key: Column, seed: int) -> Column:
-    """The top LEVELS * BITS bits of the document's hash."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), key), 64 - BITS * LEVELS)
+def place(unit: Column, nth: Column, seed: int) -> Column:
+    """The top LEVELS * BITS bits of the hash of a row and its number among its copies."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), unit, nth.cast("long")), 64 - BITS * LEVELS)
 
 
 def targets(totals: DataFrame, weights: tuple[float, ...], budget: float, most: float) -> DataFrame:
@@ -73,17 +74,18 @@ def mix(
     """doc_id, source, size, source_size, target, copies, taken (= copies * size).
 
     A source whose target exceeds its size takes every document once and those below its threshold
-    once more. Rows with the same doc_id and text share one place, so they are taken alike, as are all
-    rows of an empty text of one id. Sources without words have target 0 and take nothing. An empty table gives no
+    once more. Rows that are copies of each other have places of their own, so that some of them may be taken
+    once more than others, which are the same rows. Sources without words have target 0 and take nothing. An empty table gives no
     rows. Sizes are words unless given."""
-    return _mixed(docs, weights, budget, most, seed, size).drop("_key")
+    return _mixed(docs, weights, budget, most, seed, size).drop("_unit")
 
 
 def _mixed(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: float = 1.5, most: float = 2.0, seed: int = 42, size: Column | None = None) -> DataFrame:
-    """As mix, with ``_key``, the rows' hash of id and text."""
+    """As mix, with ``_unit``, the hash of the whole row."""
     n = n_words(F.col("text").cast("string")) if size is None else size
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n.alias("size"), row_key(docs).alias("_key"))
-    rows = cut(kept.withColumn("_place", place(F.col("_key"), seed)), "mix-rows")
+    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n.alias("size"), whole_row(docs).alias("_unit"))
+    kept = numbered(kept, "_unit", "_nth", "mix-units")
+    rows = cut(kept.withColumn("_place", place(F.col("_unit"), F.col("_nth"), seed)).drop("_nth"), "mix-rows")
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     aims = cut(targets(totals, weights, budget, most), "mix-targets")
     few = aims.count() <= BROADCAST_SOURCES
@@ -106,16 +108,19 @@ def _mixed(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: floa
     more = F.when(F.col("_need") <= 0, False).otherwise(F.col("_place") < F.coalesce("_end", F.lit(1 << BITS * LEVELS)))
     copies = F.when(F.col("source_size") > 0, F.col("_times") + more.cast("long")).otherwise(0)
     copies = F.least(copies, F.lit(int(most)))
-    return found.select("doc_id", "_key", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return found.select("doc_id", "_unit", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents themselves, each row as many times as the mix takes it."""
     found = _mixed(docs, **options)
-    # Rows of one id and text share a place but not, perhaps, a source.
-    own, key, by, of, times = (free_name(docs, n) for n in ("_id", "_row_key", "_by", "_source", "_copies"))
-    per_id = found.groupBy(F.col("doc_id").alias(own), F.col("_key").alias(key), F.col("source").alias(of)).agg(F.max("copies").alias(times)).where(F.col(times) > 0)
-    keyed = docs.withColumn(by, row_key(docs))
-    held = keyed.join(per_id, (F.col(by) == F.col(key)) & F.col("doc_id").cast("long").eqNullSafe(F.col(own)) & F.col("source").cast("string").eqNullSafe(F.col(of))).drop(own, key, by, of)
-    nth = free_name(held, "_nth")
-    return held.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(times)))).drop(times, nth)
+    own, unit, n, low, more = (free_name(docs, x) for x in ("_own", "_of", "_n", "_low", "_more"))
+    per_unit = found.groupBy(F.col("_unit").alias(unit)).agg(F.count(F.lit(1)).alias(n), F.min("copies").alias(low), F.sum("copies").alias(more)).where(F.col(more) > 0)
+    held = docs.withColumn(own, whole_row(docs)).join(per_unit.withColumn(more, F.col(more) - F.col(n) * F.col(low)), F.col(own) == F.col(unit))
+    # Copies of a row: as many of them as the mix took once more are taken once more, whichever.
+    nth, times = free_name(held, "_nth"), free_name(held, "_times")
+    alone = held.where(F.col(n) == 1).withColumn(nth, F.lit(1))
+    many = numbered(held.where(F.col(n) > 1), unit, nth, "mix-copies")
+    both = alone.unionByName(many).withColumn(times, F.col(low) + (F.col(nth) <= F.col(more)).cast("long")).where(F.col(times) > 0)
+    turn = free_name(both, "_turn")
+    return both.withColumn(turn, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(*[F.col(f"`{c}`") for c in docs.columns])
