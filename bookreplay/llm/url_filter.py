@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 from bookreplay.llm.common import ascii_lower, cut
 
 BLOCK_BITS = 512
-#: The filter is broadcast up to this size, else joined by its block numbers.
+#: The filter is broadcast up to this size, else joined by its block numbers; the listed urls themselves go by
+#: their own size.
 BROADCAST_BYTES = 16 << 20
-#: Beyond it, rows of one url are spread over so many places for the exact join.
-SALTS = 32
+#: Bytes of a row that is broadcast beside its text.
+ROW_BYTES = 64
+#: Beyond it, rows of one url or block are spread over so many places.
+SALTS, BLOCK_SALTS = 32, 8
 
 
 def host_of(url: Column) -> Column:
@@ -62,34 +65,42 @@ def _bit(url: str, i: int) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), turn)
 
 
-def listed_urls(rows: DataFrame, listed: DataFrame, bits_per_key: int = 16) -> DataFrame:
+def listed_urls(rows: DataFrame, listed: DataFrame, bits_per_key: int = 16, broadcast_bytes: int | None = None) -> DataFrame:
     """``rows`` (with a canonical ``url``) plus ``maybe`` (the Bloom filter's answer) and ``is_listed``.
 
     Only rows that the filter passes reach the exact join; a filter has no false negatives, so the
-    others are not listed. Empty urls are never listed. With an empty list no row passes."""
+    others are not listed. Empty urls are never listed. With an empty list no row passes. The filter and the
+    listed urls that were met are broadcast where their sizes, each checked for itself, allow it."""
+    broadcast_bytes = BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes
     keys = cut(listed.select("url").where("url <> ''").distinct(), "listed-urls")
-    blocks = max(1, -(-keys.count() * bits_per_key // BLOCK_BITS))
+    size = keys.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("url") + ROW_BYTES).alias("octets")).first()
+    blocks = max(1, -(-size["n"] * bits_per_key // BLOCK_BITS))
     words = bloom_blocks(keys, blocks)
-    small = blocks * (BLOCK_BITS // 8 + 16) <= BROADCAST_BYTES
     probed = rows.withColumn("block", _block("url", blocks))
     all_set = F.lit(True)
     for i in range(8):
         all_set = all_set & (F.col(f"w{i}").bitwiseAND(_bit("url", i)) != 0)
     maybe = F.coalesce(all_set, F.lit(False)) & (F.col("url") != "")
-    probed = probed.join(F.broadcast(words) if small else words, "block", "left").withColumn("maybe", maybe)
-    probed = probed.drop("block", *[f"w{i}" for i in range(8)])
+    if blocks * (BLOCK_BITS // 8 + 16) <= broadcast_bytes:
+        probed = probed.join(F.broadcast(words), "block", "left")
+    else:
+        probed = probed.withColumn("salt", F.floor(F.rand(11) * BLOCK_SALTS).cast("int")).join(words.select("*", _salts(BLOCK_SALTS)), ["block", "salt"], "left").drop("salt")
+    probed = cut(probed.withColumn("maybe", maybe).drop("block", *[f"w{i}" for i in range(8)]), "probed")
     # A url that a third of the rows share is one row here.
-    verified = probed.where("maybe").select("url").distinct().join(keys, "url", "left_semi").withColumn("is_listed", F.lit(True))
     hits = probed.where("maybe")
-    if small:
+    verified = hits.select("url").distinct().join(keys, "url", "left_semi").withColumn("is_listed", F.lit(True))
+    if (size["octets"] or 0) <= broadcast_bytes:  # what was met of the list is no larger than the list
         hits = hits.join(F.broadcast(verified), "url", "left")
     else:  # and its rows meet it in as many places as there are salts
-        salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-        hits = hits.withColumn("salt", F.floor(F.rand(7) * SALTS).cast("int")).join(verified.select("*", salt), ["url", "salt"], "left").drop("salt")
+        hits = hits.withColumn("salt", F.floor(F.rand(7) * SALTS).cast("int")).join(verified.select("*", _salts(SALTS)), ["url", "salt"], "left").drop("salt")
     hits = hits.withColumn("is_listed", F.coalesce("is_listed", F.lit(False)))
     return probed.where("not maybe").withColumn("is_listed", F.lit(False)).unionByName(hits)
 
 
+def _salts(n: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("salt")
+
+
 def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str]], url: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict, maybe, is_listed for every row of ``pages``.
 

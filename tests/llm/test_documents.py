@@ -432,3 +432,28 @@ def test_lattice_score_by_brute_force(spark):
         p = sum((ends[k] + 0.5) / (len(train) + 0.5 * len(classes)) * np.prod([word(w, k) * (1 - stop) for w in (t or "").split()] or [1.0]) * stop for k in classes)
         alone = sum(slow_word(w, pieces, whole) + np.log(1 - stop) for w in (t or "").split()) + np.log(stop)
         assert abs(got[i][0] - np.log10(p)) < 1e-4 and abs(got[i][1] - alone / np.log(10)) < 1e-4, (i, got[i])
+
+
+def test_keep_one_and_mix_agree_over_partitionings(spark):
+    """Rows of one id and text but other sources and languages, and copies of whole rows."""
+    base = "the quick brown fox jumps over the lazy dog while seven wizards box"
+    rows = [(1, base, lang, source, n) for lang in ("en", "fr") for source in ("s2", "s1", None) for n in (3, 4)] + [(1, base, "en", "s2", 3)] * 5 + [(2, "other text of its own here " * 3, None, None, 0)] * 4
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [sorted(map(repr, simhash.keep_one(df.repartition(n, *by)).collect())) for n, *by in ((1,), (3, "lang"), (5, "source", "n_chars"))]
+    assert kept[0] == kept[1] == kept[2] and len(kept[0]) == 2
+    mixed = [sorted(map(repr, mixing.mixed_documents(df.repartition(n, *by)).collect())) for n, *by in ((1,), (3, "lang"), (5, "source", "n_chars"))]
+    assert mixed[0] == mixed[1] == mixed[2] and mixed[0]
+
+
+def test_mix_meets_its_target_with_copies_of_one_row(spark):
+    """1,000 copies of a row of four words, target 6,000 words: within one document of it."""
+    one = (1, "four words of text", "en", "s1", 0)
+    df = spark.createDataFrame([one] * 1000, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    got = mixing.mix(df).collect()
+    assert len(got) == 1000 and {r.target for r in got} == {6000.0}
+    assert abs(sum(r.taken for r in got) - 6000) <= 4 and max(r.taken for r in got) <= 8
+    out = mixing.mixed_documents(df)
+    assert out.count() * 4 == sum(r.taken for r in got) and out.distinct().count() == 1
+    both = mixing.mix(df.union(spark.createDataFrame([(i, "w " * (1 + i % 9), "en", "s2", 0) for i in range(500)], df.schema)))
+    for r in both.groupBy("source").agg({"taken": "sum", "target": "max"}).collect():
+        assert abs(r["sum(taken)"] - r["max(target)"]) <= 9
