@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bookreplay.functions.columns import first_reason, micros, reasons, stable_id, without_leading_zeros
+from bookreplay.functions.columns import first_reason, micros, reasons, stable_id, unix_micros, without_leading_zeros
 from bookreplay.functions.storage import stored
+from bookreplay.functions.windows import as_of
 
 LABELS = ("No", "Yes")
 
@@ -81,11 +82,29 @@ def market_audit(markets: DataFrame, policy: Policy, as_of: Column) -> DataFrame
 
 
 def canonical_identities(markets: DataFrame) -> DataFrame:
-    """Market, event and condition ids without leading zeros and in lower case."""
-    return (
-        markets.withColumn("market_key", without_leading_zeros(F.col("market_id"))).withColumn("event_key", without_leading_zeros(F.col("event_id")))
+    """Market and event ids without leading zeros, condition ids in lower case and, where there is an outcome
+    map, ``token_keys``: the set of its tokens without leading zeros."""
+    held = (
+        markets.withColumn("market_key", without_leading_zeros(F.col("market_id"))).withColumn("event_key", without_leading_zeros(F.trim("event_id")))
         .withColumn("condition_key", F.lower("condition_id"))
     )
+    if "outcome_token_map" not in markets.columns:
+        return held
+    tokens = F.transform(F.map_values("outcome_token_map"), lambda t: F.when(t.rlike("^0+$"), "0").otherwise(F.regexp_replace(t, "^0+", "")))
+    return held.withColumn("token_keys", F.array_sort(F.array_distinct(F.filter(F.coalesce(tokens, F.array().cast("array<string>")), lambda t: t.isNotNull()))))
+
+
+def identity_pairs(held: DataFrame, kinds: dict[str, str]) -> Column:
+    """The identities of a row as ``kind:value`` texts, nulls left out; ``kinds``: kind to column, which may hold a
+    set. Two rows share an identity where these overlap, whatever places their tokens stand in."""
+    types = dict(held.dtypes)
+
+    def named(kind: str, c: str) -> Column:
+        values = F.col(c) if types[c].startswith("array") else F.array(F.col(c).cast("string"))
+        known = F.filter(F.coalesce(values, F.array().cast("array<string>")), lambda x: x.isNotNull())
+        return F.transform(known, lambda x: F.concat(F.lit(f"{kind}:"), x))
+
+    return F.array_distinct(F.concat(*[named(kind, c) for kind, c in kinds.items()]))
 
 
 def duplicate_identities(markets: DataFrame, page: str) -> DataFrame:
@@ -93,6 +112,12 @@ def duplicate_identities(markets: DataFrame, page: str) -> DataFrame:
     return canonical_identities(markets).groupBy(page, "market_key").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
 
 
+def shared_tokens(markets: DataFrame, page: str) -> DataFrame:
+    """Tokens that more than one market of a page names, equal ones by identity, not by spelling."""
+    held = canonical_identities(markets).select(page, "market_key", F.explode("token_keys").alias("token_key"))
+    return held.groupBy(page, "token_key").agg(F.count_distinct("market_key").alias("markets")).where("markets > 1")
+
+
 def matching_strata(candidates: DataFrame, strata: DataFrame) -> DataFrame:
     """``stratum_id``: the lowest stratum whose category and half-open bands hold the candidate, else
     null. Every row keeps its own: strata are a few dozen rows of protocol, gathered per category into
@@ -125,87 +150,164 @@ def with_used(candidates: DataFrame, used: DataFrame, keys: list[str]) -> DataFr
 
 
 def preference() -> Column:
-    """Ascending in order of preference: liquidity down, nulls last, then the numeric market id."""
+    """Ascending in order of preference: liquidity down (null counts as zero), then the numeric market id."""
     down = -F.coalesce(F.col("liquidity").cast("decimal(28,10)"), F.lit(0).cast("decimal(28,10)"))
-    return F.struct(F.col("liquidity").isNull().alias("a"), down.alias("b"), F.length("market_key").alias("c"), F.col("market_key").alias("d"))
+    return F.struct(down.alias("b"), F.length("market_key").alias("c"), F.col("market_key").alias("d"))
 
 
-CHOSEN = "_group string, _pref struct<a:boolean,b:decimal(28,10),c:int,d:string>, _ids array<string>, _stratum string, _limit int"
+#: A candidate as the greedy pass sees it: its group, its order in it, the identities it would use up, and
+#: the limits it counts against.
+CANDIDATE = ["_group", "_pref", "_ids", "_limits"]
 
 
-def choose(candidates: DataFrame, quota: int, batch: int) -> DataFrame:
-    """The candidates (CHOSEN) that a greedy pass over each group takes: in order of preference, unless
-    one taken before has the same value at the same place of ``_ids`` or the stratum has ``_limit`` already.
+def choose(candidates: DataFrame, batch: int) -> DataFrame:
+    """The candidates (CANDIDATE columns) that a greedy pass over each group takes: in order of ``_pref``, unless one
+    taken before shares an identity, or one of their ``_limits`` (name, most) has been reached.
 
     By rounds: a group's next ``batch`` candidates that nothing taken forbids yet go through the pass, which
-    begins with those taken so far. Spark finds them by a partial top-k, so a task sees at most quota and
-    batch rows of a group, however large the group. A round takes one candidate of each open group at least."""
-    taken = candidates.limit(0)
-    rest = candidates
+    begins with those taken so far. Spark finds them by a partial top-k, so a task sees at most what is taken and
+    one batch of a group, however large the group. What a pass refuses stays forbidden, and the first of a
+    batch is free, so each round takes one candidate of each group that has any."""
+    schema = ", ".join(f"{c} {t}" for c, t in candidates.select(*CANDIDATE).dtypes)
+    taken, rest = candidates.limit(0), candidates
 
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, seen, n, of_stratum = None, set(), 0, {}
+        at, seen, counts = None, set(), {}
         for b in batches:
             keep = []
-            for g, ids, s, most, old in zip(b["_group"], b["_ids"], b["_stratum"], b["_limit"], b["_old"]):
+            for g, ids, limits, old in zip(b["_group"], b["_ids"], b["_limits"], b["_old"]):
                 if g != at:
-                    at, seen, n, of_stratum = g, set(), 0, {}
-                own = {(i, x) for i, x in enumerate(ids) if x is not None}
-                full = most == most and most is not None and of_stratum.get(s, 0) >= most
-                good = bool(old) or n < quota and not full and not own & seen
+                    at, seen, counts = g, set(), {}
+                own = set(ids)
+                names = [(x["name"], x["most"]) for x in limits if x["most"] is not None]
+                good = bool(old) or not own & seen and all(counts.get(n, 0) < most for n, most in names)
                 if good:
-                    n += 1
                     seen |= own
-                    of_stratum[s] = of_stratum.get(s, 0) + 1
+                    for n, _ in names:
+                        counts[n] = counts.get(n, 0) + 1
                 keep.append(good)
-            yield b.loc[keep, [c.split()[0] for c in CHOSEN.split(", ")]]
+            yield b.loc[keep, CANDIDATE]
 
-    names = [c.split()[0] for c in CHOSEN.split(", ")]
     while True:
         top = rest.withColumn("_n", F.row_number().over(Window.partitionBy("_group").orderBy("_pref"))).where(F.col("_n") <= batch).drop("_n")
         both = taken.withColumn("_old", F.lit(True)).unionByName(top.withColumn("_old", F.lit(False)))
         dealt = both.repartition("_group").sortWithinPartitions("_group", F.col("_old").desc(), "_pref")
-        taken = stored(dealt.mapInPandas(step, CHOSEN).select(*names), "taken")
-        open_ = taken.groupBy("_group").agg(F.count(F.lit(1)).alias("_n"), F.max("_pref").alias("_last")).where(F.col("_n") < quota)
-        full = taken.groupBy("_group", "_stratum").agg(F.count(F.lit(1)).alias("_n"), F.max("_limit").alias("_most")).where("_n >= _most").select(F.col("_group").alias("_fg"), F.col("_stratum").alias("_fs"), F.lit(True).alias("_f"))
-        gone = taken.select("_group", F.posexplode("_ids").alias("_i", "_x")).where("_x is not null").groupBy("_group").agg(F.collect_set(F.struct("_i", "_x")).alias("_gone"))
-        # What is taken is at most the quota of each group.
-        rest = rest.join(open_.select("_group", "_last"), "_group").join(gone, "_group", "left").join(full, (F.col("_group") == F.col("_fg")) & F.col("_stratum").eqNullSafe(F.col("_fs")), "left")
-        own = F.transform("_ids", lambda x, i: F.struct(i.alias("_i"), x.alias("_x")))
-        free = ~F.coalesce(F.arrays_overlap(F.filter(own, lambda x: x["_x"].isNotNull()), F.col("_gone")), F.lit(False))
-        rest = stored(rest.where(F.col("_f").isNull() & (F.col("_pref") > F.col("_last")) & free).select(*names), "rest")
+        taken = stored(dealt.mapInPandas(step, schema).select(*CANDIDATE), "taken")
+        # What is taken is at most the limits of each group allow.
+        gone = taken.select("_group", F.explode("_ids").alias("_x")).groupBy("_group").agg(F.collect_set("_x").alias("_gone"))
+        used = taken.select("_group", F.explode("_limits").alias("_l")).groupBy("_group", "_l.name").agg(F.count(F.lit(1)).alias("n"), F.max("_l.most").alias("most"))
+        full = used.where("n >= most").groupBy("_group").agg(F.collect_set("name").alias("_full"))
+        held = rest.join(gone, "_group", "left").join(full, "_group", "left")
+        meets = lambda a, b: F.coalesce(F.arrays_overlap(a, b), F.lit(False))
+        forbidden = meets(F.col("_ids"), F.col("_gone")) | meets(F.transform("_limits", lambda x: x["name"]), F.col("_full"))
+        rest = stored(held.where(~forbidden).join(taken.select("_group", "_pref"), ["_group", "_pref"], "left_anti").select(*CANDIDATE), "rest")
         if rest.isEmpty():
             return taken
 
 
+def limits(*pairs: tuple[Column, Column]) -> Column:
+    return F.array(*[F.struct(n.alias("name"), most.cast("int").alias("most")) for n, most in pairs])
+
+
 def select_blocks(
     candidates: DataFrame, group: str, quota: int, identity: list[str], all_or_nothing: bool = True, per_stratum: DataFrame | None = None, batch: int | None = None
 ) -> DataFrame:
-    """Adds ``decision`` to candidates (columns: group, liquidity, market_key, exclusion, identity keys).
+    """Adds ``decision`` to candidates (columns: group, liquidity, market_key, exclusion, identity keys), each group
+    by itself.
 
     Eligible candidates are taken in order of preference unless one chosen before shares an identity
     with them, until the quota (and, with ``per_stratum``, the stratum's max_targets) is full; see
     ``choose``. A shortfall empties the group where it is all or nothing. Why a candidate isn't taken
     follows from what was taken before it."""
-    held, limit = candidates, F.lit(None).cast("int")
+    held, most = candidates, F.lit(None).cast("int")
     if per_stratum is not None:
-        held, limit = held.join(per_stratum.select("stratum_id", F.col("max_targets").alias("_most")), "stratum_id", "left"), F.col("_most")
-    stratum = F.col("stratum_id") if "stratum_id" in candidates.columns else F.lit(None).cast("string")
-    keyed = held.withColumns({"_group": F.col(group).cast("string"), "_pref": preference(), "_ids": F.array(*[F.col(c).cast("string") for c in identity]), "_stratum": stratum, "_limit": limit})
-    slim = stored(keyed.where("exclusion is null").select(*[c.split()[0] for c in CHOSEN.split(", ")]), "eligible")
-    taken = choose(slim, quota, batch or 8 * quota)
+        held, most = held.join(per_stratum.select("stratum_id", F.col("max_targets").alias("_most")), "stratum_id", "left"), F.col("_most")
+    stratum = F.concat(F.lit("stratum:"), F.coalesce(F.col("stratum_id") if "stratum_id" in candidates.columns else F.lit(""), F.lit("")))
+    keyed = held.withColumns({"_group": F.col(group).cast("string"), "_pref": preference(), "_ids": identity_pairs(held, {c: c for c in identity}), "_limits": limits((F.lit("all"), F.lit(quota)), (stratum, most))})
+    taken = choose(stored(keyed.where("exclusion is null").select(*CANDIDATE), "eligible"), batch or 8 * quota)
     ends = taken.groupBy(F.col("_group").alias("_g")).agg(F.count(F.lit(1)).alias("_taken"), F.max("_pref").alias("_last"))
-    strata = taken.groupBy(F.col("_group").alias("_sg"), F.col("_stratum").alias("_ss")).agg(F.sort_array(F.collect_list("_pref")).alias("_of"))
-    told = keyed.join(ends, F.col("_group") == F.col("_g"), "left").join(strata, (F.col("_group") == F.col("_sg")) & F.col("_stratum").eqNullSafe(F.col("_ss")), "left")
+    strata = taken.groupBy(F.col("_group").alias("_sg"), F.get("_limits", F.lit(1))["name"].alias("_ss")).agg(F.sort_array(F.collect_list("_pref")).alias("_of"))
+    told = keyed.join(ends, F.col("_group") == F.col("_g"), "left").join(strata, (F.col("_group") == F.col("_sg")) & (F.get("_limits", F.lit(1))["name"] == F.col("_ss")), "left")
     chosen = F.coalesce(F.array_contains("_of", F.col("_pref")), F.lit(False))
     before = F.size(F.filter("_of", lambda x: x < F.col("_pref")))
     why = (
         F.when(chosen, F.when(F.lit(all_or_nothing) & (F.col("_taken") < quota), "block_shortfall").otherwise("selected"))
-        .when((F.col("_taken") >= quota) & (F.col("_pref") > F.col("_last")), "quota_full").when(F.greatest(before, F.lit(0)) >= F.col("_limit"), "stratum_quota_full").otherwise("identity_conflict")
+        .when((F.col("_taken") >= quota) & (F.col("_pref") > F.col("_last")), "quota_full").when(F.greatest(before, F.lit(0)) >= F.get("_limits", F.lit(1))["most"], "stratum_quota_full").otherwise("identity_conflict")
     )
     return told.withColumn("decision", F.coalesce("exclusion", why)).select(*candidates.columns, "decision")
 
 
+def capacity(intended: Column, ends_at: Column, selected_at: Column, seconds_each: int) -> Column:
+    """Targets that a block can still take: those intended, or as many captures as fit in the time that is left."""
+    return F.greatest(F.lit(0), F.least(intended.cast("long"), F.floor(micros(ends_at, selected_at) / (seconds_each * 1_000_000)))).cast("int")
+
+
+def with_fresh_spread(candidates: DataFrame, books: DataFrame, max_age_seconds: int) -> DataFrame:
+    """Adds ``spread`` and ``book_exclusion`` from the token's latest book at ``selected_at``.
+
+    candidates: token_key, selected_at. books: token_key, observed_at, best_bid, best_ask, failed. No book, or a
+    request that failed: book_unavailable; older than the bound: book_stale; a side without a price, crossed or
+    locked sides: book_invalid."""
+    held = candidates.withColumn("_us", unix_micros(F.col("selected_at")))
+    facts = books.withColumn("_us", unix_micros(F.col("observed_at")))
+    met = as_of(held, facts, ["token_key"], "_us", F.struct("_us", "failed", "best_bid", "best_ask"), "_book")
+    b = F.col("_book")
+    spread = (b["best_ask"] - b["best_bid"]).cast("decimal(13,11)")
+    why = first_reason(
+        (b.isNull(), "book_unavailable"), (F.col("_us") - b["_us"] > max_age_seconds * 1_000_000, "book_stale"), (F.coalesce(b["failed"], F.lit(False)), "book_unavailable"),
+        (spread.isNull() | (spread <= 0) | (spread > 1), "book_invalid"))
+    return met.withColumns({"book_exclusion": why, "spread": F.when(why.isNull(), spread)}).drop("_us", "_book")
+
+
+#: Identities of a candidate: kind to column. Event groups have a reason of their own.
+IDENTITIES = {"market": "market_key", "event": "event_key", "condition": "condition_key", "token": "token_keys"}
+
+
+def select_in_order(candidates: DataFrame, blocks: DataFrame, partial: bool, batch: int = 64) -> DataFrame:
+    """Adds ``decision`` to the candidates of experiments whose blocks follow each other: what a block takes, its
+    markets, events, conditions and tokens, no later block may take again.
+
+    candidates: experiment_id, block_no, market_key, event_key, condition_key, token_keys, liquidity, exclusion;
+    for partial blocks also stratum_id, max_targets and event_group. blocks: experiment_id, block_no, capacity.
+    The fold is one greedy pass over an experiment, ordered by block, in which each block and each stratum
+    (over all blocks) is a limit; experiments run beside each other.
+
+    All or nothing: reasons market_identity_reused, event_id_reused, rank_below_cutoff; the first block of an
+    experiment that falls short of its capacity takes nothing (block_shortfall), and no block after it is
+    selected (predecessor_rejected). Partial: strata come first in a block's order; reasons identity_reused,
+    event_group_reused, stratum_quota, block_capacity; an empty block is no hindrance to the next."""
+    limit = blocks.select(F.col("experiment_id").alias("_e"), F.col("block_no").alias("_b"), F.col("capacity").alias("_capacity"))
+    held = candidates.join(limit, (F.col("experiment_id") == F.col("_e")) & (F.col("block_no") == F.col("_b")), "left").drop("_e", "_b")
+    kinds = IDENTITIES | ({"group": "event_group"} if partial else {})
+    order = F.struct(F.col("block_no").alias("block"), (F.col("stratum_id") if partial else F.lit("")).alias("stratum"), preference().alias("own"))
+    pairs = [(F.concat(F.lit("block:"), F.col("block_no").cast("string")), F.coalesce("_capacity", F.lit(0)))]
+    if partial:
+        pairs.append((F.concat(F.lit("stratum:"), F.col("stratum_id")), F.col("max_targets")))
+    keyed = held.withColumns({"_group": F.col("experiment_id").cast("string"), "_pref": order, "_ids": identity_pairs(held, kinds), "_limits": limits(*pairs)})
+    keyed = stored(keyed, "candidates")
+    # Without room a block takes nothing, which no round has to find out.
+    eligible = keyed.where("exclusion is null and _capacity > 0")
+    taken = choose(stored(eligible.select(*CANDIDATE), "eligible"), batch)
+    # At most what the blocks' capacities allow for an experiment.
+    lists = taken.groupBy(F.col("_group").alias("_g")).agg(F.collect_list(F.struct("_pref", "_ids", F.transform("_limits", lambda x: x["name"]).alias("names"))).alias("_of"))
+    told = keyed.join(lists, F.col("_group") == F.col("_g"), "left")
+    earlier = F.filter("_of", lambda x: x["_pref"] < F.col("_pref"))
+    used = F.flatten(F.transform(earlier, lambda x: x["_ids"]))
+    shares = lambda *k: F.coalesce(F.arrays_overlap(F.filter("_ids", lambda x: F.substring_index(x, ":", 1).isin(*k)), used), F.lit(False))
+    chosen = F.coalesce(F.exists("_of", lambda x: x["_pref"] == F.col("_pref")), F.lit(False))
+    if partial:
+        of_stratum = F.size(F.filter(earlier, lambda x: F.array_contains(x["names"], F.concat(F.lit("stratum:"), F.col("stratum_id")))))
+        why = F.when(chosen, "selected").when(shares(*IDENTITIES), "identity_reused").when(shares("group"), "event_group_reused").when(F.greatest(of_stratum, F.lit(0)) >= F.col("max_targets"), "stratum_quota").otherwise("block_capacity")
+    else:
+        counts = taken.groupBy(F.col("_group").alias("_e"), F.col("_pref.block").alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+        short = blocks.join(counts, (F.col("experiment_id").cast("string") == F.col("_e")) & (F.col("block_no") == F.col("_b")), "left").where(F.coalesce("_n", F.lit(0)) < F.col("capacity"))
+        told = told.join(short.groupBy(F.col("experiment_id").alias("_x")).agg(F.min("block_no").alias("_short")), F.col("experiment_id") == F.col("_x"), "left")
+        why = (
+            F.when(F.col("block_no") > F.col("_short"), "predecessor_rejected").when(chosen, F.when(F.col("block_no") == F.col("_short"), "block_shortfall").otherwise("selected"))
+            .when(shares("market"), "market_identity_reused").when(shares("event"), "event_id_reused").when(shares("condition", "token"), "market_identity_reused").otherwise("rank_below_cutoff"))
+    return told.withColumn("decision", F.coalesce("exclusion", why)).select(*candidates.columns, "decision")
+
+
 def selection_differences(stored: DataFrame, again: DataFrame) -> DataFrame:
     return stored.exceptAll(again).withColumn("only_in", F.lit("stored")).unionByName(again.exceptAll(stored).withColumn("only_in", F.lit("recomputed")))
 

@@ -464,7 +464,7 @@ def candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: Greedy choice as a recursion: each step takes the next candidate in order that nothing chosen forbids.
-GREEDY = """, ranked AS (SELECT k, category, o_custkey, stratum, row_number() OVER (PARTITION BY category ORDER BY liquidity DESC NULLS LAST, length(CAST(k AS VARCHAR)), CAST(k AS VARCHAR)) AS pref FROM eligible WHERE exclusion IS NULL),
+GREEDY = """, ranked AS (SELECT k, category, o_custkey, stratum, row_number() OVER (PARTITION BY category ORDER BY coalesce(liquidity, 0) DESC, length(CAST(k AS VARCHAR)), CAST(k AS VARCHAR)) AS pref FROM eligible WHERE exclusion IS NULL),
 pick(category, n, keys, strata, pref) AS (SELECT category, 0, CAST([] AS BIGINT[]), CAST([] AS VARCHAR[]), CAST(0 AS BIGINT) FROM ranked GROUP BY category
  UNION ALL SELECT p.category, n + 1, list_append(any_value(keys), arg_min(o_custkey, r.pref)), list_append(any_value(strata), arg_min(stratum, r.pref)), min(r.pref) FROM pick p JOIN ranked r ON r.category = p.category AND r.pref > p.pref
   AND NOT list_contains(keys, r.o_custkey) AND len(list_filter(strata, lambda x: x = r.stratum)) < {most} WHERE n < {quota} GROUP BY p.category, n),
@@ -480,13 +480,95 @@ def block_selection(spark: SparkSession, d: str) -> DataFrame:
     return found.select("market_key", "category", "decision")
 
 
-@query(BLOCKS + """, banded AS (SELECT *, CASE WHEN category IN ('1-URGENT', '2-HIGH', '3-MEDIUM') THEN CASE WHEN liquidity >= 20000 AND liquidity < 150000 THEN left(category, 1) || '-0' WHEN liquidity >= 120000 THEN left(category, 1) || '-1' END END AS stratum FROM j),
-eligible AS (SELECT * REPLACE (coalesce(exclusion, CASE WHEN stratum IS NULL THEN 'no_stratum' END) AS exclusion) FROM banded)""" + GREEDY.format(quota=8, most=5) + """SELECT CAST(j.k AS VARCHAR) AS market_key, j.category, j.stratum AS stratum_id, coalesce(j.exclusion, CASE WHEN chosen THEN 'selected' WHEN n = 8 AND pref > last THEN 'quota_full' WHEN of_stratum >= 5 THEN 'stratum_quota_full' ELSE 'identity_conflict' END) AS decision FROM eligible j LEFT JOIN told ON told.k = j.k""")
+BLOCK_SECONDS, SLOT_SECONDS = 5 * 86_400, 18 * 3600
+
+
+def cohort(spark: SparkSession, d: str) -> DataFrame:
+    """Markets as candidates of five experiments of three blocks each: a market's tokens stand in either
+    place and are spelled with leading zeros or without; one experiment's first block has no candidate."""
+    m = selection.with_exclusion(v.markets(spark, d), POLICY, as_of())
+    k = F.col("market_id").cast("long")
+    tokens = F.map_from_arrays(F.array(F.lit("Yes"), F.lit("No")), F.array(F.concat(F.lit("00"), (k % 700).cast("string")), ((k * 7 + 3) % 700).cast("string")))
+    m = m.withColumns({"outcome_token_map": tokens, "condition_id": F.concat(F.lit("C"), (k % 900).cast("string")), "experiment_id": F.col("category"), "block_no": (k % 3 + 1).cast("int")})
+    m = m.withColumn("exclusion", F.coalesce("exclusion", F.when((F.col("category") == "5-LOW") & (F.col("block_no") == 1), "not_listed")))
+    held = selection.canonical_identities(m)
+    return held.select("market_key", "event_key", "condition_key", "token_keys", "experiment_id", "category", "block_no", "liquidity", "exclusion", "end_time", "custkey", (k % 700).cast("string").alias("token_key"))
+
+
+def cohort_blocks(spark: SparkSession, candidates_: DataFrame) -> DataFrame:
+    """Five days a block, four targets each; selection takes place later in the second and third block."""
+    at = F.lit("2024-01-05 00:00:00").cast("timestamp") + F.make_interval(secs=(F.col("block_no") - 1) * BLOCK_SECONDS + F.when(F.col("block_no") == 1, 0).when(F.col("block_no") == 2, 3 * 86_400).otherwise(86_400))
+    ends = F.lit("2024-01-05 00:00:00").cast("timestamp") + F.make_interval(secs=F.col("block_no") * BLOCK_SECONDS)
+    held = candidates_.select("experiment_id").distinct().withColumn("block_no", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).withColumns({"selected_at": at, "ends_at": ends})
+    return held.withColumn("capacity", selection.capacity(F.lit(4), F.col("ends_at"), F.col("selected_at"), SLOT_SECONDS))
+
+
+COHORT = BLOCKS + """, pool AS (SELECT k, category, o_custkey, k % 3 + 1 AS block_no, coalesce(liquidity, 0) AS liquid, liquidity, end_time, coalesce(exclusion, CASE WHEN category = '5-LOW' AND k % 3 = 0 THEN 'not_listed' END) AS exclusion,
+ list_distinct(['market:' || k, 'event:' || o_custkey, 'condition:c' || (k % 900), 'token:' || (k % 700), 'token:' || ((k * 7 + 3) % 700)]) AS own FROM j)"""
+#: The fold as a recursion: the next candidate, in order of block, that no identity and no limit forbids.
+FOLD = """, pick(category, n, keys, lims, pref) AS (SELECT category, 0, CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), CAST(0 AS BIGINT) FROM ranked GROUP BY category
+ UNION ALL SELECT p.category, n + 1, list_concat(any_value(keys), arg_min(r.ids, r.pref)), list_concat(any_value(lims), ['block:' || arg_min(r.block_no, r.pref), 'stratum:' || arg_min(r.stratum, r.pref)]), min(r.pref) FROM pick p JOIN ranked r ON r.category = p.category AND r.pref > p.pref
+  AND NOT list_has_any(keys, r.ids) AND len(list_filter(lims, lambda x: x = 'block:' || r.block_no)) < r.capacity AND len(list_filter(lims, lambda x: x = 'stratum:' || r.stratum)) < r.most GROUP BY p.category, n),
+told AS (SELECT r.k, any_value(r.ids) AS ids, any_value(r.stratum) AS stratum, any_value(r.most) AS most, any_value(r.block_no) AS block_no, arg_max(p.keys, p.pref) AS used, arg_max(p.lims, p.pref) AS lims FROM ranked r LEFT JOIN pick p ON p.category = r.category AND p.pref < r.pref GROUP BY r.k),
+chosen AS (SELECT r.k, r.category, r.block_no FROM ranked r JOIN pick p ON p.category = r.category AND p.pref = r.pref)
+"""
+
+
+@query(COHORT + """, ranked AS (SELECT k, category, block_no, own AS ids, CASE block_no WHEN 2 THEN 2 ELSE 4 END AS capacity, '' AS stratum, 1000000 AS most, row_number() OVER (PARTITION BY category ORDER BY block_no, liquid DESC, length(CAST(k AS VARCHAR)), CAST(k AS VARCHAR)) AS pref FROM pool WHERE exclusion IS NULL)""" + FOLD + """,
+short AS (SELECT b.category, min(b.block_no) AS first FROM (SELECT DISTINCT category, unnest([1, 2, 3]) AS block_no FROM pool) b LEFT JOIN (SELECT category, block_no, count(*) AS n FROM chosen GROUP BY ALL) c USING (category, block_no) WHERE coalesce(n, 0) < CASE b.block_no WHEN 2 THEN 2 ELSE 4 END GROUP BY b.category)
+SELECT CAST(p.k AS VARCHAR) AS market_key, p.category AS experiment_id, p.block_no::INTEGER AS block_no, coalesce(exclusion, CASE WHEN p.block_no > first THEN 'predecessor_rejected' WHEN p.k IN (SELECT k FROM chosen) THEN CASE WHEN p.block_no = first THEN 'block_shortfall' ELSE 'selected' END
+ WHEN list_has_any(list_filter(ids, lambda x: x LIKE 'event:%'), used) THEN 'event_id_reused' WHEN list_has_any(ids, used) THEN 'market_identity_reused' ELSE 'rank_below_cutoff' END) AS decision FROM pool p LEFT JOIN told USING (k) LEFT JOIN short USING (category)""")
+def ordered_block_selection(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks all or nothing, in order: what an admitted block took is used up for the next ones."""
+    c = cohort(spark, d)
+    return selection.select_in_order(c, cohort_blocks(spark, c), partial=False).select("market_key", "experiment_id", "block_no", "decision")
+
+
+def protocol_strata(spark: SparkSession) -> DataFrame:
+    """Bands of the protocol: two for each of four categories, by liquidity, spread and horizon."""
+    low, high = (20_000.0, 150_000.0, 0.0, 0.15, 0, None, 4), (120_000.0, None, 0.05, None, 30 * 86_400, None, 5)
+    rows = [(f"{c[0]}-{i}", c, *x) for c in ("1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW") for i, x in enumerate((low, high))]
+    names = "stratum_id string, category string, min_liquidity double, max_liquidity double, min_spread double, max_spread double, min_horizon_s long, max_horizon_s long, max_targets int"
+    return spark.createDataFrame(rows, names)
+
+
+#: Days from an order's date to when its market's outcome may be known.
+KNOWABLE_DAYS = 11_000
+
+
+@query(COHORT + """, timed AS (SELECT *, TIMESTAMP '2024-01-05 00:00:00' + to_seconds((block_no - 1) * 432000 + CASE block_no WHEN 1 THEN 0 WHEN 2 THEN 259200 ELSE 86400 END) AS chosen_at FROM pool),
+books AS (SELECT user_id AS token, ts, event_type = 'error' AS failed, CAST((k % 20) / 100.0 + 0.2 AS DECIMAL(12,10)) AS bid, CAST((k * 3 % 20) / 100.0 + 0.3 AS DECIMAL(12,10)) AS ask, k FROM (SELECT *, CAST(regexp_extract(props, '(\\d+)', 1) AS BIGINT) AS k FROM events)),
+seen AS (SELECT t.k, max((epoch_us(b.ts), b.failed, b.bid, b.ask)) AS b FROM timed t JOIN books b ON b.token = t.k % 700 AND b.ts <= t.chosen_at GROUP BY t.k),
+priced AS (SELECT t.*, CASE WHEN b IS NULL THEN 'book_unavailable' WHEN epoch_us(chosen_at) - b[1] > 21600000000 THEN 'book_stale' WHEN b[2] THEN 'book_unavailable' WHEN b[4] - b[3] <= 0 THEN 'book_invalid' END AS unpriced, b[4] - b[3] AS gap, (epoch_us(end_time + INTERVAL 11000 DAY) - epoch_us(chosen_at)) / 1000000 AS horizon FROM timed t LEFT JOIN seen USING (k)),
+banded AS (SELECT * REPLACE (coalesce(exclusion, unpriced, CASE WHEN stratum_id IS NULL THEN 'no_stratum' END) AS exclusion) FROM (SELECT *, CASE WHEN category IN ('1-URGENT', '2-HIGH', '3-MEDIUM', '5-LOW') AND unpriced IS NULL THEN CASE WHEN liquidity >= 20000 AND liquidity < 150000 AND gap < 0.15 AND horizon >= 0 THEN left(category, 1) || '-0' WHEN liquidity >= 120000 AND gap >= 0.05 AND horizon >= 2592000 THEN left(category, 1) || '-1' END END AS stratum_id FROM priced)),
+ranked AS (SELECT k, category, block_no, list_append(own, 'group:' || (o_custkey % 200)) AS ids, CASE block_no WHEN 2 THEN 2 ELSE 4 END AS capacity, stratum_id AS stratum, CASE WHEN stratum_id LIKE '%-0' THEN 4 ELSE 5 END AS most,
+ row_number() OVER (PARTITION BY category ORDER BY block_no, stratum_id, liquid DESC, length(CAST(k AS VARCHAR)), CAST(k AS VARCHAR)) AS pref FROM banded WHERE exclusion IS NULL)""" + FOLD + """
+SELECT CAST(p.k AS VARCHAR) AS market_key, p.category AS experiment_id, p.block_no::INTEGER AS block_no, p.stratum_id, coalesce(exclusion, CASE WHEN p.k IN (SELECT k FROM chosen) THEN 'selected' WHEN list_has_any(list_filter(ids, lambda x: x NOT LIKE 'group:%'), used) THEN 'identity_reused'
+ WHEN list_has_any(ids, used) THEN 'event_group_reused' WHEN len(list_filter(lims, lambda x: x = 'stratum:' || stratum)) >= most THEN 'stratum_quota' ELSE 'block_capacity' END) AS decision FROM banded p LEFT JOIN told USING (k)""")
 def stratified_block_selection(spark: SparkSession, d: str) -> DataFrame:
-    held = candidates(spark, d).withColumn("liquidity", F.col("liquidity").cast("double"))
-    held = selection.matching_strata(held.withColumn("spread", F.lit(0.0)).withColumn("horizon_s", F.lit(1)), strata(spark))
-    held = held.withColumn("exclusion", F.coalesce("exclusion", F.when(F.col("stratum_id").isNull(), "no_stratum")))
-    return selection.select_blocks(held, "category", 8, ["custkey"], False, strata(spark)).select("market_key", "category", "stratum_id", "decision")
+    """Partial blocks with quotas: spread from the token's latest book, no older than six hours at selection,
+    horizon from the outcome's date, and a capacity from the time that is left of a block."""
+    c = cohort(spark, d)
+    blocks = stored(cohort_blocks(spark, c), "blocks")
+    e = v.table(spark, d, "events").withColumn("k", F.regexp_extract("props", r"(\d+)", 1).cast("long"))
+    price = lambda x, plus: (x / 100 + plus).cast("decimal(12,10)")
+    books = e.select(F.col("user_id").cast("string").alias("token_key"), F.col("ts").alias("observed_at"), price(F.col("k") % 20, 0.2).alias("best_bid"), price(F.col("k") * 3 % 20, 0.3).alias("best_ask"), (F.col("event_type") == "error").alias("failed"))
+    held = selection.with_fresh_spread(c.join(blocks.select("experiment_id", "block_no", "selected_at"), ["experiment_id", "block_no"]), books, 6 * 3600)
+    horizon = micros(F.col("end_time") + F.make_interval(days=F.lit(KNOWABLE_DAYS)), F.col("selected_at")) / 1_000_000
+    held = held.withColumns({"horizon_s": horizon, "liquidity": F.col("liquidity").cast("double"), "spread": F.col("spread").cast("double")})
+    rules = protocol_strata(spark)
+    held = selection.matching_strata(held, rules).join(rules.select("stratum_id", "max_targets"), "stratum_id", "left")
+    held = held.withColumns({"exclusion": F.coalesce("exclusion", "book_exclusion", F.when(F.col("stratum_id").isNull(), "no_stratum")), "event_group": (F.col("custkey") % 200).cast("string")})
+    return selection.select_in_order(held, blocks, partial=True).select("market_key", "experiment_id", "block_no", "stratum_id", "decision")
+
+
+@query("""WITH t AS (SELECT o_orderpriority AS category, o_orderkey AS k, unnest(list_distinct([o_orderkey % 700, (o_orderkey * 7 + 3) % 700])) AS token FROM orders)
+SELECT category, CAST(token AS VARCHAR) AS token_key, count(DISTINCT k) AS markets FROM t GROUP BY ALL HAVING count(DISTINCT k) > 1""")
+def shared_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of several markets of a page, whatever their place and their leading zeros."""
+    k = F.col("market_id").cast("long")
+    tokens = F.map_from_arrays(F.array(F.lit("Yes"), F.lit("No")), F.array(F.concat(F.lit("00"), (k % 700).cast("string")), ((k * 7 + 3) % 700).cast("string")))
+    return selection.shared_tokens(v.markets(spark, d).withColumn("outcome_token_map", tokens), "category")
 
 
 POLLS = """WITH e AS (SELECT event_id, ts, user_id, event_type, CAST(regexp_extract(props, '(\\d+)', 1) AS BIGINT) AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ordinal FROM events),
