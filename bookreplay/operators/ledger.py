@@ -5,13 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bookreplay.functions.columns import stable_id
+from bookreplay.functions.columns import stable_id, unix_micros
 
 
-def observation_id(row: dict[str, Column] | None = None) -> Column:
-    """Identity of an observation: what the source said, not when or by which run it was received."""
-    names = ["source", "source_event_type", "market_id", "condition_id", "token_id", "payload_schema_version", "event_time_raw", "source_sequence", "source_hash", "payload"]
-    return stable_id("obs", *[(row or {}).get(n, F.col(n)) for n in names])
+#: What makes an observation's identity, in order; ``event_time_marker`` is made of the event time's columns.
+OBSERVATION = ["source", "source_event_type", "market_id", "condition_id", "token_id", "payload_schema_version", "event_time_marker", "source_sequence", "source_hash", "payload"]
+
+
+def event_time_marker() -> Column:
+    """``present:`` and the time in microseconds, ``missing``, or ``unparseable:`` and the text: an event without
+    a time is not one whose time says missing."""
+    status = F.col("event_time_status")
+    return (
+        F.when(status == "present", F.concat(F.lit("present:"), unix_micros(F.col("event_time")).cast("string"))).when(status == "missing", "missing")
+        .otherwise(F.concat(F.lit("unparseable:"), F.coalesce("event_time_raw", F.lit(""))))
+    )
+
+
+def observation_id() -> Column:
+    """Identity of an observation: what the source said, not when or by which run it was received. The one recipe of
+    normalisers and audits."""
+    return stable_id("obs", *[event_time_marker() if n == "event_time_marker" else F.col(n) for n in OBSERVATION])
 
 
 def rejection_id() -> Column:
@@ -61,21 +75,28 @@ def open_runs(marks: DataFrame) -> DataFrame:
     return marks.join(closed, "run", "left_anti").groupBy("run").agg(F.min("started_at").alias("started_at"))
 
 
-def capture_health(events: DataFrame) -> DataFrame:
-    """Counters of each run from one row per decoded event and token: ``status`` accepted, duplicate,
-    rejected or not_applicable, and the rejection's reason."""
-    is_ = lambda s: F.col("status") == s
-    return events.groupBy("run").agg(
-        F.count_distinct("frame_no").alias("frames"), F.count_if(is_("accepted")).alias("accepted"), F.count_if(is_("duplicate")).alias("duplicate"),
-        F.count_if(is_("rejected")).alias("rejected"), F.count_if(is_("not_applicable")).alias("not_applicable"),
-        F.count_if(F.col("reason") == "unknown_event_type").alias("unknown_event_type"), F.count_if(F.col("reason") == "malformed_payload").alias("malformed"),
-        F.count_if(F.col("reason") == "invalid_json").alias("invalid_json"),
-    )
+def happened(frames: DataFrame, decoded: DataFrame, produced: DataFrame) -> DataFrame:
+    """run, what (frame, event or record), status, reason, detail: a row for each thing that a capture counts.
+    ``produced`` has a record's status: accepted, duplicate, rejected or not_applicable."""
+    none = [F.lit(None).cast("string").alias(c) for c in ("status", "reason", "detail")]
+    seen = decoded.where("event_idx is not null")
+    parts = [frames.select("run", F.lit("frame").alias("what"), *none), seen.select("run", F.lit("event").alias("what"), *none), produced.select("run", F.lit("record").alias("what"), "status", "reason", "detail")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def capture_health(happened_: DataFrame, counters: dict[str, str]) -> DataFrame:
+    """The counters (name: condition) of each run, zeros kept."""
+    return happened_.groupBy("run").agg(*[F.count_if(F.expr(x)).alias(c) for c, x in counters.items()])
 
 
 def identity_disagreements(observations: DataFrame) -> DataFrame:
     """Observations whose stored id is not what their fields give."""
-    return observations.withColumn("recomputed", observation_id()).where("recomputed <> observation_id")
+    return observations.withColumn("recomputed", observation_id()).where("not recomputed <=> observation_id")
+
+
+def rejection_disagreements(rejections: DataFrame) -> DataFrame:
+    """Rejections whose stored id is not what their fields give."""
+    return rejections.withColumn("recomputed", rejection_id()).where("not recomputed <=> rejection_id")
 
 
 def archived(payloads: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bookreplay.functions.columns import PRICE, SIZE, event_time, first_reason, micros, stable_id, wire_decimal
 from bookreplay.functions.windows import BLOCK
+from bookreplay.operators import ledger
 
 # Fixed values of the wire format.
 EVENT_TYPES = ["book", "last_trade_price", "price_change"]
@@ -19,6 +20,7 @@ REASONS = [
     "malformed_payload", "unknown_event_type", "schema_version_mismatch", "invalid_timestamp", "duplicate_event", "late_event", "out_of_order_event",
     "backpressure", "quarantined_mapping", "ambiguous_contract",
 ]
+SOURCE = "clob_ws"
 MAX_PAYLOAD = 1 << 20
 AHEAD_SECONDS = 2
 
@@ -166,15 +168,17 @@ def envelopes(accepted: DataFrame) -> DataFrame:
     held = held.withColumn("payload", F.to_json("event")).withColumn("condition_id", F.lower(text_at(F.col("event"), "$.market")))
     large = F.octet_length("payload") > MAX_PAYLOAD
     held = held.withColumn("reason", F.when(large, "malformed_payload").otherwise(F.col("reason"))).withColumn("status", F.when(large, "rejected").otherwise(F.col("status")))
-    marker = F.coalesce("event_time_raw", F.lit("missing"))
-    return held.withColumn("observation_id", stable_id("obs", F.lit("clob_ws"), F.col("event_type"), F.col("condition_id"), F.col("token_id"), marker, F.col("payload")))
+    none = F.lit(None).cast("string")
+    held = held.withColumns({
+        "source": F.lit(SOURCE), "source_event_type": F.col("event_type"), "market_id": none, "payload_schema_version": F.concat("event_type", F.lit(".v1")), "source_sequence": none, "source_hash": text_at(F.col("event"), "$.hash"),
+    })
+    return held.withColumn("observation_id", ledger.observation_id())
 
 
 def rejections(produced: DataFrame) -> DataFrame:
     """Rejection rows with a grouping id: equal refusals of one frame share it."""
     gone = produced.where("status = 'rejected'")
-    sha = F.sha2("raw", 256)
-    return gone.withColumn("raw_sha256", sha).withColumn("rejection_id", stable_id("rej", sha, F.col("reason"), F.col("detail"), F.col("token_id")))
+    return gone.withColumns({"raw_sha256": F.sha2("raw", 256), "scope": F.col("token_id")}).withColumn("rejection_id", ledger.rejection_id())
 
 
 def level_rows(accepted: DataFrame) -> DataFrame:

@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bookreplay.functions.columns import PRICE, SIZE, canonical_decimal, event_time, neutralized, stable_id, wire_decimal
-from bookreplay.functions.storage import fresh_dir
+from bookreplay.functions.storage import fresh_dir, stored
 from bookreplay.operators import ledger, normalise
 from bookreplay.plans import views as v
 from bookreplay.plans.queries import dbl, query
 from bookreplay.plans.views import with_views
 from bookreplay.sources import landing
+from bookreplay.streaming import capture_stream
 
 
 def for_spark(sql: str) -> str:
@@ -88,14 +89,14 @@ def frames(spark: SparkSession, d: str) -> DataFrame:
     return wire(spark, d).select("run", F.col("e").alias("frame_no"), F.col("ts").cast("timestamp").alias("received_time"), F.expr(for_spark(RAW)).alias("raw"), F.lit("ws").alias("source"), F.lit("market").alias("endpoint"))
 
 
-def routed(spark: SparkSession, d: str) -> DataFrame:
+def routed(spark: SparkSession, d: str, landed: DataFrame | None = None) -> DataFrame:
     subscriptions = wire(spark, d).where("u % 4 <> 3").select("run", F.expr(TOKEN).alias("token_id")).distinct()
-    return normalise.routed(normalise.decoded_events(frames(spark, d)), subscriptions)
+    return normalise.routed(normalise.decoded_events(frames(spark, d) if landed is None else landed), subscriptions)
 
 
-def produced(spark: SparkSession, d: str) -> DataFrame:
+def produced(spark: SparkSession, d: str, landed: DataFrame | None = None) -> DataFrame:
     """Every event of every subscribed token after its own normaliser, refusals included."""
-    r = routed(spark, d)
+    r = routed(spark, d, landed)
     parts = [normalise.price_changes(r), normalise.book_snapshots(r), normalise.trades(r), r.where("status <> 'pending'")]
     names = ["run", "frame_no", "event_idx", "token_id", "event_type", "status", "reason", "detail", "raw", "received_time", "event"]
     out = parts[0].select(*names)
@@ -188,11 +189,11 @@ def envelopes(spark: SparkSession, d: str) -> DataFrame:
     return found.select("run", "seq", "token_id", "event_time_status", "event_time", F.array_join("quality_flags", "|").alias("quality_flags"), "condition_id")
 
 
-MARKER = "CASE event_time_status WHEN 'missing' THEN 'missing' WHEN 'unparseable' THEN 'soon' ELSE CAST(ms AS VARCHAR) END"
+MARKER = "CASE event_time_status WHEN 'missing' THEN 'missing' WHEN 'unparseable' THEN 'unparseable:soon' ELSE 'present:' || CAST(ms * 1000 AS VARCHAR) END"
 TRADE_TEXT = for_duck(TRADE)
 
 
-@query(WIRE + ENVELOPES + f", ids AS (SELECT run, seq, event_type, '0x' || sha256(CAST(u % 4 AS VARCHAR)) AS condition_id, token_id, {MARKER} AS marker, {TRADE_TEXT} AS payload FROM stamped WHERE event_type = 'last_trade_price')\nSELECT run, seq, " + identity("obs", "'clob_ws'", "event_type", "condition_id", "token_id", "marker", "payload") + " AS observation_id FROM ids")
+@query(WIRE + ENVELOPES + f", ids AS (SELECT run, seq, event_type, '0x' || sha256(CAST(u % 4 AS VARCHAR)) AS condition_id, token_id, {MARKER} AS marker, {TRADE_TEXT} AS payload FROM stamped WHERE event_type = 'last_trade_price')\nSELECT run, seq, " + identity("obs", "'clob_ws'", "event_type", "CAST(NULL AS VARCHAR)", "condition_id", "token_id", "event_type || '.v1'", "marker", "CAST(NULL AS VARCHAR)", "CAST(NULL AS VARCHAR)", "payload") + " AS observation_id FROM ids")
 def trade_observation_ids(spark: SparkSession, d: str) -> DataFrame:
     numbered = normalise.with_sequence(produced(spark, d)).where("status = 'accepted' and event_type = 'last_trade_price'")
     return normalise.envelopes(numbered).select("run", "seq", "observation_id")
@@ -203,10 +204,50 @@ def rejection_rows(spark: SparkSession, d: str) -> DataFrame:
     return normalise.rejections(normalise.with_sequence(produced(spark, d))).select("run", "seq", "token_id", "reason", "detail", "raw_sha256", "rejection_id")
 
 
-@query(WIRE + """SELECT run, count(DISTINCT frame_no) AS frames, count(*) FILTER (status = 'accepted') AS accepted, count(*) FILTER (status = 'duplicate') AS duplicate, count(*) FILTER (status = 'rejected') AS rejected, count(*) FILTER (status = 'not_applicable') AS not_applicable,
- count(*) FILTER (reason = 'unknown_event_type') AS unknown_event_type, count(*) FILTER (reason = 'malformed_payload') AS malformed FROM produced GROUP BY run""")
+def sent_again(spark: SparkSession, d: str) -> DataFrame:
+    """The frames, every seventeenth sent a second time a minute later: its records are duplicates."""
+    f = frames(spark, d)
+    return f.unionByName(f.where("frame_no % 17 = 0").withColumns({"frame_no": F.col("frame_no") + AGAIN, "received_time": F.col("received_time") + F.expr("INTERVAL 1 MINUTE")}))
+
+
+AGAIN = 10_000_000
+
+
+def happened(spark: SparkSession, d: str) -> DataFrame:
+    f = stored(sent_again(spark, d), "frames")
+    made = stored(normalise.with_sequence(produced(spark, d, f)).withColumn("event_json", F.to_json("event")).drop("event"), "records")
+    known = normalise.envelopes(made.where("status = 'accepted'").withColumn("event", F.parse_json("event_json")))
+    judged = ledger.with_disposition(known.select("run", "seq", "observation_id", "received_time"))
+    twice = judged.where("disposition = 'duplicate'").select("run", "seq", F.lit(True).alias("_twice"))
+    records = made.select("run", "seq", "status", "reason", "detail").join(twice, ["run", "seq"], "left").withColumn("status", F.when(F.col("_twice"), "duplicate").otherwise(F.col("status")))
+    # What no token of the run applied to has no number.
+    skipped = routed(spark, d, f).where("status = 'not_applicable'")
+    return ledger.happened(f, normalise.decoded_events(f), records.unionByName(skipped.select("run", "status", "reason", "detail"), allowMissingColumns=True))
+
+
+HEALTH = WIRE + f""", taken AS (SELECT p.run, p.frame_no, p.token_id, raw, received, 0 AS again FROM produced p JOIN (SELECT e, {for_duck(EVENT)} AS raw, ts AS received FROM f) ON e = frame_no WHERE status = 'accepted'),
+copies AS (SELECT run, count(*) FILTER (nth > 1) AS duplicate FROM (SELECT run, row_number() OVER (PARTITION BY token_id, raw ORDER BY received, run, again, frame_no) AS nth FROM (SELECT * FROM taken UNION ALL SELECT run, frame_no, token_id, raw, received + INTERVAL 1 MINUTE, 1 FROM taken WHERE frame_no % 17 = 0)) GROUP BY run)""" + """, counted AS (SELECT run, sum(w) AS frames_consumed FROM (SELECT run, CASE WHEN e % 17 = 0 THEN 2 ELSE 1 END AS w FROM f) GROUP BY run),
+events_of AS (SELECT run, sum(w) AS events_seen FROM (SELECT run, CASE WHEN frame_no % 17 = 0 THEN 2 ELSE 1 END AS w FROM decoded WHERE event_idx IS NOT NULL) GROUP BY run),
+records AS (SELECT run, coalesce(sum(w) FILTER (detail IN ('not_json', 'scalar_frame')), 0) AS decode_failures, sum(w) FILTER (status = 'accepted') AS taken, coalesce(sum(w) FILTER (status = 'rejected'), 0) AS rejected,
+ coalesce(sum(w) FILTER (status = 'not_applicable'), 0) AS not_applicable, coalesce(sum(w) FILTER (reason = 'unknown_event_type'), 0) AS unknown_event_type FROM (SELECT *, CASE WHEN frame_no % 17 = 0 THEN 2 ELSE 1 END AS w FROM produced) GROUP BY run),
+health AS (SELECT run, frames_consumed::BIGINT AS frames_consumed, decode_failures::BIGINT AS decode_failures, events_seen::BIGINT AS events_seen, (taken - duplicate)::BIGINT AS accepted, duplicate, rejected::BIGINT AS rejected, not_applicable::BIGINT AS not_applicable, unknown_event_type::BIGINT AS unknown_event_type FROM counted JOIN events_of USING (run) JOIN records USING (run) JOIN copies USING (run))
+"""
+
+
+@query(HEALTH + "SELECT * FROM health")
 def capture_health(spark: SparkSession, d: str) -> DataFrame:
-    return ledger.capture_health(produced(spark, d)).drop("invalid_json")
+    """The eight counters of a capture, by their names."""
+    return ledger.capture_health(happened(spark, d), capture_stream.COUNTERS)
+
+
+@query(HEALTH + "SELECT " + ", ".join(f"sum({c})::BIGINT AS {c}" for c in capture_stream.COUNTERS) + " FROM health")
+def observed_health(spark: SparkSession, d: str) -> DataFrame:
+    """The same counters as a stream observes them batch by batch, summed over its batches."""
+    from bookreplay.plans.streams import played
+
+    query_ = played(spark, stored(happened(spark, d).repartition(3), "happened"), capture_stream.observed, None)
+    found = capture_stream.totals(query_)
+    return spark.createDataFrame([tuple(found.values())], ", ".join(f"{c} long" for c in found))
 
 
 # --- text columns ---------------------------------------------------------------------------------
@@ -298,12 +339,17 @@ def token_settlements(spark: SparkSession, d: str) -> DataFrame:
 
 # --- identities -----------------------------------------------------------------------------------
 
-OBSERVATION = {"source": "'clob_ws'", "source_event_type": "event_type", "market_id": "NULL", "condition_id": "CAST(user_id % 7 AS STRING)", "token_id": "CAST(user_id AS STRING)", "payload_schema_version": "'v1'", "event_time_raw": "CASE WHEN event_id % 29 <> 0 THEN CAST(event_id AS STRING) END",
+OBSERVATION = {"source": "'clob_ws'", "source_event_type": "event_type", "market_id": "NULL", "condition_id": "CAST(user_id % 7 AS STRING)", "token_id": "CAST(user_id AS STRING)", "payload_schema_version": "'v1'", "event_time_marker": "CASE WHEN event_id % 29 = 0 THEN 'missing' WHEN event_id % 31 = 0 THEN 'unparseable:missing' ELSE 'present:' || event_id * 1000000 END",
                "source_sequence": "NULL", "source_hash": "CASE WHEN event_id % 3 = 0 THEN 'é' || event_id END", "payload": "props"}
 
 
 def observations(spark: SparkSession, d: str) -> DataFrame:
-    held = v.table(spark, d, "events").select("event_id", *[F.expr(x).cast("string").alias(n) for n, x in OBSERVATION.items()])
+    """Some event times are missing, and some are the text missing."""
+    e = F.col("event_id")
+    status = F.when(e % 29 == 0, "missing").when(e % 31 == 0, "unparseable").otherwise("present")
+    held = v.table(spark, d, "events").withColumns({"event_time_status": status, "event_time": F.when(status == "present", F.timestamp_seconds("event_id")), "event_time_raw": F.when(status == "unparseable", "missing")})
+    given = {n: x for n, x in OBSERVATION.items() if n != "event_time_marker"}
+    held = held.select("event_id", "event_time_status", "event_time", "event_time_raw", *[F.expr(x).cast("string").alias(n) for n, x in given.items()])
     return held.withColumn("observation_id", ledger.observation_id())
 
 
@@ -315,11 +361,16 @@ def observation_ids(spark: SparkSession, d: str) -> DataFrame:
     return observations(spark, d).select("event_id", "observation_id")
 
 
-@query("SELECT event_id FROM events WHERE event_id % 101 = 0")
+@query(WIRE + "SELECT run, seq, CASE status WHEN 'accepted' THEN 'observation' ELSE 'rejection' END AS kind FROM numbered WHERE seq % 101 = 0")
 def identity_audit(spark: SparkSession, d: str) -> DataFrame:
-    """Stored ids that their fields don't give: every 101st is damaged here."""
-    damaged = F.when(F.col("event_id") % 101 == 0, F.reverse("observation_id")).otherwise(F.col("observation_id"))
-    return ledger.identity_disagreements(observations(spark, d).withColumn("observation_id", damaged)).select("event_id")
+    """The normalisers' own rows, accepted and refused, whose stored ids their fields don't give: of every run
+    each 101st is damaged here."""
+    made = normalise.with_sequence(produced(spark, d))
+    damaged = lambda c: F.when(F.col("seq") % 101 == 0, F.reverse(c)).otherwise(F.col(c))
+    kept = normalise.envelopes(made.where("status = 'accepted'")).withColumn("observation_id", damaged("observation_id"))
+    gone = normalise.rejections(made).withColumn("rejection_id", damaged("rejection_id"))
+    found = ledger.identity_disagreements(kept).select("run", "seq", F.lit("observation").alias("kind"))
+    return found.unionByName(ledger.rejection_disagreements(gone).select("run", "seq", F.lit("rejection").alias("kind")))
 
 
 @query("WITH g AS (SELECT event_id, sha256(props) AS raw_sha256, event_type AS reason, CASE WHEN event_id % 2 = 0 THEN 'late' END AS detail, CAST(user_id % 5 AS VARCHAR) AS scope FROM events)\nSELECT rejection_id, count(*) AS refusals FROM (SELECT " + identity("rej", "raw_sha256", "reason", "detail", "scope") + " AS rejection_id FROM g) GROUP BY ALL")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,18 +34,36 @@ def dbl(*names: str) -> list:
 
 
 class Replay:
-    """The operators' common inputs, built on demand. What several of a query's operators read is
-    ``shared``: stored once rather than planned again for each."""
+    """The operators' common inputs, built when they are asked for. What several of a query's operators read is
+    stored once rather than planned again for each: ``keep`` names those parts, ``shared`` means all."""
 
-    def __init__(self, spark: SparkSession, d: str, shared: bool = False):
+    def __init__(self, spark: SparkSession, d: str, shared: bool = False, keep: tuple[str, ...] = ()):
         self.spark, self.d = spark, d
-        keep = stored if shared else lambda df, _: df
-        self.arrivals = keep(v.arrivals(spark, d), "arrivals")
-        self.outcomes = keep(book.dispatched(self.arrivals), "outcomes")
-        self.inputs = keep(book.segmented(self.outcomes), "inputs")
+        self.keep = ("arrivals", "outcomes", "inputs", "writes", "trades") if shared else keep
         self.ops = v.level_ops(spark, d)
-        self.writes = keep(book.level_writes(self.inputs, self.ops), "writes")
-        self.trades = keep(book.applied_trades(self.outcomes, v.trades(spark, d)), "trades")
+
+    def _kept(self, df: DataFrame, name: str) -> DataFrame:
+        return stored(df, name) if name in self.keep else df
+
+    @cached_property
+    def arrivals(self) -> DataFrame:
+        return self._kept(v.arrivals(self.spark, self.d), "arrivals")
+
+    @cached_property
+    def outcomes(self) -> DataFrame:
+        return self._kept(book.dispatched(self.arrivals), "outcomes")
+
+    @cached_property
+    def inputs(self) -> DataFrame:
+        return self._kept(book.segmented(self.outcomes), "inputs")
+
+    @cached_property
+    def writes(self) -> DataFrame:
+        return self._kept(book.level_writes(self.inputs, self.ops), "writes")
+
+    @cached_property
+    def trades(self) -> DataFrame:
+        return self._kept(book.applied_trades(self.outcomes, v.trades(self.spark, self.d)), "trades")
 
     def states(self) -> DataFrame:
         return forecast.states(self.changes(), book.with_midpoint(book.top_of_book(self.inputs, self.writes)), self.trades)
@@ -84,7 +103,7 @@ SELECT run, token_id, round(CAST(best_bid AS DOUBLE), 9) AS best_bid, round(CAST
  round(CAST(ask_size AS DOUBLE), 9) AS ask_size, bid_levels, ask_levels, round(CAST((best_bid + best_ask) / 2 AS DOUBLE), 9) AS midpoint, round(CAST(best_ask - best_bid AS DOUBLE), 9) AS spread,
  round(CAST(last_trade AS DOUBLE), 9) AS last_trade FROM top LEFT JOIN sold USING (run, token_id)""")
 def final_quotes(spark: SparkSession, d: str) -> DataFrame:
-    r = Replay(spark, d)
+    r = Replay(spark, d, keep=("outcomes",))
     q = book.final_quotes(book.final_levels(r.writes), r.trades)
     return q.select("run", "token_id", "bid_levels", "ask_levels", *dbl("best_bid", "best_ask", "bid_size", "ask_size", "midpoint", "spread", "last_trade"))
 
@@ -105,14 +124,14 @@ def levels_as_of(spark: SparkSession, d: str) -> DataFrame:
 @query(with_views("numbered", "arrivals", "dispatched", "level_ops", "segments", "top") + """SELECT run, token_id, seq, bid_levels, ask_levels, round(CAST(best_bid AS DOUBLE), 9) AS best_bid,
  round(CAST(best_ask AS DOUBLE), 9) AS best_ask, round(CAST((best_bid + best_ask) / 2 AS DOUBLE), 9) AS midpoint, round(CAST(best_ask - best_bid AS DOUBLE), 9) AS spread FROM tops""")
 def top_of_book(spark: SparkSession, d: str) -> DataFrame:
-    r = Replay(spark, d)
+    r = Replay(spark, d, keep=("inputs", "writes"))
     top = book.with_midpoint(book.top_of_book(r.inputs, r.writes))
     return top.select("run", "token_id", "seq", "bid_levels", "ask_levels", *dbl("best_bid", "best_ask", "midpoint", "spread"))
 
 
 @query(REPLAY + "SELECT run, seq, outcome, lateness FROM marked")
 def arrival_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    return lateness.with_lateness(Replay(spark, d).outcomes).select("run", "seq", "outcome", "lateness")
+    return lateness.with_lateness(Replay(spark, d, keep=("outcomes",)).outcomes).select("run", "seq", "outcome", "lateness")
 
 
 @query(REPLAY + """SELECT run, count(*) FILTER (outcome = 'applied_snapshot') AS applied_snapshot, count(*) FILTER (outcome = 'applied_delta') AS applied_delta,
@@ -120,7 +139,7 @@ def arrival_outcomes(spark: SparkSession, d: str) -> DataFrame:
  count(*) FILTER (outcome = 'unscoped') AS unscoped, count(*) FILTER (applied AND lateness = 'on_time') AS on_time, count(*) FILTER (applied AND lateness = 'late') AS late,
  count(*) FILTER (applied AND lateness = 'undatable') AS undatable FROM marked GROUP BY run""")
 def dispatch_counts(spark: SparkSession, d: str) -> DataFrame:
-    return lateness.dispatch_counts(lateness.with_lateness(Replay(spark, d).outcomes))
+    return lateness.dispatch_counts(lateness.with_lateness(Replay(spark, d, keep=("outcomes",)).outcomes))
 
 
 @query(with_views("numbered", "arrivals") + "SELECT run, CAST(sum(gap) AS BIGINT) AS sequence_gaps FROM (SELECT run, coalesce(greatest(seq - lag(seq) OVER (PARTITION BY run ORDER BY seq) - 1, 0), 0) AS gap FROM arrivals) GROUP BY run")
@@ -396,7 +415,7 @@ def calibration_slices(spark: SparkSession, d: str) -> DataFrame:
  CASE WHEN h <= 0 THEN 'after-resolution' WHEN h < 1 THEN 'under-1h' WHEN h < 24 THEN '1h-1d' WHEN h < 168 THEN '1d-7d' WHEN h IS NULL THEN 'unknown' ELSE 'over-7d' END AS lead, count(*) AS count
  FROM (SELECT CAST(best_ask - best_bid AS DOUBLE) AS s, (epoch_us(TIMESTAMP '2024-01-25 00:00:00') - epoch_us(event_time)) / 3600000000.0 AS h FROM tops) GROUP BY ALL""")
 def quote_buckets(spark: SparkSession, d: str) -> DataFrame:
-    r = Replay(spark, d)
+    r = Replay(spark, d, keep=("inputs", "writes"))
     top = book.with_midpoint(book.top_of_book(r.inputs, r.writes)).join(r.inputs.select("run", "seq", "event_time"), ["run", "seq"])
     lead = scoring.lead_bucket(F.col("event_time"), F.lit("2024-01-25 00:00:00").cast("timestamp"))
     return top.groupBy(scoring.spread_bucket(F.col("spread")).alias("bucket"), lead.alias("lead")).agg(F.count(F.lit(1)).alias("count"))

@@ -109,14 +109,12 @@ def test_ledger(spark):
     rej = df(spark, "run string, seq long, reason string", ("r", 2, "x"))
     assert ledger.arrivals(d, rej).count() == 5 and rows(ledger.sequence_violations(d, rej), "run", "seq", "uses") == [("r", 2, 2)]
     assert ledger.resolved_deliveries(d, d.select("observation_id").distinct().withColumn("payload", F.lit(1))).where("payload is null").count() == 0
-    health = df(spark, "run string, frame_no long, status string, reason string", ("r", 1, "accepted", None), ("r", 1, "not_applicable", None), ("r", 2, "rejected", "unknown_event_type"))
-    h = ledger.capture_health(health).first()
-    assert (h.frames, h.accepted, h.rejected, h.not_applicable, h.unknown_event_type) == (2, 1, 1, 1, 1)
     raw = df(spark, "raw string, source string, endpoint string, retrieved_at timestamp, raw_sha256 string", ("x", "late", "e", T0 + H, "k"), ("x", "first", "e", T0, "k"), ("y", "s", "e", T0, "k"))
     assert rows(ledger.archived(raw), "raw", "source", "copies") == [("x", "first", 2), ("y", "s", 1)] and ledger.archive_conflicts(raw).first().contents == 2
-    obs = df(spark, "source string, source_event_type string, market_id string, condition_id string, token_id string, payload_schema_version string, event_time_raw string, source_sequence string, source_hash string, payload string", ("s", "t", None, "c", "1", "v", "5", None, None, "{}"))
+    obs = df(spark, "source string, source_event_type string, market_id string, condition_id string, token_id string, payload_schema_version string, event_time_status string, event_time timestamp, event_time_raw string, source_sequence string, source_hash string, payload string", ("s", "t", None, "c", "1", "v", "missing", None, None, None, None, "{}"), ("s", "t", None, "c", "1", "v", "unparseable", None, "missing", None, None, "{}"), ("s", "t", None, "c", "1", "v", "present", T0, "5", None, None, "{}"))
     held = obs.withColumn("observation_id", ledger.observation_id())
-    assert ledger.identity_disagreements(held).count() == 0 and ledger.identity_disagreements(held.withColumn("payload", F.lit("[]"))).count() == 1
+    assert ledger.identity_disagreements(held).count() == 0 and ledger.identity_disagreements(held.withColumn("payload", F.lit("[]"))).count() == 3
+    assert held.select("observation_id").distinct().count() == 3 and ledger.identity_disagreements(held.withColumn("observation_id", F.lit(None).cast("string"))).count() == 3
     assert ledger.ledger_differences(d, d.withColumn("received_time", F.lit(T0)), ["received_time"]).count() == 0
 
 

@@ -94,6 +94,13 @@ def test_envelopes(spark):
     assert [got[i].event_time_status for i in range(4)] == ["present", "present", "missing", "unparseable"]
     assert got[0].quality_flags == ["event_time_ahead_of_receipt"] and got[1].quality_flags == [] and got[3].event_time_raw == "soon"
     assert got[0].observation_id != got[1].observation_id and got[0].condition_id == COND.lower()
+    # A time that says missing is not a missing time, and the ledger's audit reads the normalisers' rows.
+    said = n.trades(n.routed(n.decoded_events(frames(spark, trade(timestamp="missing"), trade(timestamp=""))), subs(spark, "1")))
+    assert len({r.observation_id for r in n.envelopes(said).collect()}) == 2
+    from bookreplay.operators import ledger
+
+    assert ledger.identity_disagreements(n.envelopes(said)).count() == 0
+    assert ledger.rejection_disagreements(n.rejections(n.routed(n.decoded_events(frames(spark, "not json", "7")), subs(spark, "1")))).count() == 0
 
 
 def market(**more):
