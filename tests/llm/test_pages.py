@@ -310,3 +310,83 @@ def test_pipeline_takes_null_and_repeated_ids_and_empty_tables(spark, tmp_path):
                 if k == 1:  # unlike texts all stay, whatever their ids; copies of one row are one
                     assert collections.Counter((r.doc_id, r.text) for r in kept) == collections.Counter({(i, t): 1 for i, t, *_ in data if t})
         assert (df.count() > 0) == bool(data)
+
+
+def test_words_beside_shared_blocks_stay(spark):
+    """A header and a footer on six pages, and stories that begin and end alike: nothing of a story goes."""
+    story = lambda i: f"Page {'abcdef'[i]} unique story text about topic {'stuvwx'[i]} and more words here."
+    page = lambda i: f"<div>Home News Sport Weather Travel</div><div>{story(i)}</div><div>All rights reserved by the owners</div>"
+    df = spark.createDataFrame([(i, f"http://a.com/{i}", page(i)) for i in range(6)], "page_id long, url string, html string")
+    # "and more words here." and the footer are ten words on every page: of the story's block that is neither all nor eight.
+    assert {r.page_id: r.text for r in html_extract.main_text(df, run=8).collect()} == {i: f"Home News Sport Weather Travel {story(i)}" for i in range(6)}
+    menu = "<ul>" + "".join(f"<li>{x}</li>" for x in "Home News Sport Weather Travel Money Food Music Film".split()) + "</ul>"
+    page = lambda i: f"{menu}<div>{story(i)}</div><div>All rights reserved by the owners of this very site</div>"
+    df = spark.createDataFrame([(i, f"http://a.com/{i}", page(i)) for i in range(6)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_extract.main_text(df).collect()} == {i: story(i) for i in range(6)}
+    # One page alone has nothing to compare with: the runs decide, not the markup.
+    assert html_extract.main_text(df.where("page_id = 0")).first().text.startswith("Home News")
+
+
+def test_compound_class_names():
+    story = "the whole story that fills most of what this page has to say to anyone who reads it"
+    text = lambda p: " ".join(t for k, t in html_extract.parse(p) if k != html_extract.BOILERPLATE)
+    for name in ("ad-container", "comment-list", "cookie-banner", "share-buttons", "article_ads", "page-nav-links"):
+        for p in (f"<article><p>{story}</p><div class='{name}'>gone</div></article>", f"<div>{story}</div><div class='x {name}'><p>gone</p></div>"):
+            assert text(p) == story, (name, p)
+    for name in ("site-header", "site-footer", "page-header-wrapper"):
+        assert text(f"<div class='{name}'>gone</div><div>{story}</div>") == story, name
+    for name in ("search-results", "no-sidebar", "layout-with-sidebar", "entry-content", "thread-header-comment-free"):
+        assert text(f"<div class='{name}'>here</div><div>{story}</div>") == f"here {story}", name
+    assert text(f"<article><div class='entry-header'>Title</div>{story}</article>") == f"Title {story}"
+    # What holds most of the page is not judged by a compound name.
+    assert text(f"<div class='main-sidebar'>{story}<p>x</p></div>") == f"{story} x"
+
+
+def slow_unique(pages, run):
+    """page -> words kept: maximal stretches whose every window of ``run`` words stands in another page; of a block they
+    cover all of it or ``run`` words of it or nothing."""
+    streams = {p: " ".join(blocks).split(" ") for p, blocks in pages.items()}
+    windows = {p: [tuple(s[i : i + run]) for i in range(len(s) - run + 1)] for p, s in streams.items()}
+    out = {}
+    for p, blocks in pages.items():
+        other = {w for q in pages if streams[q] != streams[p] for w in windows[q]}
+        hit = [w in other for w in windows[p]] + [False]
+        stretches, i = [], 0
+        while i < len(hit):
+            k = i
+            while hit[k]:
+                k += 1
+            if k > i:
+                stretches.append((i, k - 1 + run))
+            i = k + 1
+        kept, at = [], 0
+        for b in blocks:
+            words = b.split(" ")
+            whole = (at, at + len(words))
+            gone = set()
+            for lo, hi in stretches:
+                a, z = max(lo, whole[0]), min(hi, whole[1])
+                if z > a and (z - a >= run or (a, z) == whole):
+                    gone |= set(range(a, z))
+            kept += [w for i, w in enumerate(words, at) if i not in gone]
+            at += len(words)
+        out[p] = " ".join(kept)
+    return out
+
+
+def test_unique_words_are_the_slow_version_s(spark):
+    import random
+
+    rng = random.Random(7)
+    parts = [" ".join(rng.choice("abcde") + str(rng.randrange(4)) for _ in range(n)) for n in (1, 2, 3, 5, 8, 9, 13)]
+    pages = {}
+    for p in range(14):
+        blocks = []
+        for _ in range(rng.randrange(2, 7)):
+            b = rng.choice(parts) if rng.random() < 0.6 else " ".join(f"p{p}x{rng.randrange(30)}" for _ in range(rng.randrange(1, 9)))
+            blocks.append(b if rng.random() < 0.6 else f"{b} {rng.choice(parts)}")
+        pages[p] = blocks
+    df = spark.createDataFrame([(p, f"http://a.com/{p}", "".join(f"<p>{b}</p>" for b in blocks)) for p, blocks in pages.items()], "page_id long, url string, html string")
+    want = slow_unique(pages, 4)
+    assert {r.page_id: r.text for r in html_extract.main_text(df, run=4).collect()} == want
+    assert any(want[p] != " ".join(b) for p, b in pages.items())
