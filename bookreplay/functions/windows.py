@@ -30,7 +30,7 @@ def running(
     sums = held.groupBy(*by, "_block").agg(*[fold[k](f"_v_{n}").alias(f"_p_{n}") for n, (k, _) in columns.items()])
     carried = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     before = sums.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_block").alias("_b"), *[_carry(k, over, f"_p_{n}").over(carried).alias(f"_p_{n}") for n, (k, _) in columns.items()])
-    meet = F.col("_block") == F.col("_b")
+    meet = F.col("_block").eqNullSafe(F.col("_b"))
     for c in by:
         meet = meet & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
     held = held.join(before, meet)

@@ -7,16 +7,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bookreplay.functions.columns import digest, reasons
+from bookreplay.functions.windows import running
 
 
 def chain_violations(links: DataFrame, by: str, order: str, parts: list[str], own: str = "id", previous: str = "previous_id", at: str | None = None) -> DataFrame:
     """Links whose id isn't the hash of their parts and predecessor, that don't name the link before
-    them, or that go back in time."""
-    w = Window.partitionBy(by).orderBy(order)
-    checks = [(F.col(own) != digest(*[F.col(p) for p in parts], F.col(previous)), "id"), (~F.col(previous).eqNullSafe(F.lag(own).over(w)), "predecessor")]
+    them, or that go back in time. ``order`` is a whole number; a long chain is many blocks."""
+    held = running(links, {"_before": ("last_row", F.struct(F.col(own).alias("id"), *([F.col(at).alias("at")] if at else [])))}, by=by, order=order)
+    checks = [(F.col(own) != digest(*[F.col(p) for p in parts], F.col(previous)), "id"), (~F.col(previous).eqNullSafe(F.col("_before.id")), "predecessor")]
     if at:
-        checks.append((F.col(at) < F.lag(at).over(w), "time_order"))
-    return links.withColumn("violations", reasons(*checks)).where(F.size("violations") > 0)
+        checks.append((F.col(at) < F.col("_before.at"), "time_order"))
+    return held.withColumn("violations", reasons(*checks)).where(F.size("violations") > 0).drop("_before")
 
 
 def seal_violations(links: DataFrame, seals: DataFrame, by: str, order: str, own: str = "id") -> DataFrame:
@@ -109,8 +110,8 @@ def cap_violations(captures: DataFrame) -> DataFrame:
 
 def inventory_violations(frames: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Runs whose frames are out of order or whose totals aren't those of the run's outcome."""
-    w = Window.partitionBy("run").orderBy("frame_no")
-    held = frames.withColumn("_gap", F.col("frame_no") != F.lag("frame_no").over(w) + 1).withColumn("_back", F.col("received_time") < F.lag("received_time").over(w))
+    held = running(frames, {"_before": ("last_row", F.struct("frame_no", "received_time"))}, order="frame_no")
+    held = held.withColumn("_gap", F.col("frame_no") != F.col("_before.frame_no") + 1).withColumn("_back", F.col("received_time") < F.col("_before.received_time"))
     totals = held.groupBy("run").agg(F.count(F.lit(1)).alias("_n"), F.sum("byte_length").alias("_bytes"), F.max("_gap").alias("_g"), F.max("_back").alias("_b"))
     return totals.join(outcomes, "run", "full_outer").withColumn("violations", reasons(
         (F.col("_g"), "frame_numbers"), (F.col("_b"), "time_order"), (~F.col("_n").eqNullSafe(F.col("frames")), "frames"), (~F.col("_bytes").eqNullSafe(F.col("bytes")), "bytes"),

@@ -26,7 +26,9 @@ def dispatched(arrivals: DataFrame) -> DataFrame:
     handled = F.col("payload_type").isin(HANDLED)
     scoped = F.col("token_id").isNotNull() & F.col("condition_id").isNotNull()
     able = (F.col("kind") == "delivery") & handled & scoped
-    nth = F.row_number().over(Window.partitionBy("run", "observation_id", "_able").orderBy("seq"))
+    # Other rows stand alone, so those without an id don't gather.
+    alone = F.when(F.col("_able"), F.lit(None).cast("long")).otherwise(F.col("seq"))
+    nth = F.row_number().over(Window.partitionBy("run", F.when(F.col("_able"), F.col("observation_id")), alone).orderBy("seq"))
     outcome = (
         F.when(F.col("kind") != "delivery", "rejected")
         .when(~F.coalesce(handled, F.lit(False)), "unhandled_payload")
@@ -189,9 +191,9 @@ def snapshot_divergence(inputs: DataFrame, writes: DataFrame) -> DataFrame:
     sent = writes.where("outcome = 'applied_snapshot' and size > 0").select(*KEY, "segment", "side", "price", F.col("size").alias("sent"), "seq")
     starts = inputs.where("outcome = 'applied_snapshot'").select(*KEY, "segment", F.col("seq").alias("_seq")).where("segment > 1")
     both = projected.join(sent, [*KEY, "segment", "side", "price"], "full_outer").where(~F.col("had").eqNullSafe(F.col("sent")))
-    differing = both.join(starts, [*KEY, "segment"]).groupBy(*KEY, "segment", F.col("_seq").alias("seq")).agg(
-        F.count(F.lit(1)).alias("n"), F.slice(F.array_sort(F.collect_list(F.struct("side", "price", "had", "sent"))), 1, 5).alias("levels")
-    )
+    level = F.struct("side", "price", "had", "sent")
+    ranked = both.join(starts, [*KEY, "segment"]).withColumn("_nth", F.row_number().over(Window.partitionBy(*KEY, "segment").orderBy("side", "price")))
+    differing = ranked.groupBy(*KEY, "segment", F.col("_seq").alias("seq")).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.when(F.col("_nth") <= 5, level))).alias("levels"))
     return differing.select(*KEY, "seq", F.lit("snapshot_disagrees").alias("anomaly"), "n", "levels")
 
 

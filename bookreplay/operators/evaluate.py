@@ -67,9 +67,11 @@ def target_accounting(targets: DataFrame, contributions: DataFrame, exclusions:
 
 
 def rejection_proofs(rejections: DataFrame, targets: DataFrame, reason: Column) -> DataFrame:
-    """The first rejection of each target's run that qualifies as a reason to exclude it."""
-    held = rejections.where(reason).join(targets.select("run", "target_id"), "run")
-    return held.groupBy("target_id").agg(F.min_by(F.struct("seq", "reason"), "seq").alias("_r")).select("target_id", "_r.*")
+    """The first rejection of each target's run that qualifies as a reason to exclude it: one row of each run
+    meets its targets."""
+    first = rejections.where(reason).groupBy("run").agg(F.min_by(F.struct("seq", "reason"), "seq").alias("_r"))
+    held = targets.select("run", "target_id").join(first, "run")
+    return held.groupBy("target_id").agg(F.min_by("_r", "_r.seq").alias("_r")).select("target_id", "_r.*")
 
 
 def capture_summary(arrivals: DataFrame) -> DataFrame:

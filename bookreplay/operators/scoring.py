@@ -56,9 +56,25 @@ def calibration_report(scored: DataFrame, by: list[str], bins: int = 10) -> Data
 
 
 def slices(scored: DataFrame, dimensions: list[str], bins: int = 10) -> DataFrame:
-    """The report for every value of every dimension at once; a missing value is ``unknown``."""
-    pairs = F.array(*[F.struct(F.lit(d).alias("dimension"), F.coalesce(F.col(d).cast("string"), F.lit("unknown")).alias("slice")) for d in dimensions])
-    return calibration_report(scored.withColumn("_s", F.explode(pairs)).select("*", "_s.*").drop("_s"), ["method", "dimension", "slice"], bins)
+    """The report for every value of every dimension at once; a missing value is ``unknown``.
+
+    Rows are summed once by all dimensions and their bin; the grouping sets, one for each dimension, go over
+    those sums, and a slice's report over the sums of its bins."""
+    status = F.col("calibration_status") if "calibration_status" in scored.columns else F.lit("none")
+    names = [f"_d{i}" for i in range(len(dimensions))]
+    held = scored.withColumns({n: F.coalesce(F.col(d).cast("string"), F.lit("unknown")) for n, d in zip(names, dimensions)})
+    held = held.withColumn("_bin", F.least(F.floor(F.col("score") * bins), F.lit(bins - 1)).cast("int"))
+    total = {"_score": "score", "_outcome": "outcome", "_brier": "brier", "_log_loss": "log_loss", "_absolute": "absolute_error"}
+    sums = [F.sum(F.col(c).cast("double")).alias(n) for n, c in total.items()]
+    part = held.groupBy("method", *names, "_bin").agg(F.count(F.lit(1)).alias("_n"), F.count_if("clipped").alias("_clipped"), F.min(status).alias("_low"), F.max(status).alias("_high"), *sums)
+    again = [F.sum(c).alias(c) for c in ("_n", "_clipped", *total)] + [F.min("_low").alias("_low"), F.max("_high").alias("_high")]
+    of = F.coalesce(*[F.when(F.grouping(n) == 0, F.lit(d)) for n, d in zip(names, dimensions)]).alias("dimension")
+    by_bin = part.groupingSets([["method", "_bin", n] for n in names], "method", "_bin", *names).agg(of, *again).withColumn("slice", F.coalesce(*names))
+    n = F.sum("_n")
+    return by_bin.groupBy("method", "dimension", "slice").agg(
+        n.alias("sample_count"), (F.sum("_brier") / n).alias("mean_brier"), (F.sum("_log_loss") / n).alias("mean_log_loss"), (F.sum("_absolute") / n).alias("mean_absolute_error"), F.sum("_clipped").alias("clipped_count"),
+        F.when(F.min("_low") != F.max("_high"), "mixed").otherwise(F.min("_low")).alias("calibration_status"), (F.sum(F.abs(F.col("_score") - F.col("_outcome"))) / n).alias("ece"),
+    )
 
 
 def spread_bucket(spread: Column) -> Column:

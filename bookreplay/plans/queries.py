@@ -8,7 +8,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookreplay.functions.columns import micros
+from bookreplay.functions import windows
+from bookreplay.functions.columns import micros, unix_micros
 from bookreplay.functions.storage import stored
 from bookreplay.operators import audit, book, evaluate, forecast, lateness, ledger, lifecycle, scoring, selection
 from bookreplay.plans import views as v
@@ -129,6 +130,20 @@ def top_of_book(spark: SparkSession, d: str) -> DataFrame:
     return top.select("run", "token_id", "seq", "bid_levels", "ask_levels", *dbl("best_bid", "best_ask", "midpoint", "spread"))
 
 
+@query(with_views("numbered", "arrivals", "dispatched", "level_ops", "segments", "top") + """, probes AS (SELECT run, token_id, n, TIMESTAMP '2024-01-04 00:00:00' + to_seconds(86400 * (token_id % 9 + 3 * n)) AS cutoff FROM (SELECT DISTINCT run, token_id FROM inputs), range(4) r(n)),
+seen AS (SELECT t.*, o.received_time FROM tops t JOIN outcomes o USING (run, seq)), met AS (SELECT p.run, p.token_id, n, max((s.received_time, s.seq, s.best_bid, s.best_ask)) AS b FROM probes p LEFT JOIN seen s ON s.run = p.run AND s.token_id = p.token_id AND s.received_time <= p.cutoff GROUP BY ALL)
+SELECT run, token_id, n::INTEGER AS probe, b[2] AS seq, round(CAST(b[3] AS DOUBLE), 9) AS best_bid, round(CAST(b[4] AS DOUBLE), 9) AS best_ask FROM met""")
+def tops_as_of(spark: SparkSession, d: str) -> DataFrame:
+    """The top of each token's book as of four cutoffs of its own, by time of receipt."""
+    r = Replay(spark, d, keep=("inputs", "writes"))
+    top = book.top_of_book(r.inputs, r.writes).join(r.inputs.select("run", "seq", unix_micros(F.col("received_time")).alias("us")), ["run", "seq"])
+    probes = r.inputs.select("run", "condition_id", "token_id").distinct().withColumn("probe", F.explode(F.array(*[F.lit(n) for n in range(4)])))
+    start = F.lit("2024-01-04 00:00:00").cast("timestamp")
+    probes = probes.withColumn("us", unix_micros(start + F.make_interval(days=(F.col("token_id") % 9 + 3 * F.col("probe")).cast("int"))))
+    found = windows.as_of(probes, top, list(book.KEY), "us", F.struct("seq", "best_bid", "best_ask"), "state")
+    return found.select("run", "token_id", "probe", "state.seq", *[F.round(F.col(f"state.{c}").cast("double"), 9).alias(c) for c in ("best_bid", "best_ask")])
+
+
 @query(REPLAY + "SELECT run, seq, outcome, lateness FROM marked")
 def arrival_outcomes(spark: SparkSession, d: str) -> DataFrame:
     return lateness.with_lateness(Replay(spark, d, keep=("outcomes",)).outcomes).select("run", "seq", "outcome", "lateness")
