@@ -13,26 +13,34 @@ BLOCK = 4096
 
 
 def running(
-    df: DataFrame, columns: dict[str, tuple[str, Column]], by: str | list[str] = "run", order: str = "seq", inclusive: bool = False, block: int = BLOCK, ties: tuple[Column, ...] = ()
+    df: DataFrame, columns: dict[str, tuple[str, Column]], by: str | list[str] = "run", order: str = "seq", inclusive: bool = False, block: int = BLOCK, ties: tuple[Column, ...] = (),
+    nulls: bool = True, placed: str | None = None,
 ) -> DataFrame:
-    """Adds each of ``columns`` (name: ("max", "min", "sum", "last" or "last_row", value)): the value over the rows of
+    """Adds each of ``columns`` (name: ("max", "min", "sum", "last", "last_row" or "total", value)): the value over the rows of
     ``by`` before this one in ``order``, or up to it if ``inclusive``. Nulls are passed over (but by "last_row",
-    the value of the row before, null or not); null where there is no value yet. ``order`` is a whole number,
-    ``ties`` order rows that are equal in it and tell them apart."""
+    the value of the row before, null or not); null where there is no value yet. "total" is the sum over all rows
+    of ``by``. ``order`` is a whole number, ``ties`` order rows that are equal in it and tell them apart.
+
+    ``nulls=False`` says that ``by`` and ``order`` are never null: then the blocks' sums are met by plain
+    equality, and one shuffle of the rows by (by, block) serves that join and the window. ``placed`` names a
+    column that has the block's number already (order / block, rounded down), as tables of
+    ``landing.write_clustered`` do: rows that are bucketed by it aren't shuffled at all."""
     by = [by] if isinstance(by, str) else list(by)
     rank = F.struct(F.col(order), *ties)
     fold = {
-        "max": F.max, "min": F.min, "sum": F.sum, "last": lambda v: F.max_by(v, F.when(F.col(v).isNotNull(), rank)), "last_row": lambda v: F.max_by(F.struct(v), rank),
+        "max": F.max, "min": F.min, "sum": F.sum, "total": F.sum, "last": lambda v: F.max_by(v, F.when(F.col(v).isNotNull(), rank)), "last_row": lambda v: F.max_by(F.struct(v), rank),
     }
-    over = {"max": F.max, "min": F.min, "sum": F.sum, "last": lambda v: F.last(v, ignorenulls=True), "last_row": lambda v: F.last(F.struct(v))}
-    join = {"max": F.greatest, "min": F.least, "sum": lambda a, b: F.coalesce(a + b, a, b), "last": lambda a, b: F.coalesce(b, a), "last_row": lambda a, b: F.coalesce(b, a)}
-    held = df.withColumns({f"_v_{n}": v for n, (_, v) in columns.items()}).withColumn("_block", F.floor(F.col(order) / block))
+    over = {"max": F.max, "min": F.min, "sum": F.sum, "total": F.sum, "last": lambda v: F.last(v, ignorenulls=True), "last_row": lambda v: F.last(F.struct(v))}
+    join = {"max": F.greatest, "min": F.least, "sum": lambda a, b: F.coalesce(a + b, a, b), "total": lambda a, b: a, "last": lambda a, b: F.coalesce(b, a), "last_row": lambda a, b: F.coalesce(b, a)}
+    held = df.withColumns({f"_v_{n}": v for n, (_, v) in columns.items()}).withColumn("_block", F.col(placed) if placed else F.floor(F.col(order) / block))
     sums = held.groupBy(*by, "_block").agg(*[fold[k](f"_v_{n}").alias(f"_p_{n}") for n, (k, _) in columns.items()])
     carried = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_block").alias("_b"), *[_carry(k, over, f"_p_{n}").over(carried).alias(f"_p_{n}") for n, (k, _) in columns.items()])
-    meet = F.col("_block").eqNullSafe(F.col("_b"))
+    whole = Window.partitionBy(*by)
+    before = sums.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_block").alias("_b"), *[_carry(k, over, f"_p_{n}").over(whole if k == "total" else carried).alias(f"_p_{n}") for n, (k, _) in columns.items()])
+    same = Column.eqNullSafe if nulls else Column.__eq__
+    meet = same(F.col("_block"), F.col("_b"))
     for c in by:
-        meet = meet & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+        meet = meet & same(F.col(c), F.col(f"_by_{c}"))
     held = held.join(before, meet)
     inside = Window.partitionBy(*by, "_block").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     made = {n: join[k](F.col(f"_p_{n}"), over[k](f"_v_{n}").over(inside)) for n, (k, _) in columns.items()}

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bookreplay.functions.columns import digest
+from bookreplay.functions.windows import running
 
 KEY = ["run", "condition_id", "token_id"]
 HANDLED = ["snapshot", "delta", "trade"]
@@ -55,11 +56,10 @@ def segmented(outcomes: DataFrame) -> DataFrame:
     """Applied book inputs (snapshots and deltas) with ``segment``: snapshots of the token so far. A
     payload whose own scope differs from its envelope's (``payload_token_id`` and
     ``payload_condition_id``, where those columns exist) is refused: it stays out of the book and opens
-    no segment. ``last_segment`` is the token's."""
+    no segment. ``last_segment`` is the token's. Snapshots are counted by blocks, so a token's length is no one task's."""
     own = outcomes.where(F.col("outcome").isin(BOOK_OUTCOMES)).where(~off_scope(outcomes))
     snapshot = (F.col("outcome") == "applied_snapshot").cast("long")
-    held = own.withColumn("segment", F.sum(snapshot).over(Window.partitionBy(*KEY).orderBy("seq")))
-    return held.withColumn("last_segment", F.max("segment").over(Window.partitionBy(*KEY)))
+    return running(own, {"segment": ("sum", snapshot), "last_segment": ("total", snapshot)}, by=KEY, inclusive=True, nulls=False)
 
 
 def level_writes(inputs: DataFrame, level_ops: DataFrame) -> DataFrame:
@@ -179,8 +179,8 @@ def absent_removals(writes: DataFrame) -> DataFrame:
 
 def event_time_regressions(inputs: DataFrame) -> DataFrame:
     """Strictly earlier than the last datable accepted input of the token, not than the highest."""
-    before = F.last("event_time", ignorenulls=True).over(Window.partitionBy(*KEY).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
-    back = inputs.where("segment > 0").withColumn("_before", before).where(F.col("event_time") < F.col("_before"))
+    seeded = inputs.where("segment > 0").select(*KEY, "seq", "event_time")
+    back = running(seeded, {"_before": ("last", F.col("event_time"))}, by=KEY, nulls=False).where(F.col("event_time") < F.col("_before"))
     return back.select(*KEY, "seq", F.lit("event_time_regression").alias("anomaly"), F.lit(1).cast("long").alias("n"))
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bookreplay.functions.columns import stable_id
+from bookreplay.functions.storage import stored
+from bookreplay.functions.windows import running
 from bookreplay.operators.book import KEY
 
 METHODS = ["midpoint", "last_trade", "displayed_price", "persistence"]
@@ -17,44 +19,39 @@ def information_changes(outcomes: DataFrame, inputs: DataFrame, writes: DataFram
 
     A delta changes the state where a level gets another size than it had (nothing and zero are
     alike); a snapshot where it is the first or disagrees with the book; whatever carries a trade always,
-    since its identity is part of the state. The first arrival after seeding counts as a change too."""
+    since its identity is part of the state. The first arrival after seeding, which is the snapshot that opens
+    segment 1, counts as a change too. What marks an arrival is gathered by (run, seq) first, so arrivals meet it in
+    one join; segments reach the rows between book inputs by blocks."""
     moved = writes.where("outcome = 'applied_delta'").where(~F.coalesce("before", F.lit(0)).eqNullSafe(F.col("size")))
-    moved = moved.select("run", "seq").distinct().withColumn("_moved", F.lit(True))
-    differs = divergence.select("run", "seq").distinct().withColumn("_differs", F.lit(True))
-    segments = inputs.select("run", "seq", "segment")
-    held = outcomes.where("applied").join(segments, ["run", "seq"], "left")
-    seen = F.last("segment", ignorenulls=True).over(Window.partitionBy(*KEY).orderBy("seq"))
-    sold = trades.select("run", "seq").distinct().withColumn("_sold", F.lit(True))
-    held = held.withColumn("segment", F.coalesce(seen, F.lit(0)))
-    for marks in (moved, differs, sold):
-        held = held.join(marks, ["run", "seq"], "left")
-    first = F.row_number().over(Window.partitionBy(*KEY, F.col("segment") > 0).orderBy("seq")) == 1
+    marks = [rows.select("run", "seq", F.lit(name).alias("_mark")) for name, rows in (("_moved", moved), ("_differs", divergence), ("_sold", trades))]
+    marks = marks[0].unionByName(marks[1]).unionByName(marks[2]).groupBy("run", "seq")
+    marks = marks.agg(*[F.bool_or(F.col("_mark") == name).alias(name) for name in ("_moved", "_differs", "_sold")])
+    held = outcomes.where("applied").join(inputs.select("run", "seq", F.col("segment").alias("_own")), ["run", "seq"], "left")
+    held = running(held, {"segment": ("max", F.col("_own"))}, by=KEY, inclusive=True, nulls=False).fillna(0, ["segment"]).join(marks, ["run", "seq"], "left")
+    first = (F.col("outcome") == "applied_snapshot") & F.coalesce(F.col("_own") == 1, F.lit(False))
     changed = (
         F.when(F.col("segment") == 0, False).when((F.col("outcome") == "applied_auxiliary") | F.col("_sold"), True).when(first, True)
         .when(F.col("outcome") == "applied_snapshot", F.coalesce("_differs", F.lit(False))).otherwise(F.coalesce("_moved", F.lit(False)))
     )
-    return held.withColumn("changed", changed).drop("_moved", "_differs", "_sold")
+    return held.withColumn("changed", changed).drop("_own", "_moved", "_differs", "_sold")
 
 
 def states(changes: DataFrame, top: DataFrame, trades: DataFrame) -> DataFrame:
     """The quote after every applied arrival of a seeded token: book columns as of the last input that
     the book took, the last trade (one before the first snapshot counts), and the event time of the book
-    beside that of the trigger."""
+    beside that of the trigger. Arrivals with their own quotes and trades are stored once, then carried by blocks."""
     book = ["best_bid", "best_ask", "bid_size", "ask_size", "bid_levels", "ask_levels", "midpoint", "spread"]
     held = changes.join(top.select("run", "seq", *book), ["run", "seq"], "left")
     sold = trades.select("run", "seq", F.col("price").alias("_trade"))
-    held = held.join(sold, ["run", "seq"], "left")
-    w = Window.partitionBy(*KEY).orderBy("seq")
-    taken = F.col("bid_levels").isNotNull()
-    last = F.last(F.when(taken, F.struct(*book, F.col("event_time").alias("book_event_time"))), ignorenulls=True).over(w)
-    held = held.withColumn("_book", last).withColumn("last_trade", F.last("_trade", ignorenulls=True).over(w)).drop(*book)
+    held = stored(held.join(sold, ["run", "seq"], "left"), "quoted")
+    taken = F.when(F.col("bid_levels").isNotNull(), F.struct(*book, F.col("event_time").alias("book_event_time")))
+    held = running(held, {"_book": ("last", taken), "last_trade": ("last", F.col("_trade"))}, by=KEY, inclusive=True, nulls=False).drop(*book)
     return held.where("segment > 0").select("*", "_book.*").drop("_book", "_trade")
 
 
 def emitted(states_: DataFrame) -> DataFrame:
     """States with changed information, each with the midpoint before it among emitted states."""
-    before = Window.partitionBy(*KEY).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    return states_.where("changed").withColumn("previous_midpoint", F.last("midpoint", ignorenulls=True).over(before))
+    return running(states_.where("changed"), {"previous_midpoint": ("last", F.col("midpoint"))}, by=KEY, nulls=False)
 
 
 def forecasts(emitted_: DataFrame) -> DataFrame:
@@ -84,13 +81,10 @@ def frozen(states_: DataFrame, closes: DataFrame) -> DataFrame:
 
     A new book time emits again even where the information is equal, and keeps the earlier
     persistence value."""
-    w = Window.partitionBy(*KEY).orderBy("seq")
-    new_time = ~F.lag("book_event_time").over(w).eqNullSafe(F.col("book_event_time"))
-    held = states_.withColumn("_emit", F.col("changed") | new_time)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    held = held.withColumn("previous_midpoint", F.last(F.when(F.col("changed"), F.col("midpoint")), ignorenulls=True).over(before)).where("_emit")
+    before = {"_time": ("last_row", F.col("book_event_time")), "previous_midpoint": ("last", F.when(F.col("changed"), F.col("midpoint")))}
+    held = running(states_, before, by=KEY, nulls=False).where(F.col("changed") | ~F.col("_time").eqNullSafe(F.col("book_event_time"))).drop("_time")
     inside = held.join(closes, KEY).where(F.col("received_time") < F.col("close_at"))
-    columns = [c for c in inside.columns if c not in KEY and c != "_emit"]
+    columns = [c for c in inside.columns if c not in KEY]
     return inside.groupBy(*KEY).agg(F.max_by(F.struct(*columns), "seq").alias("_s")).select(*KEY, "_s.*")
 
 

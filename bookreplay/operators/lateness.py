@@ -11,10 +11,10 @@ from bookreplay.functions.windows import running
 OUTCOMES = ["applied_snapshot", "applied_delta", "applied_auxiliary", "skipped_duplicate", "unhandled_payload", "unscoped"]
 
 
-def with_lateness(outcomes: DataFrame, allowed_seconds: int = 0) -> DataFrame:
+def with_lateness(outcomes: DataFrame, allowed_seconds: int = 0, placed: str | None = None) -> DataFrame:
     """Adds ``watermark`` and ``lateness`` (on_time, late, undatable). The watermark is the highest
-    event time of the run's earlier applied rows less the allowance; equal to it is on time."""
-    held = running(outcomes, {"watermark": ("max", F.when(F.col("applied"), F.col("event_time")))})
+    event time of the run's earlier applied rows less the allowance; equal to it is on time. ``placed``: see ``running``."""
+    held = running(outcomes, {"watermark": ("max", F.when(F.col("applied"), F.col("event_time")))}, nulls=False, placed=placed)
     if allowed_seconds:
         held = held.withColumn("watermark", F.col("watermark") - F.make_interval(secs=F.lit(allowed_seconds)))
     late = F.coalesce(F.col("event_time") < F.col("watermark"), F.lit(False))

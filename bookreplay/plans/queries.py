@@ -36,11 +36,12 @@ def dbl(*names: str) -> list:
 
 class Replay:
     """The operators' common inputs, built when they are asked for. What several of a query's operators read is
-    stored once rather than planned again for each: ``keep`` names those parts, ``shared`` means all."""
+    stored once rather than planned again for each: ``keep`` names those parts, ``shared`` means all. Outcomes are
+    stored in any case, since segments and marks read them twice."""
 
     def __init__(self, spark: SparkSession, d: str, shared: bool = False, keep: tuple[str, ...] = ()):
         self.spark, self.d = spark, d
-        self.keep = ("arrivals", "outcomes", "inputs", "writes", "trades") if shared else keep
+        self.keep = ("arrivals", "outcomes", "inputs", "writes", "trades") if shared else ("outcomes", *keep)
         self.ops = v.level_ops(spark, d)
 
     def _kept(self, df: DataFrame, name: str) -> DataFrame:
@@ -104,7 +105,7 @@ SELECT run, token_id, round(CAST(best_bid AS DOUBLE), 9) AS best_bid, round(CAST
  round(CAST(ask_size AS DOUBLE), 9) AS ask_size, bid_levels, ask_levels, round(CAST((best_bid + best_ask) / 2 AS DOUBLE), 9) AS midpoint, round(CAST(best_ask - best_bid AS DOUBLE), 9) AS spread,
  round(CAST(last_trade AS DOUBLE), 9) AS last_trade FROM top LEFT JOIN sold USING (run, token_id)""")
 def final_quotes(spark: SparkSession, d: str) -> DataFrame:
-    r = Replay(spark, d, keep=("outcomes",))
+    r = Replay(spark, d)
     q = book.final_quotes(book.final_levels(r.writes), r.trades)
     return q.select("run", "token_id", "bid_levels", "ask_levels", *dbl("best_bid", "best_ask", "bid_size", "ask_size", "midpoint", "spread", "last_trade"))
 
@@ -146,7 +147,7 @@ def tops_as_of(spark: SparkSession, d: str) -> DataFrame:
 
 @query(REPLAY + "SELECT run, seq, outcome, lateness FROM marked")
 def arrival_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    return lateness.with_lateness(Replay(spark, d, keep=("outcomes",)).outcomes).select("run", "seq", "outcome", "lateness")
+    return lateness.with_lateness(Replay(spark, d).outcomes).select("run", "seq", "outcome", "lateness")
 
 
 @query(REPLAY + """SELECT run, count(*) FILTER (outcome = 'applied_snapshot') AS applied_snapshot, count(*) FILTER (outcome = 'applied_delta') AS applied_delta,
@@ -154,7 +155,7 @@ def arrival_outcomes(spark: SparkSession, d: str) -> DataFrame:
  count(*) FILTER (outcome = 'unscoped') AS unscoped, count(*) FILTER (applied AND lateness = 'on_time') AS on_time, count(*) FILTER (applied AND lateness = 'late') AS late,
  count(*) FILTER (applied AND lateness = 'undatable') AS undatable FROM marked GROUP BY run""")
 def dispatch_counts(spark: SparkSession, d: str) -> DataFrame:
-    return lateness.dispatch_counts(lateness.with_lateness(Replay(spark, d, keep=("outcomes",)).outcomes))
+    return lateness.dispatch_counts(lateness.with_lateness(Replay(spark, d).outcomes))
 
 
 @query(with_views("numbered", "arrivals") + "SELECT run, CAST(sum(gap) AS BIGINT) AS sequence_gaps FROM (SELECT run, coalesce(greatest(seq - lag(seq) OVER (PARTITION BY run ORDER BY seq) - 1, 0), 0) AS gap FROM arrivals) GROUP BY run")

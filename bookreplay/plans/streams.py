@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from bookreplay.functions.columns import unix_micros
 from bookreplay.functions.storage import fresh_dir, stored
-from bookreplay.operators import book
+from bookreplay.operators import book, lateness
 from bookreplay.plans import ingest
 from bookreplay.plans import views as v
-from bookreplay.plans.queries import CHANGES, LEDGER, REPLAY, Replay, dbl, query
+from bookreplay.plans.queries import CHANGES, LEDGER, ORACLES, REPLAY, Replay, dbl, query
 from bookreplay.plans.views import with_views
-from bookreplay.streaming import capture_stream
+from bookreplay.sources import landing
+from bookreplay.streaming import book_stream, capture_stream
 
 #: Files of a micro-batch; pieces follow each other, a run's rows of a piece are one file.
 FILES = 3
@@ -56,7 +57,7 @@ def played(spark: SparkSession, rows: DataFrame, form: Callable[[DataFrame], Dat
 @query(REPLAY + ", gaps AS (SELECT run, seq, seq - lag(seq, 1, seq - 1) OVER w - 1 AS gap, coalesce(received_time < max(received_time) OVER (PARTITION BY run ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS regressed FROM outcomes WINDOW w AS (PARTITION BY run ORDER BY seq))\nSELECT run, seq, outcome, lateness, gap, regressed FROM marked JOIN gaps USING (run, seq)")
 def streamed_marks(spark: SparkSession, d: str) -> DataFrame:
     """Lateness marks, gaps and receive regressions of every arrival, by a processor for each run."""
-    outcomes = stored(Replay(spark, d).outcomes.select("run", "seq", "outcome", "applied", "event_time", "received_time"), "outcomes")
+    outcomes = Replay(spark, d).outcomes.select("run", "seq", "outcome", "applied", "event_time", "received_time")
     found = played(spark, outcomes, capture_stream.marked, "seq")
     return found.select(F.col("run").cast("long").alias("run"), "seq", "outcome", "lateness", "gap", "regressed")
 
@@ -98,3 +99,21 @@ def streamed_frozen(spark: SparkSession, d: str) -> DataFrame:
     rows = stored(end.unionByName(tick, allowMissingColumns=True), "states")
     found = played(spark, rows, capture_stream.frozen, "received_time").where("run <> '-1'")
     return found.select(F.col("run").cast("long").alias("run"), F.col("token_id").cast("long").alias("token_id"), "seq", *dbl("midpoint", "previous_midpoint"))
+
+
+@query(with_views("numbered", "arrivals", "dispatched", "level_ops", "segments", "top") + """SELECT run, token_id, seq, bid_levels, ask_levels, round(CAST(best_bid AS DOUBLE), 9) AS best_bid, round(CAST(best_ask AS DOUBLE), 9) AS best_ask FROM tops""")
+def streamed_tops(spark: SparkSession, d: str) -> DataFrame:
+    """The tops of top_of_book from the keyed book, over micro-batches that follow each other."""
+    r = Replay(spark, d, keep=("arrivals",))
+    rows = stored(book_stream.book_inputs(r.arrivals, r.ops), "book-inputs")
+    found = played(spark, rows, book_stream.replay_stream, "seq").where("status in ('applied_snapshot', 'applied_delta')")
+    return found.select(F.col("run").cast("long").alias("run"), F.col("token_id").cast("long").alias("token_id"), "seq", "bid_levels", "ask_levels", *dbl("best_bid", "best_ask"))
+
+
+@query(ORACLES["arrival_outcomes"])
+def clustered_marks(spark: SparkSession, d: str) -> DataFrame:
+    """The marks of arrival_outcomes from a ledger table that is bucketed by run and block: its rows aren't shuffled again."""
+    outcomes = Replay(spark, d).outcomes.select("run", "seq", "outcome", "applied", "event_time")
+    folder = fresh_dir(spark, "ledger")
+    table = landing.write_clustered(outcomes, "ledger_" + folder.rsplit("-", 1)[1], folder, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return lateness.with_lateness(table, placed="block").select("run", "seq", "outcome", "lateness")

@@ -1,21 +1,77 @@
 """Order books under Structured Streaming: a keyed processor whose state is one token's book.
 
-Rows of a key are applied in seq order inside each call. A row at or below the key's last seq came out
+Rows of a key are applied in seq order inside each call. The best prices and the numbers of levels are state of
+their own, so a call reads single levels only; the whole book is read at most once a call, when a best price goes.
+From then on each side is a heap that drops removed prices when they come to its top, so a write costs the
+logarithm of the depth, whatever the depth. A row at or below the key's last seq came out
 of order: it is reported, not folded in. Applied observation ids are remembered, for good or with a time to live.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from bookreplay.operators.book import off_scope
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUT = "run string, condition_id string, token_id string, seq long, status string, best_bid double, best_ask double, bid_levels long, ask_levels long"
-INPUT = ["run", "seq", "condition_id", "token_id", "observation_id", "payload_type", "levels"]
+INPUT = ["run", "seq", "condition_id", "token_id", "observation_id", "payload_type", "levels", "refused"]
+
+
+#: Output rows that are handed on at once.
+PIECE = 10_000
+
+
+class Side:
+    """The number of prices of one side and the best of them (``sign`` 1: the lowest, -1: the highest)."""
+
+    def __init__(self, sign: int, n: int = 0, best: float | None = None):
+        self.sign, self.n, self.best = sign, n, best
+        self.heap: list[float] | None = None
+        self.alive: set[float] = set()
+        self.queued: set[float] = set()
+        self.popped = 0
+
+    def fill(self, prices: Iterable[float]) -> None:
+        self.alive = {self.sign * p for p in prices}
+        self.queued, self.heap = set(self.alive), list(self.alive)
+        heapify(self.heap)
+
+    def add(self, price: float) -> None:
+        """A price that wasn't there."""
+        at = self.sign * price
+        self.n += 1
+        if self.best is None or at < self.sign * self.best:
+            self.best = price
+        if self.heap is not None:
+            self.alive.add(at)
+            if at not in self.queued:
+                self.queued.add(at)
+                heappush(self.heap, at)
+
+    def remove(self, price: float) -> bool:
+        """A price that was there; whether the side must be filled to know its best one."""
+        self.n -= 1
+        self.alive.discard(self.sign * price)
+        if self.n == 0:
+            self.best = None
+        elif price == self.best:
+            if self.heap is None:
+                return True
+            self.settle()
+        return False
+
+    def settle(self) -> None:
+        while self.heap[0] not in self.alive:
+            self.queued.discard(heappop(self.heap))
+            self.popped += 1
+        self.best = self.sign * self.heap[0]
 
 
 class BookProcessor(StatefulProcessor):
@@ -27,13 +83,15 @@ class BookProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.levels = handle.getMapState("levels", "side string, price string", "size string")
         self.seen = handle.getMapState("seen", "observation_id string", "seq long", self.ttl_ms)
-        self.last = handle.getValueState("last", "seq long, seeded boolean")
+        self.last = handle.getValueState("last", "seq long, seeded boolean, best_bid double, best_ask double, bid_levels long, ask_levels long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         todo = pd.concat(list(rows)).sort_values("seq")
-        seq, seeded = self.last.get() if self.last.exists() else (-1, False)
-        book = {k: float(v[0]) for k, v in self.levels.iterator()}
-        out, top = [], self._top(book)
+        seq, seeded, bid, ask, bids, asks = self.last.get() if self.last.exists() else (-1, False, None, None, 0, 0)
+        self.sides = {"bid": Side(-1, bids, bid), "ask": Side(1, asks, ask)}
+        # Levels written in this call, with their sizes (null: gone), and whether they are all there is.
+        self.written, self.fresh = {}, False
+        out = []
         for r in todo.itertuples(index=False):
             if r.seq <= seq:
                 status = "out_of_order"
@@ -43,46 +101,79 @@ class BookProcessor(StatefulProcessor):
                 seq = r.seq
                 self.seen.updateValue((r.observation_id,), (int(r.seq),))
                 status = f"applied_{r.payload_type}"
-                if r.payload_type == "snapshot":
+                if r.refused and r.payload_type in ("snapshot", "delta"):
+                    status = "scope_mismatch"
+                elif r.payload_type == "snapshot":
                     seeded = True
-                    self.levels.clear()
-                    book = {}
+                    self._reset()
                 elif r.payload_type == "delta" and not seeded:
                     status = "delta_before_snapshot"
-                if seeded and r.payload_type in ("snapshot", "delta"):
-                    self._apply(() if r.levels is None else r.levels, book)
-                    top = self._top(book)
-            out.append((*key, int(r.seq), status, *top))
-        self.last.update((int(seq), bool(seeded)))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
-
-    def _apply(self, levels, book: dict) -> None:
+                if not r.refused and seeded and r.payload_type in ("snapshot", "delta"):
+                    self._apply(() if r.levels is None else r.levels)
+            out.append((*key, int(r.seq), status, *self._top()))
+            if len(out) == PIECE:
+                yield self._frame(out)
+                out = []
+        self._flush()
+        self.last.update((int(seq), bool(seeded), *self._top()))
+        if out:
+            yield self._frame(out)
+
+    def _reset(self) -> None:
+        self.written, self.fresh = {}, True
+        self.sides = {"bid": Side(-1), "ask": Side(1)}
+        for side in self.sides.values():
+            side.fill(())
+
+    def _apply(self, levels) -> None:
         for x in levels:
-            at = (x["side"], x["price"])
-            if x["size"] is None or float(x["size"]) == 0:
-                if at in book:
-                    del book[at]
-                    self.levels.removeKey(at)
-            else:
-                book[at] = float(x["size"])
-                self.levels.updateValue(at, (x["size"],))
+            at, side = (x["side"], x["price"]), self.sides[x["side"]]
+            had = self.written[at] is not None if at in self.written else not self.fresh and self.levels.containsKey(at)
+            gone = x["size"] is None or float(x["size"]) == 0
+            if had or not gone:
+                self.written[at] = None if gone else x["size"]
+            if gone and had and side.remove(float(x["price"])):
+                self._fill()
+            elif not had and not gone:
+                side.add(float(x["price"]))
+
+    def _fill(self) -> None:
+        """Both sides' prices, from the state and what was written since."""
+        held = {at for at, _ in self.levels.iterator()} if not self.fresh else set()
+        held = {tuple(at) for at in held} - {at for at, size in self.written.items() if size is None} | {at for at, size in self.written.items() if size is not None}
+        for name, side in self.sides.items():
+            side.fill(float(p) for s, p in held if s == name)
+            if side.n:
+                side.settle()
+
+    def _flush(self) -> None:
+        if self.fresh:
+            self.levels.clear()
+        for at, size in self.written.items():
+            if size is not None:
+                self.levels.updateValue(at, (size,))
+            elif not self.fresh:
+                self.levels.removeKey(at)
+
+    def _top(self) -> tuple:
+        bid, ask = self.sides["bid"], self.sides["ask"]
+        return bid.best, ask.best, bid.n, ask.n
 
     @staticmethod
-    def _top(book: dict) -> tuple:
-        bids = [float(p) for s, p in book if s == "bid"]
-        asks = [float(p) for s, p in book if s == "ask"]
-        return max(bids, default=None), min(asks, default=None), len(bids), len(asks)
+    def _frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")])
 
     def close(self) -> None:
         pass
 
 
 def book_inputs(arrivals: DataFrame, level_ops: DataFrame) -> DataFrame:
-    """Handled, scoped deliveries with their levels as one array: the rows that the processor reads."""
+    """Handled, scoped deliveries with their levels as one array: the rows that the processor reads. A payload that
+    names another token or condition than its envelope is ``refused``: seen, but kept out of the book."""
     size = F.when(F.col("kind") == "remove", F.lit("0")).otherwise(F.col("size").cast("string"))
     ops = level_ops.groupBy("run", "seq").agg(F.sort_array(F.collect_list(F.struct("side", F.col("price").cast("string").alias("price"), size.alias("size")))).alias("levels"))
     own = arrivals.where("kind = 'delivery' and token_id is not null and condition_id is not null and payload_type in ('snapshot', 'delta', 'trade')")
-    held = own.join(ops, ["run", "seq"], "left")
+    held = own.withColumn("refused", off_scope(arrivals)).join(ops, ["run", "seq"], "left")
     return held.select(*[F.col(c).cast("string") if c in ("run", "condition_id", "token_id", "observation_id") else F.col(c) for c in INPUT])
 
 

@@ -1,6 +1,7 @@
 """Book operators against a plain sequential model, batch and stream."""
 
 import random
+import re
 from datetime import datetime, timedelta
 from decimal import Decimal
 
@@ -216,3 +217,17 @@ def test_forecast_rules(spark):
     assert got[1, "persistence"] == (None, "no_prior_forecast") and got[3, "persistence"][0] == D("0.5") and got[4, "persistence"][0] == D("0.6")
     assert got[1, "displayed_price"][0] == D("0.5") and got[3, "displayed_price"][0] == D("0.3") and got[4, "displayed_price"] == (None, "no_displayed_price")
     assert got[1, "last_trade"] == (None, "no_last_trade") and got[4, "midpoint"] == (None, "no_two_sided_book")
+
+
+def test_no_window_by_token_alone(spark, replay):
+    """A token's rows are many tasks: windows go by its blocks or segments, but for those over blocks' sums."""
+    *_, a, o, outcomes, inputs, writes = replay
+    states = forecast.states(
+        forecast.information_changes(outcomes, inputs, writes, book.snapshot_divergence(inputs, writes), spark.createDataFrame([], "run long, seq long, condition_id long, token_id long, price decimal(12,10)")),
+        book.with_midpoint(book.top_of_book(inputs, writes)), spark.createDataFrame([], "run long, seq long, condition_id long, token_id long, price decimal(12,10)"))
+    closes = a.select(*book.KEY).distinct().withColumn("close_at", F.lit(T0 + timedelta(seconds=300)))
+    for df in (inputs, book.event_time_regressions(inputs), forecast.emitted(states), forecast.frozen(states, closes)):
+        for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines():
+            if " Window [" in line or line.startswith("Window ["):
+                by = {re.sub("#.*", "", c.strip()) for c in re.findall(r"\[([^\[\]]*)\]", line)[1].split(",")}
+                assert "_p_" in line or not by <= set(book.KEY), line

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from bookreplay.operators import forecast, lateness, ledger, normalise
 from bookreplay.plans.streams import played
-from bookreplay.streaming import capture_stream
+from bookreplay.sources import landing
+from bookreplay.streaming import book_stream, capture_stream
+from tests.test_book import ARRIVAL, OPS, fold, history
 
 T0 = datetime(2024, 1, 1)
 S = timedelta(seconds=1)
@@ -92,3 +94,64 @@ def test_observed_counters_are_the_table_s(spark):
     want = {"frames_consumed": 6, "decode_failures": 1, "events_seen": 3, "accepted": 1, "duplicate": 1, "rejected": 2, "not_applicable": 1, "unknown_event_type": 1}
     assert ledger.capture_health(happened, capture_stream.COUNTERS).drop("run").first().asDict() == want
     assert capture_stream.totals(played(spark, happened.repartition(5), capture_stream.observed, None)) == want
+
+
+def test_a_side_costs_the_same_at_any_depth():
+    looked = {}
+    for depth in (100, 20_000):
+        rng = random.Random(depth)
+        held = set(rng.sample(range(1, 1_000_000), depth))
+        for sign in (1, -1):
+            side, prices, asked = book_stream.Side(sign, len(held), sign * min(sign * p for p in held)), set(held), 0
+            for _ in range(3000):
+                best = sign * min(sign * p for p in prices)
+                if rng.random() < 0.5:
+                    p = best if rng.random() < 0.5 else rng.choice(list(prices)) if depth == 100 else best
+                    prices.discard(p)
+                    if side.remove(p):
+                        asked += 1
+                        side.fill(prices)
+                        side.settle()
+                else:
+                    p = rng.randrange(1, 1_000_000)
+                    if p not in prices:
+                        prices.add(p)
+                        side.add(p)
+                if not prices:
+                    prices.add(5)
+                    side.add(5)
+                if depth == 100 or _ % 50 == 0:
+                    assert (side.best, side.n) == (sign * min(sign * p for p in prices), len(prices))
+            assert asked <= 1
+            looked[depth, sign] = side.popped
+    assert max(looked.values()) <= 3000
+
+
+def test_books_of_batch_and_stream_agree_on_long_histories(spark):
+    arrivals, ops = history(5, n=1500)
+    a, o = spark.createDataFrame(arrivals, ARRIVAL), spark.createDataFrame(ops, OPS)
+    want, *_ = fold(arrivals, ops)
+    got = {r.seq: r for r in played(spark, book_stream.book_inputs(a, o), book_stream.replay_stream, "seq").collect()}
+    for seq, (name, _, top) in want.items():
+        if top:
+            r = got[seq]
+            assert (r.status, r.best_bid, r.best_ask, r.bid_levels, r.ask_levels) == (name, *[None if x is None else float(x) for x in top[:2]], *top[2:])
+
+
+def test_marks_from_a_clustered_ledger_without_a_shuffle(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(r, s, "applied_delta" if rng.random() < 0.7 else "unscoped", T0 + (s + rng.randrange(-9, 3)) * S) for r in (1, 2) for s in range(1, 9000, 3)]
+    o = spark.createDataFrame(rows, "run long, seq long, outcome string, event_time timestamp").withColumn("applied", F.col("outcome").startswith("applied"))
+    table = landing.write_clustered(o, "clustered_marks_test", f"file://{tmp_path}/ledger", 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        marked = lateness.with_lateness(table, placed="block")
+        plan = marked._jdf.queryExecution().executedPlan().toString()
+        other = lateness.with_lateness(o)._jdf.queryExecution().executedPlan().toString()
+        got = sorted(map(tuple, marked.select("run", "seq", "lateness").collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == sorted(map(tuple, lateness.with_lateness(o).select("run", "seq", "lateness").collect()))
+    # The blocks' sums move, twice: to their window and to the rows. The rows don't.
+    assert (plan.count("Exchange hashpartitioning"), other.count("Exchange hashpartitioning")) == (2, 4), plan
+    spark.sql("drop table clustered_marks_test")
