@@ -6,8 +6,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bookreplay.functions.columns import digest, reasons
+from bookreplay.functions.columns import digest, reasons, stable_id
 from bookreplay.functions.windows import running
+from bookreplay.operators.ledger import rejection_id
 
 
 def chain_violations(links: DataFrame, by: str, order: str, parts: list[str], own: str = "id", previous: str = "previous_id", at: str | None = None) -> DataFrame:
@@ -44,6 +45,44 @@ def manifest_violations(manifest: DataFrame, files: DataFrame) -> DataFrame:
     return held.withColumn("violation", F.when(F.col("_sha").isNull(), "missing").when(F.col("sha256").isNull(), "unlisted").when(F.col("_sha") != F.col("sha256"), "hash").when(F.col("_n") != F.col("size"), "size")).where("violation is not null").drop("_sha", "_n")
 
 
+def archive_location(sha256: Column) -> Column:
+    """Where the archive keeps the bytes of a hash."""
+    return F.concat_ws("/", F.lit("raw"), F.substring(sha256, 1, 2), sha256)
+
+
+def proof_id() -> Column:
+    """Identity of a rejection proof: what it excludes, and by which arrival and bytes."""
+    return stable_id("proof", F.col("target_id"), F.col("run"), F.col("seq"), F.col("rejection_id"), F.col("raw_location"))
+
+
+def proof_violations(proofs: DataFrame, archive: DataFrame, manifests: DataFrame, event_type: str, rejection_schema: str, modelled_schema: str) -> DataFrame:
+    """Rejection proofs that don't hold, with their reasons. A proof excludes a target because its run refused an
+    ``event_type`` as unknown, so it must be bound to the refused bytes and to a run that could not take them.
+
+    ``proofs``: proof_id, target_id, run, seq, rejection_id, raw_sha256, byte_length, raw_location, reason, detail, scope,
+    condition_id, token_id, received_time, retrieved_at, rejected_at. ``archive``: raw_sha256 (as claimed) and raw.
+    ``manifests``, one for each run: run, mode, created_at, code_revision, clean, raw_archive, schemas.
+
+    Both identities are worked out again; the archive's bytes must have the hash and length and name the proof's own
+    event type, token and condition; a rejection follows its receipt, which is the retrieval, and precedes its
+    manifest, which is that of an archiving capture of a clean revision that knows rejections but not the event."""
+    bytes_ = archive.select("raw_sha256", F.col("raw").alias("_raw"))
+    runs = manifests.select("run", F.struct("mode", "created_at", "code_revision", "clean", "raw_archive", "schemas").alias("_m"))
+    held = proofs.join(bytes_, "raw_sha256", "left").join(runs, "run", "left")
+    no = lambda c: ~F.coalesce(c, F.lit(False))
+    raw, named, there = F.col("_raw"), lambda k: F.get_json_object("_raw", f"$.{k}"), F.col("_m").isNotNull()
+    same = (F.sha2(raw.cast("binary"), 256) == F.col("raw_sha256")) & (F.octet_length(raw) == F.col("byte_length"))
+    order = (F.col("received_time") == F.col("retrieved_at")) & (F.col("rejected_at") >= F.col("received_time")) & (~there | (F.col("_m.created_at") >= F.col("rejected_at")))
+    scope = (named("asset_id") == F.col("token_id").cast("string")) & (named("market") == F.col("condition_id").cast("string"))
+    return held.withColumn("violations", reasons(
+        (no(F.col("proof_id") == proof_id()), "proof"), (no(F.col("rejection_id") == rejection_id()), "identity"),
+        (raw.isNull(), "raw_missing"), (raw.isNotNull() & no(same), "raw"), (no(F.col("raw_location") == archive_location(F.col("raw_sha256"))), "location"),
+        (no(order), "chronology"), (no(F.col("_m.mode") == "capture"), "manifest"), (there & no(F.col("_m.clean") & F.col("_m.code_revision").isNotNull()), "revision"),
+        (there & no(F.col("_m.raw_archive")), "not_archived"), (there & no(F.array_contains("_m.schemas", rejection_schema) & ~F.array_contains("_m.schemas", modelled_schema)), "schemas"),
+        (no(F.col("reason") == "unknown_event_type") | raw.isNotNull() & no(named("event_type") == event_type), "reason"), (raw.isNotNull() & no(scope), "scope"),
+    )).where(F.size("violations") > 0).select("proof_id", "target_id", "run", "seq", "violations")
+
+
 def retrieval_violations(polls: DataFrame, evidence: DataFrame) -> DataFrame:
     """Polls without exactly one retrieval that agrees with them, and retrievals of no poll."""
     held = polls.select("target_id", "poll_id", "retrieved_at", "raw_sha256").join(

@@ -288,6 +288,35 @@ def manifest_audit(spark: SparkSession, d: str) -> DataFrame:
     return audit.manifest_violations(listed.unionByName(gone), found).select("path", "violation")
 
 
+@query("""WITH p AS (SELECT event_id AS e, event_id // 250 AS run FROM events WHERE event_type = 'purchase'), w AS (SELECT e, run, concat_ws('|', CASE WHEN e % 37 = 0 THEN 'proof' END, CASE WHEN e % 11 = 0 THEN 'identity' END,
+ CASE WHEN e % 17 = 0 THEN 'raw_missing' WHEN e % 13 = 0 THEN 'raw' END, CASE WHEN e % 19 = 0 THEN 'location' END, CASE WHEN e % 23 = 0 OR (run % 8 = 3 AND run % 7 <> 5) THEN 'chronology' END,
+ CASE WHEN run % 7 = 5 OR run % 10 = 9 THEN 'manifest' END, CASE WHEN run % 7 <> 5 AND run % 6 = 1 THEN 'revision' END, CASE WHEN run % 7 <> 5 AND run % 9 = 4 THEN 'not_archived' END,
+ CASE WHEN run % 7 <> 5 AND run % 5 = 2 THEN 'schemas' END, CASE WHEN e % 31 = 0 THEN 'reason' END, CASE WHEN e % 29 = 0 AND e % 17 <> 0 THEN 'scope' END) AS violations FROM p)
+SELECT e AS target_id, run, e AS seq, violations FROM w WHERE violations <> ''""")
+def proof_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Proofs of refused trades against the archive's bytes and the runs' manifests, each damaged somewhere."""
+    e, u = F.col("event_id"), F.col("user_id")
+    rows = v.table(spark, d, "events").where("event_type = 'purchase'").select("event_id", "user_id", "ts", F.floor(e / 250).alias("run"))
+    raw = F.to_json(F.struct(u.cast("string").alias("asset_id"), F.lit("last_trade_price").alias("event_type"), F.floor(u / 2).cast("string").alias("market"), e.cast("string").alias("timestamp")))
+    rows = rows.withColumn("raw", raw).withColumn("raw_sha256", F.sha2("raw", 256))
+    proofs = rows.select(
+        e.alias("target_id"), "run", e.alias("seq"), "raw_sha256", F.octet_length("raw").alias("byte_length"),
+        F.when(e % 19 == 0, F.lit("raw/elsewhere")).otherwise(audit.archive_location(F.col("raw_sha256"))).alias("raw_location"),
+        F.when(e % 31 == 0, "malformed_payload").otherwise("unknown_event_type").alias("reason"), F.lit("last_trade_price").alias("detail"), u.cast("string").alias("scope"),
+        F.floor(u / 2).alias("condition_id"), F.when(e % 29 == 0, u + 1).otherwise(u).alias("token_id"),
+        F.col("ts").alias("received_time"), F.col("ts").alias("retrieved_at"), later(F.col("ts"), F.when(e % 23 == 0, -1).otherwise(1)).alias("rejected_at"))
+    turned = lambda n, c: F.when(e_ % n == 0, F.reverse(c)).otherwise(c)
+    e_ = F.col("target_id")
+    proofs = proofs.withColumn("rejection_id", turned(11, ledger.rejection_id())).withColumn("proof_id", turned(37, audit.proof_id()))
+    archive = rows.where(e % 17 != 0).select("raw_sha256", F.when(e % 13 == 0, F.concat("raw", F.lit(" "))).otherwise(F.col("raw")).alias("raw"))
+    run = F.col("run")
+    manifests = rows.select("run").distinct().where(run % 7 != 5).select(
+        "run", F.when(run % 10 == 9, "replay").otherwise("capture").alias("mode"), F.when(run % 8 == 3, at("2000-01-01 00:00:00")).otherwise(at("2100-01-01 00:00:00")).alias("created_at"),
+        F.lit("r1").alias("code_revision"), (run % 6 != 1).alias("clean"), (run % 9 != 4).alias("raw_archive"),
+        F.when(run % 5 == 2, F.array(F.lit("rejection"), F.lit("trade"))).otherwise(F.array(F.lit("rejection"))).alias("schemas"))
+    return audit.proof_violations(proofs, archive, manifests, "last_trade_price", "rejection", "trade").select("target_id", "run", "seq", joined())
+
+
 @query("""WITH e AS (SELECT event_id AS i, sha256(CAST(event_id AS VARCHAR)) AS poll_id FROM events) SELECT poll_id, CASE WHEN i % 11 = 0 THEN 'no_evidence' ELSE concat_ws('|', CASE WHEN i % 13 = 0 THEN 'more_than_one' END, CASE WHEN i % 17 = 0 THEN 'time' END, CASE WHEN i % 19 = 0 THEN 'hash' END) END AS violations FROM e WHERE i % 11 = 0 OR i % 13 = 0 OR i % 17 = 0 OR i % 19 = 0
  UNION ALL SELECT 'u' || i, 'unknown_poll' FROM e WHERE i % 23 = 0""")
 def retrieval_audit(spark: SparkSession, d: str) -> DataFrame:

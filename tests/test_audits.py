@@ -202,3 +202,22 @@ def test_sources(spark, tmp_path):
     assert landing.bodies(spark, f"{tmp_path}/landing").where("raw like '%run%'").count() >= 1
     landing.write_report(back, f"{tmp_path}/report")
     assert landing.frame_stream(spark, f"{tmp_path}/landing").isStreaming
+
+
+def test_a_rejection_proof_is_bound_to_bytes_and_run(spark):
+    raw = '{"asset_id":"7","event_type":"last_trade_price","market":"3"}'
+    base = spark.createDataFrame([(i, "r", i, raw, "unknown_event_type", 3, 7) for i in range(3)], "target_id int, run string, seq int, raw string, reason string, condition_id int, token_id int")
+    base = base.withColumn("raw_sha256", F.sha2("raw", 256)).withColumn("byte_length", F.octet_length("raw")).withColumn("detail", F.lit(None).cast("string")).withColumn("scope", F.lit("7"))
+    for c in ("received_time", "retrieved_at", "rejected_at"):
+        base = base.withColumn(c, F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    base = base.withColumn("raw_location", audit.archive_location(F.col("raw_sha256"))).withColumn("rejection_id", ledger.rejection_id())
+    proofs = base.drop("raw").withColumn("proof_id", audit.proof_id())
+    archive = base.select("raw_sha256", "raw").distinct()
+    manifest = spark.createDataFrame([("r", "capture", "c0ffee", True, True, ["rejection"])], "run string, mode string, code_revision string, clean boolean, raw_archive boolean, schemas array<string>").withColumn("created_at", F.lit("2024-01-02 00:00:00").cast("timestamp"))
+    found = lambda p=proofs, a=archive, m=manifest, modelled="trade", kind="last_trade_price": {tuple(r.violations) for r in audit.proof_violations(p, a, m, kind, "rejection", modelled).collect()}
+    assert found() == set()
+    assert found(p=proofs.withColumn("detail", F.lit("x"))) == {("identity",)} and found(p=proofs.withColumn("seq", F.lit(9))) == {("proof",)}
+    assert found(a=archive.withColumn("raw", F.lit(raw + " "))) == {("raw",)} and found(a=archive.limit(0)) == {("raw_missing",)} and found(a=archive.withColumn("raw", F.lit("{"))) == {("raw", "reason", "scope")}
+    assert found(m=manifest.limit(0)) == {("manifest",)} and found(m=manifest.withColumn("code_revision", F.lit(None).cast("string"))) == {("revision",)}
+    assert found(modelled="rejection") == {("schemas",)} and found(kind="book") == {("reason",)} and found(p=proofs.withColumn("token_id", F.lit(8))) == {("scope",)}
+    assert found(p=proofs.withColumn("received_time", F.lit(None).cast("timestamp"))) == {("chronology",)} and found(p=proofs.limit(0)) == set()
