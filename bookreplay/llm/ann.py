@@ -8,7 +8,8 @@ as the k-th best found so far would have stood in none of the ranges with a prob
 that never hold, it ends at the root, which is every row of the shard.
 
 Largest inner products become largest cosines by one more coordinate, sqrt(M^2 - |x|^2), M being the
-largest norm of the shard. Scores are inner products of the original vectors in double precision.
+largest norm of the shard. The forest looks at vectors divided by powers of two, which keeps norms and
+products in the range of a double; scores are inner products of the original vectors in double precision.
 """
 
 from __future__ import annotations
@@ -23,9 +24,15 @@ from bookreplay.llm.common import cut
 BITS = 24
 
 
+def exponent(vectors: np.ndarray) -> int:
+    """Of the least power of two above every component."""
+    return int(np.frexp(np.abs(vectors).max())[1])
+
+
 class Forest:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, trees: int, seed: int):
-        self.ids, self.vectors = ids, vectors
+        self.ids, self.original, self.scale = ids, vectors, exponent(vectors)
+        self.vectors = vectors = np.ldexp(vectors, -self.scale)
         norms = np.sqrt((vectors**2).sum(1))
         self.largest = norms.max()
         extra = np.sqrt(np.maximum(self.largest**2 - norms**2, 0))
@@ -59,7 +66,9 @@ class Forest:
 
     def search_all(self, own: np.ndarray, vectors: np.ndarray, k: int, miss: float):
         """(ids, scores) for each query in turn."""
-        codes = self.codes(vectors, np.zeros(len(vectors)))
+        scales = [exponent(v) for v in vectors]
+        scaled = np.ldexp(vectors, -np.asarray(scales)[:, None])
+        codes = self.codes(scaled, np.zeros(len(vectors)))
         known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
         def at(depth: int, i: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,9 +77,20 @@ class Forest:
             return known[depth][0][:, i], known[depth][1][:, i]
 
         for i in range(len(vectors)):
-            yield self.search(own[i], vectors[i], lambda depth, i=i: at(depth, i), k, miss)
-
-    def search(self, own: int, vector: np.ndarray, at, k: int, miss: float) -> tuple[np.ndarray, np.ndarray]:
+            found = self.search(own[i], scaled[i], lambda depth, i=i: at(depth, i), k, miss)
+            scores = self.products(found, vectors[i], scaled[i], self.scale + scales[i])
+            first = np.lexsort((self.ids[found], -scores))[:k]
+            yield self.ids[found[first]], scores[first]
+
+    def products(self, found: np.ndarray, vector: np.ndarray, scaled: np.ndarray, power: int) -> np.ndarray:
+        """Batches sum in orders of their own; the finalists are scored again, all in one order. A sum
+        that leaves the range of a double is infinite, with the sign of the sum of scaled products."""
+        with np.errstate(over="ignore", invalid="ignore"):
+            scores = (self.original[found] * vector).sum(axis=1)
+            return np.where(np.isfinite(scores), scores, np.ldexp((self.vectors[found] * scaled).sum(axis=1), power))
+
+    def search(self, own: int, vector: np.ndarray, at, k: int, miss: float) -> np.ndarray:
+        """Where the rows stand that may be among the ``k`` nearest of those looked at."""
         seen = np.zeros(len(self.ids), bool)
         seen[self.ids == own] = True
         found, scores = np.empty(0, "i8"), np.empty(0)
@@ -105,10 +125,7 @@ class Forest:
                 same = 1 - np.arccos(np.clip(np.partition(scores, -k)[-k] / reach, -1, 1)) / np.pi
                 if (1 - same**depth) ** trees <= miss:
                     break
-        # Batches sum in orders of their own; the finalists are scored again, all in one order.
-        scores = (self.vectors[found] * vector).sum(axis=1)
-        first = np.lexsort((self.ids[found], -scores))[:k]
-        return self.ids[found[first]], scores[first]
+        return found
 
 
 def usable(rows: DataFrame, vec_id: str, embedding: str) -> DataFrame:
@@ -130,7 +147,8 @@ def nearest(
     Rows with the query's id are its own and not candidates. Repeated ids are one row where their
     vectors are equal; a repeated id with several vectors is a candidate with each, and as a query is
     ranked over all of its vectors' candidates. Vectors meet those of their own length only. Rows with a
-    null id, and vectors that are null, zero or hold a null or non-finite component, take no part. An empty
+    null id, and vectors that are null, zero or hold a null or non-finite component, take no part. Products
+    beyond the range of a double are infinite and tie with each other. An empty
     table gives no rows; other columns are not carried. Queries are blocks of ``queries_each``, and each
     block meets each shard once, so a task holds a shard and a block: work grows with queries times rows."""
     held = cut(usable(rows, vec_id, embedding).distinct(), "vectors")

@@ -250,6 +250,24 @@ def test_equal_vectors_rank_by_id(spark):
         assert r.vec_id == 2 * r["rank"] - 1
 
 
+def test_huge_and_tiny_components(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 16))
+    for power in (200, -150):
+        df = spark.createDataFrame([(i, [float(v) for v in x[i] * 10.0**power]) for i in range(300)], "vec_id long, embedding array<double>")
+        got = ann.nearest(df, shard_rows=100).collect()
+        assert len(got) == 15 * 20
+        for q in range(0, 300, 20):
+            best = [v for v in np.lexsort((np.arange(300), -(x @ x[q]))) if v != q][:20]
+            rows = sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])
+            if power < 0:
+                assert len({r.vec_id for r in rows} & set(best)) >= 16 and all(np.isclose(r.score, x[q] @ x[r.vec_id] * 1e-300) for r in rows)
+            else:  # all products are beyond a double: infinite, so the smaller id comes first
+                assert all(r.score == float("inf") and x[q] @ x[r.vec_id] > 0 for r in rows) and [r.vec_id for r in rows] == sorted(r.vec_id for r in rows)
+    mixed = spark.createDataFrame([(0, [1.0, 1.0]), (1, [1e200, 1e200]), (2, [1e-200, 1.0]), (3, [-1e200, 1e190])], "vec_id long, embedding array<double>")
+    assert [r.vec_id for r in ann.nearest(mixed).orderBy("rank").collect()] == [1, 2, 3]
+
+
 def test_forest_takes_all_candidates_where_there_are_few(spark):
     df = spark.createDataFrame([(i, [1.0 + i, 1.0]) for i in range(5)], "vec_id long, embedding array<float>")
     assert [(r.rank, r.vec_id) for r in ann.nearest(df).orderBy("rank").collect()] == [(1, 4), (2, 3), (3, 2), (4, 1)]
