@@ -406,5 +406,29 @@ def test_unique_words_are_the_slow_version_s(spark):
         pages[p] = blocks
     df = spark.createDataFrame([(p, f"http://a.com/{p}", "".join(f"<p>{b}</p>" for b in blocks)) for p, blocks in pages.items()], "page_id long, url string, html string")
     want = slow_unique(pages, 4)
-    assert {r.page_id: r.text for r in html_extract.main_text(df, run=4).collect()} == want
+    for words_each in (262_144, 120, 1):  # hosts in one array; the host over several; a page each
+        assert {r.page_id: r.text for r in html_extract.main_text(df, run=4, words_each=words_each).collect()} == want
     assert any(want[p] != " ".join(b) for p, b in pages.items())
+    # Two hosts with the same passages share arrays, not runs; a page alone on its host loses nothing.
+    both = df.union(df.selectExpr("page_id + 100", "replace(url, 'a.com', 'b.com')", "html")).union(df.where("page_id = 3").selectExpr("page_id + 200", "'http://c.com/'", "html"))
+    alone = {203: " ".join(pages[3])}
+    got = {r.page_id: r.text for r in html_extract.main_text(both, run=4, words_each=150).collect()}
+    assert got == want | {p + 100: t for p, t in want.items()} | alone
+
+
+def test_suffix_array_is_sorted_by_first_tokens(spark):
+    rng = np.random.default_rng(3)
+    for run in (1, 2, 3, 5, 8, 11):
+        tokens = [rng.integers(0, 3, rng.integers(0, 40)).astype("i8") for _ in range(6)]
+        copies = np.asarray([1, 1, 2, 3, 4, 4])
+        order, page, place, group, heads, low, high = html_extract.repeats(tokens, copies, run)
+        of = [tuple(tokens[p][a : a + run]) for p, a in zip(page, place)]
+        assert of == sorted(of) and len(of) == sum(max(0, len(t) - run + 1) for t in tokens) == len(set(order.tolist()))
+        where = collections.defaultdict(set)
+        for p, w in zip(page, of):
+            where[w].add(copies[p])
+        assert [(min(where[w]), max(where[w])) for w in sorted(where)] == list(zip(low, high))
+        assert [sorted(where).index(w) for w in of] == group.tolist()
+        keys = html_extract.run_keys(np.concatenate(tokens), heads, run)
+        assert len(set(keys.tolist())) == len(where)
+    assert all(len(x) == 0 for x in html_extract.repeats([np.asarray([1, 2], "i8")], np.asarray([1]), 8))
