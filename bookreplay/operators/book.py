@@ -56,21 +56,22 @@ def segmented(outcomes: DataFrame) -> DataFrame:
     """Applied book inputs (snapshots and deltas) with ``segment``: snapshots of the token so far. A
     payload whose own scope differs from its envelope's (``payload_token_id`` and
     ``payload_condition_id``, where those columns exist) is refused: it stays out of the book and opens
-    no segment. ``last_segment`` is the token's. Snapshots are counted by blocks, so a token's length is no one task's."""
+    no segment. ``last_segment`` is the token's, ``place`` numbers the token's accepted inputs. All are counted by blocks,
+    so a token's length is no one task's."""
     own = outcomes.where(F.col("outcome").isin(BOOK_OUTCOMES)).where(~off_scope(outcomes))
     snapshot = (F.col("outcome") == "applied_snapshot").cast("long")
-    return running(own, {"segment": ("sum", snapshot), "last_segment": ("total", snapshot)}, by=KEY, inclusive=True, nulls=False)
+    return running(own, {"segment": ("sum", snapshot), "last_segment": ("total", snapshot), "place": ("sum", F.lit(1).cast("long"))}, by=KEY, inclusive=True, nulls=False)
 
 
 def level_writes(inputs: DataFrame, level_ops: DataFrame) -> DataFrame:
     """A row per level write of an accepted input, with ``before`` (the level's size so far in the
-    segment, null if absent) and ``until`` (seq of the next write, null for the last). A removal has
-    size 0. Deltas before any snapshot (segment 0) are not in."""
-    held = level_ops.join(inputs.select(*KEY, "seq", "segment", "last_segment", "outcome", "event_time"), [*KEY, "seq"]).where("segment > 0")
+    segment, null if absent) and ``until`` (seq of the next write, null for the last); ``place`` and
+    ``until_place`` are the inputs' places of both. A removal has size 0. Deltas before any snapshot (segment 0) are not in."""
+    held = level_ops.join(inputs.select(*KEY, "seq", "segment", "last_segment", "place", "outcome", "event_time"), [*KEY, "seq"]).where("segment > 0")
     size = F.when(F.col("kind") == "remove", F.lit(0).cast("decimal(28,10)")).otherwise(F.col("size"))
     w = Window.partitionBy(*KEY, "segment", "side", "price").orderBy("seq")
     held = held.withColumn("size", size)
-    return held.withColumn("before", F.lag("size").over(w)).withColumn("until", F.lead("seq").over(w))
+    return held.withColumn("before", F.lag("size").over(w)).withColumn("until", F.lead("seq").over(w)).withColumn("until_place", F.lead("place").over(w))
 
 
 def final_levels(writes: DataFrame) -> DataFrame:
@@ -89,19 +90,19 @@ def levels_as_of(inputs: DataFrame, writes: DataFrame, seq: int) -> DataFrame:
 def top_of_book(inputs: DataFrame, writes: DataFrame) -> DataFrame:
     """Best prices, their sizes and level counts after every accepted input.
 
-    Places count from the start of the segment. A level's interval is cut into aligned spans of 1, 8, 64,
+    Places count a segment's accepted inputs, whatever else its run holds between them. A level's interval is cut into aligned spans of 1, 8, 64,
     ... places, at most fourteen of each length; the levels of a span are summed up before any input is met, and an
     input looks up the spans that hold its place, one of each length. So neither the depth of the book nor
     the life of a level is multiplied by the inputs, and a long segment is spread over its spans."""
     unit = [*KEY, "segment"]
-    ends = inputs.where("segment > 0").groupBy(*unit).agg(F.min("seq").alias("_start"), F.max("seq").alias("_end"))
+    ends = inputs.where("segment > 0").groupBy(*unit).agg(F.min("place").alias("_start"), F.max("place").alias("_end"))
     held = writes.where("size > 0").join(ends, unit)
-    lo, hi = F.col("seq") - F.col("_start"), F.coalesce(F.col("until"), F.col("_end") + 1) - F.col("_start")
+    lo, hi = F.col("place") - F.col("_start"), F.coalesce(F.col("until_place"), F.col("_end") + 1) - F.col("_start")
     held = held.select(*unit, "side", "price", "size", lo.alias("_lo"), hi.alias("_hi")).withColumn("_span", F.explode(spans(F.col("_lo"), F.col("_hi"))))
     bid, ask, level = F.col("side") == "bid", F.col("side") == "ask", F.struct("price", "size")
     best = [F.max(F.when(bid, level)).alias("_b"), F.min(F.when(ask, level)).alias("_a"), F.count_if(bid).alias("_nb"), F.count_if(ask).alias("_na")]
     held = held.groupBy(*unit, "_span").agg(*best)
-    asked = inputs.where("segment > 0").join(ends, unit).select(*unit, "seq", (F.col("seq") - F.col("_start")).alias("_at"), (F.col("_end") - F.col("_start")).alias("_n"))
+    asked = inputs.where("segment > 0").join(ends, unit).select(*unit, "seq", (F.col("place") - F.col("_start")).alias("_at"), (F.col("_end") - F.col("_start")).alias("_n"))
     ladder = F.array(*[F.when(F.col("_n") >= (1 << 3 * k) - 1, F.struct(F.lit(k).alias("k"), F.shiftright("_at", 3 * k).alias("place"))) for k in range(SPANS)])
     asked = asked.select(*unit, "seq", F.explode(F.filter(ladder, lambda x: x.isNotNull())).alias("_span"))
     met = asked.join(held, [*unit, "_span"], "left").groupBy(*unit, "seq").agg(F.max("_b").alias("_b"), F.min("_a").alias("_a"), F.sum("_nb").alias("_nb"), F.sum("_na").alias("_na"))
@@ -117,9 +118,9 @@ def spans(lo: Column, hi: Column) -> Column:
     parts = []
     between = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<bigint>"))
     for k in range(SPANS):
-        step = F.lit(1 << 3 * k).cast("long")
-        a, b = F.floor((lo + step - 1) / step), F.floor(hi / step)
-        up, down = F.floor((lo + 8 * step - 1) / (8 * step)), F.floor(hi / (8 * step))
+        step = 1 << 3 * k
+        a, b = F.shiftright(lo + (step - 1), 3 * k), F.shiftright(hi, 3 * k)
+        up, down = F.shiftright(lo + (8 * step - 1), 3 * k + 3), F.shiftright(hi, 3 * k + 3)
         places = F.when(up < down, F.concat(between(a, up * 8), between(down * 8, b))).otherwise(between(a, b))
         length = F.lit(k)
         marked = F.transform(places, lambda p: F.struct(length.alias("k"), p.alias("place")))
