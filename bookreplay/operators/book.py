@@ -103,8 +103,8 @@ def top_of_book(inputs: DataFrame, writes: DataFrame) -> DataFrame:
     best = [F.max(F.when(bid, level)).alias("_b"), F.min(F.when(ask, level)).alias("_a"), F.count_if(bid).alias("_nb"), F.count_if(ask).alias("_na")]
     held = held.groupBy(*unit, "_span").agg(*best)
     asked = inputs.where("segment > 0").join(ends, unit).select(*unit, "seq", (F.col("place") - F.col("_start")).alias("_at"), (F.col("_end") - F.col("_start")).alias("_n"))
-    ladder = F.array(*[F.when(F.col("_n") >= (1 << 3 * k) - 1, F.struct(F.lit(k).alias("k"), F.shiftright("_at", 3 * k).alias("place"))) for k in range(SPANS)])
-    asked = asked.select(*unit, "seq", F.explode(F.filter(ladder, lambda x: x.isNotNull())).alias("_span"))
+    ladder = F.transform(lengths(F.col("_n") + 1), lambda k: F.struct(k.alias("k"), F.call_function("shiftright", F.col("_at"), 3 * k).alias("place")))
+    asked = asked.select(*unit, "seq", F.explode(ladder).alias("_span"))
     met = asked.join(held, [*unit, "_span"], "left").groupBy(*unit, "seq").agg(F.max("_b").alias("_b"), F.min("_a").alias("_a"), F.sum("_nb").alias("_nb"), F.sum("_na").alias("_na"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
     return met.select(
@@ -113,19 +113,23 @@ def top_of_book(inputs: DataFrame, writes: DataFrame) -> DataFrame:
     )
 
 
+def lengths(n: Column) -> Column:
+    """0, 1, 2, ... up to the largest k that 8^k is at most n."""
+    return F.sequence(F.lit(0), F.least(F.floor((F.length(F.bin(n)) - 1) / 3), F.lit(SPANS - 1)).cast("int"))
+
+
 def spans(lo: Column, hi: Column) -> Column:
     """[lo, hi) as aligned spans: (k, place) is [place * 8^k, (place + 1) * 8^k)."""
-    parts = []
+    down = lambda x, k: F.call_function("shiftright", x, 3 * k)
+    up = lambda x, k: down(x + F.call_function("shiftleft", F.lit(1).cast("long"), 3 * k) - 1, k)
     between = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<bigint>"))
-    for k in range(SPANS):
-        step = 1 << 3 * k
-        a, b = F.shiftright(lo + (step - 1), 3 * k), F.shiftright(hi, 3 * k)
-        up, down = F.shiftright(lo + (8 * step - 1), 3 * k + 3), F.shiftright(hi, 3 * k + 3)
-        places = F.when(up < down, F.concat(between(a, up * 8), between(down * 8, b))).otherwise(between(a, b))
-        length = F.lit(k)
-        marked = F.transform(places, lambda p: F.struct(length.alias("k"), p.alias("place")))
-        parts.append(F.when(hi - lo >= step, marked).otherwise(F.array().cast("array<struct<k:int,place:bigint>>")))
-    return F.flatten(F.array(*parts))
+
+    def of(k: Column) -> Column:
+        a, b, inner, outer = up(lo, k), down(hi, k), up(lo, k + 1), down(hi, k + 1)
+        places = F.when(inner < outer, F.concat(between(a, inner * 8), between(outer * 8, b))).otherwise(between(a, b))
+        return F.transform(places, lambda p: F.struct(k.alias("k"), p.alias("place")))
+
+    return F.flatten(F.transform(lengths(hi - lo), of))
 
 
 def with_midpoint(top: DataFrame) -> DataFrame:
