@@ -59,13 +59,14 @@ def widened(raw: bytes, width: int) -> np.ndarray:
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, width: int, sample_docs: int, sample_chars: int, dict_bytes: int) -> bytes:
-    """A dictionary from about ``sample_docs`` different texts of at most ``sample_chars`` characters
-    each, however many there are: those whose hash is low enough. It only affects how small the files
-    are. Where there is too little to train on, the dictionary is empty."""
+    """A dictionary from about ``sample_docs`` different whole texts, of those with at most ``sample_chars``
+    characters, however many there are: those whose hash is low enough. It is for short documents, long ones have
+    their own words to refer to, and only affects how small the files are. Where there is too little to
+    train on, the dictionary is empty."""
     import zstandard
 
-    part = docs.select(F.substring(F.col("text").cast("string"), 1, sample_chars).alias("text")).where("text <> ''")
-    space, total = 1 << 30, docs.count()
+    part = docs.select(F.col("text").cast("string").alias("text")).where(F.length("text").between(1, sample_chars))
+    space, total = 1 << 30, part.count()
     low = F.pmod(F.xxhash64("text"), F.lit(space)) < min(space, space * sample_docs // max(1, total))
     picked = part.where(low).distinct().orderBy(F.xxhash64("text"), "text").collect()
     ids_of = tokens.load(tokenizer).ids
@@ -79,7 +80,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, width: int, s
 
 def write_corpus(
     docs: DataFrame, folder: str, tokenizer: str, end_id: int, part_bytes: int = 24 << 20, level: int = 3,
-    sample_docs: int = 800, sample_chars: int = 4000, dict_bytes: int = 64 << 10,
+    sample_docs: int = 800, sample_chars: int = 8000, dict_bytes: int = 64 << 10,
 ) -> DataFrame:
     """Write documents (doc_id, text) in ascending doc_id order, null ids first; returns the manifest.
 
