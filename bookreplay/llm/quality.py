@@ -2,8 +2,7 @@
 
 Words and word pairs are hashed to a fixed number of buckets. Two multinomials over the buckets are
 counted: one from trusted documents, one from the whole corpus. A document's score is the mean over
-its n-grams of log(trusted / corpus); documents below a threshold go, which a bounded sample of the
-labelled documents sets.
+its n-grams of log(trusted / corpus); documents below a threshold go, which all labelled documents set.
 """
 
 from __future__ import annotations
@@ -13,19 +12,20 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bookreplay.functions.windows import running
 from bookreplay.llm.common import WORD_GAP, cut
 
 #: Buckets of the hashed n-grams, as many as the published method uses.
 BUCKETS = 10_000
 SYMBOLS = "#*$%&|<>"
-#: At most so many trusted documents (those with the smallest hashes of their ids) shape the target.
-TRUSTED_DOCS = 20_000
 #: Mean log ratio (natural) below which a document goes where too few labels could say.
 THRESHOLD = -0.15
-#: The threshold's sample: at most SAMPLE good and SAMPLE bad ids, and no fewer than LEAST documents of each.
-SAMPLE, LEAST = 5_000, 20
+#: Fewer documents of either label than this say nothing of the threshold.
+LEAST = 20
 #: Counts that the corpus lends to the trusted multinomial, so that few trusted documents decide little.
 PRIOR = 20_000
+#: Labels are joined by broadcast up to so many rows (of 64 neighbouring ids each), else by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def words_of(text: Column) -> Column:
@@ -48,21 +48,28 @@ def joined(a: Column, b: Column, by: int) -> Column:
     return F.zip_with(F.slice(a, 1, n), F.slice(b, 1 + by, n), lambda x, y: F.xxhash64(x, y))
 
 
-def trusted_ids(labels: DataFrame, most: int = TRUSTED_DOCS) -> DataFrame:
-    """Ids of documents labelled good and not toxic, at most ``most`` of them."""
-    good = labels.where("quality = 1 and toxic = 0 and doc_id is not null").select("doc_id").distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+def label_bits(labels: DataFrame) -> DataFrame:
+    """at, trusted, bad: which of the ids at * 64 to at * 64 + 63 are labelled good and not toxic, and which of
+    low quality and never good, as bits of a long each. Every labelled id is in it."""
+    each = labels.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "toxic")
+    good = F.coalesce(F.expr("max(quality = 1 and toxic = 0)"), F.lit(False))
+    each = each.groupBy("doc_id").agg(good.alias("trusted"), F.expr("coalesce(max(quality) = 0 and min(quality) = 0, false)").alias("bad"))
+    bit = "shiftleft(1L, cast(doc_id & 63 as int))"
+    bits = [F.expr(f"bit_or(if({c}, {bit}, 0L))").alias(c) for c in ("trusted", "bad")]
+    return each.where("trusted or bad").groupBy(F.shiftright("doc_id", 6).alias("at")).agg(*bits)
 
 
-def bad_ids(labels: DataFrame, most: int = SAMPLE) -> DataFrame:
-    """Ids of documents labelled of low quality and never good, at most ``most`` of them."""
-    bad = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("best"), F.min("quality").alias("worst")).where("best = 0 and worst = 0")
-    return bad.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+def with_labels(docs: DataFrame, bits: DataFrame, how: str) -> DataFrame:
+    """text, trusted and bad (0 or 1) of documents; with ``how`` inner perhaps of those alone that have a label."""
+    held = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
+    bits = F.broadcast(bits) if bits.count() <= BROADCAST_ROWS else bits
+    of = lambda c: F.expr(f"shiftright({c}, cast(_id & 63 as int)) & 1L").alias(c)
+    return held.join(bits, F.shiftright("_id", 6) == F.col("at"), how).select("text", of("trusted"), of("bad"))
 
 
 def split_point(good: list[float], bad: list[float]) -> float:
     """Where the share of good scores at or above less the share of bad ones is largest; the middle of
-    the gap below the lowest such score, rounded to six digits."""
+    the gap below the lowest such score. ``split_of`` on lists."""
     scores = sorted([(x, 1 / len(good)) for x in good] + [(x, -1 / len(bad)) for x in bad])
     above, best, at = 0.0, 0.0, scores[0][0]
     below = scores[-1][0]
@@ -71,55 +78,76 @@ def split_point(good: list[float], bad: list[float]) -> float:
         below = scores[k - 1][0] if k else scores[0][0]
         if above > best + 1e-12 and (not k or below < scores[k][0]):
             best, at = above, (scores[k][0] + below) / 2
-    return round(at, 6)
-
-
-def threshold_of(docs: DataFrame, labels: DataFrame, trusted: DataFrame, counts: tuple[list[float], list[int]], buckets: int = BUCKETS) -> float:
-    """The threshold that parts documents labelled good from those of low quality, by at most SAMPLE ids
-    of each; THRESHOLD where there are fewer than LEAST documents of either.
+    return round(at, 10)
+
+
+def split_of(scores: DataFrame) -> float | None:
+    """The split point of any number of rows (at, good, bad): scores in billionths, and whether (0 or 1) they are
+    good or bad ones'. None where there are fewer than LEAST of either.
+
+    Counts above a score are running sums by blocks of scores; one row reaches the driver."""
+    n = lambda c: F.sum(F.col(c).cast("decimal(38,0)"))
+    sums = cut(scores.groupBy("at").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).where("good + bad > 0"), "scores")
+    all_good, all_bad, lowest = sums.agg(n("good"), n("bad"), F.min("at")).first()
+    if min(all_good or 0, all_bad or 0) < LEAST:
+        return None
+    down = sums.select("at", (-F.col("at")).alias("down"), "good", "bad", F.lit(0).alias("unit"))
+    # A block is a span of scores, so it has no more rows than billionths, however many documents.
+    above = running(down, {"good_above": ("sum", F.col("good")), "bad_above": ("sum", F.col("bad"))}, by="unit", order="down", inclusive=True, block=250_000, nulls=False)
+    gain = F.col("good_above").cast("decimal(19,0)") * F.lit(int(all_bad)).cast("decimal(19,0)") - F.col("bad_above").cast("decimal(19,0)") * F.lit(int(all_good)).cast("decimal(19,0)")
+    best = above.select(gain.alias("gain"), "at").where("gain > 0").agg(F.max(F.struct("gain", "at"))["at"]).first()[0]
+    if best is None:
+        return round(lowest / 1e9, 10)
+    below = sums.where(F.col("at") < best).agg(F.max("at")).first()[0]
+    return round((best + (best if below is None else below)) / 2e9, 10)
+
+
+def threshold_of(docs: DataFrame, bits: DataFrame, counts: tuple[list[float], list[int]], buckets: int = BUCKETS) -> float:
+    """The threshold that parts all documents labelled good from all of low quality; THRESHOLD where there
+    are fewer than LEAST documents of either.
 
     A trusted document is scored without its own counts, as one without a label would be: it would
-    otherwise lie too high. Only the sample's scores reach the driver. Documents that the base rules
-    drop say nothing here."""
-    n, good = counts
+    otherwise lie too high. Documents that the base rules drop say nothing here."""
+    held = with_labels(docs, bits, "inner").where("trusted + bad > 0").select("text", F.col("trusted").alias("_good"))
+    held = with_windows(with_hashes(held, F.col("text"))).withColumn("_n", F.size("_h").cast("long"))
+    # No null among the buckets, so that they are sorted as plain numbers.
+    grams = F.transform(F.concat("_h", "_h2"), lambda h: F.coalesce(F.pmod(h, F.lit(buckets)).cast("int"), F.lit(0)))
+    held = held.select("_good", failed_base().alias("_failed"), F.sort_array(grams).alias("_g"))
+    at = F.round(score_without_own(*counts) * 1e9).cast("long")
+    # A filter here would be pushed into the steps above and repeat them; dropped rows count for nothing instead.
+    found = split_of(held.select(at.alias("at"), F.expr("if(_failed, 0, _good)").alias("good"), F.expr("if(_failed, 0, 1 - _good)").alias("bad")))
+    return THRESHOLD if found is None else found
+
+
+def score_without_own(n: list[float], good: list[int]) -> Column:
+    """The mean log ratio of a row's buckets ``_g``, in order, where its own counts are taken off if ``_good``
+    is 1. Equal buckets are neighbours; a row's sum goes by bucket, so it never depends on other rows."""
     corpus, trusted_n = sum(n), sum(good)
-    share = F.expr("array(" + ",".join(f"{x / corpus:.12e}D" for x in n) + ")")
-    held = F.expr("array(" + ",".join(f"{g}L" for g in good) + ")")
-    first = trusted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    ids = first.withColumn("_good", F.lit(1)).union(bad_ids(labels).withColumn("_good", F.lit(0)))
-    sample = docs.join(F.broadcast(ids), "doc_id").select("_good", "text")
-    sample = with_windows(with_hashes(sample, F.col("text").cast("string"))).withColumn("_n", F.size("_h").cast("long"))
-    grams = F.transform(F.concat("_h", "_h2"), lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
-    # Written out, so that no filter is pushed into the steps above and a row's number stands for it.
-    sample = cut(sample.select("_good", failed_base().alias("_failed"), grams.alias("_g")), "quality-sample")
-    sample = cut(sample.where("not _failed").withColumn("_nth", F.monotonically_increasing_id()), "quality-sample")
-    each = sample.select("_nth", "_good", F.size("_g").alias("_all"), F.explode("_g").alias("g")).groupBy("_nth", "_good", "_all", "g").agg(F.count(F.lit(1)).alias("c"))
-    p, own = F.get(share, F.col("g")), F.col("_good") * F.col("c")
-    ratio = F.log((F.get(held, F.col("g")) - own + PRIOR * p) / (trusted_n - F.col("_good") * F.col("_all") + PRIOR) / p)
-    scores = each.groupBy("_nth", "_good").agg(F.round(F.sum(F.col("c") * ratio) / F.max("_all"), 9).alias("score")).select("_good", "score").collect()
-    found = [[r["score"] for r in scores if r["_good"] == k] for k in (1, 0)]
-    return split_point(*found) if min(map(len, found)) >= LEAST else THRESHOLD
-
-
-def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> list[float]:
-    """log(trusted / corpus) of each bucket."""
-    return ratios_of(*gram_counts(docs, trusted, buckets))
+    numbers = lambda xs: F.expr("array(" + ",".join(f"{x:.15e}D" for x in xs) + ")")
+    held, share = numbers([g + PRIOR * x / corpus for g, x in zip(good, n)]), numbers([math.log(x / corpus) for x in n])
+    part = lambda g, c: c * (F.log(F.get(held, g) - F.col("_good") * c) - F.get(share, g))
+    state = lambda g, c, total: F.struct(g.alias("g"), c.alias("c"), total.alias("total"))
+    one, ends = F.lit(1).cast("long"), lambda acc: acc["total"] + F.when(acc["c"] > 0, part(acc["g"], acc["c"])).otherwise(0.0)
+    step = lambda acc, g: F.when(g == acc["g"], state(g, acc["c"] + 1, acc["total"])).otherwise(state(g, one, ends(acc)))
+    total = F.aggregate("_g", state(F.lit(-1), F.lit(0).cast("long"), F.lit(0.0)), step, ends)
+    return total / F.greatest(F.size("_g"), F.lit(1)) - F.log(F.lit(float(trusted_n + PRIOR)) - F.col("_good") * F.size("_g"))
 
 
 def ratios_of(n: list[float], good: list[int]) -> list[float]:
+    """log(trusted / corpus) of each bucket."""
     corpus, trusted_n = sum(n), sum(good)
     share = [x / corpus for x in n]
     return [math.log((g + PRIOR * p) / (trusted_n + PRIOR) / p) for g, p in zip(good, share)]
 
 
-def gram_counts(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> tuple[list[float], list[int]]:
-    """Counts of each bucket in the corpus and in trusted documents; ``buckets`` numbers reach the driver, whatever the corpus.
+def gram_counts(docs: DataFrame, bits: DataFrame, buckets: int = BUCKETS) -> tuple[list[float], list[int]]:
+    """Counts of each bucket in the corpus and in all trusted documents; ``buckets`` numbers reach the driver, whatever the corpus.
 
     One pass over all documents; sums are made in each task before they are shuffled. The corpus has
     half a count more in every bucket, and the trusted side PRIOR counts spread as the corpus is, so
     empty tables give ratios of zero."""
-    marked = docs.join(F.broadcast(trusted.withColumn("_good", F.lit(1))), "doc_id", "left")
-    held = marked.select("_good", words_of(F.col("text").cast("string")).alias("_words"))
+    marked = with_labels(docs, bits, "left").withColumn("_good", F.expr("if(trusted = 1, 1, null)"))
+    held = marked.select("_good", words_of(F.col("text")).alias("_words"))
     # Word by word in generated code, the next word read from the array beside it.
     each = held.select("_good", "_words", F.posexplode("_words").alias("_at", "_word"))
     after = F.get("_words", F.col("_at") + 1)
@@ -172,11 +200,11 @@ def judge(
     is shuffled. The score of a text without words is zero, and a score at the threshold is kept. Texts of
     any length are read whole. An empty table gives no rows; other columns are not carried but inside the
     row, whatever their names. The labels set the threshold unless it is given."""
-    trusted = cut(trusted_ids(labels), "trusted")
-    counts = gram_counts(docs, trusted, buckets)
+    bits = cut(label_bits(labels), "labels")
+    counts = gram_counts(docs, bits, buckets)
     ratios = ratios_of(*counts)
     if threshold is None:
-        threshold = threshold_of(docs, labels, trusted, counts, buckets)
+        threshold = threshold_of(docs, bits, counts, buckets)
     table = F.expr("array(" + ",".join(f"{x:.9e}D" for x in ratios) + ")")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     whole = F.struct(*[F.col(c) for c in docs.columns]) if carry else F.lit(None)

@@ -2,6 +2,7 @@
 tables and clashing column names."""
 
 import collections
+import functools
 import re
 import zlib
 
@@ -245,6 +246,61 @@ def test_labels_set_the_quality_threshold(spark):
     assert quality.split_point([3.0, 4.0, 5.0], [0.0, 1.0, 3.0]) == 3.5 and quality.split_point([3.0, 4.0], [0.0, 1.0]) == 2.0
 
 
+def labelled_corpus(spark):
+    """More labelled documents than any bound that once held: 22,000 good ones, 6,000 bad ones, 2,000 without a label."""
+    word = "concat(if(pmod(hash(id, k), 10) < if(id % 30 < 6, 5, 2), 'v', 'w'), pmod(hash(k, id, 7), 15))"
+    docs = spark.range(30_000).selectExpr("id as doc_id", f"array_join(transform(sequence(1, 12), k -> {word}), ' ') as text")
+    labels = spark.range(30_000).where("id % 30 < 28").selectExpr("id as doc_id", "cast(id % 30 >= 6 as int) as quality", "0 as toxic")
+    return docs, labels
+
+
+def slow_quality(rows, good, bad):
+    """Scores and threshold from every labelled document, one at a time; all texts have 12 words, repeat no window."""
+    import struct
+
+    word = functools.cache(lambda w: xxhash.xxh64_intdigest(w.encode(), 42))
+    pair = functools.cache(lambda a, b: xxhash.xxh64_intdigest(struct.pack("<Q", word(b)), xxhash.xxh64_intdigest(struct.pack("<Q", word(a)), 42)))
+    bucket = lambda h: (h - (1 << 64) if h >> 63 else h) % quality.BUCKETS
+    grams = {}
+    for d, t in rows:
+        w = t.split(" ")
+        grams[d] = np.asarray([bucket(word(x)) for x in w] + [bucket(pair(x, y)) for x, y in zip(w, w[1:])])
+    n = np.bincount(np.concatenate(list(grams.values())), minlength=quality.BUCKETS) + 0.5
+    held = np.bincount(np.concatenate([grams[d] for d in good]), minlength=quality.BUCKETS)
+    p = n / n.sum()
+    ratio = np.log((held + quality.PRIOR * p) / (held.sum() + quality.PRIOR) / p)
+
+    def own(g):
+        mine = (g[:, None] == g[None, :]).sum(1)
+        return np.log((held[g] - mine + quality.PRIOR * p[g]) / (held.sum() - len(g) + quality.PRIOR) / p[g]).mean()
+
+    at = quality.split_point([round(own(grams[d]), 9) for d in good], [round(ratio[grams[d]].mean(), 9) for d in bad])
+    return {d: ratio[g].mean() for d, g in grams.items()}, at
+
+
+def test_quality_counts_and_threshold_take_every_label(spark, monkeypatch):
+    docs, labels = labelled_corpus(spark)
+    rows, of = docs.collect(), {r.doc_id: r.quality for r in labels.collect()}
+    want, at = slow_quality(rows, [d for d in of if of[d]], [d for d in of if not of[d]])
+    for rows_broadcast in (500_000, 0):  # labels by broadcast, and by a shuffle
+        monkeypatch.setattr(quality, "BROADCAST_ROWS", rows_broadcast, raising=False)
+        got = quality.judge(docs, labels).select("doc_id", "score", "kept", "base_failed").collect()
+        assert len(got) == 30_000 and max(abs(r.score - want[r.doc_id]) for r in got) < 1e-8
+        wrong = [r for r in got if r.kept != (not r.base_failed and r.score >= at) and abs(r.score - at) > 1e-8]
+        assert not wrong and 0 < sum(r.kept for r in got) < 30_000
+
+
+def test_quality_split_on_many_and_few_scores(spark):
+    rng = np.random.default_rng(3)
+    for n, step in ((3000, 10**9), (3000, 7), (50, 10**8), (10, 1)):
+        good, bad = (rng.integers(0, 100, n) * step + 30 * step).tolist(), (rng.integers(0, 100, n) * step).tolist()
+        df = spark.createDataFrame([(x, 1, 0) for x in good] + [(x, 0, 1) for x in bad] + [(-5, 0, 0)], "at long, good int, bad int")
+        want = quality.split_point([x / 1e9 for x in good], [x / 1e9 for x in bad]) if n >= quality.LEAST else None
+        assert quality.split_of(df) == want
+    apart = spark.createDataFrame([(1, 0, 1)] * 30 + [(1, 1, 0)] * 30, "at long, good int, bad int")
+    assert quality.split_of(apart) == 1e-9  # nothing parts them: all stay
+
+
 def test_quality_base_columns_and_score(spark, docs, none):
     labels = spark.createDataFrame([(0, 1, 0), (6, 1, 0), (8, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     got = quality.judge(docs, labels).collect()
