@@ -290,6 +290,19 @@ def test_quality_counts_and_threshold_take_every_label(spark, monkeypatch):
         assert not wrong and 0 < sum(r.kept for r in got) < 30_000
 
 
+def test_pipeline_quality_stage_takes_every_label(spark, tmp_path):
+    import corpus_pipeline
+
+    docs, labels = labelled_corpus(spark)
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    rows, of = docs.collect(), {r.doc_id: r.quality for r in labels.collect()}
+    want, at = slow_quality(rows, [d for d in of if of[d]], [d for d in of if not of[d]])
+    got = {r.doc_id for r in corpus_pipeline.quality_rules(spark, docs, str(tmp_path)).collect()}
+    failed = {r.doc_id for r in quality.judge(docs, labels).where("base_failed").collect()}
+    clear = [d for d in want if abs(want[d] - at) > 1e-8 and d not in failed]
+    assert len(clear) > 29_000 and all((d in got) == (want[d] >= at) for d in clear) and not got & failed
+
+
 def test_quality_split_on_many_and_few_scores(spark):
     rng = np.random.default_rng(3)
     for n, step in ((3000, 10**9), (3000, 7), (50, 10**8), (10, 1)):
