@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bookreplay.functions.windows import running
@@ -113,24 +113,33 @@ def threshold_of(docs: DataFrame, bits: DataFrame, counts: tuple[list[float], li
     # No null among the buckets, so that they are sorted as plain numbers.
     grams = F.transform(F.concat("_h", "_h2"), lambda h: F.coalesce(F.pmod(h, F.lit(buckets)).cast("int"), F.lit(0)))
     held = held.select("_good", failed_base().alias("_failed"), F.sort_array(grams).alias("_g"))
-    at = F.round(score_without_own(*counts) * 1e9).cast("long")
+    held, score = with_score_without_own(held, *counts)
+    at = F.round(score * 1e9).cast("long")
     # A filter here would be pushed into the steps above and repeat them; dropped rows count for nothing instead.
     found = split_of(held.select(at.alias("at"), F.expr("if(_failed, 0, _good)").alias("good"), F.expr("if(_failed, 0, 1 - _good)").alias("bad")))
     return THRESHOLD if found is None else found
 
 
-def score_without_own(n: list[float], good: list[int]) -> Column:
-    """The mean log ratio of a row's buckets ``_g``, in order, where its own counts are taken off if ``_good``
-    is 1. Equal buckets are neighbours; a row's sum goes by bucket, so it never depends on other rows."""
+def numbers(spark: SparkSession, xs: list[float]) -> Column:
+    """A list as a scalar subquery. As literals its numbers would stand in every plan, and in every text of a
+    plan, that the driver holds. A higher-order function takes no subquery, so the list is a column first, which
+    is gone from a row once that is scored."""
+    return spark.createDataFrame([(xs,)], "xs array<double>").scalar()
+
+
+def with_score_without_own(rows: DataFrame, n: list[float], good: list[int]) -> tuple[DataFrame, Column]:
+    """Rows with the numbers that the score takes, and that score: the mean log ratio of a row's buckets ``_g``, in
+    order, where its own counts are taken off if ``_good`` is 1. Equal buckets are neighbours; a row's sum goes
+    by bucket, so it never depends on other rows."""
     corpus, trusted_n = sum(n), sum(good)
-    numbers = lambda xs: F.expr("array(" + ",".join(f"{x:.15e}D" for x in xs) + ")")
-    held, share = numbers([g + PRIOR * x / corpus for g, x in zip(good, n)]), numbers([math.log(x / corpus) for x in n])
-    part = lambda g, c: c * (F.log(F.get(held, g) - F.col("_good") * c) - F.get(share, g))
+    held = numbers(rows.sparkSession, [float(f"{g + PRIOR * x / corpus:.15e}") for g, x in zip(good, n)])
+    share = numbers(rows.sparkSession, [float(f"{math.log(x / corpus):.15e}") for x in n])
+    part = lambda g, c: c * (F.log(F.get("_held", g) - F.col("_good") * c) - F.get("_share", g))
     state = lambda g, c, total: F.struct(g.alias("g"), c.alias("c"), total.alias("total"))
     one, ends = F.lit(1).cast("long"), lambda acc: acc["total"] + F.when(acc["c"] > 0, part(acc["g"], acc["c"])).otherwise(0.0)
     step = lambda acc, g: F.when(g == acc["g"], state(g, acc["c"] + 1, acc["total"])).otherwise(state(g, one, ends(acc)))
     total = F.aggregate("_g", state(F.lit(-1), F.lit(0).cast("long"), F.lit(0.0)), step, ends)
-    return total / F.greatest(F.size("_g"), F.lit(1)) - F.log(F.lit(float(trusted_n + PRIOR)) - F.col("_good") * F.size("_g"))
+    return rows.withColumns({"_held": held, "_share": share}), total / F.greatest(F.size("_g"), F.lit(1)) - F.log(F.lit(float(trusted_n + PRIOR)) - F.col("_good") * F.size("_g"))
 
 
 def ratios_of(n: list[float], good: list[int]) -> list[float]:
@@ -205,12 +214,12 @@ def judge(
     ratios = ratios_of(*counts)
     if threshold is None:
         threshold = threshold_of(docs, bits, counts, buckets)
-    table = F.expr("array(" + ",".join(f"{x:.9e}D" for x in ratios) + ")")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     whole = F.struct(*[F.col(c) for c in docs.columns]) if carry else F.lit(None)
     docs = docs.select(whole.alias("_row"), "doc_id", "text")
     held = with_windows(with_hashes(docs, F.col("text").cast("string"))).withColumn("_n", F.size("_h").cast("long"))
-    total = lambda c: F.aggregate(c, F.lit(0.0), lambda acc, h: acc + F.get(table, F.pmod(h, F.lit(buckets)).cast("int")))
+    held = held.withColumn("_ratios", numbers(docs.sparkSession, [float(f"{x:.9e}") for x in ratios]))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda acc, h: acc + F.get("_ratios", F.pmod(h, F.lit(buckets)).cast("int")))
     score = F.when(F.col("_n") > 0, (total("_h") + total("_h2")) / F.greatest(2 * F.col("_n") - 1, F.lit(1))).otherwise(0.0)
     failed = failed_base()
     held = held.withColumn("_score", score).withColumn("_lines", lines_with_words(text))

@@ -2,7 +2,9 @@
 tables and clashing column names."""
 
 import collections
+import contextlib
 import functools
+import io
 import re
 import zlib
 
@@ -303,6 +305,21 @@ def test_pipeline_quality_stage_takes_every_label(spark, tmp_path):
     assert len(clear) > 29_000 and all((d in got) == (want[d] >= at) for d in clear) and not got & failed
 
 
+def test_quality_plans_hold_no_bucket_values(spark, docs, monkeypatch):
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(9)], "doc_id long, quality int, toxic int")
+    shown, split_of = [], quality.split_of
+
+    def said(df):
+        with contextlib.redirect_stdout(io.StringIO()) as out:
+            df.explain("extended")
+        shown.append(len(out.getvalue()))
+
+    monkeypatch.setattr(quality, "split_of", lambda scores: said(scores) or split_of(scores))
+    said(quality.judge(docs, labels))
+    said(quality.kept_documents(docs, labels))
+    assert len(shown) == 4 and max(shown) < 10 * quality.BUCKETS  # 10,000 values alone take some 200,000 characters
+
+
 def test_quality_split_on_many_and_few_scores(spark):
     rng = np.random.default_rng(3)
     for n, step in ((3000, 10**9), (3000, 7), (50, 10**8), (10, 1)):
