@@ -49,22 +49,22 @@ def joined(a: Column, b: Column, by: int) -> Column:
 
 
 def label_bits(labels: DataFrame) -> DataFrame:
-    """at, trusted, bad: which of the ids at * 64 to at * 64 + 63 are labelled good and not toxic, and which of
-    low quality and never good, as bits of a long each. Every labelled id is in it."""
+    """at, trusted, good, bad: which of the ids at * 64 to at * 64 + 63 are labelled good and not toxic, which good,
+    toxic or not, and which of low quality and never good, as bits of a long each. Every id with a quality is in it."""
     each = labels.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "toxic")
-    good = F.coalesce(F.expr("max(quality = 1 and toxic = 0)"), F.lit(False))
-    each = each.groupBy("doc_id").agg(good.alias("trusted"), F.expr("coalesce(max(quality) = 0 and min(quality) = 0, false)").alias("bad"))
+    tests = {"trusted": "max(quality = 1 and toxic = 0)", "good": "max(quality = 1)", "bad": "max(quality) = 0 and min(quality) = 0"}
+    each = each.groupBy("doc_id").agg(*[F.coalesce(F.expr(x), F.lit(False)).alias(c) for c, x in tests.items()])
     bit = "shiftleft(1L, cast(doc_id & 63 as int))"
-    bits = [F.expr(f"bit_or(if({c}, {bit}, 0L))").alias(c) for c in ("trusted", "bad")]
-    return each.where("trusted or bad").groupBy(F.shiftright("doc_id", 6).alias("at")).agg(*bits)
+    bits = [F.expr(f"bit_or(if({c}, {bit}, 0L))").alias(c) for c in tests]
+    return each.where("good or bad").groupBy(F.shiftright("doc_id", 6).alias("at")).agg(*bits)
 
 
 def with_labels(docs: DataFrame, bits: DataFrame, how: str) -> DataFrame:
-    """text, trusted and bad (0 or 1) of documents; with ``how`` inner perhaps of those alone that have a label."""
+    """text, trusted, good and bad (0 or 1) of documents; with ``how`` inner perhaps of those alone that have a label."""
     held = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
     bits = F.broadcast(bits) if bits.count() <= BROADCAST_ROWS else bits
     of = lambda c: F.expr(f"shiftright({c}, cast(_id & 63 as int)) & 1L").alias(c)
-    return held.join(bits, F.shiftright("_id", 6) == F.col("at"), how).select("text", of("trusted"), of("bad"))
+    return held.join(bits, F.shiftright("_id", 6) == F.col("at"), how).select("text", of("trusted"), of("good"), of("bad"))
 
 
 def split_point(good: list[float], bad: list[float]) -> float:
@@ -103,20 +103,20 @@ def split_of(scores: DataFrame) -> float | None:
 
 
 def threshold_of(docs: DataFrame, bits: DataFrame, counts: tuple[list[float], list[int]], buckets: int = BUCKETS) -> float:
-    """The threshold that parts all documents labelled good from all of low quality; THRESHOLD where there
-    are fewer than LEAST documents of either.
+    """The threshold that parts all documents labelled good, toxic or not, from all of low quality; THRESHOLD where
+    there are fewer than LEAST documents of either.
 
     A trusted document is scored without its own counts, as one without a label would be: it would
     otherwise lie too high. Documents that the base rules drop say nothing here."""
-    held = with_labels(docs, bits, "inner").where("trusted + bad > 0").select("text", F.col("trusted").alias("_good"))
+    held = with_labels(docs, bits, "inner").where("good + bad > 0").select("text", F.col("trusted").alias("_good"), F.col("good").alias("_over"))
     held = with_windows(with_hashes(held, F.col("text"))).withColumn("_n", F.size("_h").cast("long"))
     # No null among the buckets, so that they are sorted as plain numbers.
     grams = F.transform(F.concat("_h", "_h2"), lambda h: F.coalesce(F.pmod(h, F.lit(buckets)).cast("int"), F.lit(0)))
-    held = held.select("_good", failed_base().alias("_failed"), F.sort_array(grams).alias("_g"))
+    held = held.select("_good", "_over", failed_base().alias("_failed"), F.sort_array(grams).alias("_g"))
     held, score = with_score_without_own(held, *counts)
     at = F.round(score * 1e9).cast("long")
     # A filter here would be pushed into the steps above and repeat them; dropped rows count for nothing instead.
-    found = split_of(held.select(at.alias("at"), F.expr("if(_failed, 0, _good)").alias("good"), F.expr("if(_failed, 0, 1 - _good)").alias("bad")))
+    found = split_of(held.select(at.alias("at"), F.expr("if(_failed, 0, _over)").alias("good"), F.expr("if(_failed, 0, 1 - _over)").alias("bad")))
     return THRESHOLD if found is None else found
 
 

@@ -305,6 +305,35 @@ def test_pipeline_quality_stage_takes_every_label(spark, tmp_path):
     assert len(clear) > 29_000 and all((d in got) == (want[d] >= at) for d in clear) and not got & failed
 
 
+def test_quality_threshold_takes_toxic_documents_of_good_quality(spark, tmp_path):
+    import corpus_pipeline
+
+    word = lambda i, k: f"{'v' if (i + k) % 10 < (7, 3, 5)[i % 3] else 'w'}{(i * 7 + k * k) % 9}"
+    rows = [(i, " ".join(word(i, k) for k in range(12))) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    # Of low quality; good; good and toxic, or with no word on that: not trusted, but good.
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), (None if i % 2 else 1) if i % 3 == 2 else 0) for i in range(900)], "doc_id long, quality int, toxic int")
+    want = slow_threshold(rows, [i for i in range(900) if i % 3 == 1], [i for i in range(900) if i % 3 == 2], [i for i in range(900) if i % 3 == 0])
+    bits, failed = quality.label_bits(labels), quality.judge(docs, labels).where("base_failed").count()
+    got = quality.threshold_of(docs, bits, quality.gram_counts(docs, bits))
+    assert not failed and abs(got - want) < 1e-8
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {r.doc_id for r in corpus_pipeline.quality_rules(spark, docs, str(tmp_path)).collect()}
+    assert kept == {r.doc_id for r in quality.judge(docs, labels, threshold=want).where("kept").collect()}
+
+
+def slow_threshold(rows, trusted, toxic, bad):
+    """``slow_quality``'s threshold where toxic documents of good quality have no counts but a say."""
+    scores, _ = slow_quality(rows, trusted, bad)
+    own, split = [], quality.split_point
+    try:
+        quality.split_point = lambda good, bad: own.extend(good) or 0.0
+        slow_quality(rows, trusted, bad)
+    finally:
+        quality.split_point = split
+    return split(own + [round(scores[d], 9) for d in toxic], [round(scores[d], 9) for d in bad])
+
+
 def test_quality_plans_hold_no_bucket_values(spark, docs, monkeypatch):
     labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(9)], "doc_id long, quality int, toxic int")
     shown, split_of = [], quality.split_of
