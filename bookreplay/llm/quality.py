@@ -124,7 +124,8 @@ def numbers(spark: SparkSession, xs: list[float]) -> Column:
     """A list as a scalar subquery. As literals its numbers would stand in every plan, and in every text of a
     plan, that the driver holds. A higher-order function takes no subquery, so the list is a column first, which
     is gone from a row once that is scored."""
-    return spark.createDataFrame([(xs,)], "xs array<double>").scalar()
+    held = spark.range(1).select(F.split(F.lit(" ".join(map(repr, xs))), " ").cast("array<double>").alias("xs"))
+    return cut(held, "numbers").scalar()
 
 
 def with_score_without_own(rows: DataFrame, n: list[float], good: list[int]) -> tuple[DataFrame, Column]:
