@@ -1,28 +1,34 @@
-"""Main text of web pages: the pages' own markup, and a host suffix array over page token streams.
-
-A page is parsed into blocks. Blocks inside its article (or main) are content, whatever other pages
-hold. Where a page has neither, the suffix array decides: the words of all blocks of a page, content
-or not, make its token stream, and a page's stream is one string of its host's concatenation. Its
-suffixes are sorted to the depth of ``run`` words, which is all it takes to tell whether a run of that
-length stands in another page: neighbours that share so many words are one group, and longer repeats
-are starts that follow each other. Hosts fill shards of a bounded number of words, one array each; a
-host of more words is dealt over several, whose groups, not suffixes, meet by a hash of their words.
-So neither a host nor a menu with a third of all pages gathers in one task. Words covered by a run that distinct pages
-of the host share are boilerplate; the other runs of a block are kept, unless its markup says that it
-is a menu, footer, advert or the like. Copies of a whole page are one page in this.
+"""Main text of web pages: a host suffix array over page token streams, and the pages' own markup.
+
+A page is parsed into blocks, and the words of all blocks of every page, content or not, make its token
+stream; a page's stream is one string of its host's concatenation. Its suffixes are sorted to the depth of
+``run`` words, which is all it takes to tell whether a run of that length stands in another page:
+neighbours that share so many words are one group, and longer repeats are starts that follow each other.
+Hosts fill shards of a bounded number of words, one array each; a host of more words is dealt over
+several, whose groups, not suffixes, meet by a hash of their words. So neither a host nor a menu with a
+third of all pages gathers in one task. Words covered by a run that distinct pages of the host share are
+boilerplate; the other runs of a block are kept. Copies of a whole page are one page in this.
+
+The markup is a check behind it: what it calls a menu, footer, advert or the like goes even if it is unique,
+and the longest article of a page (or its main) stays whole even where other pages hold its passages.
+What markup can't tell, the array decides: all of a page without an article or main, and further articles
+of a page, teasers or posts, beside its longest.
 """
 
 from __future__ import annotations
 
+import collections
+import hashlib
 import html as entities
 import re
 from bisect import bisect_right
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bookreplay.llm.common import cut, parts_for
@@ -59,8 +65,15 @@ MARKED = re.compile(r"(?:^|\s)(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)|'([
 RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for t in RAW}
 
 CONTENT, OPEN, BOILERPLATE = 2, 1, 0
-#: Hosts with undecided pages are joined by broadcast up to this many, else by a shuffle.
+#: Hosts of several shards are joined by broadcast up to this many, else by a shuffle.
 BROADCAST_HOSTS = 100_000
+#: Characters of html for each word, by which shards are planned before pages are parsed.
+WORD_CHARS = 8
+#: Words whose runs meet in one task, and bits of a run's key beyond those that number all words.
+SLICE_WORDS, SPARE_BITS = 2_000_000, 7
+#: Numbers of the octets, and the base of the powers, in hashes of words.
+OCTETS, BASE = np.random.RandomState(9).randint(0, 2**63, 256).astype("u8") * np.uint64(2) + np.uint64(1), 0xD1342543DE82EF95
+SHARD = ["shard", "several", "host", "page_id", "url", "times", "copy", "blocks"]
 
 
 def marks_of(attributes: str) -> set[str]:
@@ -123,7 +136,8 @@ class Element:
 def parse(page: str) -> list[tuple[int, str]]:
     """Blocks of a page in order: (CONTENT, OPEN or BOILERPLATE, text with single spaces).
 
-    Content stands in an article, or in main where there is no article. Broken markup is read as
+    Content stands in the longest article, or in main where there is no article; further articles beside it are
+    open, as they may be teasers of other pages or parts of this one. Broken markup is read as
     browsers do: elements left open end with what holds them, a tag cut off at the end is dropped.
     Marks on what holds a main or the longest article say nothing: a theme's body or wrapper may be
     called anything, while a list of related articles holds short ones."""
@@ -190,42 +204,102 @@ def parse(page: str) -> list[tuple[int, str]]:
             x.text, x = x.text + len(text), x.up
     total = sum(len(text) for text, _ in blocks)
     outers = [x.outer for _, x in blocks if x and x.outer]
-    for x in [*mains, *([max(outers, key=lambda x: x.size)] if outers else [])]:
+    longest = max(outers, key=lambda x: x.size) if outers else None
+    for x in [*mains, *([longest] if longest else [])]:
         x.hold()
-    states = [(t, *(x.state(total) if x else (False, False, False))) for t, x in blocks]
+    states = [(t, *(x.state(total) if x else (False, False, False)), x.outer if x else None) for t, x in blocks]
     inside = 2 if any(b[2] for b in states) else 3 if any(b[3] for b in states) else None
-    kind = lambda b: BOILERPLATE if b[1] else OPEN if inside is None else CONTENT if b[inside] else BOILERPLATE
+    further = lambda b: inside == 2 and b[4] is not longest
+    kind = lambda b: BOILERPLATE if b[1] or inside and not b[inside] else OPEN if not inside or further(b) else CONTENT
     return [(kind(b), b[0]) for b in states]
 
 
-def parsed(pages: DataFrame) -> DataFrame:
-    """page_id, url, row (a hash that tells pages apart), host, and the blocks as arrays: kinds, texts."""
-    held = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    held = held.withColumn("row", F.xxhash64("page_id", "url", "html"))
+def packed(values: np.ndarray) -> bytes:
+    """Rising unsigned numbers as compressed bytes: differences, equal bytes of all of them side by side."""
+    steps = np.diff(values, prepend=np.uint64(0))
+    return zstandard.compress(steps.view("u1").reshape(-1, 8).T.tobytes(), 1)
+
+
+def unpacked(held: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zstandard.decompress(held), "u1").reshape(8, -1).T.copy().view("u8").ravel(), dtype="u8")
+
+
+def shards_of(pages: DataFrame, words_each: int) -> tuple[DataFrame, int]:
+    """shard, several, host, page_id, url, times, copy, blocks for every page, dealt by shard; and about how many words
+    there are.
+
+    A host of more than ``words_each`` words, by the length of its html, has ``several`` shards; its pages are dealt
+    by their hash. Equal rows of a batch are one row with so many ``times``. ``copy`` is equal for pages whose words
+    outside boilerplate are equal. ``blocks`` is a compressed text: a line for each block, its kind before it."""
+    held = pages.select(F.col("page_id").cast("long").cast("string").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), "^[^/]*://([^/?#]*)", 1))
-    held = held.select("page_id", "url", "row", host.alias("host"), "html")
-    schema = "page_id long, url string, row long, host string, kinds array<int>, texts array<string>"
+    held = held.withColumn("host", F.xxhash64(host)).withColumn("row", F.xxhash64("page_id", "url", "html"))
+    sizes = cut(held.groupBy("host").agg(F.sum(F.ceil(F.length("html") / WORD_CHARS)).alias("words")), "sizes")
+    total = sizes.agg(F.sum("words")).first()[0] or 0
+    large = sizes.where(F.col("words") > words_each).select("host", F.ceil(F.col("words") / words_each).alias("parts"))
+    held = held.join(F.broadcast(large) if large.count() <= BROADCAST_HOSTS else large, "host", "left")
+    n = parts_for(total, words_each)
+    part = F.coalesce(F.pmod("row", "parts"), F.lit(0))
+    held = held.select(F.pmod(F.pmod("host", F.lit(n)) + part, F.lit(n)).alias("shard"), F.col("parts").isNotNull().alias("several"), "host", "page_id", "url", "row", "html")
 
     def read(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
-            pages_of = b.column("html")
-            kinds, texts = [], []
-            for i in range(b.num_rows):
-                blocks = parse(pages_of[i].as_py() or "")
-                kinds.append([k for k, _ in blocks])
-                texts.append([t for _, t in blocks])
-            more = [pa.array(kinds, pa.list_(pa.int32())), pa.array(texts, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("page_id", "url", "row", "host")), *more], names=[x.split()[0] for x in schema.split(", ")])
-
-    return held.mapInArrow(read, schema)
-
-
-def texts_of(test: Callable[[Column], Column]) -> Column:
-    """The texts of the blocks whose kind passes the test."""
-    held = F.filter(F.arrays_zip("kinds", "texts"), lambda b: test(b["kinds"]))
-    return F.array_join(F.transform(held, lambda b: b["texts"]), " ")
+            first: dict[int, int] = {}
+            times = collections.Counter(first.setdefault(x, i) for i, x in enumerate(b.column("row").to_pylist()))
+            copies, out = [], []
+            for i in times:
+                blocks = parse(b.column("html")[i].as_py() or "")
+                own = " ".join(t for k, t in blocks if k != BOILERPLATE)
+                copies.append(int.from_bytes(hashlib.blake2b(own.encode(), digest_size=8).digest(), "little", signed=True))
+                out.append(zstandard.compress("\n".join(f"{k}{t}" for k, t in blocks).encode()))
+            more = [pa.array(list(times.values()), pa.int32()), pa.array(copies, pa.int64()), pa.array(out, pa.binary())]
+            held = [b.column(c).take(pa.array(list(times), pa.int64())) for c in SHARD[:5]]
+            yield pa.RecordBatch.from_arrays(held + more, names=SHARD)
+
+    kinds = ("long", "boolean", "long", "string", "string", "int", "long", "binary")
+    found = held.mapInArrow(read, ", ".join(f"{c} {k}" for c, k in zip(SHARD, kinds)))
+    return found.repartition(n, "shard"), total
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """1, base, base^2, ... modulo 2^64."""
+    return np.cumprod(np.concatenate([np.ones(1, "u8"), np.full(n, base % 2**64, "u8")]), dtype="u8")
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ x >> np.uint64(29)
+
+
+def streams(held: pd.DataFrame) -> tuple[list[bytes], list[np.ndarray]]:
+    """The pages' blocks, a line for each, and the token streams of all their words, content or not. A token is a hash of
+    host and word, so hosts share a shard and no run. A word's hash is a sum of its octets' numbers times powers, taken
+    from running sums over all octets."""
+    pages = [zstandard.decompress(b) for b in held["blocks"]]
+    octets = np.frombuffer(b"".join(b"\n" + b for b in pages if b) + b"\n", "u1")
+    gaps = np.flatnonzero((octets == 32) | (octets == 10))
+    begins = gaps[:-1] + 1 + (octets[gaps[:-1]] == 10)  # behind the kind that a line begins with
+    sums = np.concatenate([np.zeros(1, "u8"), np.cumsum(OCTETS[octets] * powers(BASE, len(octets) - 1), dtype="u8")])
+    words = (sums[gaps[1:]] - sums[begins]) * powers(pow(BASE, -1, 2**64), len(octets) - 1)[begins]
+    ends = np.cumsum([len(b) + 1 if b else 0 for b in pages])
+    sizes = np.diff(np.searchsorted(begins, ends), prepend=0)
+    tokens = mixed(mixed(words) ^ np.repeat(held["host"].to_numpy("i8").view("u8"), sizes)).view("i8")
+    return pages, np.split(tokens, np.cumsum(sizes)[:-1]) if len(pages) else []
+
+
+def ranks(values: np.ndarray) -> np.ndarray:
+    """The place of each value among the distinct ones. Values and their places are sorted as one number where
+    they fit in it."""
+    at = max(1, len(values)).bit_length()
+    if not len(values) or values.min() < 0 or int(values.max()).bit_length() + at > 63:
+        return np.unique(values, return_inverse=True)[1].astype("i8")
+    held = np.sort(values << at | np.arange(len(values)))
+    step = held >> at
+    rank = np.empty(len(values), "i8")
+    rank[held & ((1 << at) - 1)] = np.cumsum(np.concatenate([[0], step[1:] != step[:-1]]))
+    return rank
 
 
 def suffix_array(tokens: np.ndarray, starts: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
@@ -234,12 +308,12 @@ def suffix_array(tokens: np.ndarray, starts: np.ndarray, run: int) -> tuple[np.n
 
     Ranks by prefixes of 1, 2, 4, ... tokens are made from pairs of ranks of half the length; a last pair
     that overlaps gives any other length. Every start has ``run`` tokens from it on."""
-    rank, length = np.unique(tokens, return_inverse=True)[1].astype("i8"), 1
+    rank, length = ranks(tokens), 1
     while length < run:
         step = min(length, run - length)
         later = np.full(len(rank), -1, "i8")
         later[: len(rank) - step] = rank[step:]
-        rank = np.unique(rank * (len(rank) + 1) + later + 1, return_inverse=True)[1].astype("i8")
+        rank = ranks(rank * (len(rank) + 1) + later + 1)
         length += step
     order = starts[np.argsort(rank[starts], kind="stable")]
     return order, rank[order[1:]] == rank[order[:-1]]
@@ -272,37 +346,77 @@ def run_keys(tokens: np.ndarray, at: np.ndarray, run: int) -> np.ndarray:
     return key.view("i8")
 
 
-def streams(pages: DataFrame, words_each: int) -> DataFrame:
-    """shard, row, host, several, copy, tokens, texts, kinds: every page's stream, in shards of about ``words_each``
-    words. A token is a hash of host and word, so hosts share a shard and no run. A host of more words has ``several``
-    shards, its pages dealt by their hash. ``copy`` is equal for pages whose words outside boilerplate are equal."""
-    held = pages.dropDuplicates(["row"]).where(F.size("texts") > 0)
-    tokens = F.transform(F.split(F.array_join("texts", " "), " "), lambda w: F.xxhash64("host", w))
-    held = held.withColumn("copy", F.xxhash64(texts_of(lambda k: k != BOILERPLATE))).withColumn("tokens", tokens)
-    n = F.sum(F.aggregate("texts", F.lit(0).cast("long"), lambda a, t: a + F.length(t) - F.length(F.replace(t, F.lit(" "))) + 1))
-    sizes = cut(pages.groupBy("host").agg(n.alias("words")), "sizes")
-    total = sizes.agg(F.sum("words")).first()[0] or 0
-    large = sizes.where(F.col("words") > words_each).select("host", F.ceil(F.col("words") / words_each).alias("parts"))
-    held = held.join(F.broadcast(large) if large.count() <= BROADCAST_HOSTS else large, "host", "left")
-    part = F.pmod("row", F.coalesce("parts", F.lit(1)))
-    shard = F.pmod(F.xxhash64("host", part), F.lit(parts_for(total, words_each)))
-    return held.select(shard.alias("shard"), "row", "host", F.col("parts").isNotNull().alias("several"), "copy", "tokens", "texts", "kinds")
-
-
-def group_keys(shards: DataFrame, run: int) -> DataFrame:
-    """shard, key: the runs that a shard of a host with several holds and that stand in distinct pages of the host. Each
-    shard gives a row for each group of its suffix array, however many suffixes are in it."""
-
-    def groups(held: pd.DataFrame) -> pd.DataFrame:
-        tokens = list(held["tokens"])
-        *_, heads, low, high = repeats(tokens, held["copy"].to_numpy(), run)
-        keys = run_keys(np.concatenate(tokens), heads, run)
-        return pd.DataFrame({"shard": held["shard"].iloc[0], "key": keys, "low": low, "high": high})
-
-    found = shards.where("several").select("shard", "copy", "tokens").groupBy("shard").applyInPandas(groups, "shard long, key long, low long, high long")
-    found = cut(found, "groups")
-    across = found.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high")
-    return found.select("shard", "key").join(across.select("key"), "key", "left_semi")
+def sent_runs(held: pd.DataFrame, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a shard's hosts with several shards: the keys of all runs, rising, and the smallest and largest copy that holds
+    each: the suffix array's groups, in the order of keys."""
+    held = held[held["several"]]
+    tokens = streams(held)[1]
+    sizes = np.asarray([len(t) for t in tokens], "i8")
+    page = np.repeat(np.arange(len(sizes)), sizes)
+    starts = np.flatnonzero(np.arange(len(page)) + run <= np.cumsum(sizes)[page])
+    if not len(starts):
+        return np.empty(0, "u8"), np.empty(0, "i8"), np.empty(0, "i8")
+    keys = run_keys(np.concatenate(tokens), starts, run).view("u8")
+    order = np.argsort(keys)
+    keys, copies = keys[order], held["copy"].to_numpy("i8")[page[starts[order]]]
+    heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[heads], np.minimum.reduceat(copies, heads), np.maximum.reduceat(copies, heads)
+
+
+def messages(shard: int, keys: np.ndarray, bits: int, slices: int, **more: np.ndarray) -> pd.DataFrame:
+    """A row for each slice of the range of keys of so many bits, which the first 24 of them tell."""
+    place = (keys >> np.uint64(bits - 24)) * np.uint64(slices) >> np.uint64(24)
+    at = np.searchsorted(place, np.arange(slices + 1, dtype="u8"))
+    full = [i for i in range(slices) if at[i] < at[i + 1]]
+    out = {"slice": full, "shard": [shard] * len(full), "keys": [packed(keys[at[i] : at[i + 1]]) for i in full]}
+    return pd.DataFrame(out | {c: [zstandard.compress(more[c][at[i] : at[i + 1]].tobytes()) if c in more else None for i in full] for c in ("low", "high")})
+
+
+def met(held: pd.DataFrame) -> pd.DataFrame:
+    """shard, keys: what each shard sent of a slice that distinct copies hold, or distinct shards where no copies were sent."""
+    keys = [unpacked(k) for k in held["keys"]]
+    at = np.cumsum([0, *(len(k) for k in keys)])
+    if held["low"].isna().any():
+        low = high = np.repeat(held["shard"].to_numpy("i8"), np.diff(at))
+    else:
+        low, high = (np.concatenate([np.frombuffer(zstandard.decompress(x), "i8") for x in held[c]]) for c in ("low", "high"))
+    flat = np.concatenate(keys)
+    order = np.argsort(flat, kind="stable")
+    flat = flat[order]
+    heads = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+    hit = np.minimum.reduceat(low[order], heads) != np.maximum.reduceat(high[order], heads)
+    found = np.empty(len(flat), bool)
+    found[order] = np.repeat(hit, np.diff(np.append(heads, len(flat))))
+    out = [(s, packed(k[found[a:z]])) for s, k, a, z in zip(held["shard"], keys, at, at[1:]) if found[a:z].any()]
+    return pd.DataFrame({"shard": [s for s, _ in out], "keys": [k for _, k in out]})
+
+
+def runs_across(shards: DataFrame, run: int, total: int) -> DataFrame:
+    """shard, keys: the runs that a shard of a host with several holds and that stand in distinct pages of the host.
+
+    Shards send the first bits of their groups' keys, so many that few groups meet by chance; of groups that met in
+    another shard, whole keys and copies, which decide. So a run that one shard alone holds costs a few bits,
+    and of an array's groups none is left out."""
+    bits = min(64, max(32, int(total).bit_length() + SPARE_BITS))
+    first = lambda keys: keys >> np.uint64(64 - bits)
+    slices = parts_for(total, SLICE_WORDS)
+
+    def ask(held: pd.DataFrame) -> pd.DataFrame:
+        keys = sent_runs(held, run)[0]
+        keys = first(keys)
+        return messages(held["shard"].iloc[0], np.concatenate([keys[:1], keys[1:][keys[1:] != keys[:-1]]]), bits, slices)
+
+    def tell(held: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        if not len(held) or not len(near):
+            return messages(0, np.empty(0, "u8"), 64, slices)
+        keys, low, high = sent_runs(held, run)
+        hit = np.isin(first(keys), np.concatenate([unpacked(k) for k in near["keys"]]))
+        return messages(held["shard"].iloc[0], keys[hit], 64, slices, low=low[hit], high=high[hit])
+
+    sent = "slice long, shard long, keys binary, low binary, high binary"
+    near = shards.groupBy("shard").applyInPandas(ask, sent).groupBy("slice").applyInPandas(met, "shard long, keys binary")
+    told = shards.groupBy("shard").cogroup(near.groupBy("shard")).applyInPandas(tell, sent)
+    return told.groupBy("slice").applyInPandas(met, "shard long, keys binary")
 
 
 def covered_words(starts: list[int], sizes: list[int], run: int) -> set[int]:
@@ -327,54 +441,45 @@ def covered_words(starts: list[int], sizes: list[int], run: int) -> set[int]:
     return out
 
 
-def unique_words(pages: DataFrame, run: int, words_each: int) -> DataFrame:
-    """row, kept: of pages with open blocks, what the open blocks keep once covered words are gone.
+def main_text(pages: DataFrame, run: int = 8, words_each: int = 262_144) -> DataFrame:
+    """page_id, url, text, n_chars for every row.
 
-    Hosts without such a page have nothing to decide and are left out."""
-    hosts = cut(pages.where(F.exists("kinds", lambda k: k == OPEN)).select("host").distinct(), "hosts")
-    asked = pages.join(F.broadcast(hosts) if hosts.count() <= BROADCAST_HOSTS else hosts, "host", "left_semi")
-    shards = cut(streams(asked, words_each), "streams")
+    A null or empty html has no text. Repeated rows, and pages of a host with the same words outside
+    boilerplate, count as one page when runs are looked for, so a page is never boilerplate to its own
+    copy; they are returned each. Pages without a host share the empty one. Other columns are not
+    carried; an empty table gives no rows."""
+    shards, total = shards_of(pages, words_each)
 
     def keep(held: pd.DataFrame, across: pd.DataFrame) -> pd.DataFrame:
         if not len(held):
-            return pd.DataFrame({"row": [], "kept": []})
-        tokens = list(held["tokens"])
-        _, page, place, group, heads, low, high = repeats(tokens, held["copy"].to_numpy(), run)
+            return pd.DataFrame({"page_id": [], "url": [], "times": [], "text": []})
+        pages_of, tokens = streams(held)
+        starts, page, place, group, heads, low, high = repeats(tokens, held["copy"].to_numpy("i8"), run)
         repeated = low != high
-        if len(across):
-            repeated |= np.isin(run_keys(np.concatenate(tokens), heads, run), across["key"].to_numpy())
+        if len(across) and len(heads):
+            keys = run_keys(np.concatenate(tokens), heads, run).view("u8")
+            repeated |= np.isin(keys, np.concatenate([unpacked(k) for k in across["keys"]]))
         hit = repeated[group]
-        page, place = page[hit], place[hit]
-        order = np.lexsort((place, page))
-        page, place = page[order], place[order]
+        order = np.argsort(starts[hit])  # by page and place
+        page, place = page[hit][order], place[hit][order]
         ends = np.searchsorted(page, np.arange(len(tokens) + 1))
-        rows, out = [], []
-        for i, (row, texts, kinds) in enumerate(zip(held["row"], held["texts"], held["kinds"])):
-            if OPEN not in kinds:
-                continue
-            covered = covered_words(place[ends[i] : ends[i + 1]].tolist(), [t.count(" ") + 1 for t in texts], run)
+        out = []
+        for i, blocks in enumerate(pages_of):
+            of = [(int(x[0]), x[1:]) for x in blocks.decode().split("\n") if x]
+            covered: set[int] = set()
+            if ends[i] < ends[i + 1] and any(k == OPEN for k, _ in of):
+                covered = covered_words(place[ends[i] : ends[i + 1]].tolist(), [t.count(" ") + 1 for _, t in of], run)
             at, kept = 0, []
-            for kind, t in zip(kinds, texts):
-                words = t.split(" ")
-                if kind == OPEN:
-                    kept += [w for j, w in enumerate(words, at) if j not in covered]
-                at += len(words)
-            rows.append(row)
+            for kind, t in of:
+                if kind == CONTENT or kind == OPEN and not covered:
+                    kept.append(t)
+                elif kind == OPEN:
+                    kept += [w for j, w in enumerate(t.split(" "), at) if j not in covered]
+                at += t.count(" ") + 1
             out.append(" ".join(kept))
-        return pd.DataFrame({"row": rows, "kept": out})
+        return held[["page_id", "url", "times"]].assign(text=out)
 
-    return shards.groupBy("shard").cogroup(group_keys(shards, run).groupBy("shard")).applyInPandas(keep, "row long, kept string")
-
-
-def main_text(pages: DataFrame, run: int = 8, words_each: int = 262_144) -> DataFrame:
-    """page_id, url, text, n_chars for every row.
-
-    A null or empty html has no text. Repeated rows, and pages of a host with the same words outside
-    boilerplate, count as one page when runs are looked for, so a page is never boilerplate to its own
-    copy; they are returned each. Pages without a host share the empty one. Other columns are not
-    carried; an empty table gives no rows."""
-    held = cut(parsed(pages), "blocks")
-    decided = held.where(~F.exists("kinds", lambda k: k == OPEN)).select("page_id", "url", texts_of(lambda k: k == CONTENT).alias("text"))
-    opened = held.where(F.exists("kinds", lambda k: k == OPEN)).join(unique_words(held, run, words_each), "row", "left")
-    both = decided.union(opened.select("page_id", "url", F.coalesce("kept", F.lit(""))))
-    return both.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    across = runs_across(shards, run, total)
+    found = shards.groupBy("shard").cogroup(across.groupBy("shard")).applyInPandas(keep, "page_id string, url string, times int, text string")
+    found = found.withColumn("time", F.explode(F.array_repeat(F.lit(1), F.col("times"))))
+    return found.select(F.col("page_id").cast("long").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -432,3 +432,57 @@ def test_suffix_array_is_sorted_by_first_tokens(spark):
         keys = html_extract.run_keys(np.concatenate(tokens), heads, run)
         assert len(set(keys.tolist())) == len(where)
     assert all(len(x) == 0 for x in html_extract.repeats([np.asarray([1, 2], "i8")], np.asarray([1]), 8))
+
+
+def test_the_array_judges_further_articles(spark):
+    """Articles beside a page's longest: teasers of other pages of the host go, a part of this page alone stays. The longest stays
+    whole, even where other pages hold its words."""
+    body = lambda i: " ".join(f"w{i}x{j}" for j in range(20))
+    lead = lambda i: " ".join(body(i).split()[:9])
+    page = lambda i: f"<nav>Home</nav><article><h1>Story {i}</h1><p>{body(i)}</p></article><article><p>{lead((i + 1) % 6)}</p></article><article><p>part {i} of it</p></article>"
+    rows = [(i, f"http://a.com/{i}", page(i)) for i in range(6)]
+    rows += [(6, "http://b.com/", page(0)), rows[3], rows[3]]  # alone on its host; repeated rows
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = [(i, f"Story {i} {body(i)} part {i} of it") for i in range(6)] + [(3, f"Story 3 {body(3)} part 3 of it")] * 2
+    want += [(6, f"Story 0 {body(0)} {lead(1)} part 0 of it")]
+    for words_each in (262_144, 60, 1):
+        assert sorted((r.page_id, r.text) for r in html_extract.main_text(df, words_each=words_each).collect()) == sorted(want)
+
+
+def test_streams_and_packed_keys():
+    import pandas as pd
+    import zstandard
+
+    texts = ["2one two\n0two é two", "", "1" + "x" * 3000 + " one", "2\u4f60\u597d one\n1one"]
+    held = pd.DataFrame({"host": [5, 5, 5, -6], "blocks": [zstandard.compress(t.encode()) for t in texts]})
+    pages, tokens = html_extract.streams(held)
+    assert [p.decode() for p in pages] == texts and [len(x) for x in tokens] == [5, 0, 2, 3]
+    (one, two, _, e, _), (_, one_too), (_, other, again) = tokens[0], tokens[2], tokens[3]
+    assert tokens[0][1] == tokens[0][2] == tokens[0][4] and one == one_too != other == again and len({one, two, e}) == 3
+    assert html_extract.streams(held[:0])[1] == [] and [len(x) for x in html_extract.streams(held[1:2])[1]] == [0]
+    rng = np.random.default_rng(1)
+    for top in (3, 2**40, 2**62):
+        x = rng.integers(-top if top == 3 else 0, top, 1000)
+        assert np.array_equal(html_extract.ranks(x), np.unique(x, return_inverse=True)[1])
+    for n in (0, 1, 500):
+        keys = np.unique(rng.integers(0, 2**64, n, "u8"))
+        assert np.array_equal(html_extract.unpacked(html_extract.packed(keys)), keys)
+
+
+def test_keys_meet_across_shards():
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+    for bits in (32, 64):
+        keys = [np.unique(rng.choice(np.append(rng.integers(0, 2**bits, 40, "u8"), np.uint64(2**bits - 1)), 60)) for _ in range(2)]
+        keys.append(np.unique(np.concatenate([keys[0][:9], keys[1][-9:]])))
+        sent = pd.concat([html_extract.messages(s, k, bits, 5) for s, k in enumerate(keys)])
+        found = [html_extract.met(x) for _, x in sent.groupby("slice")]
+        got = {(s, k) for f in found for s, p in zip(f["shard"], f["keys"]) for k in html_extract.unpacked(p).tolist()}
+        where = collections.Counter(k for x in keys for k in x.tolist())
+        assert got == {(s, k) for s, x in enumerate(keys) for k in x.tolist() if where[k] > 1}
+    # One copy in two shards is no repeat; two copies in one shard are.
+    a, b = np.asarray([3, 2**63], "u8"), np.asarray([3], "u8")
+    sent = pd.concat([html_extract.messages(0, a, 64, 1, low=np.asarray([7, 7]), high=np.asarray([7, 8])), html_extract.messages(1, b, 64, 1, low=np.asarray([7]), high=np.asarray([7]))])
+    found = html_extract.met(sent)
+    assert found["shard"].tolist() == [0] and html_extract.unpacked(found["keys"][0]).tolist() == [2**63]
