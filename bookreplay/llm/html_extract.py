@@ -364,10 +364,12 @@ def sent_runs(held: pd.DataFrame, run: int) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def messages(shard: int, keys: np.ndarray, bits: int, slices: int, **more: np.ndarray) -> pd.DataFrame:
-    """A row for each slice of the range of keys of so many bits, which the first 24 of them tell."""
+    """A row for each slice of the range of keys of so many bits, which the first 24 of them tell. The largest copy goes as
+    its difference from the smallest, mostly none."""
     place = (keys >> np.uint64(bits - 24)) * np.uint64(slices) >> np.uint64(24)
     at = np.searchsorted(place, np.arange(slices + 1, dtype="u8"))
     full = [i for i in range(slices) if at[i] < at[i + 1]]
+    more |= {"high": more["low"] ^ more["high"]} if more else {}
     out = {"slice": full, "shard": [shard] * len(full), "keys": [packed(keys[at[i] : at[i + 1]]) for i in full]}
     return pd.DataFrame(out | {c: [zstandard.compress(more[c][at[i] : at[i + 1]].tobytes()) if c in more else None for i in full] for c in ("low", "high")})
 
@@ -380,6 +382,7 @@ def met(held: pd.DataFrame) -> pd.DataFrame:
         low = high = np.repeat(held["shard"].to_numpy("i8"), np.diff(at))
     else:
         low, high = (np.concatenate([np.frombuffer(zstandard.decompress(x), "i8") for x in held[c]]) for c in ("low", "high"))
+        high = low ^ high
     flat = np.concatenate(keys)
     order = np.argsort(flat, kind="stable")
     flat = flat[order]
