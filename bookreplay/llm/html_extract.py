@@ -69,11 +69,11 @@ CONTENT, OPEN, BOILERPLATE = 2, 1, 0
 BROADCAST_HOSTS = 100_000
 #: Characters of html for each word, by which shards are planned before pages are parsed.
 WORD_CHARS = 8
-#: Words whose runs meet in one task, and bits of a run's key beyond those that number all words.
+#: Words of a host whose runs meet in one task, and bits of a run's key beyond those that number the host's words.
 SLICE_WORDS, SPARE_BITS = 2_000_000, 7
 #: Numbers of the octets, and the base of the powers, in hashes of words.
 OCTETS, BASE = np.random.RandomState(9).randint(0, 2**63, 256).astype("u8") * np.uint64(2) + np.uint64(1), 0xD1342543DE82EF95
-SHARD = ["shard", "several", "host", "page_id", "url", "times", "copy", "blocks"]
+SHARD = ["shard", "parts", "host", "page_id", "url", "times", "copy", "blocks"]
 
 
 def marks_of(attributes: str) -> set[str]:
@@ -224,12 +224,11 @@ def unpacked(held: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(zstandard.decompress(held), "u1").reshape(8, -1).T.copy().view("u8").ravel(), dtype="u8")
 
 
-def shards_of(pages: DataFrame, words_each: int) -> tuple[DataFrame, int]:
-    """shard, several, host, page_id, url, times, copy, blocks for every page, dealt by shard; and about how many words
-    there are.
+def shards_of(pages: DataFrame, words_each: int) -> DataFrame:
+    """shard, parts, host, page_id, url, times, copy, blocks for every page, dealt by shard.
 
-    A host of more than ``words_each`` words, by the length of its html, has ``several`` shards; its pages are dealt
-    by their hash. Equal rows of a batch are one row with so many ``times``. ``copy`` is equal for pages whose words
+    A host of more than ``words_each`` words, by the length of its html, is in several shards (``parts``); its pages are
+    dealt by their hash. Equal rows of a batch are one row with so many ``times``. ``copy`` is equal for pages whose words
     outside boilerplate are equal. ``blocks`` is a compressed text: a line for each block, its kind before it."""
     held = pages.select(F.col("page_id").cast("long").cast("string").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), "^[^/]*://([^/?#]*)", 1))
@@ -240,7 +239,7 @@ def shards_of(pages: DataFrame, words_each: int) -> tuple[DataFrame, int]:
     held = held.join(F.broadcast(large) if large.count() <= BROADCAST_HOSTS else large, "host", "left")
     n = parts_for(total, words_each)
     part = F.coalesce(F.pmod("row", "parts"), F.lit(0))
-    held = held.select(F.pmod(F.pmod("host", F.lit(n)) + part, F.lit(n)).alias("shard"), F.col("parts").isNotNull().alias("several"), "host", "page_id", "url", "row", "html")
+    held = held.select(F.pmod(F.pmod("host", F.lit(n)) + part, F.lit(n)).alias("shard"), F.coalesce("parts", F.lit(1)).alias("parts"), "host", "page_id", "url", "row", "html")
 
     def read(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -258,9 +257,9 @@ def shards_of(pages: DataFrame, words_each: int) -> tuple[DataFrame, int]:
             held = [b.column(c).take(pa.array(list(times), pa.int64())) for c in SHARD[:5]]
             yield pa.RecordBatch.from_arrays(held + more, names=SHARD)
 
-    kinds = ("long", "boolean", "long", "string", "string", "int", "long", "binary")
+    kinds = ("long", "long", "long", "string", "string", "int", "long", "binary")
     found = held.mapInArrow(read, ", ".join(f"{c} {k}" for c, k in zip(SHARD, kinds)))
-    return found.repartition(n, "shard"), total
+    return found.repartition(n, "shard")
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -347,9 +346,8 @@ def run_keys(tokens: np.ndarray, at: np.ndarray, run: int) -> np.ndarray:
 
 
 def sent_runs(held: pd.DataFrame, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a shard's hosts with several shards: the keys of all runs, rising, and the smallest and largest copy that holds
+    """Of a host's pages in a shard: the keys of all runs, rising, and the smallest and largest copy that holds
     each: the suffix array's groups, in the order of keys."""
-    held = held[held["several"]]
     tokens = streams(held)[1]
     sizes = np.asarray([len(t) for t in tokens], "i8")
     page = np.repeat(np.arange(len(sizes)), sizes)
@@ -394,32 +392,51 @@ def met(held: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"shard": [s for s, _ in out], "keys": [k for _, k in out]})
 
 
-def runs_across(shards: DataFrame, run: int, total: int) -> DataFrame:
+def runs_across(shards: DataFrame, run: int, words_each: int) -> DataFrame:
     """shard, keys: the runs that a shard of a host with several holds and that stand in distinct pages of the host.
 
-    Shards send the first bits of their groups' keys, so many that few groups meet by chance; of groups that met in
+    Shards send the first bits of their runs' keys, so many that few runs of a host meet by chance; of runs that met in
     another shard, whole keys and copies, which decide. So a run that one shard alone holds costs a few bits,
     and of an array's groups none is left out."""
-    bits = min(64, max(32, int(total).bit_length() + SPARE_BITS))
-    first = lambda keys: keys >> np.uint64(64 - bits)
-    slices = parts_for(total, SLICE_WORDS)
+    sent = "host long, slice long, shard long, keys binary, low binary, high binary"
+    found = "host long, shard long, keys binary"
+
+    def plan(parts: int) -> tuple[int, int]:
+        """Bits of a host's first keys, and slices that they go to."""
+        words = int(parts) * words_each
+        return min(64, max(24, words.bit_length() + SPARE_BITS)), parts_for(words, SLICE_WORDS)
+
+    def first(keys: np.ndarray, bits: int) -> np.ndarray:
+        keys = keys >> np.uint64(64 - bits)
+        return np.concatenate([keys[:1], keys[1:][keys[1:] != keys[:-1]]])
+
+    def together(rows: list[pd.DataFrame], schema: str) -> pd.DataFrame:
+        return pd.concat(rows) if rows else pd.DataFrame({x.split()[0]: [] for x in schema.split(", ")})
 
     def ask(held: pd.DataFrame) -> pd.DataFrame:
-        keys = sent_runs(held, run)[0]
-        keys = first(keys)
-        return messages(held["shard"].iloc[0], np.concatenate([keys[:1], keys[1:][keys[1:] != keys[:-1]]]), bits, slices)
+        out = []
+        for (host, parts), own in held[held["parts"] > 1].groupby(["host", "parts"]):
+            bits, slices = plan(parts)
+            out.append(messages(held["shard"].iloc[0], first(sent_runs(own, run)[0], bits), bits, slices).assign(host=host))
+        return together(out, sent)
 
     def tell(held: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
-        if not len(held) or not len(near):
-            return messages(0, np.empty(0, "u8"), 64, slices)
-        keys, low, high = sent_runs(held, run)
-        hit = np.isin(first(keys), np.concatenate([unpacked(k) for k in near["keys"]]))
-        return messages(held["shard"].iloc[0], keys[hit], 64, slices, low=low[hit], high=high[hit])
-
-    sent = "slice long, shard long, keys binary, low binary, high binary"
-    near = shards.groupBy("shard").applyInPandas(ask, sent).groupBy("slice").applyInPandas(met, "shard long, keys binary")
+        out = []
+        for (host, parts), own in held[held["parts"] > 1].groupby(["host", "parts"]) if len(near) else []:
+            asked = [unpacked(k) for k in near["keys"][near["host"] == host]]
+            if asked:
+                bits, slices = plan(parts)
+                keys, low, high = sent_runs(own, run)
+                hit = np.isin(keys >> np.uint64(64 - bits), np.concatenate(asked))
+                out.append(messages(held["shard"].iloc[0], keys[hit], 64, slices, low=low[hit], high=high[hit]).assign(host=host))
+        return together(out, sent)
+
+    def meet(held: pd.DataFrame) -> pd.DataFrame:
+        return met(held).assign(host=held["host"].iloc[0])
+
+    near = shards.groupBy("shard").applyInPandas(ask, sent).groupBy("host", "slice").applyInPandas(meet, found)
     told = shards.groupBy("shard").cogroup(near.groupBy("shard")).applyInPandas(tell, sent)
-    return told.groupBy("slice").applyInPandas(met, "shard long, keys binary")
+    return told.groupBy("host", "slice").applyInPandas(meet, found)
 
 
 def covered_words(starts: list[int], sizes: list[int], run: int) -> set[int]:
@@ -451,7 +468,7 @@ def main_text(pages: DataFrame, run: int = 8, words_each: int = 262_144) -> Data
     boilerplate, count as one page when runs are looked for, so a page is never boilerplate to its own
     copy; they are returned each. Pages without a host share the empty one. Other columns are not
     carried; an empty table gives no rows."""
-    shards, total = shards_of(pages, words_each)
+    shards = shards_of(pages, words_each)
 
     def keep(held: pd.DataFrame, across: pd.DataFrame) -> pd.DataFrame:
         if not len(held):
@@ -482,7 +499,7 @@ def main_text(pages: DataFrame, run: int = 8, words_each: int = 262_144) -> Data
             out.append(" ".join(kept))
         return held[["page_id", "url", "times"]].assign(text=out)
 
-    across = runs_across(shards, run, total)
+    across = runs_across(shards, run, words_each)
     found = shards.groupBy("shard").cogroup(across.groupBy("shard")).applyInPandas(keep, "page_id string, url string, times int, text string")
     found = found.withColumn("time", F.explode(F.array_repeat(F.lit(1), F.col("times"))))
     return found.select(F.col("page_id").cast("long").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
