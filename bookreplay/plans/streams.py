@@ -17,30 +17,28 @@ from bookreplay.plans.views import with_views
 from bookreplay.sources import landing
 from bookreplay.streaming import book_stream, capture_stream
 
-#: Files of a micro-batch; pieces follow each other, a run's rows of a piece are one file.
-FILES = 3
+#: Files of a micro-batch where rows have no order; pieces of rows that have one, each a micro-batch.
+FILES, PIECES = 3, 3
 
 
-def landed(rows: DataFrame, order: str, pieces: int = 3) -> str:
-    """Rows as files in ``pieces`` that follow each other by ``order``, each run's in one file."""
+def pieces(rows: DataFrame, order: str) -> list[DataFrame]:
+    """Rows in pieces that follow each other by ``order``."""
     at = unix_micros(F.col(order)) if dict(rows.dtypes)[order].startswith("timestamp") else F.col(order)
     ends = rows.agg(F.min(at.cast("double")).alias("lo"), F.max(at.cast("double")).alias("hi")).first()
-    folder = fresh_dir(rows.sparkSession, "landed")
     lo, hi = ends["lo"] or 0.0, ends["hi"] or 0.0
-    piece = F.least(F.floor((at.cast("double") - lo) / max(hi - lo, 1.0) * pieces), F.lit(pieces - 1))
-    for i in range(pieces):
-        rows.where(F.coalesce(piece, F.lit(0)) == i).repartition("run").write.parquet(f"{folder}/{i}")
-    return folder
+    piece = F.least(F.floor((at.cast("double") - lo) / max(hi - lo, 1.0) * PIECES), F.lit(PIECES - 1))
+    return [rows.where(F.coalesce(piece, F.lit(0)) == i) for i in range(PIECES)]
 
 
 def played(spark: SparkSession, rows: DataFrame, form: Callable[[DataFrame], DataFrame], order: str | None, each: Callable | None = None):
     """Plays ``rows`` through ``form``: what comes out as a table, or the finished query where there is no order or the
-    batches go to ``each``."""
-    folder = landed(rows, order) if order else None
-    if folder is None:
-        folder = fresh_dir(spark, "landed")
-        rows.write.parquet(f"{folder}/0")
-    stream = form(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES).option("recursiveFileLookup", True).parquet(folder))
+    batches go to ``each``. The query is stopped and taken up again between pieces, and a piece is one batch in whatever
+    number of files it lies: a batch of some of them would move the clock past the rows of the others."""
+    folder = fresh_dir(spark, "landed")
+    parts = pieces(rows, order) if order else [rows]
+    parts[0].write.parquet(f"{folder}/0")
+    source = spark.readStream.schema(rows.schema).option("recursiveFileLookup", True)
+    stream = form((source if order else source.option("maxFilesPerTrigger", FILES)).parquet(folder))
     out, state = fresh_dir(spark, "played"), fresh_dir(spark, "stream-state")
     writer = stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True).outputMode("append")
     if each is not None:
@@ -49,8 +47,11 @@ def played(spark: SparkSession, rows: DataFrame, form: Callable[[DataFrame], Dat
         writer = writer.format("noop")
     else:
         writer = writer.format("parquet").option("path", out)
-    done = capture_stream.started(writer, spark)
-    done.awaitTermination()
+    for i, part in enumerate(parts):
+        if i:
+            part.write.parquet(f"{folder}/{i}")
+        done = capture_stream.started(writer, spark)
+        done.awaitTermination()
     return done if each is not None or order is None else spark.read.schema(stream.schema).parquet(out)
 
 

@@ -6,6 +6,7 @@ inside a batch; batches must follow each other (ordered files with a bound for e
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,7 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from bookreplay.operators import ledger
+from bookreplay.streaming import chunks
 from bookreplay.streaming.book_stream import ROCKSDB
+from bookreplay.streaming.chunks import Chunks
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
@@ -123,35 +126,51 @@ FROZEN = "run string, condition_id string, token_id string, seq long, midpoint s
 
 class FreezeProcessor(StatefulProcessor):
     """The last state emitted before a target closes, given out by a timer at its close. Event time is the time of
-    receipt, so the watermark says when no row from before the close can come any more."""
+    receipt, so the watermark says when no row from before the close can come any more. A key is a group of a run's
+    targets (``chunks.shard``): an entry for each target, and for each close the names of the targets it has."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", "close_us long, book_us long, previous string, seq long, midpoint string, kept string")
+        self.chunks = handle.getMapState("chunks", chunks.KEY, chunks.VALUE)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        known = self.state.exists()
-        close, book, previous, seq, midpoint, kept = self.state.get() if known else (None, None, None, None, None, None)
+        entries, targets, closes = Chunks(self.chunks, "targets"), {}, {}
         for r in _ordered(rows, ["seq"]).itertuples(index=False):
-            if close is None:
-                close = int(r.close_us)
-                self.handle.registerTimer(close // 1000)
+            name = chunks.named(r.condition_id, r.token_id)
+            held = targets.get(name) or entries.get(name)
+            if held is None:
+                held = [int(r.close_us), None, None, None, None, None]
+                closes.setdefault(held[0] // 1000, []).append(name)
+            close, book, previous, seq, midpoint, kept = held
             at = _whole(r.book_us)
             # A new book time emits again, with the persistence value as it was.
             if (r.changed or at != book) and r.received_us < close:
                 seq, midpoint, kept = int(r.seq), r.midpoint, previous
             if r.changed and r.midpoint is not None:
                 previous = r.midpoint
-            book = at
-        self.state.update((close, book, previous, seq, midpoint, kept))
+            targets[name] = [close, at, previous, seq, midpoint, kept]
+        for name, held in targets.items():
+            entries[name] = held
+        entries.flush()
+        for at, names in closes.items():
+            due = Chunks(self.chunks, f"close {at}")
+            for name in names:
+                due[name] = None
+            due.flush()
+            self.handle.registerTimer(at)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.state.exists():
-            *_, seq, midpoint, kept = self.state.get()
+        entries, due, out = Chunks(self.chunks, "targets"), Chunks(self.chunks, f"close {expiredTimerInfo.getExpiryTimeInMs()}"), []
+        for name in due:
+            *_, seq, midpoint, kept = entries.get(name)
             if seq is not None:
-                yield _frame([(*key, seq, midpoint, kept)], FROZEN)
-            self.state.clear()
+                out.append((key[0], *json.loads(name), seq, midpoint, kept))
+            del entries[name]
+        due.clear()
+        entries.flush()
+        if out:
+            yield _frame(out, FROZEN)
 
     def close(self) -> None:
         pass
@@ -164,8 +183,8 @@ def frozen(states: DataFrame, delay: str = "2 minutes") -> DataFrame:
     held = states.select(
         *[F.col(c).cast("string").alias(c) for c in ("run", "condition_id", "token_id")], F.col("seq").cast("long").alias("seq"), "changed", F.col("midpoint").cast("string").alias("midpoint"),
         us("book_event_time").alias("book_us"), us("received_time").alias("received_us"), us("close_at").alias("close_us"), F.col("received_time").cast("timestamp").alias("received_time"))
-    held = held.withWatermark("received_time", delay)
-    return held.groupBy("run", "condition_id", "token_id").transformWithStateInPandas(statefulProcessor=FreezeProcessor(), outputStructType=FROZEN, outputMode="append", timeMode="EventTime")
+    held = held.withColumn("shard", chunks.shard("condition_id", "token_id")).withWatermark("received_time", delay)
+    return held.groupBy("run", "shard").transformWithStateInPandas(statefulProcessor=FreezeProcessor(), outputStructType=FROZEN, outputMode="append", timeMode="EventTime")
 
 
 # --- the ledger -----------------------------------------------------------------------------------

@@ -3,12 +3,14 @@
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from bookreplay.operators import forecast, lateness, ledger, normalise
 from bookreplay.plans.streams import played
 from bookreplay.sources import landing
 from bookreplay.streaming import book_stream, capture_stream
+from bookreplay.streaming.chunks import Chunks
 from tests.test_book import ARRIVAL, OPS, fold, history
 
 T0 = datetime(2024, 1, 1)
@@ -86,6 +88,29 @@ def test_targets_freeze_at_their_close(spark):
     assert got == want and len(want) == 4
 
 
+def test_targets_of_many_files_freeze_as_in_one_pass(spark):
+    """A piece's rows lie in more files than a batch once held: those read first moved the clock past the others' rows."""
+    close, rows = T0 + timedelta(hours=20), []
+    for run in range(12):
+        for i in range(60):
+            rows.append((run, run, run, i, True, str(i % 100 / 100), T0 + timedelta(minutes=30 * i), T0 + timedelta(minutes=30 * i), close))
+    s = spark.createDataFrame(rows, "run long, condition_id long, token_id long, seq long, changed boolean, midpoint string, book_event_time timestamp, received_time timestamp, close_at timestamp")
+    s = s.withColumn("midpoint", F.col("midpoint").cast("decimal(13,11)"))
+    want = {r.run: (r.seq, r.midpoint, r.previous_midpoint) for r in forecast.frozen(s.drop("close_at"), s.select("run", "condition_id", "token_id", "close_at").distinct()).collect()}
+    tick = spark.createDataFrame([(-1, -1, -1, 1, False, None, None, T0 + timedelta(hours=40), T0 + timedelta(hours=40))], s.schema)
+    held = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, x in held.items():
+            spark.conf.set(k, x)
+        found = played(spark, s.unionByName(tick), capture_stream.frozen, "received_time").where("run <> '-1'")
+        got = {int(r.run): (r.seq, r.midpoint, r.previous_midpoint) for r in found.select("run", "seq", *[F.col(c).cast("decimal(13,11)").alias(c) for c in ("midpoint", "previous_midpoint")]).collect()}
+    finally:
+        for k, x in before.items():
+            spark.conf.set(k, x)
+    assert got == want and len(want) == 12
+
+
 def test_observed_counters_are_the_table_s(spark):
     frames = spark.createDataFrame([("r", i) for i in range(6)], "run string, frame_no long")
     decoded = spark.createDataFrame([("r", 0, 0), ("r", 1, 0), ("r", 1, 1), ("r", 2, None)], "run string, frame_no long, event_idx int")
@@ -127,6 +152,52 @@ def test_a_side_costs_the_same_at_any_depth():
     assert max(looked.values()) <= 3000
 
 
+class Kept:
+    """A map state that counts what a call asks of it."""
+
+    def __init__(self):
+        self.held, self.asked = {}, 0
+
+    def getMapState(self, *_):
+        return self
+
+    def getValue(self, key):
+        self.asked += 1
+        return self.held.get(key)
+
+    def updateValue(self, key, value):
+        self.asked += 1
+        self.held[key] = value
+
+    def removeKey(self, key):
+        self.asked += 1
+        self.held.pop(key, None)
+
+
+def test_a_dictionary_in_chunks_reads_what_it_is_asked_for():
+    rng, state, want = random.Random(4), Kept(), {}
+    for call in range(60):
+        held = Chunks(state, "a")
+        assert len(held) == len(want)
+        for _ in range(200 if call < 40 else 5):
+            name = str(rng.randrange(9000))
+            if rng.random() < 0.25 and name in held:
+                del held[name], want[name]
+            else:
+                held[name] = want[name] = rng.random()
+            assert held.get(name) == want.get(name) and (name in held) == (name in want)
+        if call == 50:
+            held.clear()
+            want = {}
+        held.flush()
+        assert {n: Chunks(state, "a").get(n) for n in Chunks(state, "a")} == want
+        state.asked = 0
+    state.asked, held = 0, Chunks(state, "a")
+    held["x"] = 1
+    held.flush()
+    assert state.asked <= 4 and (len(state.held) > 0)
+
+
 def test_books_of_batch_and_stream_agree_on_long_histories(spark):
     arrivals, ops = history(5, n=1500)
     a, o = spark.createDataFrame(arrivals, ARRIVAL), spark.createDataFrame(ops, OPS)
