@@ -1,9 +1,10 @@
-"""Order books under Structured Streaming: a keyed processor whose state is one token's book.
+"""Order books under Structured Streaming: a keyed processor whose state is the books of a group of a run's tokens.
 
-Rows of a key are applied in seq order inside each call. The best prices and the numbers of levels are state of
-their own, so a call reads single levels only; the whole book is read at most once a call, when a best price goes.
+A run's tokens fall into groups by hash, so that a call and its few state accesses serve many of them. Rows are applied in
+seq order inside each call. A token's best prices and numbers of levels are kept beside its levels; a small book is one
+entry with them, of a deep one a call reads and writes the chunks of the levels it touches, and the whole book at most once, when a best price goes.
 From then on each side is a heap that drops removed prices when they come to its top, so a write costs the
-logarithm of the depth, whatever the depth. A row at or below the key's last seq came out
+logarithm of the depth, whatever the depth. A row at or below its token's last seq came out
 of order: it is reported, not folded in. Applied observation ids are remembered, for good or with a time to live.
 """
 
@@ -18,14 +19,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from bookreplay.operators.book import off_scope
+from bookreplay.streaming import chunks
+from bookreplay.streaming.chunks import Chunks
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUT = "run string, condition_id string, token_id string, seq long, status string, best_bid double, best_ask double, bid_levels long, ask_levels long"
 INPUT = ["run", "seq", "condition_id", "token_id", "observation_id", "payload_type", "levels", "refused"]
 
 
-#: Output rows that are handed on at once.
-PIECE = 10_000
+#: Output rows that are handed on at once; levels of a book that is kept in one piece.
+PIECE, SMALL = 10_000, 256
 
 
 class Side:
@@ -74,90 +77,119 @@ class Side:
         self.best = self.sign * self.heap[0]
 
 
+class Book:
+    """One token's book in a call. Up to SMALL levels it is part of the token's own entry; a deeper one has chunks of its own."""
+
+    def __init__(self, state, name: str, held: list | None):
+        self.state, self.name = state, name
+        self.seq, self.seeded, bid, ask, bids, asks, levels = held or (-1, False, None, None, 0, 0, {})
+        self.sides = {"bid": Side(-1, bids, bid), "ask": Side(1, asks, ask)}
+        self.levels = Chunks(state, f"levels {name}") if levels is None else levels
+
+    def reset(self) -> None:
+        self.levels.clear()
+        self.seeded, self.levels = True, {}
+        self.sides = {"bid": Side(-1), "ask": Side(1)}
+        for side in self.sides.values():
+            side.fill(())
+
+    def apply(self, levels) -> None:
+        for x in levels:
+            at, side = f"{x['side']} {x['price']}", self.sides[x["side"]]
+            had, gone = at in self.levels, x["size"] is None or float(x["size"]) == 0
+            if not gone:
+                self.levels[at] = x["size"]
+                if not had:
+                    side.add(float(x["price"]))
+            elif had:
+                del self.levels[at]
+                if side.remove(float(x["price"])):
+                    self._fill()
+
+    def _fill(self) -> None:
+        """Both sides' prices, from the whole book."""
+        held = [at.split(" ") for at in self.levels]
+        for name, side in self.sides.items():
+            side.fill(float(p) for s, p in held if s == name)
+            if side.n:
+                side.settle()
+
+    def top(self) -> tuple:
+        bid, ask = self.sides["bid"], self.sides["ask"]
+        return bid.best, ask.best, bid.n, ask.n
+
+    def entry(self) -> list:
+        """What the token's entry keeps; the levels of a deep book go to their chunks."""
+        if isinstance(self.levels, dict) and len(self.levels) > SMALL:
+            small, self.levels = self.levels, Chunks(self.state, f"levels {self.name}")
+            for at, size in small.items():
+                self.levels[at] = size
+        deep = isinstance(self.levels, Chunks)
+        if deep:
+            self.levels.flush()
+        return [self.seq, self.seeded, *self.top(), None if deep else self.levels]
+
+
 class BookProcessor(StatefulProcessor):
-    """One output row per input row: what became of it, and the top of the book after it."""
+    """One output row per input row: what became of it, and the top of the token's book after it. A key is a group of a
+    run's tokens (``chunks.shard``); each token's rows, book and seen ids are its own."""
 
     def __init__(self, ttl_ms: int | None = None):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.levels = handle.getMapState("levels", "side string, price string", "size string")
-        self.seen = handle.getMapState("seen", "observation_id string", "seq long", self.ttl_ms)
-        self.last = handle.getValueState("last", "seq long, seeded boolean, best_bid double, best_ask double, bid_levels long, ask_levels long")
+        self.chunks = handle.getMapState("chunks", chunks.KEY, chunks.VALUE)
+        # Ids that lapse are entries of their own.
+        self.lapsing = handle.getMapState("seen", "name string", "seq long", self.ttl_ms) if self.ttl_ms else None
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         todo = pd.concat(list(rows)).sort_values("seq")
-        seq, seeded, bid, ask, bids, asks = self.last.get() if self.last.exists() else (-1, False, None, None, 0, 0)
-        self.sides = {"bid": Side(-1, bids, bid), "ask": Side(1, asks, ask)}
-        # Levels written in this call, with their sizes (null: gone), and whether they are all there is.
-        self.written, self.fresh = {}, False
-        out = []
+        entries, books, out = Chunks(self.chunks, "books"), {}, []
+        seen = Chunks(self.chunks, "seen") if self.lapsing is None else None
         for r in todo.itertuples(index=False):
-            if r.seq <= seq:
+            name = chunks.named(r.condition_id, r.token_id)
+            book = books.get(name)
+            if book is None:
+                book = books[name] = Book(self.chunks, name, entries.get(name))
+            if r.seq <= book.seq:
                 status = "out_of_order"
-            elif self.seen.containsKey((r.observation_id,)):
-                status, seq = "skipped_duplicate", r.seq
             else:
-                seq = r.seq
-                self.seen.updateValue((r.observation_id,), (int(r.seq),))
-                status = f"applied_{r.payload_type}"
-                if r.refused and r.payload_type in ("snapshot", "delta"):
-                    status = "scope_mismatch"
-                elif r.payload_type == "snapshot":
-                    seeded = True
-                    self._reset()
-                elif r.payload_type == "delta" and not seeded:
-                    status = "delta_before_snapshot"
-                if not r.refused and seeded and r.payload_type in ("snapshot", "delta"):
-                    self._apply(() if r.levels is None else r.levels)
-            out.append((*key, int(r.seq), status, *self._top()))
+                book.seq = int(r.seq)
+                status = "skipped_duplicate" if self._known(seen, f"{name} {r.observation_id}", book.seq) else self._taken(book, r)
+            out.append((key[0], r.condition_id, r.token_id, int(r.seq), status, *book.top()))
             if len(out) == PIECE:
                 yield self._frame(out)
                 out = []
-        self._flush()
-        self.last.update((int(seq), bool(seeded), *self._top()))
+        for name, book in books.items():
+            entries[name] = book.entry()
+        entries.flush()
+        if seen is not None:
+            seen.flush()
         if out:
             yield self._frame(out)
 
-    def _reset(self) -> None:
-        self.written, self.fresh = {}, True
-        self.sides = {"bid": Side(-1), "ask": Side(1)}
-        for side in self.sides.values():
-            side.fill(())
-
-    def _apply(self, levels) -> None:
-        for x in levels:
-            at, side = (x["side"], x["price"]), self.sides[x["side"]]
-            had = self.written[at] is not None if at in self.written else not self.fresh and self.levels.containsKey(at)
-            gone = x["size"] is None or float(x["size"]) == 0
-            if had or not gone:
-                self.written[at] = None if gone else x["size"]
-            if gone and had and side.remove(float(x["price"])):
-                self._fill()
-            elif not had and not gone:
-                side.add(float(x["price"]))
-
-    def _fill(self) -> None:
-        """Both sides' prices, from the state and what was written since."""
-        held = {at for at, _ in self.levels.iterator()} if not self.fresh else set()
-        held = {tuple(at) for at in held} - {at for at, size in self.written.items() if size is None} | {at for at, size in self.written.items() if size is not None}
-        for name, side in self.sides.items():
-            side.fill(float(p) for s, p in held if s == name)
-            if side.n:
-                side.settle()
-
-    def _flush(self) -> None:
-        if self.fresh:
-            self.levels.clear()
-        for at, size in self.written.items():
-            if size is not None:
-                self.levels.updateValue(at, (size,))
-            elif not self.fresh:
-                self.levels.removeKey(at)
+    def _known(self, seen: Chunks | None, name: str, seq: int) -> bool:
+        """Whether an id was seen; from now on it is."""
+        if name in seen if seen is not None else self.lapsing.containsKey((name,)):
+            return True
+        if seen is not None:
+            seen[name] = seq
+        else:
+            self.lapsing.updateValue((name,), (seq,))
+        return False
 
-    def _top(self) -> tuple:
-        bid, ask = self.sides["bid"], self.sides["ask"]
-        return bid.best, ask.best, bid.n, ask.n
+    @staticmethod
+    def _taken(book: Book, r) -> str:
+        status = f"applied_{r.payload_type}"
+        if r.payload_type in ("snapshot", "delta"):
+            if r.refused:
+                return "scope_mismatch"
+            if r.payload_type == "snapshot":
+                book.reset()
+            elif not book.seeded:
+                return "delta_before_snapshot"
+            book.apply(() if r.levels is None else r.levels)
+        return status
 
     @staticmethod
     def _frame(rows: list[tuple]) -> pd.DataFrame:
@@ -180,7 +212,7 @@ def book_inputs(arrivals: DataFrame, level_ops: DataFrame) -> DataFrame:
 def replay_stream(rows: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """The streaming form of the fold; needs the RocksDB state store provider (ROCKSDB). With a time to
     live the query runs on processing time and keeps running batches, so it suits open-ended triggers."""
-    return rows.groupBy("run", "condition_id", "token_id").transformWithStateInPandas(
+    return rows.withColumn("shard", chunks.shard("condition_id", "token_id")).groupBy("run", "shard").transformWithStateInPandas(
         statefulProcessor=BookProcessor(ttl_ms), outputStructType=OUT, outputMode="append", timeMode="ProcessingTime" if ttl_ms else "None"
     )
 

@@ -198,6 +198,33 @@ def test_a_dictionary_in_chunks_reads_what_it_is_asked_for():
     assert state.asked <= 4 and (len(state.held) > 0)
 
 
+def test_a_call_s_state_accesses_do_not_grow_with_its_tokens():
+    """A group's tokens share them; deep books touch single chunks. Tops are those of a plain dictionary."""
+    rng, state, books, made, n = random.Random(8), Kept(), {}, book_stream.BookProcessor(), 0
+    made.init(state)
+    for call in range(6):
+        rows, want = [], {}
+        for token in [*range(40)] + [7] * 200:
+            n += 1
+            first = token not in books
+            levels = [{"side": rng.choice(["bid", "ask"]), "price": f"{rng.randrange(5000) / 10000:.10f}", "size": rng.choice(["0", "1", "2"])} for _ in range(20 if first else 3)]
+            if token == 7 and first:
+                levels = [{"side": "bid", "price": f"{i / 10000:.10f}", "size": "1"} for i in range(4000)]
+            book = books.setdefault(token, {})
+            for x in levels:
+                book[x["side"], x["price"]] = x["size"]
+            live = [(s, float(p)) for (s, p), size in book.items() if size != "0"]
+            bid, ask = [p for s, p in live if s == "bid"], [p for s, p in live if s == "ask"]
+            want[n] = (max(bid, default=None), min(ask, default=None), len(bid), len(ask))
+            rows.append(("r", n, "c", str(token), f"o{n}", "snapshot" if first else "delta", levels, False))
+        state.asked = 0
+        out = pd.concat(made.handleInputRows(("r", 0), iter([pd.DataFrame(rows, columns=book_stream.INPUT)]), None))
+        got = {r.seq: (*[None if pd.isna(x) else x for x in (r.best_bid, r.best_ask)], r.bid_levels, r.ask_levels) for r in out.itertuples()}
+        assert got == want
+        # The deep book's chunks, read and written, and a few for all tokens; the ids of 240 rows alone took two each before.
+        assert state.asked <= 200, state.asked
+
+
 def test_books_of_batch_and_stream_agree_on_long_histories(spark):
     arrivals, ops = history(5, n=1500)
     a, o = spark.createDataFrame(arrivals, ARRIVAL), spark.createDataFrame(ops, OPS)
