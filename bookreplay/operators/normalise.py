@@ -40,31 +40,43 @@ def text_at(v: Column, path: str) -> Column:
 def decoded_events(frames: DataFrame) -> DataFrame:
     """A row per event of each frame: event (variant), event_idx; or with ``reason`` where the frame is
     not JSON, is a scalar, or holds an element that is no object."""
-    held = frames.withColumn("_v", F.try_parse_json("raw")).withColumn("_shape", shape(F.col("_v")))
+    # What JSON begins with tells its kind; the schema of a whole value costs more than reading it.
+    begins = F.substring(F.ltrim("raw", F.lit(" \t\r\n")), 1, 1)
+    held = frames.withColumn("_v", F.try_parse_json("raw")).withColumn("_shape", F.when(F.col("_v").isNotNull(), F.when(begins == "[", "ARRAY").when(begins == "{", "OBJECT").otherwise("SCALAR")))
     one = F.when(F.col("_shape") == "ARRAY", F.try_variant_get("_v", "$", "array<variant>")).when(F.col("_shape") == "OBJECT", F.array("_v"))
     held = held.withColumn("_bad", F.coalesce(~F.col("_shape").isin("ARRAY", "OBJECT"), F.lit(True)))
     exploded = held.select("*", F.posexplode_outer(one).alias("event_idx", "event")).where("_bad or event_idx is not null")
-    detail = F.when(F.col("_shape").isNull(), "not_json").when(F.col("_bad"), "scalar_frame").when(shape(F.col("event")) != "OBJECT", "not_an_object")
+    detail = F.when(F.col("_shape").isNull(), "not_json").when(F.col("_bad"), "scalar_frame").when(F.try_variant_get("event", "$", "map<string,variant>").isNull(), "not_an_object")
     return exploded.withColumn("detail", detail).withColumn("reason", F.when(detail.isNotNull(), "malformed_payload")).drop("_v", "_shape", "_bad")
 
 
+def typed(events: DataFrame) -> DataFrame:
+    """What routing asks of an event: event_type and ``named``, the tokens it names (empty text where an entry names
+    none; null where it has no list of entries)."""
+    kind = F.when(F.col("reason").isNull(), text_at(F.col("event"), "$.event_type"))
+    held = events.withColumn("event_type", F.when(kind != "", kind))
+    entries = F.try_variant_get("event", "$.price_changes", "array<variant>")
+    named = F.transform(entries, lambda e: F.coalesce(F.try_variant_get(e, "$.asset_id", "string"), F.lit("")))
+    own = text_at(F.col("event"), "$.asset_id")
+    return held.withColumn("named", F.when(F.col("event_type") == "price_change", named).when(F.col("event_type").isin(EVENT_TYPES) & own.isNotNull(), F.array(own)))
+
+
 def routed(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """Events of known types, once for each token that the run subscribed to (token_id); the others
     once, as rejections. ``status``: pending, rejected or not_applicable."""
-    kind = F.when(F.col("reason").isNull(), text_at(F.col("event"), "$.event_type"))
-    held = events.withColumn("event_type", F.when(kind != "", kind))
+    return fanned(typed(events), subscriptions).drop("named")
+
+
+def fanned(held: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """``routed`` of typed events: it reads no event again."""
     known = F.col("event_type").isin(EVENT_TYPES) & F.col("reason").isNull()
     refused = held.where(~F.coalesce(known, F.lit(False))).withColumn("token_id", F.lit(None).cast("string")).withColumn("status", F.lit("rejected"))
     refused = refused.withColumn("detail", F.coalesce("detail", F.when(F.col("event_type").isNull(), "missing_event_type").otherwise("unknown"))).withColumn("reason", F.coalesce("reason", F.lit("unknown_event_type")))
-    fanned = held.where(known).join(subscriptions.select("run", "token_id"), "run")
-    own = F.when(F.col("event_type") != "price_change", text_at(F.col("event"), "$.asset_id"))
-    entries = F.coalesce(F.try_variant_get("event", "$.price_changes", "array<variant>"), F.array().cast("array<variant>"))
-    named = F.exists(entries, lambda e: F.coalesce(F.try_variant_get(e, "$.asset_id", "string"), F.lit("")) == F.col("token_id"))
-    stray = F.exists(entries, lambda e: F.coalesce(F.try_variant_get(e, "$.asset_id", "string"), F.lit("")) == "")
-    no_list = shape(F.try_variant_get("event", "$.price_changes", "variant")) != "ARRAY"
-    off = F.when(F.col("event_type") == "price_change", ~named & ~stray & ~F.coalesce(no_list, F.lit(True))).otherwise(F.coalesce(own != F.col("token_id"), F.lit(False)))
-    fanned = fanned.withColumn("status", F.when(off, "not_applicable").otherwise("pending"))
-    return fanned.unionByName(refused.select(*fanned.columns))
+    sent = held.where(known).join(subscriptions.select("run", "token_id"), "run")
+    stray = (F.col("event_type") == "price_change") & F.array_contains("named", "")
+    off = F.col("named").isNotNull() & ~F.array_contains("named", F.col("token_id")) & ~stray
+    sent = sent.withColumn("status", F.when(off, "not_applicable").otherwise("pending"))
+    return sent.unionByName(refused.select(*sent.columns))
 
 
 def unexpected_keys(event: Column, kind: str) -> Column:

@@ -96,15 +96,32 @@ def routed(spark: SparkSession, d: str, landed: DataFrame | None = None) -> Data
 
 def produced(spark: SparkSession, d: str, landed: DataFrame | None = None) -> DataFrame:
     """Every event of every subscribed token after its own normaliser, refusals included."""
-    r = routed(spark, d, landed)
+    return normalised(routed(spark, d, landed), "run", "frame_no", "event_idx", "token_id", "event_type", "status", "reason", "detail", "raw", "received_time", "event")
+
+
+def normalised(r: DataFrame, *names: str) -> DataFrame:
+    """Routed events after their own normaliser."""
     parts = [normalise.price_changes(r), normalise.book_snapshots(r), normalise.trades(r), r.where("status <> 'pending'")]
-    names = ["run", "frame_no", "event_idx", "token_id", "event_type", "status", "reason", "detail", "raw", "received_time", "event"]
     out = parts[0].select(*names)
     for p in parts[1:]:
         out = out.unionByName(p.select(*names))
     return out
 
 
+def sequenced(spark: SparkSession, d: str) -> DataFrame:
+    """Routed events with their numbers in the run, which normalising does not change. Events are decoded and typed once,
+    and stored as text; routing and numbering read the types alone."""
+    events = normalise.typed(normalise.decoded_events(frames(spark, d)))
+    columns = ["run", "frame_no", "event_idx", "reason", "detail", "event_type", "named", "raw", "received_time"]
+    events = stored(events.select(*columns, F.to_json("event").alias("event_json")), "events")
+    subscriptions = stored(wire(spark, d).where("u % 4 <> 3").select("run", F.expr(TOKEN).alias("token_id")).distinct(), "subscriptions")
+    return normalise.with_sequence(normalise.fanned(events, subscriptions).drop("named"))
+
+
+def with_event(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("event", F.try_parse_json("event_json"))
+
+
 @query(WIRE + "SELECT * FROM decoded")
 def decoded_frames(spark: SparkSession, d: str) -> DataFrame:
     return normalise.decoded_events(frames(spark, d)).select("run", "frame_no", "event_idx", "reason", "detail")
@@ -131,9 +148,10 @@ def price_change_groups(spark: SparkSession, d: str) -> DataFrame:
 SELECT n.run, n.seq, n.token_id, CASE WHEN x.e % 2 = 0 THEN 'bid' ELSE 'ask' END AS side, round(CAST(price AS DOUBLE), 9) AS price, round(CAST(size AS DOUBLE), 9) AS size, CASE WHEN size = 0 THEN 'remove' ELSE 'set' END AS kind
  FROM numbered n JOIN entries x ON x.e = n.frame_no AND x.asset = n.token_id WHERE n.event_type = 'price_change' AND n.status = 'accepted'""")
 def price_change_levels(spark: SparkSession, d: str) -> DataFrame:
-    numbered = normalise.with_sequence(produced(spark, d)).select("run", "frame_no", "event_idx", "token_id", "seq")
-    found = normalise.price_changes(routed(spark, d)).withColumn("condition_id", F.lit("")).join(numbered.where("token_id is not null"), ["run", "frame_no", "event_idx", "token_id"])
-    return normalise.level_rows(found).select("run", "seq", "token_id", "side", "kind", *dbl("price", "size"))
+    pending = sequenced(spark, d).where("event_type = 'price_change' and status = 'pending'")
+    found = normalise.price_changes(with_event(pending)).select("run", "seq", "token_id", F.lit("").alias("condition_id"), "status", "levels")
+    # Stored first: a filter on the status would be pushed below, and the whole normaliser worked out in it over and over.
+    return normalise.level_rows(stored(found, "levels")).select("run", "seq", "token_id", "side", "kind", *dbl("price", "size"))
 
 
 @query(WIRE + """SELECT run, e AS frame_no, token_id, coalesce(detail, 'accepted') AS outcome, CASE WHEN detail IS NULL THEN 'bid ' || (k % 40 + 3) || ', bid ' || (k % 40 + 1) || ', ask ' || CASE WHEN e % 5 = 0 THEN k % 40 + 2 WHEN e % 9 = 0 THEN k % 40 + 3 ELSE k % 40 + 6 END END AS best_first,

@@ -151,3 +151,20 @@ def test_digests_are_injective_and_text_is_neutralised(spark):
     r = spark.createDataFrame([(odd,)], "t string").select(c.neutralized(F.col("t")).alias("t"), c.neutralized(F.col("t"), identifier=True, limit=9).alias("i")).first()
     assert r.t.startswith("a�b�c\nd�z") and "3008 chars sha256=" in r.t and r.i.startswith("a�b�c�d�z...[")
     assert spark.createDataFrame([("007",), ("0",), ("x0",)], "t string").select(c.without_leading_zeros(F.col("t")).alias("t")).collect() == [("7",), ("0",), ("x0",)]
+
+
+def test_levels_and_audits_decode_the_frames_once(spark):
+    """What is left of the queries when they return reads stored rows, so no filter or branch decodes the frames again."""
+    import duckdb
+
+    from bookreplay.plans.ingest import price_change_levels
+    from bookreplay.plans.queries import ORACLES
+
+    d = "/root/testdata/sf0.001"
+    for made_by in (price_change_levels,):
+        name, made = made_by.__name__, made_by(spark, d)
+        assert not [f for f in made.inputFiles() if "events.parquet" in f], name
+        asked = duckdb.connect()
+        asked.execute(f"create view events as select * from '{d}/events.parquet'")
+        want = asked.execute(f"select {', '.join(made.columns)} from ({ORACLES[name]})").fetchall()
+        assert sorted(map(str, map(tuple, made.collect()))) == sorted(map(str, want)) and want
