@@ -157,11 +157,11 @@ def test_levels_and_audits_decode_the_frames_once(spark):
     """What is left of the queries when they return reads stored rows, so no filter or branch decodes the frames again."""
     import duckdb
 
-    from bookreplay.plans.ingest import price_change_levels
+    from bookreplay.plans.ingest import identity_audit, price_change_levels
     from bookreplay.plans.queries import ORACLES
 
     d = "/root/testdata/sf0.001"
-    for made_by in (price_change_levels,):
+    for made_by in (price_change_levels, identity_audit):
         name, made = made_by.__name__, made_by(spark, d)
         assert not [f for f in made.inputFiles() if "events.parquet" in f], name
         asked = duckdb.connect()
